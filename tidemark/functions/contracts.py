@@ -82,7 +82,7 @@ def parse_reference(value: Column, hosts: list[str], root: str = "markets") -> C
     text = F.trim(value)
     link = text.contains("/")
     url = F.when(text.contains("://"), text).otherwise(F.concat(F.lit("https://"), text))
-    parts = F.split(F.trim(F.lit("/"), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))), "/")
+    parts = F.split(F.trim(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/")), "/")
     authority = F.try_parse_url(url, F.lit("AUTHORITY"))
     good = (
         (F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & authority.isin(*hosts)

@@ -95,15 +95,21 @@ def interval_prob(mu: Column, sigma: Column, low: Column, high: Column) -> Colum
     return F.when(ok, clip(right - left, 0.0, 1.0))
 
 
-def product_interval_prob(mu, sigma, observed, bias, noise, low, high) -> Column:
-    """P(low <= max(remaining, observed + error) < high) for independent normals; no observation means no floor."""
-
-    def cdf(bound: Column, open_value: float) -> Column:
-        remaining = normal_cdf((bound - mu) / sigma)
-        seen = F.when(observed.isNull(), F.lit(1.0)).otherwise(normal_cdf((bound - (observed + bias)) / noise))
-        return F.when(bound.isNull(), F.lit(open_value)).otherwise(remaining * seen)
-
-    return clip(cdf(high, 1.0) - cdf(low, 0.0), 0.0, 1.0)
+def with_product_interval_prob(df, mu: Column, sigma: Column, observed: Column, bias: Column, noise: Column, low: Column, high: Column, name: str = "prob"):
+    """P(low <= max(remaining, observed + error) < high) for independent normals; no observation means no floor.
+
+    The four z-scores are projected first and each CDF then reads one column: written as a single expression the
+    generated method would exceed the JVM's limit and fall back to interpretation.
+    """
+    z = {"_z1": (high - mu) / sigma, "_z2": (high - (observed + bias)) / noise, "_z3": (low - mu) / sigma, "_z4": (low - (observed + bias)) / noise}
+    flags = {"_fo": observed.isNull(), "_fl": low.isNull(), "_fh": high.isNull()}
+    d = df.withColumns(z | flags)
+    d = d.withColumns({f"_p{i}": normal_cdf(F.col(f"_z{i}")) for i in range(1, 5)})
+    seen = lambda i: F.when(F.col("_fo"), F.lit(1.0)).otherwise(F.col(f"_p{i}"))
+    top = F.when(F.col("_fh"), F.lit(1.0)).otherwise(F.col("_p1") * seen(2))
+    bottom = F.when(F.col("_fl"), F.lit(0.0)).otherwise(F.col("_p3") * seen(4))
+    out = d.withColumn(name, clip(top - bottom, 0.0, 1.0))
+    return out.drop(*z, *flags, *[f"_p{i}" for i in range(1, 5)])
 
 
 def diffusion_prob(spot: Column, strike: Column, sigma: Column, minutes: Column) -> Column:

@@ -64,7 +64,7 @@ SAMPLES = TICKS + """, s0 AS (
   SELECT *, 1 + CAST(floor(value) AS BIGINT) % 3 AS half, t // 86400000000 AS day FROM ticks),
 s1 AS (SELECT *, greatest(k - half, 0) AS bc, least(k + half, 100) AS ac FROM s0),
 samples AS (
-  SELECT event_id, user_id, event_type AS series, day, event_type || '-' || CAST(day AS VARCHAR) AS event, t AS at,
+  SELECT event_id, user_id, event_type AS series, day, event_type || '-' || CAST(day AS VARCHAR) AS event, t AS "at",
          t + (k + 1) * 600000000 AS close_t, t + (k + 1) * 600000000 + 3600000000 AS settled_t, k, value,
          bc / 100.0::DOUBLE AS bid, ac / 100.0::DOUBLE AS ask, (bc + ac) / 200.0::DOUBLE AS p,
          (ac - bc) / 100.0::DOUBLE AS spread,
