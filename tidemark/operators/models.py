@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.numeric import clip, expit, logit
 
@@ -71,12 +72,13 @@ def fit_market_offset(rows: DataFrame, by: list[str], features: list[str], p: st
     keys = [tuple(r[b] for b in by) for r in design.select(*by).distinct().collect()] if by else [()]
     coef = {key: np.zeros(k) for key in keys}
     open_keys, steps = set(keys), dict.fromkeys(keys, 0)
-    schema = design.select(*by).schema.add("_c", "array<double>")
+    key_fields = [design.schema[b] for b in by]
+    coef_schema = T.StructType([*key_fields, T.StructField("_c", T.ArrayType(T.DoubleType()))])
     for _ in range(MAX_STEPS):
         if not open_keys:
             break
-        table = spark.createDataFrame([(*key, coef[key].tolist()) for key in open_keys], schema)
         if by:
+            table = spark.createDataFrame([(*key, coef[key].tolist()) for key in open_keys], coef_schema)
             small = F.broadcast(table) if len(open_keys) * k <= BROADCAST_CELLS else table
             scored = design.join(small, by)
         else:
@@ -107,7 +109,8 @@ def fit_market_offset(rows: DataFrame, by: list[str], features: list[str], p: st
     if open_keys:
         raise ValueError(f"{len(open_keys)} models did not converge")
     out = [(*key, n, float(c), steps[key]) for key in keys for n, c in zip(names, coef[key])]
-    return spark.createDataFrame(out, design.select(*by).schema.add("feature", "string").add("coef", "double").add("steps", "int"))
+    fields = [T.StructField("feature", T.StringType()), T.StructField("coef", T.DoubleType()), T.StructField("steps", T.IntegerType())]
+    return spark.createDataFrame(out, T.StructType([*key_fields, *fields]))
 
 
 def score_offset(rows: DataFrame, coef: DataFrame, by: list[str], features: list[str], p: str = "p", eps: float = 1e-6, name: str = "predicted") -> DataFrame:
