@@ -137,9 +137,9 @@ def newton_sql(source: str, by: str, xs: list[str], l2: float, steps: int = 8, w
     out = [f"de AS (SELECT {by} AS g, {LOGIT('p')} AS o, CAST(y AS DOUBLE) AS y, {weight} AS w, {x} AS x1, {z} AS x2 FROM {source})",
            "w0 AS (SELECT DISTINCT g, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM de)"]
     for i in range(steps):
-        out.append(f"""s{i} AS (SELECT d.g, max(c.a) AS a, max(c.b) AS b, sum(w) AS n, sum(w * (q - y) * x1) AS g1, sum(w * (q - y) * x2) AS g2, sum(w * q * (1 - q) * x1 * x1) AS h11, sum(w * q * (1 - q) * x1 * x2) AS h12, sum(w * q * (1 - q) * x2 * x2) AS h22
+        out.append(f"""gs{i} AS (SELECT d.g, max(c.a) AS a, max(c.b) AS b, sum(w) AS n, sum(w * (q - y) * x1) AS g1, sum(w * (q - y) * x2) AS g2, sum(w * q * (1 - q) * x1 * x1) AS h11, sum(w * q * (1 - q) * x1 * x2) AS h12, sum(w * q * (1 - q) * x2 * x2) AS h22
  FROM (SELECT de.*, 1 / (1 + exp(-(o + c.a * x1 + c.b * x2))) AS q FROM de JOIN w{i} c ON c.g = de.g) d JOIN w{i} c ON c.g = d.g GROUP BY d.g),
-t{i} AS (SELECT g, a, b, g1 / n + {NUM(2 * l2)} * a AS u, g2 / n + {NUM(2 * l2)} * b AS v, h11 / n + {NUM(2 * l2)} AS p, h12 / n AS q, h22 / n + {NUM(2 * l2)} AS r FROM s{i}),
+t{i} AS (SELECT g, a, b, g1 / n + {NUM(2 * l2)} * a AS u, g2 / n + {NUM(2 * l2)} * b AS v, h11 / n + {NUM(2 * l2)} AS p, h12 / n AS q, h22 / n + {NUM(2 * l2)} AS r FROM gs{i}),
 w{i + 1} AS (SELECT g, a - (r * u - q * v) / (p * r - q * q) AS a, b - (p * v - q * u) / (p * r - q * q) AS b FROM t{i})""")
     return ",\n".join(out)
 
