@@ -146,7 +146,8 @@ def epoch_seconds(x: Column) -> Column:
 
 def zoned_timestamp(text: Column) -> Column:
     """UTC timestamp of an ISO string that carries an offset; naive or malformed strings are NULL."""
-    return F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(text))
+    whole = F.regexp_replace(text, r"([T ]\d{2}:\d{2})(Z|[+-]\d{2}:?\d{2})$", "$1:00$2")
+    return F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(whole))
 
 
 def fahrenheit(value: Column, unit: Column) -> Column:

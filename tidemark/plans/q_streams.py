@@ -99,7 +99,11 @@ def stream_record_validation(spark, sf):
     return n(good, "valid").unionByName(n(bad, "rejected"))
 
 
-@query("stream_intent_lifecycle")
+@query("stream_intent_lifecycle", f"""
+WITH {TICKS}, e AS (SELECT user_id, event_id, event_type, k, t // 1000 AS ms FROM ticks WHERE event_type IN ('view', 'purchase')),
+n AS (SELECT *, lead(ms) OVER w AS nms, lead(event_type) OVER w AS nt, lead(k) OVER w AS nk FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
+r AS (SELECT CASE WHEN coalesce(nms, (SELECT max(ms) - 3600000 FROM e)) >= ms + 43200000 THEN 'expired' WHEN nms IS NULL THEN NULL WHEN nt = 'purchase' THEN 'matched' WHEN nk < 30 THEN 'cancelled' END AS event FROM n WHERE event_type = 'view' AND k >= 30)
+SELECT event, count(*) AS n FROM r WHERE event IS NOT NULL GROUP BY 1""")
 def stream_intent_lifecycle(spark, sf):
     t = tick_stream(spark, sf).filter(F.col("event_type").isin("view", "purchase"))
     ms = F.unix_millis("ts")

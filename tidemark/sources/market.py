@@ -69,11 +69,14 @@ def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_records(lines)
 
 
-def _close(part: Column) -> Column:
-    """Quote of one candle side: ``close_dollars``, else ``close`` only when it is a string with a decimal point."""
-    dollars = part["close_dollars"]
-    text = F.when(part["close"].rlike(r'^"?-?\d*\.\d+"?$') & part["close"].startswith('"'), F.regexp_replace(part["close"], '"', ""))
-    return F.coalesce(dollars, text)
+# Fixed value: a decimal-dollar string in the older field; numbers and whole cents do not match.
+OLD_CLOSE = r'"close"\s*:\s*"(-?\d*\.\d+)"'
+
+
+def _close(side: Column) -> Column:
+    """Closing quote text of one candle side (JSON text): ``close_dollars``, else a decimal string in ``close``."""
+    old = F.regexp_extract(side, OLD_CLOSE, 1)
+    return F.coalesce(F.get_json_object(side, "$.close_dollars"), F.when(old != "", old))
 
 
 def parse_candles(df: DataFrame, column: str = "value") -> DataFrame:

@@ -18,8 +18,8 @@ def _micros(ts: Column) -> Column:
 
 
 def _utc_text(text: Column) -> Column:
-    """Timestamp text without an offset whose request declared UTC."""
-    return F.try_to_timestamp(F.concat(F.regexp_replace(text, "(Z|[+]00:00)$", ""), F.lit("Z")))
+    """Timestamp text without an offset whose request declared UTC; one with an offset is read as it says."""
+    return zoned_timestamp(F.when(text.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & text.contains(":"), text).otherwise(F.concat(text, F.lit("Z"))))
 
 
 def parse_station_obs(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
