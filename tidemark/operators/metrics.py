@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.money import side_edges, slipped, unit_cost
 from tidemark.functions.numeric import brier, clip, log_loss, normal_cdf, normal_pdf
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.slicing import evaluated_once
 
 # Bucket edges.
 PRICE_BUCKETS = [(0.0, 0.1, "0-0.1"), (0.1, 0.3, "0.1-0.3"), (0.3, 0.7, "0.3-0.7"), (0.7, 0.9, "0.7-0.9"), (0.9, 1.01, "0.9-1")]
@@ -157,7 +158,8 @@ def loss_contribution(df: DataFrame, by: list[str], model: Column, market: Colum
 def with_best_side(df: DataFrame, p="p", bid="bid", ask="ask", slippage=0.0) -> DataFrame:
     """Better side of one contract at the quote with its claimed net edge; YES wins ties."""
     yes, no = side_edges(F.col(p), F.col(bid), F.col(ask), slippage=slippage)
-    return df.withColumn("side", F.when(yes >= no, "yes").otherwise("no")).withColumn("edge", F.greatest(yes, no).cast("double"))
+    d = evaluated_once(df, _yes=yes, _no=no)
+    return evaluated_once(d, side=F.when(F.col("_yes") >= F.col("_no"), "yes").otherwise("no"), edge=F.greatest("_yes", "_no").cast("double")).drop("_yes", "_no")
 
 
 def one_contract_pnl(side: Column, y: Column, bid: Column, ask: Column, slippage=0.0) -> Column:

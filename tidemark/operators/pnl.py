@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.money import MIN_EDGE, fee_and_cost, qualify_signal, single_fill_cost, slipped
 from tidemark.operators.metrics import bucket, n, one_contract_pnl
+from tidemark.operators.slicing import evaluated_once
 from tidemark.operators.temporal import scalar_join, scenario_grid
 
 # Entry price buckets of the attribution and the promotion limits.
@@ -28,7 +29,7 @@ def signal_funnel(df: DataFrame, by: list[str], p="q", bid="bid", ask="ask", edg
 
     q, b, a = F.col(p), F.col(bid), F.col(ask)
     signal = qualify_signal(q, b, a, min_edge=edge)
-    rows = df.withColumn("_s", signal)
+    rows = evaluated_once(df, _s=signal)
     yes = F.col("_s.side") == "yes"
     quoted = F.when(yes, price_of(a)).otherwise((F.lit(1).cast(PRICE) - price_of(b)).cast(PRICE))
     prob = q.cast("decimal(18,12)")
@@ -73,7 +74,7 @@ def fixed_cohort_reprice(trades: DataFrame, slippages: list[str]) -> DataFrame:
     yes = F.col("side") == "yes"
     quoted = F.when(yes, F.col("ask")).otherwise(F.lit(1.0) - F.col("bid"))
     f = fee_and_cost(slipped(quoted, F.col("slippage")), F.col("quantity"))
-    g = g.withColumn("_c", f["cost"]).withColumn("_w", F.when(yes, F.col("y")).otherwise(F.lit(1) - F.col("y")))
+    g = evaluated_once(g, _c=f["cost"], _w=F.when(yes, F.col("y")).otherwise(F.lit(1) - F.col("y")))
     net = F.col("_w") * F.col("quantity") - F.col("_c")
     return g.groupBy("slippage").agg(
         n().alias("entries"), F.sum("quantity").alias("contracts"), F.sum("_c").cast("double").alias("capital"), F.sum(net).cast("double").alias("pnl"),
@@ -89,7 +90,7 @@ def fee_precision(trades: DataFrame, price: Column, quantity: Column) -> DataFra
 
 def opportunity_pnl(df: DataFrame, by: list[str], p="q", bid="bid", ask="ask", y="y", slippage=0.0, later: tuple[str, str] | None = None) -> DataFrame:
     """One contract of every qualifying row, no bankroll: pnl at the decision quote and, if given, at the later quote."""
-    rows = df.withColumn("_s", qualify_signal(F.col(p), F.col(bid), F.col(ask))).filter("_s IS NOT NULL")
+    rows = evaluated_once(df, _s=qualify_signal(F.col(p), F.col(bid), F.col(ask))).filter("_s IS NOT NULL")
     rows = rows.withColumn("_now", one_contract_pnl(F.col("_s.side"), F.col(y), F.col(bid), F.col(ask), slippage))
     aggs = [n().alias("opportunities"), F.avg("_s.edge").alias("claimed"), F.sum("_now").alias("pnl"), F.avg("_now").alias("pnl_per_contract")]
     if later:

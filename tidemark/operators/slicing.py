@@ -98,3 +98,13 @@ def previous_time(df: DataFrame, by: list[str], t: str, width: int, name: str =
     opening = rows.groupBy(*keys).agg(F.max(t).alias("_m")).select(*keys, F.max("_m").over(prior).alias("_o"))
     inside = F.lag(t).over(W.partitionBy(*keys).orderBy(t))
     return rows.withColumn("_p", inside).join(opening, keys).withColumn(name, F.coalesce("_p", "_o")).drop("_slice", "_p", "_o")
+
+
+def evaluated_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later filters and projections read instead of re-computing.
+
+    The optimizer substitutes a projected expression into every place that uses it, also into filters it pushes down.
+    For a parsed document that is read by dozens of rules this multiplies the parsing. A one-row generator is a barrier
+    it does not look through, and it stays inside code generation.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))

@@ -11,6 +11,7 @@ from tidemark.operators import metrics as A
 from tidemark.operators import pnl as P
 from tidemark.operators import temporal as J
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.operators.slicing import evaluated_once
 from tidemark.plans.oracle_text import CLIP, LOGLOSS, PHI
 from tidemark.plans.q_quality import brackets
 from tidemark.plans.registry import query
@@ -426,7 +427,7 @@ def promotion_gate(spark, sf):
 
     m = _models(spark, sf).withColumn("fold", F.col("day") % 4)
     folds, pooled = A.binary_metrics(m, ["fold", "model"], "f", "y", "day"), A.binary_metrics(m, ["model"], "f", "y", "day")
-    s = samples(spark, sf).withColumn("_s", qualify_signal(F.col("q"), F.col("bid"), F.col("ask"))).filter("_s IS NOT NULL")
+    s = evaluated_once(samples(spark, sf), _s=qualify_signal(F.col("q"), F.col("bid"), F.col("ask"))).filter("_s IS NOT NULL")
     s = s.withColumn("pnl", A.one_contract_pnl(F.col("_s.side"), F.col("y"), F.col("bid"), F.col("ask")))
     trades_ = s.agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("day").alias("days_traded"), F.sum("pnl").alias("pnl"))
     return P.promotion_gate(folds, pooled, trades_, "model", ["market"])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import rounded
-from tidemark.operators.slicing import DAY
+from tidemark.operators.slicing import DAY, evaluated_once
 
 S = 1_000_000
 
@@ -26,10 +26,8 @@ def micros(ts) -> F.Column:
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select(
-        "event_id", "user_id", "event_type", "value", micros("ts").alias("t"),
-        F.get_json_object("props", "$.k").cast("long").alias("k"),
-    )
+    e = evaluated_once(e, t=micros("ts"), k=F.get_json_object("props", "$.k").cast("long"))
+    return e.select("event_id", "user_id", "event_type", "value", "t", "k")
 
 
 TICKS = """ticks AS (
@@ -95,8 +93,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     fill = fee_and_cost(slipped(F.col("ask"), 0.02), F.col("quantity"))
     return (
-        rows.join(orders, "l_orderkey")
-        .withColumn("_f", fill)
+        evaluated_once(rows, _f=fill).join(orders, "l_orderkey")
         .withColumn("fees", F.col("_f.fee").cast("double"))
         .withColumn("cost", F.col("_f.cost").cast("double"))
         .withColumn("pnl", (F.col("payout") * F.col("quantity") - F.col("_f.cost")).cast("double"))

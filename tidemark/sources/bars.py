@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas as T
 from tidemark.functions.contracts import epoch_seconds
 from tidemark.operators.quality import conflicting_duplicates, ohlcv_rules, violations
+from tidemark.operators.slicing import evaluated_once
 
 KLINE_DDL = "file string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in T.KLINE.fields)
 
@@ -56,8 +57,7 @@ def check_klines(raw: DataFrame, step: int, period: Column, start: Column, end:
     A repeated bar start is rejected in full unless its copies agree; agreeing copies are reported as duplicates too.
     """
     unit = F.when(F.col("open_time") >= 10**15, F.lit(1_000_000)).otherwise(F.lit(1000))
-    d = raw.withColumn("t", epoch_seconds(F.col("open_time"))).withColumn("period", period)
-    d = d.withColumn("_start", start).withColumn("_end", end)
+    d = evaluated_once(raw, t=epoch_seconds(F.col("open_time")), period=period, _start=start, _end=end)
     rules = {
         "epoch_unit": F.col("t").isNotNull(),
         "outside_period": (F.col("t") >= F.col("_start")) & (F.col("t") < F.col("_end")),
@@ -65,7 +65,7 @@ def check_klines(raw: DataFrame, step: int, period: Column, start: Column, end:
         "close_time": F.col("close_time") == (F.col("t") + F.lit(step)) * unit - 1,
         "trades": F.col("trades") >= 0,
     } | ohlcv_rules(buy="taker_buy")
-    d = d.withColumn("violations", violations(rules))
+    d = evaluated_once(d, violations=violations(rules))
     bars = d.filter(F.size("violations") == 0).select(
         "period", "t", "open", "high", "low", "close", "volume", F.col("taker_buy").alias("buy"), "trades"
     )

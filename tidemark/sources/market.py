@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas as T
 from tidemark.functions.contracts import zoned_timestamp
 from tidemark.operators.quality import record_rules
+from tidemark.operators.slicing import evaluated_once
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -44,9 +45,8 @@ def parse_records(df: DataFrame, column: str = "value") -> tuple[DataFrame, Data
 
     Timestamps must carry an offset. A line that is not JSON is rejected as ``malformed``.
     """
-    j = F.from_json(F.col(column), T.RECORD_TEXT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    d = df.withColumn("_j", j)
-    fields = {f: F.col(f"_j.{f}") for f in T.RECORD_TEXT.fieldNames() if f != "_corrupt"}
+    d = evaluated_once(df, _j=F.from_json(F.col(column), T.RECORD_TEXT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    fields = {f: F.col(f"_j.{f}") for f in T.RECORD_TEXT.fieldNames()}
     for f in T.RECORD_TIMES:
         fields[f] = zoned_timestamp(fields[f])
     for side in ("yes", "no"):
@@ -54,9 +54,9 @@ def parse_records(df: DataFrame, column: str = "value") -> tuple[DataFrame, Data
     for f in ("fee_rate", "probability", "yes_payout"):
         fields[f] = F.expr(f"try_cast(_j.{f} AS double)")
     keep = [c for c in df.columns if c != column]
-    rows = d.select(*keep, column, F.col("_j._corrupt").alias("_corrupt"), *[v.alias(k) for k, v in fields.items()])
-    bad = F.when(F.col("_corrupt").isNotNull() | F.col("type").isNull(), F.array(F.lit("malformed"))).otherwise(record_rules())
-    rows = rows.withColumn("violations", bad)
+    rows = evaluated_once(d, **fields).drop("_j")
+    malformed = F.col("_corrupt").isNotNull() | F.col("type").isNull()
+    rows = evaluated_once(rows, violations=F.when(malformed, F.array(F.lit("malformed"))).otherwise(record_rules()))
     good = rows.filter(F.size("violations") == 0).drop("violations", "_corrupt", column)
     return good, rows.filter(F.size("violations") > 0).select(*keep, column, "violations")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas as T
 from tidemark.functions.contracts import DURATION, fahrenheit, is_correction, iso_duration_seconds, metar_max6h, wind_mph, zoned_timestamp
 from tidemark.operators.quality import conflicting_duplicates
+from tidemark.operators.slicing import evaluated_once
 
 TEMPERATURE = "temperature_2m_"
 LOW, HIGH = -100, 150
@@ -115,40 +116,50 @@ def parse_snapshots(df: DataFrame, column: str = "value") -> DataFrame:
     kinds: period_temperature, humidity, wind, cloud, observation and one per forecast model. Units outside the gate
     and rows that were issued after they were received are dropped.
     """
-    s = df.select(F.from_json(F.col(column), T.SNAPSHOT).alias("_s")).select(
-        F.col("_s.series").alias("series"), _micros(zoned_timestamp(F.col("_s.captured_at"))).alias("captured_t"), F.explode("_s.sources").alias("_src")
-    )
+    doc = evaluated_once(df.select(column), _s=F.from_json(F.col(column), T.SNAPSHOT))
+    s = doc.select(F.col("_s.series").alias("series"), _micros(zoned_timestamp(F.col("_s.captured_at"))).alias("captured_t"), F.explode("_s.sources").alias("_src"))
     props = "_src.body.properties"
-    s = s.withColumn("received_t", _micros(zoned_timestamp(F.col("_src.received_at")))).withColumn(
-        "issued_t", _micros(zoned_timestamp(F.coalesce(F.col(f"{props}.updateTime"), F.col(f"{props}.generatedAt"))))
-    )
-    base = ["series", "captured_t", "received_t", "issued_t"]
-    t = lambda c: _micros(zoned_timestamp(F.col(c)))
-    row = lambda d, kind, a, b, v: d.select(*base, F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), v.cast("double").alias("value"))
-    p = s.filter(F.col("issued_t") <= F.col("received_t")).select(*base, F.explode(f"{props}.periods").alias("p"))
-    span = (t("p.startTime"), t("p.endTime"))
-    sky = s.filter(F.col("issued_t") <= F.col("received_t")).select(*base, F.explode(f"{props}.skyCover.values").alias("p"))
-    valid = F.split("p.validTime", "/")
-    sky = sky.withColumn("_a", _micros(zoned_timestamp(valid[0]))).withColumn("_d", iso_duration_seconds(F.get(valid, F.lit(1))))
-    obs = s.select(*base, F.explode("_src.body.features").alias("p"))
-    when = t("p.properties.timestamp")
-    hourly = s.select(*base, F.col("_src.body.hourly").alias("h"), F.col("_src.body.hourly_units").alias("u"))
-    models = hourly.withColumn("k", F.explode(F.filter(F.map_keys("h"), lambda k: k.startswith(TEMPERATURE))))
-    models = models.withColumn("z", F.explode(F.arrays_zip(F.element_at("h", F.lit("time")).alias("t"), F.element_at("h", F.col("k")).alias("v"))))
-    hour = _micros(_utc_text(F.col("z.t")))
-    model_rows = models.select(
-        *base, F.substring("k", len(TEMPERATURE) + 1, 100).alias("kind"), hour.alias("a"), (hour + F.lit(3_600_000_000)).alias("b"),
-        fahrenheit(F.expr("try_cast(z.v AS double)"), F.element_at("u", F.col("k"))).alias("value"),
+    s = evaluated_once(
+        s, received_t=_micros(zoned_timestamp(F.col("_src.received_at"))),
+        issued_t=_micros(zoned_timestamp(F.coalesce(F.col(f"{props}.updateTime"), F.col(f"{props}.generatedAt")))),
     )
-    out = (
-        row(p, "period_temperature", *span, fahrenheit(F.col("p.temperature"), F.col("p.temperatureUnit")))
-        .unionByName(row(p, "humidity", *span, F.col("p.relativeHumidity.value")))
-        .unionByName(row(p, "wind", *span, F.array_max(wind_mph(F.col("p.windSpeed")))))
-        .unionByName(row(sky, "cloud", F.col("_a"), F.col("_a") + F.col("_d") * F.lit(1_000_000), F.col("p.value")))
-        .unionByName(row(obs.filter(when <= F.col("received_t")), "observation", when, when, fahrenheit(F.col("p.properties.temperature.value"), F.col("p.properties.temperature.unitCode"))))
-        .unionByName(model_rows)
+    t = lambda text: _micros(zoned_timestamp(text))
+    row = lambda kind, a, b, v: F.struct(kind.alias("kind"), a.alias("a"), b.alias("b"), v.cast("double").alias("value"))
+    timely = F.coalesce(F.col("issued_t") <= F.col("received_t"), F.lit(False))
+
+    def period(p):
+        span = (t(p["startTime"]), t(p["endTime"]))
+        return F.array(
+            row(F.lit("period_temperature"), *span, fahrenheit(p["temperature"], p["temperatureUnit"])), row(F.lit("humidity"), *span, p["relativeHumidity"]["value"]),
+            row(F.lit("wind"), *span, F.array_max(wind_mph(p["windSpeed"]))),
+        )
+
+    def sky(p):
+        start = t(F.element_at(F.split(p["validTime"], "/"), 1))
+        length = iso_duration_seconds(F.substring_index(p["validTime"], "/", -1))
+        return row(F.lit("cloud"), start, start + length * F.lit(1_000_000), p["value"])
+
+    def seen(o):
+        at = t(o["properties"]["timestamp"])
+        return row(F.lit("observation"), at, at, F.when(at <= F.col("received_t"), fahrenheit(o["properties"]["temperature"]["value"], o["properties"]["temperature"]["unitCode"])))
+
+    hourly, units = F.col("_src.body.hourly"), F.col("_src.body.hourly_units")
+    models = F.filter(F.map_keys(hourly), lambda k: k.startswith(TEMPERATURE))
+
+    def model(k):
+        hour = lambda z: _micros(_utc_text(z["t"]))
+        pairs = F.arrays_zip(F.element_at(hourly, F.lit("time")).alias("t"), F.element_at(hourly, k).alias("v"))
+        return F.transform(pairs, lambda z: row(F.substring(k, len(TEMPERATURE) + 1, 100), hour(z), hour(z) + F.lit(3_600_000_000), fahrenheit(z["v"].try_cast("double"), F.element_at(units, k))))
+
+    empty = F.array().cast("array<struct<kind:string,a:bigint,b:bigint,value:double>>")
+    part = lambda x: F.coalesce(x, empty)
+    # One array per source and one explode: the document is parsed and read once whatever it holds.
+    rows = F.concat(
+        part(F.when(timely, F.flatten(F.transform(F.col(f"{props}.periods"), period)))), part(F.when(timely, F.transform(F.col(f"{props}.skyCover.values"), sky))),
+        part(F.transform(F.col("_src.body.features"), seen)), part(F.flatten(F.transform(models, model))),
     )
-    return out.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    tall = s.select("series", "captured_t", "received_t", "issued_t", F.inline(rows))
+    return tall.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def read_weather_snapshots(spark: SparkSession, path: str) -> DataFrame:
