@@ -13,6 +13,34 @@ def _all(df: DataFrame) -> Column:
     return F.struct(*[F.col(c) for c in df.columns])
 
 
+def _both_sides(left: DataFrame, right: DataFrame, by: list[str], left_time: Column, right_time: Column, left_side: int, tie: list[str], width: int) -> DataFrame:
+    """Left and right rows in one frame, each with its time, side, tie rank and slice."""
+    rank = F.struct(*[F.col(c) for c in tie]) if tie else F.lit(0)
+    rank_type = right.select(rank.alias("r")).schema["r"].dataType
+    r = right.select(*by, right_time.alias("_t"), F.lit(1 - left_side).alias("_side"), rank.alias("_tie"), _all(right).alias("_r"))
+    l = left.select(*by, left_time.alias("_t"), F.lit(left_side).alias("_side"), F.lit(None).cast(rank_type).alias("_tie"), _all(left).alias("_l"))
+    return l.unionByName(r, allowMissingColumns=True).withColumn("_slice", slice_of(F.col("_t"), width))
+
+
+def _with_carry(both: DataFrame, by: list[str], newest: bool) -> DataFrame:
+    """Left rows with ``_q``: the nearest right row in their slice, else the one carried in from the nearest other slice.
+
+    Inside (key, slice) it is one linear window. Across slices only one summary row per (key, slice) is kept, by a
+    map-side combined aggregate; the window over summaries sees slices, not rows. Nothing is copied, so slices may be as
+    narrow as the busiest key needs.
+    """
+    keys = [*by, "_slice"]
+    inside = W.partitionBy(*keys).orderBy(*(["_t", "_side", "_tie"] if newest else [F.desc("_t"), F.asc("_side"), F.desc("_tie")]))
+    inside = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    is_right = F.col("_r").isNotNull()
+    pick = F.max_by if newest else F.min_by
+    edge = both.groupBy(*keys).agg(pick(F.when(is_right, F.struct("_r")), F.when(is_right, F.struct("_t", "_tie"))).alias("_edge"))
+    across = W.partitionBy(*by).orderBy(F.asc("_slice") if newest else F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
+    opening = edge.select(*keys, F.last("_edge", ignorenulls=True).over(across).alias("_open"))
+    found = both.withColumn("_q", F.last("_r", ignorenulls=True).over(inside)).filter(F.col("_l").isNotNull())
+    return found.join(opening, keys).withColumn("_q", F.coalesce(F.col("_q"), F.col("_open._r")))
+
+
 def asof_backward(
     left: DataFrame,
     right: DataFrame,
@@ -21,7 +49,7 @@ def asof_backward(
     right_time: str,
     tolerance: int,
     allowance: int = 0,
-    width: int = DAY,
+    width: int = HOUR,
     allow_equal: bool = True,
     tie: list[str] | None = None,
     name: str = "quote",
@@ -30,26 +58,11 @@ def asof_backward(
 
     Point-in-time rule: a right row is usable from ``right_time + allowance`` on. Age is measured from ``right_time``.
     Among right rows of equal time the greatest ``tie`` columns win. Adds the struct column ``name`` (NULL if none).
-
-    Plan: one shuffle of both sides on (by, slice); a right row is copied to a later slice only while it can still be
-    within tolerance there. No group is larger than one slice of one key.
+    ``width`` bounds the rows of one key that share a task; it changes the plan's granularity, never the result.
     """
-    tie = tie or []
-    rank = F.struct(*[F.col(c) for c in tie]) if tie else F.lit(0)
-    rank_type = right.select(rank.alias("r")).schema["r"].dataType
     usable = F.col(right_time) + F.lit(allowance)
-    r = right.select(
-        *by, usable.alias("_t"), F.lit(1 if not allow_equal else 0).alias("_side"), rank.alias("_tie"),
-        _all(right).alias("_r"),
-        F.explode(F.sequence(slice_of(usable, width), slice_of(F.greatest(usable, F.col(right_time) + F.lit(tolerance)), width))).alias("_slice"),
-    )
-    l = left.select(
-        *by, F.col(left_time).alias("_t"), F.lit(0 if not allow_equal else 1).alias("_side"),
-        F.lit(None).cast(rank_type).alias("_tie"), _all(left).alias("_l"), slice_of(F.col(left_time), width).alias("_slice"),
-    )
-    both = l.unionByName(r, allowMissingColumns=True)
-    w = W.partitionBy(*by, "_slice").orderBy("_t", "_side", "_tie").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = both.withColumn("_q", F.last("_r", ignorenulls=True).over(w)).filter(F.col("_l").isNotNull())
+    both = _both_sides(left, right, by, F.col(left_time), usable, 1 if allow_equal else 0, tie or [], width)
+    found = _with_carry(both, by, newest=True)
     fresh = F.col("_t") - F.col(f"_q.{right_time}") <= F.lit(tolerance)
     return found.select("_l.*", F.when(fresh, F.col("_q")).alias(name))
 
@@ -62,49 +75,35 @@ def asof_forward(
     right_time: str,
     max_gap: int,
     min_gap: int = 1,
-    width: int = DAY,
+    width: int = HOUR,
     tie: list[str] | None = None,
     name: str = "later",
 ) -> DataFrame:
     """First right row in [left + min_gap, left + max_gap]; min_gap 1 means strictly after on integer times.
 
-    Both sides are read in descending time so the frame stays unbounded-preceding (linear), and right rows are copied
-    to the earlier slices that may look ahead to them.
+    Both sides are read in descending time so that the frame stays unbounded-preceding, which Spark evaluates in linear
+    time; slices that hold no right row take the one carried back from the next slice that does.
     """
-    tie = tie or []
-    rank = F.struct(*[F.col(c) for c in tie]) if tie else F.lit(0)
-    rank_type = right.select(rank.alias("r")).schema["r"].dataType
-    rt = F.col(right_time)
-    r = right.select(
-        *by, rt.alias("_t"), F.lit(0).alias("_side"), rank.alias("_tie"), _all(right).alias("_r"),
-        F.explode(F.sequence(slice_of(rt - F.lit(max_gap), width), slice_of(rt - F.lit(min_gap), width))).alias("_slice"),
-    )
-    l = left.select(
-        *by, (F.col(left_time) + F.lit(min_gap)).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(rank_type).alias("_tie"),
-        _all(left).alias("_l"), slice_of(F.col(left_time), width).alias("_slice"),
-    )
-    both = l.unionByName(r, allowMissingColumns=True)
-    w = (
-        W.partitionBy(*by, "_slice")
-        .orderBy(F.desc("_t"), F.asc("_side"), F.desc("_tie"))
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    found = both.withColumn("_q", F.last("_r", ignorenulls=True).over(w)).filter(F.col("_l").isNotNull())
+    both = _both_sides(left, right, by, F.col(left_time) + F.lit(min_gap), F.col(right_time), 1, tie or [], width)
+    found = _with_carry(both, by, newest=False)
     near = F.col(f"_q.{right_time}") - F.col(f"_l.{left_time}") <= F.lit(max_gap)
     return found.select("_l.*", F.when(near, F.col("_q")).alias(name))
 
 
-def with_previous(df: DataFrame, by: list[str], t: str, columns: list[str], tolerance: int, width: int = DAY,
+def with_previous(df: DataFrame, by: list[str], t: str, columns: list[str], tolerance: int, width: int = HOUR,
                   tie: list[str] | None = None, name: str = "previous") -> DataFrame:
     """Attach the preceding row of the same key (as a struct) when it is not older than ``tolerance``."""
-    from tidemark.operators.slicing import halo
-
-    rows = halo(df, t, width, back=tolerance)
-    w = W.partitionBy(*by, "_slice").orderBy(t, *(tie or []))
-    prior = F.lag(F.struct(*columns, F.col(t).alias("_pt"))).over(w)
-    out = rows.withColumn("_p", prior).filter("_core")
+    keys = [*by, "_slice"]
+    order = [t, *(tie or [])]
+    row = F.struct(*columns, F.col(t).alias("_pt"))
+    rows = df.withColumn("_slice", slice_of(F.col(t), width))
+    edge = rows.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("_edge"))
+    across = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    opening = edge.select(*keys, F.last("_edge", ignorenulls=True).over(across).alias("_open"))
+    out = rows.withColumn("_p", F.lag(row).over(W.partitionBy(*keys).orderBy(*order))).join(opening, keys)
+    out = out.withColumn("_p", F.coalesce("_p", "_open"))
     fresh = F.col(t) - F.col("_p._pt") <= F.lit(tolerance)
-    return out.withColumn(name, F.when(fresh, F.col("_p").dropFields("_pt"))).drop("_p", "_slice", "_core")
+    return out.withColumn(name, F.when(fresh, F.col("_p").dropFields("_pt"))).drop("_p", "_open", "_slice")
 
 
 def fan_out(df: DataFrame, close: str, horizons: list[int], at: str = "at", horizon: str = "horizon") -> DataFrame:
@@ -195,7 +194,7 @@ def scenario_grid(df: DataFrame, **axes: list) -> DataFrame:
 
 
 def match_intent(signals: DataFrame, books: DataFrame, by: list[str], signal_time: str, book_time: str, expires: str,
-                 delay: int, max_latency: int, width: int = DAY, tie: list[str] | None = None) -> DataFrame:
+                 delay: int, max_latency: int, width: int = HOUR, tie: list[str] | None = None) -> DataFrame:
     """First book at least ``delay`` after each signal, not later than ``max_latency`` nor at or past expiry."""
     m = asof_forward(signals, books, by, signal_time, book_time, max_gap=max_latency, min_gap=delay, width=width, tie=tie, name="book")
     in_time = F.col(f"book.{book_time}") < F.col(expires)

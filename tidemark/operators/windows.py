@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import cyclic, normal_cdf, clip
-from tidemark.operators.slicing import DAY, HOUR, halo, slice_of
-from tidemark.operators.temporal import asof_backward, overlap_join, points_in_interval
+from tidemark.operators.slicing import DAY, HOUR, halo, running_max, running_sums, slice_of
+from tidemark.operators.temporal import asof_backward, overlap_join
 
 # Bar feature definition (minutes at the default step).
 LOOKBACK, SIGMA_RETURNS, DECAY, SIGMA_FLOOR = 120, 60, 0.94, 1e-6
@@ -165,31 +165,34 @@ def execution_rows(df: DataFrame) -> DataFrame:
 
 
 def running_max_obs(decisions: DataFrame, obs: DataFrame, by: list[str], at: str, day_start: str, t: str, delay: int,
-                    stale: int = 3 * HOUR, width: int = 6 * HOUR) -> DataFrame:
+                    stale: int = 3 * HOUR, width: int = HOUR, offset: Column | None = None) -> DataFrame:
     """Observed extremes of the station day at the decision.
 
     Point-in-time rule: an observation counts from ``t + delay`` on, only inside its own day; a six-hour maximum only
     if its whole window lies in the day; the newest usable observation must not be older than ``stale``.
+
+    Running maximum and count are attached to the observations once per (station, day); a decision then needs only the
+    newest usable observation. The cost is linear in both sides: no decision is paired with every earlier reading.
+    ``offset`` is the station's day start within the UTC day (default 0), an expression over ``obs``.
     """
-    end = F.least(F.col(at) - F.lit(delay) + F.lit(1), F.col(day_start) + F.lit(DAY))
-    ids = decisions.columns
-    spans = decisions.withColumn("_end", end)
-    hit = points_in_interval(spans, obs.select(*by, F.col(t).alias("_t"), "temperature", "max_6h"), by, (day_start, "_end"), "_t", width)
-    inside = F.when(F.col("_t") - F.lit(6 * HOUR) >= F.col(day_start), F.col("max_6h"))
-    seen = hit.groupBy(*ids).agg(
-        F.max(F.greatest("temperature", inside)).alias("observed_max"),
-        F.max_by("temperature", "_t").alias("observed_temperature"),
-        F.max("_t").alias("observation_at"), F.count(F.lit(1)).alias("observation_count"),
-    )
-    older = hit.join(seen.select(*ids, "observation_at"), ids).filter(F.col("_t") <= F.col("observation_at") - F.lit(2 * HOUR))
-    trend = older.groupBy(*ids).agg(F.max_by("temperature", "_t").alias("_old"))
-    out = decisions.join(seen, ids, "left").join(trend, ids, "left")
-    age = F.col(at) - F.col("observation_at")
+    shift = offset if offset is not None else F.lit(0)
+    start = (F.floor((F.col(t) - shift) / F.lit(DAY)) * F.lit(DAY) + shift).cast("long")
+    o = obs.select(*by, F.col(t).alias("_t"), "temperature", "max_6h", start.alias("_day"))
+    inside = F.when(F.col("_t") - F.lit(6 * HOUR) >= F.col("_day"), F.col("max_6h"))
+    keys = [*by, "_day"]
+    o = running_max(o, keys, "_t", [], width, F.greatest("temperature", inside), "_max")
+    o = running_sums(o, keys, "_t", [], width, {"_count": F.lit(1)})
+    old = o.select(*keys, F.col("_t").alias("_ot"), F.col("temperature").alias("_otemp"))
+    o = asof_backward(o.withColumn("_before", F.col("_t") - F.lit(2 * HOUR)), old, keys, "_before", "_ot", DAY, width=width, name="_older")
+    o = o.withColumn("_trend", F.coalesce(F.col("temperature") - F.col("_older._otemp"), F.lit(0.0))).drop("_older", "_before")
+    d = decisions.withColumn("_day", F.col(day_start)).withColumn("_cut", F.least(F.col(at) - F.lit(delay), F.col(day_start) + F.lit(DAY - 1)))
+    out = asof_backward(d, o, keys, "_cut", "_t", DAY, width=width, name="_o")
+    age = F.col(at) - F.col("_o._t")
     return out.withColumns({
-        "observed_trend": F.when(F.col("observed_max").isNotNull(), F.coalesce(F.col("observed_temperature") - F.col("_old"), F.lit(0.0))),
-        "observation_age": age,
-        "reason": F.when(F.col("observed_max").isNull(), "no_observation").when(age > F.lit(stale), "stale_observation"),
-    }).drop("_old")
+        "observed_max": F.col("_o._max"), "observed_temperature": F.col("_o.temperature"), "observation_at": F.col("_o._t"), "observation_count": F.col("_o._count"),
+        "observed_trend": F.col("_o._trend"), "observation_age": age,
+        "reason": F.when(F.col("_o").isNull(), "no_observation").when(age > F.lit(stale), "stale_observation"),
+    }).drop("_o", "_day", "_cut")
 
 
 def remaining_max(decisions: DataFrame, hours: DataFrame, by: list[str], at: str, day_start: str, initialized: str,
@@ -223,7 +226,7 @@ def remaining_max(decisions: DataFrame, hours: DataFrame, by: list[str], at: str
     )
 
 
-def interpolate_at(points: DataFrame, series: DataFrame, by: list[str], at: str, t: str, value: str, step: int, width: int = DAY, name: str = "interpolated") -> DataFrame:
+def interpolate_at(points: DataFrame, series: DataFrame, by: list[str], at: str, t: str, value: str, step: int, width: int = HOUR, name: str = "interpolated") -> DataFrame:
     """Linear interpolation between the two grid values around ``at``; NULL unless they are exactly ``step`` apart."""
     nxt = series.select(*by, (F.col(t) - F.lit(step)).alias(t), F.col(value).alias("_next"))
     pairs = series.select(*by, t, F.col(value).alias("_this")).join(nxt, [*by, t])
@@ -282,11 +285,11 @@ def covered_length(intervals: DataFrame, by: list[str], a: str, b: str, width: i
     return cut.withColumn("_len", piece).groupBy(*by).agg(F.sum("_len").alias("covered"))
 
 
-def revision(df: DataFrame, by: list[str], t: str, value: str, tolerance: int, width: int | None = None, tie: list[str] | None = None) -> DataFrame:
+def revision(df: DataFrame, by: list[str], t: str, value: str, tolerance: int, width: int = HOUR, tie: list[str] | None = None) -> DataFrame:
     """Difference from the previous snapshot of the same key within ``tolerance``; NULL for the first."""
     from tidemark.operators.temporal import with_previous
 
-    out = with_previous(df, by, t, [value], tolerance, width or 4 * tolerance, tie)
+    out = with_previous(df, by, t, [value], tolerance, width, tie)
     return out.withColumn("revision", F.col(value) - F.col(f"previous.{value}")).drop("previous")
 
 

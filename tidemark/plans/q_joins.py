@@ -27,7 +27,7 @@ def asof_backward_quote(spark, sf):
     t = ticks(spark, sf)
     d = _side(t, "error").select("event_id", "user_id", F.col("t").alias("at"))
     q = _side(t, "purchase").select("user_id", "t", "event_id", "value")
-    out = J.asof_backward(d, q, ["user_id"], "at", "t", tolerance=DAY, allowance=5 * S, width=2 * DAY, tie=["event_id"])
+    out = J.asof_backward(d, q, ["user_id"], "at", "t", tolerance=DAY, allowance=5 * S, tie=["event_id"])
     return out.select("event_id", "user_id", "at", F.col("quote.event_id").alias("quote_id"),
                       F.col("quote.value").alias("quote_value"), (F.col("at") - F.col("quote.t")).alias("age_us"))
 
@@ -42,7 +42,7 @@ def asof_forward_quote(spark, sf):
     t = ticks(spark, sf)
     d = _side(t, "error").select("event_id", "user_id", F.col("t").alias("at"))
     q = _side(t, "purchase").select("user_id", "t", "event_id")
-    out = J.asof_forward(d, q, ["user_id"], "at", "t", max_gap=DAY, width=2 * DAY, tie=["event_id"])
+    out = J.asof_forward(d, q, ["user_id"], "at", "t", max_gap=DAY, tie=["event_id"])
     return out.select("event_id", "user_id", "at", F.col("later.event_id").alias("later_id"),
                       (F.col("later.t") - F.col("at")).alias("gap_us"))
 
@@ -53,7 +53,7 @@ WITH {TICKS}, m AS (
 SELECT event_id, user_id, t AS at, CASE WHEN t - pt <= 172800000000 THEN (k - pk) / 100.0::DOUBLE ELSE 0.0::DOUBLE END AS prior_move FROM m""")
 def asof_prior_move(spark, sf):
     t = ticks(spark, sf).select("event_id", "user_id", "t", "k")
-    out = J.with_previous(t, ["user_id"], "t", ["k"], tolerance=2 * DAY, width=4 * DAY, tie=["event_id"])
+    out = J.with_previous(t, ["user_id"], "t", ["k"], tolerance=2 * DAY, tie=["event_id"])
     move = F.when(F.col("previous").isNotNull(), (F.col("k") - F.col("previous.k")) / F.lit(100.0)).otherwise(F.lit(0.0))
     return out.select("event_id", "user_id", F.col("t").alias("at"), move.alias("prior_move"))
 
@@ -69,7 +69,7 @@ def asof_horizons(spark, sf):
     closes = _side(t, "signup").select("user_id", "event_id", F.col("t").alias("close_t"))
     d = J.fan_out(closes, "close_t", [12 * H, 18 * H, 24 * H])
     q = t.filter(F.col("event_type") != "signup").select("user_id", "t", "event_id", "k")
-    out = J.asof_backward(d, q, ["user_id"], "at", "t", tolerance=6 * H, width=DAY, tie=["event_id"]).filter("quote IS NOT NULL")
+    out = J.asof_backward(d, q, ["user_id"], "at", "t", tolerance=6 * H, tie=["event_id"]).filter("quote IS NOT NULL")
     return out.select("event_id", (F.col("horizon") / H).cast("long").alias("horizon_h"), "at",
                       F.col("quote.event_id").alias("quote_id"), F.col("quote.k").alias("quote_cents"))
 
@@ -161,7 +161,7 @@ def intent_to_book_match(spark, sf):
     t = ticks(spark, sf)
     s = _side(t, "view").select("event_id", "user_id", F.col("t").alias("signal_t"), (F.col("t") + 36 * H).alias("expires"))
     b = _side(t, "purchase").select("user_id", "t", "event_id")
-    out = J.match_intent(s, b, ["user_id"], "signal_t", "t", "expires", delay=5 * S, max_latency=2 * DAY, width=4 * DAY, tie=["event_id"])
+    out = J.match_intent(s, b, ["user_id"], "signal_t", "t", "expires", delay=5 * S, max_latency=2 * DAY, tie=["event_id"])
     return out.select("event_id", F.col("book.event_id").alias("book_id"), (F.col("book.t") - F.col("signal_t")).alias("latency_us"))
 
 
@@ -200,8 +200,8 @@ def point_in_time_streams(spark, sf):
     d = _side(t, "error").select("event_id", "user_id", F.col("t").alias("at"))
     m = _side(t, "signup").select("user_id", "t", "event_id")
     b = _side(t, "click").select("user_id", "t", "event_id")
-    j = J.asof_backward(d, m, ["user_id"], "at", "t", tolerance=10 * DAY, width=10 * DAY, tie=["event_id"], name="market")
-    j = J.asof_backward(j, b, ["user_id"], "at", "t", tolerance=12 * H, width=10 * DAY, tie=["event_id"], name="book")
+    j = J.asof_backward(d, m, ["user_id"], "at", "t", tolerance=10 * DAY, tie=["event_id"], name="market")
+    j = J.asof_backward(j, b, ["user_id"], "at", "t", tolerance=12 * H, tie=["event_id"], name="book")
     reason = F.when(F.col("market").isNull() | F.col("book").isNull(), "missing_market_or_book")
     return j.select("event_id", F.col("market.event_id").alias("market_id"), F.col("book.event_id").alias("book_id"), reason.alias("reason"))
 

@@ -243,7 +243,7 @@ SELECT CASE WHEN edge9 < 0 THEN 'negative' WHEN edge9 < 0.02 THEN '0-2 cents' WH
 def edge_buckets(spark, sf):
     s = samples(spark, sf).select("event_id", "user_id", "event", "at", "bid", "ask", "q", "y")
     nxt = s.select("user_id", F.col("at").alias("t"), F.col("event_id").alias("_e"), "bid", "ask")
-    x = J.asof_forward(s, nxt, ["user_id"], "at", "t", max_gap=DAY, width=2 * DAY, tie=["_e"])
+    x = J.asof_forward(s, nxt, ["user_id"], "at", "t", max_gap=DAY, tie=["_e"])
     x = A.with_best_side(x, p="q")
     x = x.withColumn("pnl", A.one_contract_pnl(F.col("side"), F.col("y"), F.col("bid"), F.col("ask")))
     x = x.withColumn("delayed_pnl", F.when(F.col("later").isNotNull(), A.one_contract_pnl(F.col("side"), F.col("y"), F.col("later.bid"), F.col("later.ask"))))

@@ -163,7 +163,7 @@ def linear_interpolation(spark, sf):
     t = ticks(spark, sf)
     g = t.filter("event_type <> 'error'").groupBy("event_type", (F.floor(F.col("t") / H) * H).cast("long").alias("hr")).agg(F.avg("value").alias("v")).filter("event_type = 'click'")
     p = t.filter("event_type = 'error'").select("event_id", "t", "value", F.lit("click").alias("event_type"))
-    out = X.interpolate_at(p.withColumnRenamed("t", "at"), g, ["event_type"], "at", "hr", "v", H, width=DAY, name="forecast")
+    out = X.interpolate_at(p.withColumnRenamed("t", "at"), g, ["event_type"], "at", "hr", "v", H, name="forecast")
     return out.select("event_id", rounded(F.col("forecast")).alias("forecast"), rounded(F.col("value") - F.col("forecast")).alias("innovation"))
 
 
@@ -242,7 +242,7 @@ def execution_rows(spark, sf):
     t = ticks(spark, sf)
     d = t.select("event_id", "user_id", F.col("t").alias("at"), (F.col("k") / 100.0).alias("p"))
     later = t.select("user_id", "t", F.col("event_id").alias("_e"), "k")
-    x = J.asof_forward(d, later, ["user_id"], "at", "t", max_gap=2 * DAY, width=4 * DAY, tie=["_e"])
+    x = J.asof_forward(d, later, ["user_id"], "at", "t", max_gap=2 * DAY, tie=["_e"])
     x = x.select("event_id", "at", "p", F.col("later.t").alias("execution_at"), ((F.col("later.k") - 1) / 100.0).alias("execution_bid"), ((F.col("later.k") + 1) / 100.0).alias("execution_ask"))
     out = X.execution_rows(x)
     return out.select("event_id", "at", "bid", "ask", rounded(F.col("p")).alias("p"), rounded(F.col("prior_move")).alias("prior_move"))

@@ -21,12 +21,12 @@ def price_samples(markets: DataFrame, candles: DataFrame, horizons_hours: list[i
     """One row per contract and horizon: newest valid hourly quote at the cutoff (at most 1 h old), the previous quote
     (2 h), and the next quote (2 h) as execution scenario only. ``close_s``/``end_ts`` are epoch seconds."""
     q = candles.filter("bid IS NOT NULL").select("ticker", "end_ts", "bid", "ask")
-    q = temporal.with_previous(q, ["ticker"], "end_ts", ["bid", "ask"], 7200, width=7 * 86400, name="before")
+    q = temporal.with_previous(q, ["ticker"], "end_ts", ["bid", "ask"], 7200, width=86400, name="before")
     m = T.settled_sample_filter(markets)
     d = temporal.fan_out(m, "close_s", [h * 3600 for h in horizons_hours], at="cutoff", horizon="horizon_s")
-    j = temporal.asof_backward(d, q, ["ticker"], "cutoff", "end_ts", 3600, width=7 * 86400, name="quote").filter("quote IS NOT NULL")
+    j = temporal.asof_backward(d, q, ["ticker"], "cutoff", "end_ts", 3600, width=86400, name="quote").filter("quote IS NOT NULL")
     j = j.withColumn("at", F.col("quote.end_ts")).filter(F.col("at") < F.col("settled_s"))
-    j = temporal.asof_forward(j, q.select("ticker", "end_ts", "bid", "ask"), ["ticker"], "at", "end_ts", 7200, width=7 * 86400, name="next")
+    j = temporal.asof_forward(j, q.select("ticker", "end_ts", "bid", "ask"), ["ticker"], "at", "end_ts", 7200, width=86400, name="next")
     mid = lambda s: (F.col(f"{s}.bid") + F.col(f"{s}.ask")) / F.lit(2.0)
     p = mid("quote")
     return j.select(
@@ -115,16 +115,18 @@ def weather_samples(samples: DataFrame, bounds: DataFrame, lead_hours: DataFrame
     return out.filter("reason IS NULL").drop("reason"), quality.exclusion_report(out)
 
 
-def station_join(rows: DataFrame, obs: DataFrame, delays_minutes: list[int] = (30, 90)) -> DataFrame:
-    """Weather rows with the station's observed features under each publication delay (tall by ``delay``)."""
+def station_join(rows: DataFrame, obs: DataFrame, delays_minutes: list[int] = (30, 90), offset: Column | None = None) -> DataFrame:
+    """Weather rows with the station's observed features under each publication delay (tall by ``delay``).
+
+    ``offset`` is the station's fixed day start inside the UTC day, an expression over ``obs`` (default 0)."""
     out = None
     for d in delays_minutes:
-        x = windows.running_max_obs(rows, obs, ["station"], "at", "day_start", "t", d * 60 * MICRO).withColumn("delay_minutes", F.lit(d))
+        x = windows.running_max_obs(rows, obs, ["station"], "at", "day_start", "t", d * 60 * MICRO, offset=offset).withColumn("delay_minutes", F.lit(d))
         out = x if out is None else out.unionByName(x)
     return out
 
 
-def archive_join(rows: DataFrame, hours: DataFrame, obs: DataFrame, embargo: int = 48 * HOUR) -> tuple[DataFrame, DataFrame]:
+def archive_join(rows: DataFrame, hours: DataFrame, obs: DataFrame, embargo: int = 48 * HOUR, offset: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Archived runs and observations attached after split membership is frozen. Returns (rows, counts by reason).
 
     The split is decided on all rows; rows that later lack an archive are dropped from their own part only.
@@ -134,7 +136,7 @@ def archive_join(rows: DataFrame, hours: DataFrame, obs: DataFrame, embargo: int
     f = windows.remaining_max(frozen.select("ticker", "at", "station", "day_start"), hours, ["station"], "at", "day_start", "initialized")
     latest = f.groupBy("ticker", "at", "station", "day_start").agg(F.max_by(F.struct("remaining_forecast_max", "disagreement", "forecast_available_at"), "initialized").alias("forecast"))
     j = frozen.join(latest, ["ticker", "at", "station", "day_start"], "left")
-    j = windows.running_max_obs(j, obs, ["station"], "at", "day_start", "t", 30 * 60 * MICRO)
+    j = windows.running_max_obs(j, obs, ["station"], "at", "day_start", "t", 30 * 60 * MICRO, offset=offset)
     j = j.withColumn("reason", F.coalesce(F.when(F.col("forecast").isNull(), "no_complete_run"), F.col("reason")))
     return j.filter("reason IS NULL").drop("reason"), j.groupBy("role", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 

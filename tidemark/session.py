@@ -33,16 +33,20 @@ def get_session(app: str = "tidemark", master: str | None = None, shuffle_partit
     return spark
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if spark.sparkContext.master.startswith("local"):
-            root = tempfile.mkdtemp(prefix="tidemark-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        else:
-            raise ValueError("Set spark.checkpoint.dir to a folder that every executor can reach")
-    return root
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (local tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that every executor can reach")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="tidemark-")
+    return _LOCAL[app]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
