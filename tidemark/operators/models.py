@@ -146,6 +146,17 @@ def fit_logistic(df: DataFrame, features: list[str], y: str = "y", c: float = 0.
     return Pipeline(stages=[*_vector(df, features), model]).fit(df.withColumn(y, F.col(y).cast("double")))
 
 
+def score_logistic(df: DataFrame, fit, features: list[str], name: str = "predicted") -> DataFrame:
+    """Predictions of ``fit_logistic`` as one Column expression over the raw features (scales folded into it)."""
+    scaler, model = fit.stages[1], fit.stages[2]
+    z = F.lit(float(model.intercept))
+    for i, f in enumerate(features):
+        sd = float(scaler.std[i])
+        if sd > 0:
+            z = z + (F.col(f) - F.lit(float(scaler.mean[i]))) * F.lit(float(model.coefficients[i]) / sd)
+    return df.withColumn(name, expit(z))
+
+
 def fit_trees(df: DataFrame, features: list[str], y: str = "y", trees: int = 80, depth: int = 2, min_leaf: int = 60, rate: float = 0.05, seed: int = 1729):
     """Shallow boosted trees; split finding is MLlib's, so scores are comparable but not bit-equal to other libraries."""
     from pyspark.ml import Pipeline

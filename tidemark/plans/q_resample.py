@@ -229,11 +229,8 @@ def ridge_gate(spark, sf):
 @query("logistic_score")
 def logistic_score(spark, sf):
     s = samples(spark, sf)
-    fit = M.fit_logistic(s, ["p", "spread", "value", "hours_left"])
-    from pyspark.ml.functions import vector_to_array
-
-    out = fit.transform(s).withColumn("f", vector_to_array("probability")[1])
-    return A.binary_metrics(out, ["series"], "f", "y", "day")
+    features = ["p", "spread", "value", "hours_left"]
+    return A.binary_metrics(M.score_logistic(s, M.fit_logistic(s, features), features), ["series"], "predicted", "y", "day")
 
 
 @query("tree_score")

@@ -80,7 +80,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     cents = F.lit(1) + F.floor("l_extendedprice").cast("long") % 97
     rows = li.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ticker"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor("l_extendedprice").cast("long").cast("string")).alias("ticker"),
         "l_orderkey", F.col("l_quantity").cast("long").alias("quantity"),
         (cents / F.lit(100.0)).alias("ask"), (cents / F.lit(100.0) - F.lit(0.01)).alias("mid"),
         F.least(F.lit(0.99), cents / F.lit(100.0) + F.col("l_discount")).alias("p"),
@@ -109,7 +109,7 @@ def debit_sql(price: str, quantity: str, rate: str = "0.07") -> str:
 
 
 LEDGER = f"""l0 AS (
-  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS ticker, l_orderkey,
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(floor(l_extendedprice) AS BIGINT) AS ticker, l_orderkey,
          CAST(l_quantity AS BIGINT) AS quantity, 1 + CAST(floor(l_extendedprice) AS BIGINT) % 97 AS cents,
          l_discount, CASE WHEN l_linestatus = 'O' THEN 'yes' ELSE 'no' END AS side,
          CAST(l_returnflag = 'R' AS INTEGER) AS payout FROM lineitem),
