@@ -229,7 +229,7 @@ def user_model(df: DataFrame, predict, columns: list[str], name: str = "predicte
     import pandas as pd
 
     @F.pandas_udf("double")
-    def udf(*cols: pd.Series) -> pd.Series:
-        return predict(*cols)
+    def udf(frame: pd.DataFrame) -> pd.Series:
+        return predict(*[frame[c] for c in columns])
 
-    return df.withColumn(name, udf(*[F.col(c) for c in columns]))
+    return df.withColumn(name, udf(F.struct(*columns)))

@@ -40,15 +40,15 @@ def price_samples(markets: DataFrame, candles: DataFrame, horizons_hours: list[i
 
 
 def bar_contract_rows(contracts: DataFrame, candles: DataFrame, features: DataFrame, before_close: int = 300, step: int = 60, allowance: int = 5,
-                      max_age: int = 65) -> tuple[DataFrame, DataFrame]:
+                      max_age: int = 65, quote_window: int = 900) -> tuple[DataFrame, DataFrame]:
     """Contract rows with spot features at decision and at execution. Returns (rows, counts by exclusion reason).
 
     The execution quote is used only if it ends exactly one step after the decision quote.
     """
     q = candles.filter("bid IS NOT NULL").select("ticker", "end_ts", "bid", "ask")
-    q = temporal.with_previous(q, ["ticker"], "end_ts", ["bid", "ask"], 900, width=86400, name="before")
+    q = temporal.with_previous(q, ["ticker"], "end_ts", ["bid", "ask"], quote_window, width=86400, name="before")
     d = contracts.withColumn("reason", T.supported_contract(contracts)).withColumn("at", F.col("close_s") - F.lit(before_close))
-    j = temporal.asof_backward(d, q, ["ticker"], "at", "end_ts", 900, allowance=allowance, width=86400, name="quote")
+    j = temporal.asof_backward(d, q, ["ticker"], "at", "end_ts", quote_window, allowance=allowance, width=86400, name="quote")
     two_sided = (F.col("quote.bid") > 0) & (F.col("quote.ask") < 1)
     fresh = (F.col("at") - F.col("quote.end_ts") <= max_age) & (F.col("quote.end_ts") > F.col("open_s"))
     j = j.withColumn("reason", F.coalesce("reason", F.when(F.col("quote").isNull(), "no_quote").when(~fresh, "stale_quote").when(~two_sided, "no_two_sided_price")))
@@ -265,6 +265,7 @@ def loss_diagnosis(rows: DataFrame, trades: DataFrame, features: list[str], is_t
         "attribution": pnl.attribution_summary(pnl.trade_attribution(trades), []),
         "edges": metrics.edge_buckets(best, "edge", "realized", "event"),
         "repriced": pnl.fixed_cohort_reprice(trades, ["0", "0.005", "0.01", "0.02", "0.05"]),
+        "signals": signals,
         "tolerance": signals.agg(F.count(F.lit(1)).alias("signals"), F.max("tolerance").alias("largest"), F.avg("tolerance").alias("mean")),
         "timing": metrics.timing_audit(rows, {"to_close": F.col("close_t") - F.col("at")}),
         "drift": metrics.drift(rows, features, is_train),
