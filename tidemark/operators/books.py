@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.money import fee_and_cost
-from tidemark.operators.slicing import DAY, running_max, running_sums
+from tidemark.operators.slicing import DAY, running, running_sums
 
 
 def depth_curve(levels: DataFrame, keys: list[str], rank: str, price: str, quantity: str, width: int, tie: list[str]) -> DataFrame:
@@ -59,6 +59,6 @@ def exposure(entries: DataFrame, by: list[str], enter: str, settle: str, cost: s
 def equity_curve(ledger: DataFrame, t: str, pnl: Column, initial: float, order: list[Column], by: list[str] | None = None, width: int = DAY) -> DataFrame:
     """Running equity, running peak and drawdown of each ledger row, in two-level prefixes."""
     by = by or []
-    e = running_sums(ledger, by, t, order, width, {"equity": pnl}).withColumn("equity", F.col("equity") + F.lit(initial))
-    e = running_max(e, by, t, order, width, F.greatest(F.col("equity"), F.lit(initial)), "peak")
+    e = running(ledger, by, t, order, width, sums={"equity": pnl}, keep_slice=True).withColumn("equity", F.col("equity") + F.lit(initial))
+    e = running(e, by, t, order, width, maxes={"peak": F.greatest(F.col("equity"), F.lit(initial))})
     return e.withColumn("drawdown", F.col("peak") - F.col("equity"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -226,8 +227,6 @@ def ensemble(df: DataFrame, keys: list[str], p: str, market: str) -> DataFrame:
 
 def user_model(df: DataFrame, predict, columns: list[str], name: str = "predicted") -> DataFrame:
     """Score with a caller's vectorised function (pandas Series in, Series out) in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def udf(frame: pd.DataFrame) -> pd.Series:
         return predict(*[frame[c] for c in columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.money import MIN_EDGE, fee_and_cost, qualify_signal, single_fill_cost, slipped
+from tidemark.functions.money import MIN_EDGE, debit, price_of, qualify_signal, single_fill_cost, slipped
 from tidemark.operators.metrics import bucket, n, one_contract_pnl
 from tidemark.operators.slicing import evaluated_once
 from tidemark.operators.temporal import scalar_join, scenario_grid
@@ -69,23 +69,31 @@ def attribution_summary(attributed: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fixed_cohort_reprice(trades: DataFrame, slippages: list[str]) -> DataFrame:
-    """The same fills and quantities under each slippage; not a re-run of the selection."""
-    g = scenario_grid(trades, slippage=slippages)
+    """The same fills and quantities under each slippage; not a re-run of the selection.
+
+    A fill's cost depends on (price, quantity) alone and prices move on a tick grid, so fills are first counted by
+    (price, quantity, win), map-side combined; each distinct fill is then priced once per slippage.
+    """
     yes = F.col("side") == "yes"
     quoted = F.when(yes, F.col("ask")).otherwise(F.lit(1.0) - F.col("bid"))
-    f = fee_and_cost(slipped(quoted, F.col("slippage")), F.col("quantity"))
-    g = evaluated_once(g, _c=f["cost"], _w=F.when(yes, F.col("y")).otherwise(F.lit(1) - F.col("y")))
-    net = F.col("_w") * F.col("quantity") - F.col("_c")
+    won = F.when(yes, F.col("y")).otherwise(F.lit(1) - F.col("y"))
+    kinds = trades.groupBy(price_of(quoted).alias("_p"), F.col("quantity"), won.alias("_w")).agg(n().alias("_n"))
+    g = scenario_grid(kinds, slippage=slippages)
+    g = evaluated_once(g, _c=debit(slipped(F.col("_p"), F.col("slippage")), F.col("quantity")))
+    q = F.col("quantity") * F.col("_n")
+    net = (F.col("_w") * F.col("quantity") - F.col("_c")) * F.col("_n")
     return g.groupBy("slippage").agg(
-        n().alias("entries"), F.sum("quantity").alias("contracts"), F.sum("_c").cast("double").alias("capital"), F.sum(net).cast("double").alias("pnl"),
-        F.try_divide(F.sum(net).cast("double"), F.sum("quantity")).alias("net_per_contract"),
+        F.sum("_n").alias("entries"), F.sum(q).alias("contracts"), F.sum(F.col("_c") * F.col("_n")).cast("double").alias("capital"), F.sum(net).cast("double").alias("pnl"),
+        F.try_divide(F.sum(net).cast("double"), F.sum(q)).alias("net_per_contract"),
     )
 
 
 def fee_precision(trades: DataFrame, price: Column, quantity: Column) -> DataFrame:
-    """Total fees of the same fills on a cent and on a hundredth-of-a-cent account grid."""
-    sums = [F.sum(single_fill_cost(price, quantity, grid=g)["fee"]).cast("double").alias(n_) for g, n_ in (("0.01", "fees_cent"), ("0.0001", "fees_fine"))]
-    return trades.agg(n().alias("entries"), *sums).withColumn("saving", F.col("fees_cent") - F.col("fees_fine"))
+    """Total fees of the same fills on a cent and on a hundredth-of-a-cent account grid, priced once per distinct fill."""
+    kinds = trades.groupBy(price.alias("_p"), quantity.alias("_q")).agg(n().alias("_n"))
+    fee = lambda grid: single_fill_cost(F.col("_p"), F.col("_q"), grid=grid)["fee"] * F.col("_n")
+    sums = [F.sum(fee(g)).cast("double").alias(name) for g, name in (("0.01", "fees_cent"), ("0.0001", "fees_fine"))]
+    return kinds.agg(F.sum("_n").alias("entries"), *sums).withColumn("saving", F.col("fees_cent") - F.col("fees_fine"))
 
 
 def opportunity_pnl(df: DataFrame, by: list[str], p="q", bid="bid", ask="ask", y="y", slippage=0.0, later: tuple[str, str] | None = None) -> DataFrame:

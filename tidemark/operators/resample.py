@@ -30,25 +30,32 @@ def clusters(df: DataFrame, by: list[str], cluster: str, sums: dict[str, Column]
     return g.withColumn("i", (F.row_number().over(group.orderBy(cluster)) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(group))
 
 
-def _slots(c: DataFrame, by: list[str], reps: int) -> DataFrame:
-    """(by, slot, n, rep): each cluster position once per repetition, spread over all tasks before it is exploded."""
-    parallel = c.sparkSession.sparkContext.defaultParallelism
-    base = c.select(*by, F.col("i").alias("slot"), "n").repartition(parallel)
-    return base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+def _repeated(c: DataFrame, reps: int) -> DataFrame:
+    """Every row once per repetition, spread over all tasks before it is multiplied."""
+    return c.repartition(c.sparkSession.sparkContext.defaultParallelism).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
 
 
 def resampled_sums(c: DataFrame, by: list[str], sums: list[str], reps: int, block: int = 1, seed: int = SEED) -> DataFrame:
-    """Sums per repetition. ``block`` 1 draws clusters independently; larger blocks are circular and truncated to n."""
-    s = _slots(c, by, reps)
+    """Sums per repetition. ``block`` 1 draws clusters independently; larger blocks are circular and truncated to n.
+
+    Blocks are summed once per possible start; a repetition then looks up n / block starts instead of n clusters. The
+    last, cut block of a repetition uses a second sum over its shorter length.
+    """
     tag = [F.lit(seed), *[F.col(b) for b in by], F.col("rep")]
     if block == 1:
-        s = s.withColumn("i", draw(*tag, F.col("slot"), n=F.col("n")))
-    else:
-        length = F.least(F.lit(block), F.col("n"))
-        number = F.floor(F.col("slot") / length).cast("long")
-        s = s.withColumn("i", F.pmod(draw(*tag, number, n=F.col("n")) + F.col("slot") - number * length, F.col("n")))
-    hit = s.join(c.select(*by, "i", *sums), [*by, "i"])
-    return hit.groupBy(*by, "rep").agg(*[F.sum(x).alias(x) for x in sums])
+        s = _repeated(c.select(*by, F.col("i").alias("slot"), "n"), reps).withColumn("i", draw(*tag, F.col("slot"), n=F.col("n")))
+        hit = s.join(c.select(*by, "i", *sums), [*by, "i"])
+        return hit.groupBy(*by, "rep").agg(*[F.sum(x).alias(x) for x in sums])
+    c = c.withColumn("_len", F.least(F.lit(block).cast("long"), F.col("n")))
+    part = c.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).filter(F.col("_k") < F.col("_len"))
+    part = part.withColumn("start", F.pmod(F.col("i") - F.col("_k"), F.col("n")))
+    short = F.col("_k") < F.col("n") % F.col("_len")
+    starts = part.groupBy(*by, "start").agg(*[F.sum(x).alias(f"_full_{x}") for x in sums], *[F.sum(F.when(short, F.col(x)).otherwise(F.lit(0))).alias(f"_cut_{x}") for x in sums])
+    heads = c.filter(F.col("i") % F.col("_len") == 0).select(*by, "n", "_len", F.floor(F.col("i") / F.col("_len")).cast("long").alias("block"))
+    s = _repeated(heads, reps).withColumn("start", draw(*tag, F.col("block"), n=F.col("n")))
+    cut = F.col("block") == F.floor(F.col("n") / F.col("_len"))
+    hit = s.join(starts, [*by, "start"])
+    return hit.groupBy(*by, "rep").agg(*[F.sum(F.when(cut, F.col(f"_cut_{x}")).otherwise(F.col(f"_full_{x}"))).alias(x) for x in sums])
 
 
 def interval(draws: DataFrame, by: list[str], stats: dict[str, Column], comparisons: int = 1) -> DataFrame:

@@ -50,52 +50,60 @@ def slice_width_for(df: DataFrame, by: list[str], t: str, rows_per_slice: int, p
     return max(1, probe * rows_per_slice // busiest)
 
 
-def running_sums(
-    df: DataFrame, by: list[str], t: str, order: list[Column], width: int, sums: dict[str, Column], before: bool = False
+def sliced(df: DataFrame, by: list[str], t: str, width: int) -> DataFrame:
+    """Rows with their ``_slice``, hash-partitioned once on (by, _slice).
+
+    The slice summary and the window that follow both read this one exchange, so whatever made ``df`` runs once.
+    """
+    return df.withColumn("_slice", slice_of(F.col(t), width)).repartition(*by, "_slice")
+
+
+def before_slice(by: list[str]):
+    """Window over slice summaries: all earlier slices of the key."""
+    return W.partitionBy(*(by or [F.lit(0)])).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+
+
+def running(
+    df: DataFrame, by: list[str], t: str, order: list[Column], width: int, sums: dict[str, Column] | None = None,
+    maxes: dict[str, Column] | None = None, before: bool = False, keep_slice: bool = False,
 ) -> DataFrame:
-    """Unbounded running sums, in two levels: slice totals, their prefix, then a window inside the slice.
+    """Unbounded running sums and maxima, in two levels: slice summaries, their prefix, then a window inside the slice.
 
-    ``before=True`` excludes the row itself. Order inside a slice is (t, *order) and must be total for exact results.
+    ``before=True`` leaves the row itself out of the sums. Order inside a slice is (t, *order) and must be total for
+    exact results. A frame that still has its ``_slice`` (``keep_slice``) is not shuffled again.
     """
+    sums, maxes = sums or {}, maxes or {}
     keys = by + ["_slice"]
-    rows = df.withColumn("_slice", slice_of(F.col(t), width))
-    for name, value in sums.items():
-        rows = rows.withColumn(f"_v_{name}", value)
-    totals = rows.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums])
-    prior = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    opening = totals.select(*keys, *[F.coalesce(F.sum(f"_s_{n}").over(prior), F.lit(0)).alias(f"_o_{n}") for n in sums])
-    inside = W.partitionBy(*keys).orderBy(F.col(t), *order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
-    out = rows
-    for name in sums:
-        out = out.withColumn(f"_c_{name}", F.coalesce(F.sum(f"_v_{name}").over(inside), F.lit(0)))
-    out = out.join(opening, keys)
-    for name in sums:
-        out = out.withColumn(name, F.col(f"_o_{name}") + F.col(f"_c_{name}"))
-    drop = ["_slice"] + [f"_{k}_{n}" for n in sums for k in "vco"]
-    return out.drop(*drop)
+    rows = df if "_slice" in df.columns else sliced(df, by, t, width)
+    rows = rows.withColumns({f"_v_{n}": v for n, v in (sums | maxes).items()})
+    totals = rows.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums], *[F.max(f"_v_{n}").alias(f"_s_{n}") for n in maxes])
+    prior = before_slice(by)
+    opening = totals.select(
+        *keys, *[F.coalesce(F.sum(f"_s_{n}").over(prior), F.lit(0)).alias(f"_o_{n}") for n in sums], *[F.max(f"_s_{n}").over(prior).alias(f"_o_{n}") for n in maxes]
+    )
+    inside = W.partitionBy(*keys).orderBy(F.col(t), *order)
+    upto, past = inside.rowsBetween(W.unboundedPreceding, 0), inside.rowsBetween(W.unboundedPreceding, -1 if before else 0)
+    out = rows.withColumns(
+        {f"_c_{n}": F.coalesce(F.sum(f"_v_{n}").over(past), F.lit(0)) for n in sums} | {f"_c_{n}": F.max(f"_v_{n}").over(upto) for n in maxes}
+    ).join(opening, keys)
+    out = out.withColumns({n: F.col(f"_o_{n}") + F.col(f"_c_{n}") for n in sums} | {n: F.greatest(f"_o_{n}", f"_c_{n}") for n in maxes})
+    drop = [f"_{k}_{n}" for n in sums | maxes for k in "vco"]
+    return out.drop(*drop, *([] if keep_slice else ["_slice"]))
+
+
+def running_sums(df: DataFrame, by: list[str], t: str, order: list[Column], width: int, sums: dict[str, Column], before: bool = False) -> DataFrame:
+    return running(df, by, t, order, width, sums=sums, before=before)
 
 
 def running_max(df: DataFrame, by: list[str], t: str, order: list[Column], width: int, value: Column, name: str) -> DataFrame:
-    """Unbounded running maximum with the same two levels as ``running_sums``."""
-    keys = by + ["_slice"]
-    rows = df.withColumn("_slice", slice_of(F.col(t), width)).withColumn("_v", value)
-    prior = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    opening = rows.groupBy(*keys).agg(F.max("_v").alias("_m")).select(*keys, F.max("_m").over(prior).alias("_o"))
-    inside = W.partitionBy(*keys).orderBy(F.col(t), *order).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        rows.withColumn("_c", F.max("_v").over(inside))
-        .join(opening, keys)
-        .withColumn(name, F.greatest("_o", "_c"))
-        .drop("_slice", "_v", "_c", "_o")
-    )
+    return running(df, by, t, order, width, maxes={name: value})
 
 
 def previous_time(df: DataFrame, by: list[str], t: str, width: int, name: str = "previous_t") -> DataFrame:
     """Time of the previous row of the same key however long ago: inside the slice, else the newest earlier slice's last."""
     keys = by + ["_slice"]
-    rows = df.withColumn("_slice", slice_of(F.col(t), width))
-    prior = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    opening = rows.groupBy(*keys).agg(F.max(t).alias("_m")).select(*keys, F.max("_m").over(prior).alias("_o"))
+    rows = sliced(df, by, t, width)
+    opening = rows.groupBy(*keys).agg(F.max(t).alias("_m")).select(*keys, F.max("_m").over(before_slice(by)).alias("_o"))
     inside = F.lag(t).over(W.partitionBy(*keys).orderBy(t))
     return rows.withColumn("_p", inside).join(opening, keys).withColumn(name, F.coalesce("_p", "_o")).drop("_slice", "_p", "_o")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.slicing import DAY, HOUR, slice_of
+from tidemark.operators.slicing import HOUR, before_slice, slice_of, sliced
 
 
 def _all(df: DataFrame) -> Column:
@@ -19,15 +19,15 @@ def _both_sides(left: DataFrame, right: DataFrame, by: list[str], left_time: Col
     rank_type = right.select(rank.alias("r")).schema["r"].dataType
     r = right.select(*by, right_time.alias("_t"), F.lit(1 - left_side).alias("_side"), rank.alias("_tie"), _all(right).alias("_r"))
     l = left.select(*by, left_time.alias("_t"), F.lit(left_side).alias("_side"), F.lit(None).cast(rank_type).alias("_tie"), _all(left).alias("_l"))
-    return l.unionByName(r, allowMissingColumns=True).withColumn("_slice", slice_of(F.col("_t"), width))
+    return sliced(l.unionByName(r, allowMissingColumns=True), by, "_t", width)
 
 
 def _with_carry(both: DataFrame, by: list[str], newest: bool) -> DataFrame:
     """Left rows with ``_q``: the nearest right row in their slice, else the one carried in from the nearest other slice.
 
-    Inside (key, slice) it is one linear window. Across slices only one summary row per (key, slice) is kept, by a
-    map-side combined aggregate; the window over summaries sees slices, not rows. Nothing is copied, so slices may be as
-    narrow as the busiest key needs.
+    Inside (key, slice) it is one linear window. Across slices only one summary row per (key, slice) is kept; the window
+    over summaries sees slices, not rows. Both read the same exchange. Nothing is copied, so slices may be as narrow as
+    the busiest key needs.
     """
     keys = [*by, "_slice"]
     inside = W.partitionBy(*keys).orderBy(*(["_t", "_side", "_tie"] if newest else [F.desc("_t"), F.asc("_side"), F.desc("_tie")]))
@@ -96,10 +96,9 @@ def with_previous(df: DataFrame, by: list[str], t: str, columns: list[str], tole
     keys = [*by, "_slice"]
     order = [t, *(tie or [])]
     row = F.struct(*columns, F.col(t).alias("_pt"))
-    rows = df.withColumn("_slice", slice_of(F.col(t), width))
+    rows = sliced(df, by, t, width)
     edge = rows.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("_edge"))
-    across = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    opening = edge.select(*keys, F.last("_edge", ignorenulls=True).over(across).alias("_open"))
+    opening = edge.select(*keys, F.last("_edge", ignorenulls=True).over(before_slice(by)).alias("_open"))
     out = rows.withColumn("_p", F.lag(row).over(W.partitionBy(*keys).orderBy(*order))).join(opening, keys)
     out = out.withColumn("_p", F.coalesce("_p", "_open"))
     fresh = F.col(t) - F.col("_p._pt") <= F.lit(tolerance)

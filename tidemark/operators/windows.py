@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import cyclic, normal_cdf, clip
-from tidemark.operators.slicing import DAY, HOUR, halo, running_max, running_sums, slice_of
+from tidemark.operators.slicing import DAY, HOUR, halo, running, slice_of
 from tidemark.operators.temporal import asof_backward, overlap_join
 
 # Bar feature definition (minutes at the default step).
@@ -180,8 +180,7 @@ def running_max_obs(decisions: DataFrame, obs: DataFrame, by: list[str], at: str
     o = obs.select(*by, F.col(t).alias("_t"), "temperature", "max_6h", start.alias("_day"))
     inside = F.when(F.col("_t") - F.lit(6 * HOUR) >= F.col("_day"), F.col("max_6h"))
     keys = [*by, "_day"]
-    o = running_max(o, keys, "_t", [], width, F.greatest("temperature", inside), "_max")
-    o = running_sums(o, keys, "_t", [], width, {"_count": F.lit(1)})
+    o = running(o, keys, "_t", [], width, sums={"_count": F.lit(1)}, maxes={"_max": F.greatest("temperature", inside)})
     old = o.select(*keys, F.col("_t").alias("_ot"), F.col("temperature").alias("_otemp"))
     o = asof_backward(o.withColumn("_before", F.col("_t") - F.lit(2 * HOUR)), old, keys, "_before", "_ot", DAY, width=width, name="_older")
     o = o.withColumn("_trend", F.coalesce(F.col("temperature") - F.col("_older._otemp"), F.lit(0.0))).drop("_older", "_before")
