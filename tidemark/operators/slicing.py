@@ -3,10 +3,11 @@
 A window partitioned by key alone puts the whole history of a hot key into one task. Every time window here is
 partitioned by (key, slice) instead. What a row needs from other slices arrives in one of two ways:
 
-* ``halo``: bounded look-back or look-ahead. A row is copied into the later (or earlier) slices that can still see it.
-  With slices much wider than the look-back only the rows near a slice edge are copied.
-* ``carry``: unbounded look-back of a summary (last value, running sum). Each (key, slice) is first reduced to one row
-  by a map-side combined aggregate; a second, small window over those summaries gives each slice its opening state.
+* ``halo`` and ``visible_copies``: bounded look-back or look-ahead. A row is copied into the other slices that can still
+  see it: with slices wider than the look-back only rows near an edge, otherwise one extreme row per (key, slice).
+  One exchange, one window, no join.
+* ``running``: unbounded sums and maxima. Each (key, slice) is first reduced to one row by a map-side combined aggregate;
+  a second, small window over those summaries gives each slice its opening state.
 
 Slice widths are a parameter: choose them so that one slice of the busiest key fits a task (``slice_width_for``).
 """
@@ -51,11 +52,38 @@ def slice_width_for(df: DataFrame, by: list[str], t: str, rows_per_slice: int, p
 
 
 def sliced(df: DataFrame, by: list[str], t: str, width: int) -> DataFrame:
-    """Rows with their ``_slice``, hash-partitioned once on (by, _slice).
+    """Rows with their ``_slice``."""
+    return df.withColumn("_slice", slice_of(F.col(t), width))
 
-    The slice summary and the window that follow both read this one exchange, so whatever made ``df`` runs once.
+
+def visible_copies(df: DataFrame, by: list[str], t: str, order: list[str], width: int, nearest: int, farthest: int, forward: bool) -> DataFrame:
+    """Copies of rows for the other slices whose rows may need them as their nearest neighbour in time.
+
+    ``forward``: a row at t serves decisions in [t + nearest, t + farthest]; otherwise decisions in
+    [t - farthest, t - nearest]. Adds ``_slice``; the row's own slice is included when it can be served there.
+
+    With ``farthest`` within one slice width only rows close to a slice edge are copied, once. Beyond that, only the
+    extreme row of each (key, slice) can be anyone's neighbour across an edge: a map-side combined aggregate keeps that
+    one row, and it is repeated up to the next slice of the key that has a row of its own.
     """
-    return df.withColumn("_slice", slice_of(F.col(t), width)).repartition(*by, "_slice")
+    own = slice_of(F.col(t), width)
+    sign = 1 if forward else -1
+    a, z = slice_of(F.col(t) + F.lit(sign * nearest), width), slice_of(F.col(t) + F.lit(sign * farthest), width)
+    first, last = (a, z) if forward else (z, a)
+    if farthest <= width:
+        return df.withColumn("_slice", F.explode(F.sequence(F.least(own, first), F.greatest(own, last))))
+    here = df.withColumn("_slice", own)
+    pick = F.max_by if forward else F.min_by
+    rest = [c for c in df.columns if c not in by]
+    edge = here.groupBy(*by, "_slice").agg(pick(F.struct(*rest), F.struct(t, *order)).alias("_e"))
+    w = W.partitionBy(*(by or [F.lit(0)])).orderBy(F.asc("_slice") if forward else F.desc("_slice"))
+    edge = edge.withColumn("_stop", F.lead("_slice").over(w)).withColumn("_far", slice_of(F.col(f"_e.{t}") + F.lit(sign * farthest), width))
+    if forward:
+        begin, end = F.col("_slice") + 1, F.least(F.coalesce("_stop", "_far"), F.col("_far"))
+    else:
+        begin, end = F.greatest(F.coalesce("_stop", "_far"), F.col("_far")), F.col("_slice") - 1
+    reach = edge.filter(begin <= end).select(*by, "_e", F.explode(F.sequence(begin, end)).alias("_slice"))
+    return here.unionByName(reach.select(*by, "_e.*", "_slice"))
 
 
 def before_slice(by: list[str]):

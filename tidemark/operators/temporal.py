@@ -6,39 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.slicing import HOUR, before_slice, slice_of, sliced
+from tidemark.operators.slicing import HOUR, slice_of, sliced, visible_copies
 
 
 def _all(df: DataFrame) -> Column:
     return F.struct(*[F.col(c) for c in df.columns])
 
 
-def _both_sides(left: DataFrame, right: DataFrame, by: list[str], left_time: Column, right_time: Column, left_side: int, tie: list[str], width: int) -> DataFrame:
-    """Left and right rows in one frame, each with its time, side, tie rank and slice."""
-    rank = F.struct(*[F.col(c) for c in tie]) if tie else F.lit(0)
-    rank_type = right.select(rank.alias("r")).schema["r"].dataType
-    r = right.select(*by, right_time.alias("_t"), F.lit(1 - left_side).alias("_side"), rank.alias("_tie"), _all(right).alias("_r"))
-    l = left.select(*by, left_time.alias("_t"), F.lit(left_side).alias("_side"), F.lit(None).cast(rank_type).alias("_tie"), _all(left).alias("_l"))
-    return sliced(l.unionByName(r, allowMissingColumns=True), by, "_t", width)
-
+def _nearest(left: DataFrame, right: DataFrame, by: list[str], left_time: Column, right_time: Column, right_side: int, tie: list[str],
+             width: int, nearest: int, farthest: int, forward: bool) -> DataFrame:
+    """Left rows (``_l``) with the nearest right row in time (``_q``): one union, one exchange on (by, slice), one window.
 
-def _with_carry(both: DataFrame, by: list[str], newest: bool) -> DataFrame:
-    """Left rows with ``_q``: the nearest right row in their slice, else the one carried in from the nearest other slice.
-
-    Inside (key, slice) it is one linear window. Across slices only one summary row per (key, slice) is kept; the window
-    over summaries sees slices, not rows. Both read the same exchange. Nothing is copied, so slices may be as narrow as
-    the busiest key needs.
+    The left side is used once, so chained joins do not repeat each other's work.
     """
-    keys = [*by, "_slice"]
-    inside = W.partitionBy(*keys).orderBy(*(["_t", "_side", "_tie"] if newest else [F.desc("_t"), F.asc("_side"), F.desc("_tie")]))
-    inside = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    is_right = F.col("_r").isNotNull()
-    pick = F.max_by if newest else F.min_by
-    edge = both.groupBy(*keys).agg(pick(F.when(is_right, F.struct("_r")), F.when(is_right, F.struct("_t", "_tie"))).alias("_edge"))
-    across = W.partitionBy(*by).orderBy(F.asc("_slice") if newest else F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)
-    opening = edge.select(*keys, F.last("_edge", ignorenulls=True).over(across).alias("_open"))
-    found = both.withColumn("_q", F.last("_r", ignorenulls=True).over(inside)).filter(F.col("_l").isNotNull())
-    return found.join(opening, keys).withColumn("_q", F.coalesce(F.col("_q"), F.col("_open._r")))
+    rank = F.struct(*[F.col(c) for c in tie]) if tie else F.lit(0)
+    rank_type = right.select(rank.alias("r")).schema["r"].dataType
+    r = right.select(*by, right_time.alias("_t"), F.lit(right_side).alias("_side"), rank.alias("_tie"), _all(right).alias("_r"))
+    r = visible_copies(r, by, "_t", ["_tie"], width, nearest, farthest, forward)
+    l = left.select(*by, left_time.alias("_t"), F.lit(1 - right_side).alias("_side"), F.lit(None).cast(rank_type).alias("_tie"), _all(left).alias("_l"))
+    both = sliced(l, by, "_t", width).unionByName(r, allowMissingColumns=True)
+    order = ["_t", "_side", "_tie"] if forward else [F.desc("_t"), F.asc("_side"), F.desc("_tie")]
+    w = W.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return both.withColumn("_q", F.last("_r", ignorenulls=True).over(w)).filter(F.col("_l").isNotNull())
 
 
 def asof_backward(
@@ -49,7 +38,7 @@ def asof_backward(
     right_time: str,
     tolerance: int,
     allowance: int = 0,
-    width: int = HOUR,
+    width: int | None = None,
     allow_equal: bool = True,
     tie: list[str] | None = None,
     name: str = "quote",
@@ -58,11 +47,12 @@ def asof_backward(
 
     Point-in-time rule: a right row is usable from ``right_time + allowance`` on. Age is measured from ``right_time``.
     Among right rows of equal time the greatest ``tie`` columns win. Adds the struct column ``name`` (NULL if none).
-    ``width`` bounds the rows of one key that share a task; it changes the plan's granularity, never the result.
+    ``width`` (default: an hour, or the tolerance if longer) bounds the rows of one key that share a task; it changes the
+    plan's granularity, never the result.
     """
     usable = F.col(right_time) + F.lit(allowance)
-    both = _both_sides(left, right, by, F.col(left_time), usable, 1 if allow_equal else 0, tie or [], width)
-    found = _with_carry(both, by, newest=True)
+    width = width or max(HOUR, tolerance)
+    found = _nearest(left, right, by, F.col(left_time), usable, 0 if allow_equal else 1, tie or [], width, 0, max(0, tolerance - allowance), forward=True)
     fresh = F.col("_t") - F.col(f"_q.{right_time}") <= F.lit(tolerance)
     return found.select("_l.*", F.when(fresh, F.col("_q")).alias(name))
 
@@ -75,34 +65,34 @@ def asof_forward(
     right_time: str,
     max_gap: int,
     min_gap: int = 1,
-    width: int = HOUR,
+    width: int | None = None,
     tie: list[str] | None = None,
     name: str = "later",
 ) -> DataFrame:
     """First right row in [left + min_gap, left + max_gap]; min_gap 1 means strictly after on integer times.
 
     Both sides are read in descending time so that the frame stays unbounded-preceding, which Spark evaluates in linear
-    time; slices that hold no right row take the one carried back from the next slice that does.
+    time.
     """
-    both = _both_sides(left, right, by, F.col(left_time) + F.lit(min_gap), F.col(right_time), 1, tie or [], width)
-    found = _with_carry(both, by, newest=False)
+    width = width or max(HOUR, max_gap)
+    start = F.col(left_time) + F.lit(min_gap)
+    found = _nearest(left, right, by, start, F.col(right_time), 0, tie or [], width, 0, max(0, max_gap - min_gap), forward=False)
     near = F.col(f"_q.{right_time}") - F.col(f"_l.{left_time}") <= F.lit(max_gap)
     return found.select("_l.*", F.when(near, F.col("_q")).alias(name))
 
 
-def with_previous(df: DataFrame, by: list[str], t: str, columns: list[str], tolerance: int, width: int = HOUR,
+def with_previous(df: DataFrame, by: list[str], t: str, columns: list[str], tolerance: int, width: int | None = None,
                   tie: list[str] | None = None, name: str = "previous") -> DataFrame:
     """Attach the preceding row of the same key (as a struct) when it is not older than ``tolerance``."""
-    keys = [*by, "_slice"]
-    order = [t, *(tie or [])]
-    row = F.struct(*columns, F.col(t).alias("_pt"))
-    rows = sliced(df, by, t, width)
-    edge = rows.groupBy(*keys).agg(F.max_by(row, F.struct(*order)).alias("_edge"))
-    opening = edge.select(*keys, F.last("_edge", ignorenulls=True).over(before_slice(by)).alias("_open"))
-    out = rows.withColumn("_p", F.lag(row).over(W.partitionBy(*keys).orderBy(*order))).join(opening, keys)
-    out = out.withColumn("_p", F.coalesce("_p", "_open"))
+    tie = tie or []
+    width = width or max(HOUR, tolerance)
+    context = visible_copies(df.select(*dict.fromkeys([*by, t, *tie, *columns])), by, t, tie, width, 0, tolerance, forward=True)
+    context = context.filter(F.col("_slice") != slice_of(F.col(t), width)).withColumn("_core", F.lit(False))
+    rows = sliced(df, by, t, width).withColumn("_core", F.lit(True)).unionByName(context, allowMissingColumns=True)
+    prior = F.lag(F.struct(*columns, F.col(t).alias("_pt"))).over(W.partitionBy(*by, "_slice").orderBy(t, *tie))
+    out = rows.withColumn("_p", prior).filter("_core")
     fresh = F.col(t) - F.col("_p._pt") <= F.lit(tolerance)
-    return out.withColumn(name, F.when(fresh, F.col("_p").dropFields("_pt"))).drop("_p", "_open", "_slice")
+    return out.withColumn(name, F.when(fresh, F.col("_p").dropFields("_pt"))).drop("_p", "_slice", "_core")
 
 
 def fan_out(df: DataFrame, close: str, horizons: list[int], at: str = "at", horizon: str = "horizon") -> DataFrame:
@@ -193,7 +183,7 @@ def scenario_grid(df: DataFrame, **axes: list) -> DataFrame:
 
 
 def match_intent(signals: DataFrame, books: DataFrame, by: list[str], signal_time: str, book_time: str, expires: str,
-                 delay: int, max_latency: int, width: int = HOUR, tie: list[str] | None = None) -> DataFrame:
+                 delay: int, max_latency: int, width: int | None = None, tie: list[str] | None = None) -> DataFrame:
     """First book at least ``delay`` after each signal, not later than ``max_latency`` nor at or past expiry."""
     m = asof_forward(signals, books, by, signal_time, book_time, max_gap=max_latency, min_gap=delay, width=width, tie=tie, name="book")
     in_time = F.col(f"book.{book_time}") < F.col(expires)

@@ -182,10 +182,10 @@ def running_max_obs(decisions: DataFrame, obs: DataFrame, by: list[str], at: str
     keys = [*by, "_day"]
     o = running(o, keys, "_t", [], width, sums={"_count": F.lit(1)}, maxes={"_max": F.greatest("temperature", inside)})
     old = o.select(*keys, F.col("_t").alias("_ot"), F.col("temperature").alias("_otemp"))
-    o = asof_backward(o.withColumn("_before", F.col("_t") - F.lit(2 * HOUR)), old, keys, "_before", "_ot", DAY, width=width, name="_older")
+    o = asof_backward(o.withColumn("_before", F.col("_t") - F.lit(2 * HOUR)), old, keys, "_before", "_ot", DAY, name="_older")
     o = o.withColumn("_trend", F.coalesce(F.col("temperature") - F.col("_older._otemp"), F.lit(0.0))).drop("_older", "_before")
     d = decisions.withColumn("_day", F.col(day_start)).withColumn("_cut", F.least(F.col(at) - F.lit(delay), F.col(day_start) + F.lit(DAY - 1)))
-    out = asof_backward(d, o, keys, "_cut", "_t", DAY, width=width, name="_o")
+    out = asof_backward(d, o, keys, "_cut", "_t", DAY, name="_o")
     age = F.col(at) - F.col("_o._t")
     return out.withColumns({
         "observed_max": F.col("_o._max"), "observed_temperature": F.col("_o.temperature"), "observation_at": F.col("_o._t"), "observation_count": F.col("_o._count"),
@@ -225,7 +225,7 @@ def remaining_max(decisions: DataFrame, hours: DataFrame, by: list[str], at: str
     )
 
 
-def interpolate_at(points: DataFrame, series: DataFrame, by: list[str], at: str, t: str, value: str, step: int, width: int = HOUR, name: str = "interpolated") -> DataFrame:
+def interpolate_at(points: DataFrame, series: DataFrame, by: list[str], at: str, t: str, value: str, step: int, width: int | None = None, name: str = "interpolated") -> DataFrame:
     """Linear interpolation between the two grid values around ``at``; NULL unless they are exactly ``step`` apart."""
     nxt = series.select(*by, (F.col(t) - F.lit(step)).alias(t), F.col(value).alias("_next"))
     pairs = series.select(*by, t, F.col(value).alias("_this")).join(nxt, [*by, t])
@@ -284,7 +284,7 @@ def covered_length(intervals: DataFrame, by: list[str], a: str, b: str, width: i
     return cut.withColumn("_len", piece).groupBy(*by).agg(F.sum("_len").alias("covered"))
 
 
-def revision(df: DataFrame, by: list[str], t: str, value: str, tolerance: int, width: int = HOUR, tie: list[str] | None = None) -> DataFrame:
+def revision(df: DataFrame, by: list[str], t: str, value: str, tolerance: int, width: int | None = None, tie: list[str] | None = None) -> DataFrame:
     """Difference from the previous snapshot of the same key within ``tolerance``; NULL for the first."""
     from tidemark.operators.temporal import with_previous
 

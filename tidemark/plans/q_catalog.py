@@ -306,8 +306,8 @@ def market_board(spark, sf):
         F.when(m4 == 0, "flat").otherwise("quadratic").alias("fee_type"), F.when(m4 == 1, 0.5).otherwise(1.0).alias("fee_multiplier"))
     c = F.lit(1) + F.floor("l_extendedprice").cast("long") % 97
     markets = table(spark, sf, "lineitem").select(
-        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("series"), F.lit("none").alias("event"), (c / 100.0).alias("bid"), ((c + 1) / 100.0).alias("ask"), F.lit("active").alias("status"), ((c + 1) / 100.0 + F.col("l_discount")).alias("model_p"))
-    events = table(spark, sf, "region").select(F.col("r_name").alias("event"), F.lit(None).cast("string").alias("fee_type_override"), F.lit(None).cast("double").alias("fee_multiplier_override"))
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("series"), F.concat(F.lit("R"), (F.col("l_suppkey") % 5).cast("string")).alias("event"), (c / 100.0).alias("bid"), ((c + 1) / 100.0).alias("ask"), F.lit("active").alias("status"), ((c + 1) / 100.0 + F.col("l_discount")).alias("model_p"))
+    events = table(spark, sf, "region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("event"), F.lit(None).cast("string").alias("fee_type_override"), F.lit(None).cast("double").alias("fee_multiplier_override"))
     cards = ST.market_board(series, events, markets)
     return cards.groupBy("category", F.substring("series", 2, 20).cast("long").alias("series")).agg(
         F.count(F.lit(1)).alias("cards"), F.max("fee_rate").cast("double").alias("fee_rate"), rounded(F.max("estimated_edge")).alias("best_edge"))
