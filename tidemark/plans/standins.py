@@ -75,7 +75,7 @@ samples AS (
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One simulated fill per order line: side, quote, quantity, payout, cost and fee, dated by the order."""
-    from tidemark.functions.money import fee_and_cost, slipped
+    from tidemark.functions.money import debit, slipped
 
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     cents = F.lit(1) + F.floor("l_extendedprice").cast("long") % 97
@@ -91,13 +91,15 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey"), F.col("o_orderpriority").alias("series"),
         F.floor(micros("o_orderdate") / DAY).cast("long").alias("day"), micros("o_orderdate").alias("t"),
     )
-    fill = fee_and_cost(slipped(F.col("ask"), 0.02), F.col("quantity"))
+    # The slipped price feeds three places of the debit and the debit three columns: each is computed once.
+    rows = evaluated_once(rows, _p=slipped(F.col("ask"), 0.02))
+    rows = evaluated_once(rows, _c=debit(F.col("_p"), F.col("quantity")))
     return (
-        evaluated_once(rows, _f=fill).join(orders, "l_orderkey")
-        .withColumn("fees", F.col("_f.fee").cast("double"))
-        .withColumn("cost", F.col("_f.cost").cast("double"))
-        .withColumn("pnl", (F.col("payout") * F.col("quantity") - F.col("_f.cost")).cast("double"))
-        .drop("_f")
+        rows.join(orders, "l_orderkey")
+        .withColumn("fees", (F.col("_c") - F.col("_p") * F.col("quantity")).cast("double"))
+        .withColumn("cost", F.col("_c").cast("double"))
+        .withColumn("pnl", (F.col("payout") * F.col("quantity") - F.col("_c")).cast("double"))
+        .drop("_p", "_c")
     )
 
 
