@@ -71,8 +71,7 @@ def forecast_long(df: DataFrame, body: Column, initialized: Column) -> DataFrame
 def read_forecast_runs(spark: SparkSession, path: str, wrapped: bool = False) -> DataFrame:
     """Saved runs: one JSON document per file, either the bare station list or wrapped with ``run_initialized_at``.
 
-    A bare list carries no issue time; ``initialized`` is then the first forecast hour plus six hours is not assumed: it
-    stays NULL and must be joined from the request log.
+    A bare list carries no issue time: ``initialized`` stays NULL there, never guessed, and is joined from the request log.
     """
     text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     if wrapped:
