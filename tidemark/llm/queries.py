@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, near, packing, quality, substring, suffix_array
+from tidemark.llm import chat, decontaminate, html, licenses, lm, near, packing, quality, substring, suffix_array
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.digest(_read(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_read(spark, sf_dir, "documents"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_format(_read(spark, sf_dir, "conversations"))
 
@@ -39,5 +47,14 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_quality_rules, op3_best_fit_packing, op4_suffix_dedup, op7_chat_formatting, op9_minhash_near_dedup)}
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_score(_read(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(_read(spark, sf_dir, "pages"))
+
+
+_ALL = (op1_substring_dedup, op2_quality_rules, op3_best_fit_packing, op4_suffix_dedup, op5_benchmark_decontamination, op6_license_scan, op7_chat_formatting, op8_lm_scoring, op9_minhash_near_dedup, op10_html_extraction)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE_SQL, "op7_chat_formatting": chat.ORACLE_SQL}

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.codes import ranges
 from tidemark.llm.repeats import Rule, without_repeats
@@ -77,6 +81,25 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, carry: bool = False) -> Da
     return without_repeats(docs, rule, carry)
 
 
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        i = batch.schema.get_field_index("kept")
+        text = pa.array([x.decode("utf-8", "ignore") for x in batch.column(i).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([text if k == i else c for k, c in enumerate(batch.columns)], batch.schema.names)
+
+
+def without_passages(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """docs, all columns, with the repeated strings cut out of text and n_chars counted anew; rows of which nothing is left go.
+
+    A character of which a cut leaves some bytes goes as a whole. A text without a repeat is unchanged; a null one becomes empty.
+    """
+    out = suffix_dedup(docs, width, carry=True)
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "kept" else f for f in out.schema])
+    out = out.mapInArrow(_decode, schema).where((F.col("n_removed") == 0) | (F.length("kept") > 0))
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return out.select(*(new.get(c, F.col(f"_c{i}")).cast(kind).alias(f"o{i}") for i, (c, kind) in enumerate(docs.dtypes))).toDF(*docs.columns)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     out = suffix_dedup(docs)
