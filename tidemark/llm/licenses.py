@@ -51,12 +51,32 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def longest_common(text: list, template: list) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence; words of the text that the template lacks are passed over."""
+    there = set(template)
+    places = [i for i, w in enumerate(text) if w in there]
+    best = [[0] * (len(template) + 1) for _ in range(len(places) + 1)]
+    for r in range(len(places) - 1, -1, -1):
+        for j in range(len(template) - 1, -1, -1):
+            best[r][j] = best[r + 1][j + 1] + 1 if text[places[r]] == template[j] else max(best[r + 1][j], best[r][j + 1])
+    out, r, j = [], 0, 0
+    while r < len(places) and j < len(template):
+        if text[places[r]] == template[j]:
+            out.append((places[r], j))
+            r, j = r + 1, j + 1
+        elif best[r + 1][j] >= best[r][j + 1]:
+            r += 1
+        else:
+            j += 1
+    return out
+
+
 def align(text: list, template: list) -> list[tuple[int, int]]:
     """Pairs (place in text, place in template) of equal words, rising in both.
 
     Words unique to both sides anchor the alignment along their longest increasing subsequence; equal words next to an
-    anchor or an end are matched outwards; the gaps between are aligned in the same way. A gap without a common unique
-    word and without equal words at its ends adds nothing.
+    anchor or an end are matched outwards; the gaps between are aligned in the same way. In a gap without a common unique
+    word, a longest common subsequence is taken.
     """
     out: list[tuple[int, int]] = []
     todo = [(0, len(text), 0, len(template))]
@@ -75,6 +95,7 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
         common = [(place[w], j) for j, w in enumerate(template[c:d], c) if there[w] == 1 and w in place]
         anchors = [common[i] for i in increasing([i for i, _ in common])]
         if not anchors:
+            out += [(a + i, c + j) for i, j in longest_common(text[a:b], template[c:d])]
             continue
         out += anchors
         for (i, j), (k, m) in zip([(a - 1, c - 1), *anchors], [*anchors, (b, d)], strict=True):
