@@ -127,3 +127,17 @@ def test_best_fit_is_tight_when_tokens_alone_bind():
     lengths = np.random.default_rng(4).integers(1, 2049, 3000)
     sequence, _ = packing.best_fit(lengths, packing.Capacity())
     assert len(np.unique(sequence)) <= np.ceil(lengths.sum() / 2048) * 1.03
+
+
+def test_encoder_gives_the_tokenizer_s_ids():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.tokens import encoder
+
+    encode, plain, rng = encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER), random.Random(6)
+    assert encode.ranks is not None
+    signs = "aAzZ09 '\t\n\r\x0b\x1c\x7f\x85\xa0.,!?#|<>-_éüñßÇœŁ€ẞ中🙂 ̀ǅʰ٣"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(3000)] + ["a <|endoftext|> b", "it's we'll  they'd   ", "x" * 5000, ""]
+    assert all(encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids for t in texts)

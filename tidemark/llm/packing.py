@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.tokens import encoder
+
 #: Documents whose last pieces are packed together by one task; a group leaves about one sequence unfilled.
 GROUP_DOCS = 16_384
 END = 0
@@ -77,15 +79,13 @@ def best_fit(lengths: np.ndarray, room: Capacity) -> tuple[np.ndarray, np.ndarra
 
 def _cut(tokenizer_path: str, limit: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_path)
+        encode = encoder(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):  # some texts at a time: encodings are large
+            for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 texts = ["" if x is None else x for x in part.column(1).to_pylist()]
                 out: list[tuple] = []
-                ids_of = [np.array([*e.ids, END], "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                ids_of = [np.append(encode(x), np.array([END], "<u4")) for x in texts]
                 for doc, ids in zip(part.column(0).to_pylist(), ids_of, strict=True):
                     first = len(ids) % limit or limit
                     starts = [0, *range(first, len(ids), limit)]
