@@ -165,3 +165,29 @@ def test_fee_overrides(spark):
     none = F.lit(None)
     r = one(spark, a=C.effective_fee(q, F.lit(1.0), none, none), b=C.effective_fee(q, F.lit(1.0), none, F.lit(0.5)), c=C.effective_fee(q, F.lit(1.0), F.lit("flat"), none), d=C.effective_fee(q, none, none, none))
     assert (float(r.a), float(r.b), r.c, r.d) == (0.07, 0.035, None, None)
+
+
+def test_costs_keep_the_digits_of_rate_and_quantity(spark):
+    d = lambda v, kind: F.lit(v).cast(kind)
+    r = one(
+        spark,
+        small=M.debit(d("0.5", "decimal(4,2)"), F.lit(100_000), d("0.0233331", "decimal(12,8)")),
+        part=M.debit(d("0.5", "decimal(4,2)"), d("1.5", "decimal(6,2)")),
+        tiny=M.debit(d("0.5", "decimal(4,2)"), F.lit(1), d("0.00000001", "decimal(12,8)")),
+    )
+    assert (str(r.small), str(r.part), str(r.tiny)) == ("50583.33", "0.78", "0.51")
+
+
+def test_empty_fee_override_falls_back_to_the_series(spark):
+    r = one(spark, a=C.effective_fee(F.lit("quadratic"), F.lit(1.0), F.lit(""), F.lit(None)))
+    assert float(r.a) == 0.07
+
+
+def test_malformed_money_is_rejected_with_a_reason(spark):
+    rows = [("A", "binary", "abc", "E", None, None, None, "settled", "yes", None), ("B", "binary", "1", "E", None, None, None, "settled", "yes", "7"), ("C", "binary", None, "E", None, None, None, "settled", "no", "n/a"), ("D", None, "1.00", "E", None, None, None, "settled", "no", None), ("F", None, "1", "E", None, None, None, "open", None, None)]
+    raw = spark.createDataFrame(rows, "ticker string, market_type string, notional_value_dollars string, event_ticker string, title string, close_time timestamp, settlement_ts timestamp, status string, result string, settlement_value_dollars string")
+    good, bad = C.normalize_market(raw, F.col("close_time"), F.lit(None).cast("double"))
+    assert {r.ticker for r in good.collect()} == {"B", "C", "D", "F"} and {(r.ticker, r.reason) for r in bad.collect()} == {("A", "not_one_dollar")}
+    paid, unusable = C.normalize_outcome(raw, F.col("close_time"))
+    assert {(r.ticker, r.yes_payout) for r in paid.collect()} == {("A", 1.0), ("D", 0.0)}
+    assert {(r.ticker, r.reason) for r in unusable.collect()} == {("B", "payout_out_of_range"), ("C", "malformed_settlement")}

@@ -199,3 +199,15 @@ def test_file_manifest(spark, tmp_path):
     assert got["a.txt"] == (3, hashlib.sha256(b"abc").hexdigest())
     e = spark.createDataFrame([("a.txt", 3, got["a.txt"][1]), ("b.txt", 1, "0"), ("c.txt", 1, "0")], "name string, bytes long, sha256 string")
     assert {(r.name, r.reason) for r in sinks.verify_manifest(m, e).collect()} == {("b.txt", "different"), ("c.txt", "missing")}
+
+
+def test_malformed_levels_are_rejected_not_fatal(spark):
+    lines = ['{"yes":[["0.40","10"]],"no":[["0.50","3"]]}', '{"yes":[["abc","10"]],"no":[]}', '{"yes":[["0.12345","10"]],"no":[]}', '{"yes":[["0.4"]],"no":[]}', '{"yes":[["0.4","x"]],"no":[]}']
+    good, bad = market.split_books(spark.createDataFrame([(x,) for x in lines], "value string"), "value")
+    assert [r.value for r in good.collect()] == lines[:1] and sorted(r.value for r in bad.collect()) == sorted(lines[1:])
+
+
+def test_parts_of_any_size_are_written_whole(spark, tmp_path):
+    df = spark.range(3000).select(F.when(F.col("id") % 10 == 0, "few").otherwise("most").alias("role"), "id")
+    sinks.write_partitions(df, str(tmp_path / "parts"))
+    assert {(r.role, r["count"]) for r in spark.read.parquet(str(tmp_path / "parts")).groupBy("role").count().collect()} == {("few", 300), ("most", 2700)}

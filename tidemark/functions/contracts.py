@@ -114,7 +114,7 @@ def category_of(title: Column, ticker: Column, tags: Column, categories: Column,
 
 def effective_fee(kind: Column, multiplier: Column, event_kind: Column, event_multiplier: Column) -> Column:
     """Fee rate with event overrides over the series; an unknown schedule or missing multiplier is NULL, not zero."""
-    k = F.coalesce(event_kind, kind)
+    k = F.coalesce(F.when(event_kind != "", event_kind), kind)
     m = F.coalesce(event_multiplier, multiplier)
     return F.when(k.isin(*QUADRATIC_FEES), (F.lit(BASE_FEE).cast("decimal(5,4)") * m.cast("decimal(7,4)")).cast("decimal(12,8)"))
 
@@ -187,7 +187,7 @@ def normalize_market(raw, at: Column, fee_rate: Column):
     """Raw listing to market record; only binary contracts of one dollar. Returns (records, rejected)."""
     reason = (
         F.when(F.coalesce(F.col("market_type"), F.lit("binary")) != "binary", "not_binary")
-        .when(F.coalesce(F.expr("try_cast(notional_value_dollars AS decimal(18,4))"), F.lit(1)) != 1, "not_one_dollar")
+        .when(F.col("notional_value_dollars").isNotNull() & F.coalesce(F.expr("try_cast(notional_value_dollars AS decimal(18,4))") != 1, F.lit(True)), "not_one_dollar")
         .when(F.col("event_ticker").isNull(), "missing_event")
     )
     tagged = raw.withColumn("reason", reason)
@@ -200,13 +200,21 @@ def normalize_market(raw, at: Column, fee_rate: Column):
 
 
 def normalize_outcome(raw, at: Column):
-    """Outcome records: payout from the settlement value, else from the result; unsettled rows give none."""
+    """Outcome records: payout from the settlement value, where none is given from the result. Returns (records, rejected).
+
+    Unsettled rows are in neither; a settlement value that is no number or outside [0, 1] is rejected, not replaced.
+    """
     by_result = F.when(F.col("result") == "yes", F.lit(1.0)).when(F.col("result") == "no", F.lit(0.0))
-    payout = F.coalesce(F.expr("try_cast(settlement_value_dollars AS double)"), by_result)
-    done = raw.filter(F.col("status").isin("settled", "finalized")).withColumn("yes_payout", payout)
-    return done.filter(F.col("yes_payout").between(0, 1)).select(
+    given = F.col("settlement_value_dollars")
+    value = F.expr("try_cast(settlement_value_dollars AS double)")
+    stated = given.isNotNull() & (given != "")
+    payout = F.when(stated, value).otherwise(by_result)
+    reason = F.when(stated & value.isNull(), "malformed_settlement").when(payout.isNull(), "no_result").when(~payout.between(0, 1), "payout_out_of_range")
+    done = raw.filter(F.col("status").isin("settled", "finalized")).withColumns({"yes_payout": payout, "reason": reason})
+    good = done.filter("reason IS NULL").select(
         F.lit("outcome").alias("type"), "ticker", at.alias("available_at"), F.coalesce(F.col("settlement_ts"), at).alias("settled_at"), "yes_payout"
     )
+    return good, done.filter("reason IS NOT NULL").drop("yes_payout")
 
 
 def recommendation(edge_yes: Column, edge_no: Column, passed: Column, quote_age: Column, closed: Column, min_edge: float = 0.04, stale: int = 180) -> Column:
@@ -229,7 +237,7 @@ def supported_contract(df, settled: bool = True) -> Column:
     """
     rules = F.lower(F.coalesce(F.col("rules_primary"), F.lit("")))
     literal = _group(rules, r"is at least ([0-9]+(?:\.[0-9]+)?), then the market resolves to yes\.", 1)
-    strike = F.col("floor_strike").cast("decimal(20,8)")
+    strike = F.col("floor_strike").try_cast("decimal(20,8)")
     index_text = F.col("expiration_value")
     plain = index_text.rlike(r"^(?:\d+|\d{1,3}(?:,\d{3})+)(?:\.\d+)?$")
     index = F.expr("try_cast(replace(expiration_value, ',', '') AS decimal(20,8))")
@@ -240,13 +248,13 @@ def supported_contract(df, settled: bool = True) -> Column:
     return (
         F.when(published & ~plain, "unreadable_index")
         .when(published & ((index >= strike) != yes), "index_disagrees")
-        .when(~(named | F.coalesce(literal.cast("decimal(20,8)") == strike, F.lit(False))), "rule_target")
-        .when((F.col("strike_type") != "greater_or_equal") | ~(strike > 0), "strike")
+        .when(~(named | F.coalesce(literal.try_cast("decimal(20,8)") == strike, F.lit(False))), "rule_target")
+        .when(F.coalesce((F.col("strike_type") != "greater_or_equal") | ~(strike > 0), F.lit(True)), "strike")
         .when(~F.col("result").isin("yes", "no") | ~F.col("status").isin("finalized", "settled"), "not_settled")
-        .when(F.col("notional_value_dollars").cast("double") != 1, "notional")
+        .when(F.coalesce(F.col("notional_value_dollars").try_cast("double") != 1, F.lit(True)), "notional")
         .when(life != 900, "life")
         .when(F.col("settlement_ts") < F.col("close_time"), "settlement_time")
-        .when(F.col("settlement_value_dollars").cast("double") != yes.cast("double"), "payout_disagrees")
+        .when(F.coalesce(F.col("settlement_value_dollars").try_cast("double") != yes.cast("double"), F.lit(True)), "payout_disagrees")
     )
 
 

@@ -10,9 +10,11 @@ FEE_RATE = 0.07
 MIN_EDGE = 0.04
 SLIPPAGE = 0.02
 
+# Wide enough that rate x price x (1 - price) x quantity, at most 38 digits, is exact.
 PRICE = "decimal(7,6)"
-QUANTITY = "decimal(10,0)"
-RATE = "decimal(5,4)"
+QUANTITY = "decimal(14,4)"
+RATE = "decimal(9,8)"
+VARIANCE = "decimal(13,12)"
 
 
 def price_of(x) -> Column:
@@ -23,7 +25,7 @@ def _debit_parts(price: Column, quantity: Column, rate):
     p, q = price_of(price), quantity.cast(QUANTITY)
     r = (rate if isinstance(rate, Column) else F.lit(rate)).cast(RATE)
     one_minus = (F.lit(1).cast(PRICE) - p).cast(PRICE)
-    return (p * q), (r * q * p * one_minus)
+    return (p * q), (r * (p * one_minus).cast(VARIANCE) * q)
 
 
 def debit(price: Column, quantity: Column, rate=FEE_RATE) -> Column:

@@ -12,7 +12,6 @@ from tidemark.functions.numeric import clip, expit, logit
 
 SCALE_FLOOR = 1e-6
 STEP_LIMIT, MAX_STEPS = 1e-9, 40
-BROADCAST_CELLS = 1_000_000
 
 
 def moments(df: DataFrame, by: list[str], features: list[str], weight: str | None = None) -> DataFrame:
@@ -80,8 +79,7 @@ def fit_market_offset(rows: DataFrame, by: list[str], features: list[str], p: st
             break
         if by:
             table = spark.createDataFrame([(*key, coef[key].tolist()) for key in open_keys], coef_schema)
-            small = F.broadcast(table) if len(open_keys) * k <= BROADCAST_CELLS else table
-            scored = design.join(small, by)
+            scored = design.join(table, by)
         else:
             scored = design.withColumn("_c", F.array(*[F.lit(float(v)) for v in coef[()]]))
         z = F.col("_o")

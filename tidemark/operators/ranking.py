@@ -27,15 +27,10 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
-def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, salt: Column, salts: int = 64) -> DataFrame:
-    """First n rows per group in two levels: n per (group, salt), then n of those. No task sorts a whole hot group.
-
-    Spark also pushes the rank limit below the shuffle (window group limit) at both levels.
-    """
-    w = lambda keys: W.partitionBy(*keys).orderBy(*order)
-    part = df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)))
-    part = part.withColumn("_rn", F.row_number().over(w([*group, "_salt"]))).filter(F.col("_rn") <= n).drop("_rn")
-    return part.withColumn("rank", F.row_number().over(w(group))).filter(F.col("rank") <= n).drop("_salt")
+def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
+    """First n rows per group. The rank limit also runs below the shuffle, so a group gets n rows from each task at most."""
+    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
+    return ranked.filter(F.col("rank") <= n)
 
 
 def candidates(df: DataFrame, supported: Column, bid: str, ask: str, spread: str, close: str, tie: str, n: int = 24) -> DataFrame:

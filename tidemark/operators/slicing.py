@@ -9,7 +9,7 @@ partitioned by (key, slice) instead. What a row needs from other slices arrives
 * ``running``: unbounded sums and maxima. Each (key, slice) is first reduced to one row by a map-side combined aggregate;
   a second, small window over those summaries gives each slice its opening state.
 
-Slice widths are a parameter: choose them so that one slice of the busiest key fits a task (``slice_width_for``).
+Slice widths are a parameter: choose them so that one slice of the busiest key fits a task.
 """
 
 from __future__ import annotations
@@ -38,19 +38,6 @@ def halo(df: DataFrame, t: str, width: int, back: int = 0, ahead: int = 0, sl: s
     return df.withColumn(sl, F.explode(F.sequence(first, last))).withColumn(core, F.col(sl) == slice_of(F.col(t), width))
 
 
-def slice_width_for(df: DataFrame, by: list[str], t: str, rows_per_slice: int, probe: int) -> int:
-    """Slice width that keeps the busiest (key, probe interval) at about ``rows_per_slice`` rows.
-
-    One aggregate over two columns; only a single number reaches the driver.
-    """
-    busiest = (
-        df.groupBy(*by, slice_of(F.col(t), probe).alias("_s")).count().agg(F.max("count").alias("n")).first()["n"]
-    )
-    if not busiest or busiest <= rows_per_slice:
-        return probe
-    return max(1, probe * rows_per_slice // busiest)
-
-
 def sliced(df: DataFrame, by: list[str], t: str, width: int) -> DataFrame:
     """Rows with their ``_slice``."""
     return df.withColumn("_slice", slice_of(F.col(t), width))

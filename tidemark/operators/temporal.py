@@ -211,8 +211,9 @@ def cross_venue(left: DataFrame, right: DataFrame, t: str, left_value: str, righ
 
 
 def scalar_join(*frames: DataFrame) -> DataFrame:
-    """Put single-row global aggregates side by side, on a constant key."""
-    out = frames[0].withColumn("_k", F.lit(0))
-    for f in frames[1:]:
-        out = out.join(f.withColumn("_k", F.lit(0)), "_k")
-    return out.drop("_k")
+    """The first frame's rows with the columns of single-row global aggregates, each read as a scalar subquery."""
+    out = frames[0]
+    for i, f in enumerate(frames[1:]):
+        name = f"_one{i}"
+        out = out.withColumn(name, f.select(F.struct(*f.columns)).scalar()).select(*(F.col(c) for c in out.columns), f"{name}.*")
+    return out

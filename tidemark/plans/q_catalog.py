@@ -176,14 +176,14 @@ def quote_candle_parse(spark, sf):
 
 
 @query("journal_views", """
-SELECT CASE WHEN role = 'user' THEN 'market' ELSE 'book' END AS kind, count(*) AS n, CAST(sum(turn) AS BIGINT) AS turns FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1""")
+SELECT CASE role WHEN 'user' THEN 'market' WHEN 'assistant' THEN 'book' ELSE 'outcome' END AS kind, count(*) AS n, CAST(sum(turn) AS BIGINT) AS turns FROM conversations GROUP BY 1""")
 def journal_views(spark, sf):
-    c = table(spark, sf, "conversations").filter(F.col("role").isin("user", "assistant"))
-    line = F.to_json(F.struct(F.col("turn").alias("sequence"), F.lit("2024-01-01T00:00:00Z").alias("recorded_at"), F.when(F.col("role") == "user", "market").otherwise("book").alias("kind"),
+    c = table(spark, sf, "conversations")
+    line = F.to_json(F.struct(F.col("turn").alias("sequence"), F.lit("2024-01-01T00:00:00Z").alias("recorded_at"), F.when(F.col("role") == "user", "market").when(F.col("role") == "assistant", "book").otherwise("outcome").alias("kind"),
                               F.to_json(F.struct(F.col("conv_id"), F.col("turn"))).alias("payload"), F.lit("").alias("previous"), F.lit("").alias("sha256")))
     j = SM.parse_journal(c.select(line.alias("value")))
     view = lambda k: SM.journal_view(j, k, "conv_id long, turn long").agg(F.lit(k).alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("turn").alias("turns"))
-    return view("market").unionByName(view("book"))
+    return view("market").unionByName(view("book")).unionByName(view("outcome")).filter("n > 0")
 
 
 @query("listing_pages", """
@@ -228,11 +228,11 @@ def forecast_run_long(spark, sf):
 
 
 @query("daily_target_parse", f"""
-WITH o AS (SELECT DISTINCT o_orderpriority AS st, o_orderdate AS d FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'),
+WITH o AS (SELECT DISTINCT o_orderpriority AS st, o_orderdate AS d FROM orders),
 x AS (SELECT *, epoch_us(d) // 86400000000 AS day FROM o)
 SELECT 'usable' AS reason, count(*) AS n FROM x WHERE day % 7 <> 0 AND day % 11 <> 0 UNION ALL SELECT 'missing_or_invalid_label', count(*) FROM x WHERE day % 7 = 0 OR day % 11 = 0 UNION ALL SELECT 'conflicting_day', 0""")
 def daily_target_parse(spark, sf):
-    o = table(spark, sf, "orders").filter(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")).select("o_orderpriority", "o_orderdate").distinct()
+    o = table(spark, sf, "orders").select("o_orderpriority", "o_orderdate").distinct()
     day = F.floor(micros("o_orderdate") / DAY)
     issued = F.when(day % 11 == 0, F.date_format("o_orderdate", "yyyyMMdd0000")).otherwise(F.date_format(F.col("o_orderdate") + F.expr("INTERVAL 1 DAY"), "yyyyMMdd0630"))
     one = F.struct(F.col("o_orderpriority").alias("station"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("valid"), F.when(day % 7 == 0, F.lit("M")).otherwise(F.lit("71")).alias("high"), F.concat(issued, F.lit("-KXXX-CLI")).alias("product"))

@@ -132,21 +132,21 @@ def brackets(spark, sf):
 
 
 @query("supported_contracts", """
-WITH r AS (SELECT o_orderkey, o_orderkey % 8 AS m FROM orders)
-SELECT coalesce(CASE m WHEN 1 THEN 'unreadable_index' WHEN 2 THEN 'index_disagrees' WHEN 3 THEN 'rule_target' WHEN 4 THEN 'life' WHEN 5 THEN 'payout_disagrees' WHEN 6 THEN 'notional' END, 'kept') AS reason, count(*) AS n FROM r GROUP BY 1""")
+WITH r AS (SELECT o_orderkey, o_orderkey % 11 AS m FROM orders)
+SELECT coalesce(CASE m WHEN 8 THEN 'rule_target' WHEN 9 THEN 'notional' WHEN 10 THEN 'payout_disagrees' WHEN 1 THEN 'unreadable_index' WHEN 2 THEN 'index_disagrees' WHEN 3 THEN 'rule_target' WHEN 4 THEN 'life' WHEN 5 THEN 'payout_disagrees' WHEN 6 THEN 'notional' END, 'kept') AS reason, count(*) AS n FROM r GROUP BY 1""")
 def supported_contracts(spark, sf):
     from tidemark.functions.contracts import supported_contract
 
-    m = F.col("o_orderkey") % 8
-    strike = F.lit("64000.5")
+    m = F.col("o_orderkey") % 11
+    strike = F.when(m == 8, "abc").otherwise("64000.5")
     ts = F.col("o_orderdate").cast("timestamp")
     raw = table(spark, sf, "orders").select(
         F.concat(F.lit("If the simple average is at least "), F.when(m == 3, F.lit("1")).otherwise(strike), F.lit(", then the market resolves to Yes.")).alias("rules_primary"),
         strike.alias("floor_strike"), F.lit("greater_or_equal").alias("strike_type"), F.lit("yes").alias("result"), F.lit("settled").alias("status"),
-        F.when(m == 1, "n/a").when(m == 2, "63,999.99").when(m == 7, "").otherwise("64,000.50").alias("expiration_value"),
-        F.when(m == 6, "100").otherwise("1").alias("notional_value_dollars"), ts.alias("open_time"),
+        F.when(m == 8, None).when(m == 1, "n/a").when(m == 2, "63,999.99").when(m == 7, "").otherwise("64,000.50").alias("expiration_value"),
+        F.when(m == 6, "100").when(m == 9, "one").otherwise("1").alias("notional_value_dollars"), ts.alias("open_time"),
         F.timestamp_micros(F.unix_micros(ts) + F.when(m == 4, 901 * S).otherwise(900 * S)).alias("close_time"),
-        F.timestamp_micros(F.unix_micros(ts) + 1000 * S).alias("settlement_ts"), F.when(m == 5, "0").otherwise("1.0").alias("settlement_value_dollars"))
+        F.timestamp_micros(F.unix_micros(ts) + 1000 * S).alias("settlement_ts"), F.when(m == 5, "0").when(m == 10, "paid").otherwise("1.0").alias("settlement_value_dollars"))
     return Q.exclusion_report(raw.withColumn("reason", supported_contract(raw)))
 
 

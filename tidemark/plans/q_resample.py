@@ -258,7 +258,7 @@ def latest_per_key(spark, sf):
 @query("topn_per_group", """
 SELECT p_type, p_partkey, CAST(row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS INTEGER) AS rank FROM part QUALIFY rank <= 4""")
 def topn_per_group(spark, sf):
-    out = D.top_per_group(table(spark, sf, "part"), ["p_type"], [F.desc("p_retailprice"), F.asc("p_partkey")], 4, F.col("p_partkey"))
+    out = D.top_per_group(table(spark, sf, "part"), ["p_type"], [F.desc("p_retailprice"), F.asc("p_partkey")], 4)
     return out.select("p_type", "p_partkey", "rank")
 
 

@@ -329,20 +329,21 @@ def unit_gate(spark, sf):
 WITH r AS (SELECT *, o_orderkey % 5 AS m FROM orders)
 SELECT 'market' AS kind, CAST(sum(CASE WHEN m NOT IN (3, 4) THEN 1 ELSE 0 END) AS BIGINT) AS n, NULL::DOUBLE AS payout FROM r
 UNION ALL SELECT 'market_rejected', CAST(sum(CASE WHEN m IN (3, 4) THEN 1 ELSE 0 END) AS BIGINT), NULL FROM r
-UNION ALL SELECT 'outcome', CAST(count(*) AS BIGINT), CAST(sum(CASE WHEN m = 0 THEN 0.5 WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS DOUBLE) FROM r WHERE o_orderstatus IN ('F', 'O')""")
+UNION ALL SELECT 'outcome', CAST(count(*) AS BIGINT), CAST(sum(CASE WHEN m = 0 THEN 0.5 WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS DOUBLE) FROM r WHERE o_orderstatus IN ('F', 'O') AND o_orderkey % 7 <> 1
+UNION ALL SELECT 'outcome_rejected', CAST(count(*) AS BIGINT), NULL FROM r WHERE o_orderstatus IN ('F', 'O') AND o_orderkey % 7 = 1""")
 def normalized_records(spark, sf):
     o = table(spark, sf, "orders").withColumn("m", F.col("o_orderkey") % 5)
     raw = o.select(
         F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("ticker"), F.lit("E").alias("event_ticker"), F.lit(None).cast("string").alias("title"),
-        F.when(F.col("m") == 3, "scalar").alias("market_type"), F.when(F.col("m") == 4, "100").when(F.col("m") == 2, "1.0000").alias("notional_value_dollars"),
+        F.when(F.col("m") == 3, "scalar").alias("market_type"), F.when((F.col("m") == 4) & (F.col("o_orderkey") % 2 == 0), "abc").when(F.col("m") == 4, "100").when(F.col("m") == 2, "1.0000").alias("notional_value_dollars"),
         F.col("o_orderdate").cast("timestamp").alias("close_time"), F.col("o_orderdate").cast("timestamp").alias("settlement_ts"),
         F.when(F.col("o_orderstatus").isin("F", "O"), "settled").otherwise("open").alias("status"), F.when(F.col("o_orderstatus") == "F", "yes").when(F.col("o_orderstatus") == "O", "no").alias("result"),
-        F.when(F.col("m") == 0, "0.5000").alias("settlement_value_dollars"))
+        F.when(F.col("o_orderkey") % 14 == 1, "7").when(F.col("o_orderkey") % 7 == 1, "n/a").when(F.col("m") == 0, "0.5000").alias("settlement_value_dollars"))
     good, bad = C.normalize_market(raw, F.col("close_time"), F.lit(None).cast("double"))
-    out = C.normalize_outcome(raw, F.col("close_time"))
+    out, unusable = C.normalize_outcome(raw, F.col("close_time"))
     row = lambda df, kind, v: df.agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), v.alias("payout"))
     none = F.max(F.lit(None).cast("double"))
-    return row(good, "market", none).unionByName(row(bad, "market_rejected", none)).unionByName(row(out, "outcome", F.sum("yes_payout")))
+    return row(good, "market", none).unionByName(row(bad, "market_rejected", none)).unionByName(row(out, "outcome", F.sum("yes_payout"))).unionByName(row(unusable, "outcome_rejected", none))
 
 
 @query("forecast_predictions", f"""

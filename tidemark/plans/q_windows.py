@@ -154,16 +154,16 @@ def revision_lag(spark, sf):
 
 
 @query("linear_interpolation", f"""
-WITH {TICKS}, g AS (SELECT event_type, t // 3600000000 * 3600000000 AS hr, avg(value) AS v FROM ticks WHERE event_type <> 'error' GROUP BY 1, 2),
+WITH {TICKS}, g AS (SELECT t // 3600000000 * 3600000000 AS hr, avg(value) AS v FROM ticks WHERE event_type <> 'error' GROUP BY 1),
 p AS (SELECT event_id, t, value, t // 3600000000 * 3600000000 AS hr FROM ticks WHERE event_type = 'error')
 SELECT p.event_id, CASE WHEN b.v IS NOT NULL THEN {R('a.v + (b.v - a.v) * ((p.t - p.hr) / 3600000000.0::DOUBLE)')} END AS forecast,
  CASE WHEN b.v IS NOT NULL THEN {R('p.value - (a.v + (b.v - a.v) * ((p.t - p.hr) / 3600000000.0::DOUBLE))')} END AS innovation
-FROM p LEFT JOIN g a ON a.event_type = 'click' AND a.hr = p.hr LEFT JOIN g b ON b.event_type = 'click' AND b.hr = p.hr + 3600000000 AND a.v IS NOT NULL""")
+FROM p LEFT JOIN g a ON a.hr = p.hr LEFT JOIN g b ON b.hr = p.hr + 3600000000 AND a.v IS NOT NULL""")
 def linear_interpolation(spark, sf):
     t = ticks(spark, sf)
-    g = t.filter("event_type <> 'error'").groupBy("event_type", (F.floor(F.col("t") / H) * H).cast("long").alias("hr")).agg(F.avg("value").alias("v")).filter("event_type = 'click'")
-    p = t.filter("event_type = 'error'").select("event_id", "t", "value", F.lit("click").alias("event_type"))
-    out = X.interpolate_at(p.withColumnRenamed("t", "at"), g, ["event_type"], "at", "hr", "v", H, name="forecast")
+    g = t.filter("event_type <> 'error'").groupBy((F.floor(F.col("t") / H) * H).cast("long").alias("hr")).agg(F.avg("value").alias("v")).withColumn("place", F.lit("all"))
+    p = t.filter("event_type = 'error'").select("event_id", "t", "value", F.lit("all").alias("place"))
+    out = X.interpolate_at(p.withColumnRenamed("t", "at"), g, ["place"], "at", "hr", "v", H, name="forecast")
     return out.select("event_id", rounded(F.col("forecast")).alias("forecast"), rounded(F.col("value") - F.col("forecast")).alias("innovation"))
 
 

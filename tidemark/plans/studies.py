@@ -166,7 +166,7 @@ def market_board(series: DataFrame, events: DataFrame, markets: DataFrame, per_c
     from tidemark.operators.ranking import top_per_group
 
     s = series.withColumn("category", T.category_of(F.col("title"), F.col("series"), F.col("tags"), F.col("categories"), F.col("frequency"))).filter("category IS NOT NULL")
-    top = top_per_group(s, ["category"], [F.desc("priority"), F.desc("volume"), F.asc("series")], per_category, F.col("series"))
+    top = top_per_group(s, ["category"], [F.desc("priority"), F.desc("volume"), F.asc("series")], per_category)
     m = markets.join(top.select("series", "category", "fee_type", "fee_multiplier"), "series").filter((F.col("bid") >= 0) & (F.col("bid") <= F.col("ask")) & (F.col("ask") <= 1))
     m = m.join(events.select("event", "fee_type_override", "fee_multiplier_override"), "event", "left")
     from tidemark.functions.money import board_edge

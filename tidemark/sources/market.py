@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas as T
 from tidemark.functions.contracts import zoned_timestamp
 from tidemark.operators.quality import record_rules
+from tidemark.functions.books import level_violations
 from tidemark.operators.slicing import evaluated_once
 
 
@@ -21,8 +22,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _levels(x: Column) -> Column:
-    """[[price, quantity], ...] decimal strings to array<struct<price, qty>>; a missing side is an empty array."""
-    level = lambda l: F.struct(l[0].cast("decimal(9,4)").alias("price"), l[1].cast("decimal(18,2)").alias("qty"))
+    """[[price, quantity], ...] decimal strings to array<struct<price, qty>>; a missing side is an empty array.
+
+    Text that is no number, or has more decimals than a price or quantity may have, gives NULL, which the level rule rejects.
+    """
+    exact = lambda x, kind: F.when(x.try_cast("decimal(38,18)") == x.try_cast(kind), x.try_cast(kind))
+    level = lambda l: F.struct(exact(F.get(l, F.lit(0)), "decimal(9,4)").alias("price"), exact(F.get(l, F.lit(1)), "decimal(18,2)").alias("qty"))
     return F.transform(F.coalesce(x, F.array().cast("array<array<string>>")), level)
 
 
@@ -36,6 +41,13 @@ def parse_books(df: DataFrame, column: str) -> DataFrame:
     }).drop("_b")
 
 
+def split_books(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(books, rejected lines): a book with a malformed level is rejected as a whole."""
+    books = parse_books(df, column)
+    bad = F.coalesce(level_violations(F.col("yes")) | level_violations(F.col("no")), F.lit(True))
+    return books.filter(~bad), books.filter(bad).select(*df.columns)
+
+
 def read_books(spark: SparkSession, path: str) -> DataFrame:
     return parse_books(read_lines(spark, path), "value").drop("value")
 

@@ -65,8 +65,8 @@ def read_latest(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def write_partitions(df: DataFrame, path: str, column: str = "role") -> None:
-    """One folder per part; rows are hashed with a salt so a part with most rows is written by many tasks."""
-    df.repartition(F.col(column), F.pmod(F.monotonically_increasing_id(), F.lit(32))).write.mode("error").partitionBy(column).parquet(path)
+    """One folder per part; the rebalance splits a part with most rows over as many tasks as its size asks for."""
+    df.hint("rebalance", column).write.mode("error").partitionBy(column).parquet(path)
 
 
 def dataset_catalog(df: DataFrame, dataset: str = "dataset", at: str = "available_at") -> DataFrame:

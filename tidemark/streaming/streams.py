@@ -46,6 +46,8 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", rocksdb: b
     finally:
         if rocksdb and previous is not None:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", previous)
+        elif rocksdb:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     return spark.read.schema(stream.schema).parquet(out) if mode == "append" else spark.read.parquet(out)
 
 
