@@ -211,3 +211,17 @@ def test_parts_of_any_size_are_written_whole(spark, tmp_path):
     df = spark.range(3000).select(F.when(F.col("id") % 10 == 0, "few").otherwise("most").alias("role"), "id")
     sinks.write_partitions(df, str(tmp_path / "parts"))
     assert {(r.role, r["count"]) for r in spark.read.parquet(str(tmp_path / "parts")).groupBy("role").count().collect()} == {("few", 300), ("most", 2700)}
+
+
+def test_execution_checks_and_eligibility(spark):
+    book = {"type": "book", "ticker": "T", "available_at": "2024-01-01T00:00:05Z", "observed_at": "2024-01-01T00:00:01Z", "yes": [], "no": []}
+    check = {"signal": True, "model_id": "m", "made_at": "2024-01-01T00:00:02Z", "probability": "0.4"}
+    forecast = {"type": "prediction", "ticker": "T", "available_at": "2024-01-01T00:00:05Z", "made_at": "2024-01-01T00:00:05Z", "features_available_at": "2024-01-01T00:00:05Z", "expires_at": "2024-01-01T01:00:00Z", "model_id": "m", "probability": "0.5"}
+    lines = [
+        (book, ""), (book | {"execution_check": check}, ""), (book | {"execution_check": check | {"signal": None}}, "execution_check"), (book | {"execution_check": check | {"signal": "yes"}}, "malformed"),
+        (book | {"execution_check": check | {"model_id": ""}}, "execution_check"), (book | {"execution_check": check | {"made_at": "2024-01-01T00:00:00Z"}}, "execution_check"), (book | {"execution_check": check | {"probability": "1.2"}}, "execution_check"),
+        (forecast | {"signal_eligible": False}, ""), (forecast | {"signal_eligible": "no"}, "malformed"),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, (x, _) in enumerate(lines)], "i int, value string")
+    got = {r.i: ",".join(r.violations) for r in market.tag_records(df).collect()}
+    assert got == {i: v for i, (_, v) in enumerate(lines)}

@@ -30,13 +30,17 @@ def exclusion_report(df: DataFrame, reason: str = "reason") -> DataFrame:
 
 
 def record_rules() -> Column:
-    """Violations of a typed record (market, book, prediction, outcome) in the wide nullable record schema."""
+    """Violations of a typed record (market, book, prediction, outcome) in the wide nullable record schema.
+
+    A signal or eligibility that is no boolean makes the line malformed where it is parsed.
+    """
     c = F.col
     kind = c("type")
     is_ = lambda k: kind == k
     when = lambda k, ok: F.when(is_(k), ok).otherwise(F.lit(True))
     yes, no = best(c("yes")), best(c("no"))
     unit = lambda x: x.between(0, 1)
+    check = c("execution_check")
     return violations({
         "type": kind.isin("market", "book", "prediction", "outcome"),
         "ticker": F.length("ticker") > 0,
@@ -47,6 +51,7 @@ def record_rules() -> Column:
         "fee_version": when("market", c("fee_rate").isNull() | c("fee_version").isNotNull()),
         "observed_at": when("book", c("observed_at") <= c("available_at")),
         "levels": when("book", ~(level_violations(c("yes")) | level_violations(c("no")))),
+        "execution_check": when("book", check.isNull() | check["signal"].isNotNull() & (F.length(check["model_id"]) > 0) & (c("observed_at") <= check["made_at"]) & (check["made_at"] <= c("available_at")) & unit(check["probability"])),
         "crossed": when("book", F.coalesce(yes + no <= 1, F.lit(True))),
         "probability": when("prediction", unit(c("probability"))),
         "feature_time": when("prediction", (c("features_available_at") <= c("made_at")) & (c("made_at") <= c("available_at"))),

@@ -118,6 +118,7 @@ def record_lines(spark, sf):
         kind.alias("type"), F.when(k != 7, F.concat(F.lit("T"), F.col("user_id").cast("string"))).alias("ticker"), F.when(k % 20 == 3, F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd'T'HH:mm:ss")).otherwise(iso).alias("available_at"),
         F.when(is_("signup"), F.lit("E1")).alias("event_ticker"), F.when(is_("signup"), later).alias("close_time"), F.when(is_("view"), F.when(k % 25 == 1, later).otherwise(iso)).alias("observed_at"),
         F.when(is_("view"), lv(k / 200)).alias("yes"), F.when(is_("view"), lv((130 - k) / 200)).alias("no"),
+        F.when(is_("view") & (k % 9 == 0), F.struct(F.when(k % 2 == 0, F.lit(True)).alias("signal"), F.lit("m").alias("model_id"), iso.alias("made_at"), F.when(k % 27 == 0, "1.5").otherwise("0.5").alias("probability"))).alias("execution_check"),
         F.when(is_("click"), (k / 80).cast("string")).alias("probability"), F.when(is_("click"), iso).alias("made_at"), F.when(is_("click"), iso).alias("features_available_at"), F.when(is_("click"), later).alias("expires_at"), F.when(is_("click"), F.lit("m")).alias("model_id"),
         F.when(is_("purchase"), F.lit("1")).alias("yes_payout"), F.when(is_("purchase"), iso).alias("settled_at")))
     return t.select(F.when(k == 50, F.lit("{not json")).otherwise(rec).alias("value"))
@@ -126,12 +127,12 @@ def record_lines(spark, sf):
 @query("record_validation", f"""
 WITH {TICKS}, v AS (SELECT CASE WHEN k = 50 THEN ['malformed'] ELSE list_filter([CASE WHEN event_type = 'error' THEN 'type' END, CASE WHEN k = 7 THEN 'ticker' END, CASE WHEN k % 20 = 3 THEN 'available_at' END,
   CASE WHEN event_type = 'view' AND (k % 25 = 1 OR k % 20 = 3) THEN 'observed_at' END,
+  CASE WHEN event_type = 'view' AND k % 9 = 0 AND (k % 2 = 1 OR k % 27 = 0 OR k % 25 = 1 OR k % 20 = 3) THEN 'execution_check' END,
   CASE WHEN event_type = 'click' AND k > 80 THEN 'probability' END, CASE WHEN event_type = 'click' AND k % 20 = 3 THEN 'feature_time' END, CASE WHEN event_type = 'purchase' AND k % 20 = 3 THEN 'settled_at' END], lambda x: x IS NOT NULL) END AS v FROM ticks)
 SELECT array_to_string(v, ',') AS violations, count(*) AS n FROM v GROUP BY 1""")
 def record_validation(spark, sf):
-    good, bad = SM.parse_records(record_lines(spark, sf))
-    both = bad.select(F.array_join("violations", ",").alias("violations")).unionByName(good.select(F.lit("").alias("violations")))
-    return both.groupBy("violations").agg(F.count(F.lit(1)).alias("n"))
+    tagged = SM.tag_records(record_lines(spark, sf))
+    return tagged.groupBy(F.array_join("violations", ",").alias("violations")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("kline_parse", f"""

@@ -18,7 +18,8 @@ RAW_BOOK = struct(yes=LEVELS_TEXT, no=LEVELS_TEXT, bids=VENUE_LEVELS, asks=VENUE
 RECORD_TIMES = ["available_at", "observed_at", "made_at", "features_available_at", "expires_at", "close_time", "settled_at"]
 RECORD_TEXT = struct(
     type=S, ticker=S, event_ticker=S, available_at=S, observed_at=S, made_at=S, features_available_at=S, expires_at=S, close_time=S, settled_at=S,
-    status=S, fee_rate=S, fee_version=S, yes=LEVELS_TEXT, no=LEVELS_TEXT, probability=S, model_id=S, signal_side=S, yes_payout=S, _corrupt=S,
+    status=S, fee_rate=S, fee_version=S, yes=LEVELS_TEXT, no=LEVELS_TEXT, probability=S, model_id=S, signal_side=S, yes_payout=S, signal_eligible=B,
+    execution_check=struct(signal=B, model_id=S, made_at=S, probability=S), _corrupt=S,
 )
 
 SAMPLE = struct(

@@ -52,10 +52,10 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
     return parse_books(read_lines(spark, path), "value").drop("value")
 
 
-def parse_records(df: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Typed records from JSON lines. Returns (valid records, rejected lines with the violated rules).
+def tag_records(df: DataFrame, column: str = "value") -> DataFrame:
+    """Typed records from JSON lines with the rules that each violates (none: an empty array), parsed once.
 
-    Timestamps must carry an offset. A line that is not JSON is rejected as ``malformed``.
+    Timestamps must carry an offset. A line that is not JSON, or has a field of another type, is ``malformed``.
     """
     d = evaluated_once(df, _j=F.from_json(F.col(column), T.RECORD_TEXT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     fields = {f: F.col(f"_j.{f}") for f in T.RECORD_TEXT.fieldNames()}
@@ -65,11 +65,18 @@ def parse_records(df: DataFrame, column: str = "value") -> tuple[DataFrame, Data
         fields[side] = F.when(F.col(f"_j.{side}").isNotNull(), _levels(F.col(f"_j.{side}")))
     for f in ("fee_rate", "probability", "yes_payout"):
         fields[f] = F.expr(f"try_cast(_j.{f} AS double)")
-    keep = [c for c in df.columns if c != column]
+    check = F.col("_j.execution_check")
+    fields["execution_check"] = F.when(check.isNotNull(), F.struct(check["signal"].alias("signal"), check["model_id"].alias("model_id"), zoned_timestamp(check["made_at"]).alias("made_at"), check["probability"].try_cast("double").alias("probability")))
     rows = evaluated_once(d, **fields).drop("_j")
     malformed = F.col("_corrupt").isNotNull() | F.col("type").isNull()
-    rows = evaluated_once(rows, violations=F.when(malformed, F.array(F.lit("malformed"))).otherwise(record_rules()))
-    good = rows.filter(F.size("violations") == 0).drop("violations", "_corrupt", column)
+    return evaluated_once(rows, violations=F.when(malformed, F.array(F.lit("malformed"))).otherwise(record_rules())).drop("_corrupt")
+
+
+def parse_records(df: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(valid records, rejected lines with the violated rules), two views of ``tag_records``."""
+    rows = tag_records(df, column)
+    keep = [c for c in df.columns if c != column]
+    good = rows.filter(F.size("violations") == 0).drop("violations", column)
     return good, rows.filter(F.size("violations") > 0).select(*keep, column, "violations")
 
 
