@@ -9,19 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.codes import U64, mix, shingle_hashes, text_bytes, word_bounds, word_hashes
+from tidemark.llm.codes import U64, mix, ranges, shingle_hashes, text_bytes, word_bounds, word_hashes
 from tidemark.llm.graph import components
 from tidemark.session import written
 
 #: Two collections of SIDE hashes of ROWS minhashes each give SIDE**2 table keys from 2 * SIDE * ROWS minhashes. A pair of
-#: similarity s is missed with probability below 2 * (1 - s**ROWS)**SIDE: 7e-5 at 0.8, 3e-6 at 0.85, 1e-7 at 0.9.
-SIDE, ROWS = 10, 2
-#: Buckets of at most so many documents are compared pair by pair where one comparison with their first document leaves doubt.
-SMALL = 32
+#: similarity s is missed with probability below 2 * (1 - s**ROWS)**SIDE: 1e-5 at 0.8, 2e-7 at 0.85, 1e-8 at 0.9.
+SIDE, ROWS = 12, 2
 #: Members that one task compares with a bucket's centre.
 STAR = 512
-#: Larger buckets in doubt are split by further hashes, so often at most; what is then left is compared pair by pair.
-SPLITS = 3
+#: Cells of the table of approximate shingle frequencies that orders shingles from rare to frequent.
+CELLS = 1 << 20
+#: Documents in doubt are compared in blocks of about so many; a task holds two blocks.
+BLOCK = 512
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _SEEDS = [(U64(int(a) * 2 + 1), U64(int(b))) for a, b in _rng.integers(0, 2**62, (2 * SIDE * ROWS, 2))]
@@ -96,19 +96,101 @@ def _in_doubt(buckets: DataFrame, parts: DataFrame) -> DataFrame:
     return named.join(mixed, F.col("key") == F.col("_key")).drop("_key")
 
 
-def _cross_pairs(doubt: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one bucket whose sizes allow the similarity."""
-    left, right = doubt.select("key", F.col("id").alias("a"), F.col("component").alias("_ca"), F.col("n").alias("_na")), doubt.select("key", F.col("id").alias("b"), F.col("component").alias("_cb"), F.col("n").alias("_nb"))
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & (F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * percent)).select("a", "b").distinct()
+def _compare_blocks(k: int, percent: int):
+    def compare(table: pa.Table) -> pa.Table:
+        ids, block, component = (table[c].to_numpy() for c in ("id", "block", "component"))
+        a, b = [], []
+        if len(np.unique(component)) > 1:
+            sets = shingle_sets(table["text"], k)
+            size = np.array([len(s) for s in sets])
+            words, at = np.unique(np.concatenate(sets), return_inverse=True)
+            owner = np.repeat(np.arange(len(ids)), size)
+            order = np.argsort(at, kind="stable")
+            holders, cut = owner[order], np.searchsorted(at[order], np.arange(len(words) + 1))
+            mine = np.concatenate(([0], np.cumsum(size)))
+            within = len(np.unique(block)) == 1
+            for i in range(len(ids)):
+                others = (np.arange(len(ids)) > i) & (component != component[i]) & (within | (block != block[i])) & (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * percent)
+                if others.any():
+                    w = at[mine[i] : mine[i + 1]]
+                    common = np.bincount(holders[ranges(cut[w], cut[w + 1] - cut[w])], minlength=len(ids))
+                    hit = np.flatnonzero(others & (common * 100 >= percent * (size + size[i] - common)))
+                    a += [ids[i]] * len(hit)
+                    b += ids[hit].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return compare
+
+
+def _joined_by(keys: DataFrame, name: str) -> DataFrame:
+    """id and the component that keys (key, id) put it in."""
+    centre = keys.groupBy("key").agg(F.min("id").alias("a")).withColumnRenamed("key", "_key")
+    edges = keys.join(centre, F.col("key") == F.col("_key")).select("a", F.col("id").alias("b")).distinct()
+    return components(edges).select(F.col("id").alias(f"_{name}"), F.col("component").alias(name))
+
 
+def block_links(doubt: DataFrame, buckets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between components of doubt (key, id, n, component), by comparing documents in blocks.
 
-def _stars(buckets: DataFrame, percent: int, spread: bool) -> DataFrame:
-    """Pairs of each bucket's centre and its members; spread: centres differ from bucket to bucket."""
-    order = F.xxhash64("id", "key") if spread else F.col("id")
-    centre = buckets.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id"), F.col("n"))).alias("_c"), F.count(F.lit(1)).alias("_size")).where("_size > 1").select(F.col("key").alias("_key"), F.col("_c.id").alias("a"), F.col("_c.n").alias("_na"))
+    Similar documents share a rare shingle and a bucket, thus a group by either; a group of m documents is sent to m / BLOCK
+    tasks each, and pairs are formed inside the tasks alone.
+    """
+    mine = doubt.select("id", "component").distinct()
+    by_shingle, by_bucket = _joined_by(doubt.select("key", "id"), "gs"), _joined_by(buckets.select("key", "id"), "gb")
+    group = mine.join(by_shingle, F.col("id") == F.col("_gs")).join(by_bucket, F.col("id") == F.col("_gb")).select("gs", "gb", "id", "component")
+    group = written(group, "groups")
+    parts = group.groupBy("gs", "gb").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select(F.col("gs").alias("_s"), F.col("gb").alias("_b"), "parts")
+    placed = group.join(parts, (F.col("gs") == F.col("_s")) & (F.col("gb") == F.col("_b"))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")))
+    sent = placed.select("gs", "gb", "id", "block", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    sent = sent.select("gs", "gb", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "block", "component")
+    full = sent.join(texts.select(F.col("doc_id").alias("_id"), "text"), F.col("id") == F.col("_id")).drop("_id")
+    return full.groupBy("gs", "gb", "lo", "hi").applyInArrow(_compare_blocks(k, percent), "a long, b long").distinct()
+
+
+def _stars(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each bucket's centre, its smallest id, and its members whose sizes allow the similarity."""
+    centre = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("_c")).select(F.col("key").alias("_key"), F.col("_c.id").alias("a"), F.col("_c.n").alias("_na"))
     return buckets.join(centre, F.col("key") == F.col("_key")).where((F.col("id") != F.col("a")) & (F.least("n", "_na") * 100 >= F.greatest("n", "_na") * percent)).select("a", F.col("id").alias("b")).distinct()
 
 
+def _cells(k: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                for s in shingle_sets(batch.slice(at, 128).column(1), k):
+                    np.add.at(total, (s % U64(CELLS)).astype(np.int64), 1)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
+
+    return count
+
+
+def rare_shingles(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """key, id, n: the rarest shingles of each document, so many that two similar documents have one of them in common.
+
+    Any order of all shingles serves; rare ones first keeps the keys small. Frequencies are those of CELLS hash cells.
+    """
+    got = texts.mapInArrow(_cells(k), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int32)
+    counts[got["cell"].to_numpy()] = np.minimum(got["n"].to_numpy(), np.iinfo(np.int32).max)
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                key, ids, n = [], [], []
+                for d, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), k), strict=True):
+                    m = len(s) - -(-len(s) * percent // 100) + 1
+                    key.append(s[np.lexsort((s, shared.value[(s % U64(CELLS)).astype(np.int64)]))[:m]])
+                    ids += [d] * len(key[-1])
+                    n += [len(s)] * len(key[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key or [np.zeros(0, U64)]).view(np.int64)), pa.array(ids, pa.int64()), pa.array(n, pa.int64())], ["key", "id", "n"])
+
+    return texts.mapInArrow(first, "key long, id long, n long")
+
+
 def near_links(docs: DataFrame, k: int = 4, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(signed, parts): doc_id and n_shingles of every row, and id, component of linked documents. See near_duplicates."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -125,24 +207,14 @@ def near_links(docs: DataFrame, k: int = 4, percent: int = 80) -> tuple[DataFram
     involved = buckets.select("id").distinct()
     texts = written(source.join(involved, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
     same = classes.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    links = written(confirmed(_stars(buckets, percent, False), texts, k, percent), "links")
-    parts = written(components(links), "parts")
-    for level in range(SPLITS + 1):
-        doubt = written(_in_doubt(buckets, parts), "doubt")
-        if doubt.isEmpty():
-            break
-        last = level == SPLITS
-        pairs = _cross_pairs(doubt if last else doubt.where(F.col("size") <= SMALL), percent)
-        if not last:
-            large = doubt.where(F.col("size") > SMALL).select("key", "id", "n").join(single.select(F.col("id").alias("_id"), "sides"), F.col("id") == F.col("_id"))
-            buckets = written(large.select(F.posexplode("sides").alias("side", "hash"), "key", "id", "n").select(F.xxhash64("key", "side", "hash").alias("key"), "id", "n").distinct(), "buckets")
-            pairs = pairs.unionByName(_stars(buckets, percent, True)).distinct()
-        found = written(confirmed(pairs, texts, k, percent), "links")
-        links = links.unionByName(found)
-        parts = written(components(links), "parts")
-        if last:
-            break
-    parts = written(components(links.unionByName(same)), "parts")
+    links = written(confirmed(_stars(buckets, percent), texts, k, percent), "links")
+    parts = components(links)
+    unsure = written(_in_doubt(buckets, parts).select("id").distinct(), "unsure")
+    if not unsure.isEmpty():
+        rare = written(rare_shingles(texts.join(unsure, F.col("doc_id") == F.col("id"), "left_semi"), k, percent), "rare")
+        doubt = written(_in_doubt(rare, parts), "doubt")
+        links = links.unionByName(written(block_links(doubt, buckets.join(unsure.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left_semi"), texts, k, percent), "links"))
+    parts = components(links.unionByName(same))
     return signed.select("doc_id", "n_shingles"), parts
 
 
@@ -150,9 +222,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
 
     Documents are linked when their sets of k-word shingles have percent or more of their union in common. Candidates
-    share a table key; a bucket's members are compared with one of them, and buckets that then hold several components are
-    compared further: pair by pair if small, split by further hashes if large. Documents of one component need no more
-    comparing, so a bucket of near copies costs one comparison each and identical sets none.
+    share a table key; a bucket's members are compared with one of them, so a bucket of near copies costs one comparison
+    each, and identical sets cost none. Documents of buckets that then hold several components are compared further, exactly:
+    where two such documents of different components have one of their rare shingles in common.
 
     No shingle (null or blank text): no link, component_id is doc_id. A null doc_id is linked with nothing: component_id
     null, kept. Rows that share an id are one node. An empty table gives no row.
