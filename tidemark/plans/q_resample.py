@@ -54,14 +54,14 @@ def bootstrap_day_cluster(spark, sf):
 
 
 @query("bootstrap_ratio", f"""
-WITH {_boot_sql(LEDGER, 'day', '', {'s': "sum(CASE WHEN side = 'yes' AND quantity > 45 THEN pnl ELSE 0 END)", 'q': "sum(CASE WHEN side = 'yes' AND quantity > 45 THEN quantity ELSE 0 END)", 'c': "sum(CASE WHEN side = 'yes' AND quantity > 45 THEN cost ELSE 0 END)"}, 1, 200, 'ledger')},
+WITH {_boot_sql(LEDGER, 'day', '', {'s': "sum(CASE WHEN side = 'yes' AND quantity > 45 THEN pnl ELSE 0 END)", 'q': "sum(CASE WHEN side = 'yes' AND quantity > 45 THEN quantity ELSE 0 END)", 'c': "sum(CASE WHEN side = 'yes' AND quantity > 45 THEN cost ELSE 0 END)"}, 1, 3000, 'ledger')},
 x AS (SELECT CASE WHEN q > 0 AND c > 0 THEN s / q END AS a, CASE WHEN q > 0 AND c > 0 THEN s / c END AS b FROM rp)
 SELECT (SELECT count(*) FROM cl) AS clusters, (SELECT count(*) FROM cl WHERE q > 0) AS trade_days, {R('quantile_cont(a, 0.025)')} AS net_per_contract_low, {R('quantile_cont(a, 0.975)')} AS net_per_contract_high, {R('quantile_cont(b, 0.025)')} AS return_on_deployed_low, {R('quantile_cont(b, 0.975)')} AS return_on_deployed_high, count(*) FILTER (WHERE a IS NULL) AS undefined FROM x""")
 def bootstrap_ratio(spark, sf):
     led = ledger(spark, sf)
     hit = (F.col("side") == "yes") & (F.col("quantity") > 45)
     z = lambda c: F.when(hit, F.col(c)).otherwise(F.lit(0))
-    out = B.ratio_bootstrap(led, [], "day", z("pnl"), z("quantity"), z("cost"), reps=200)
+    out = B.ratio_bootstrap(led, [], "day", z("pnl"), z("quantity"), z("cost"), reps=3000)
     cols = ["net_per_contract_low", "net_per_contract_high", "return_on_deployed_low", "return_on_deployed_high"]
     return out.select("clusters", "trade_days", *[rounded(F.col(c)).alias(c) for c in cols], F.col("net_per_contract_undefined").alias("undefined"))
 
@@ -106,14 +106,14 @@ def bootstrap_stratified_month(spark, sf):
 
 MEMBERS = f"""dd AS (SELECT day, count(*) OVER () AS n, row_number() OVER (ORDER BY day) - 1 AS i, coalesce(lead(day) OVER (ORDER BY day) = day + 1, false) AS st FROM (SELECT DISTINCT day FROM samples)),
 ss AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS k, count(*) OVER () AS ns FROM dd WHERE st),
-sl AS (SELECT i, m AS member, {DRAW("'1729|' || m || '|' || (i // 2)", "(SELECT max(ns) FROM ss)")} AS k FROM dd, range(8) r(m)),
+sl AS (SELECT i, m AS member, {DRAW("'1729|' || m || '|' || (i // 2)", "(SELECT max(ns) FROM ss)")} AS k FROM dd, range(32) r(m)),
 mb AS (SELECT CAST(member AS INTEGER) AS member, ss.day + i % 2 AS day, count(*) AS copies FROM sl JOIN ss USING (k) GROUP BY 1, 2)"""
 
 
 @query("block_resample_members", f"""
 WITH {SAMPLES}, {MEMBERS} SELECT member, day, copies FROM mb""")
 def block_resample_members(spark, sf):
-    return B.block_members(samples(spark, sf).select("day").distinct(), "day", members=8).select("member", "day", "copies")
+    return B.block_members(samples(spark, sf).select("day").distinct(), "day", members=32).select("member", "day", "copies")
 
 
 @query("expected_block_copies", f"""
@@ -165,7 +165,7 @@ WITH {SAMPLES}, {MEMBERS}, {ZS}, jn AS (SELECT zz.*, member, copies FROM zz JOIN
 SELECT g AS member, 'z_value' AS feature, {R('a', 5)} AS coef FROM w8 UNION ALL SELECT g, 'z_spread', {R('b', 5)} FROM w8""")
 def offset_logistic_many(spark, sf):
     z = _standardized(spark, sf)
-    members = B.block_members(z.select("day").distinct(), "day", members=8)
+    members = B.block_members(z.select("day").distinct(), "day", members=32)
     c = M.fit_market_offset(z.join(members, "day"), ["member"], ["z_value", "z_spread"], weight="copies")
     return c.select("member", "feature", rounded(F.col("coef"), 5).alias("coef"))
 
@@ -177,10 +177,10 @@ e AS (SELECT event_id, max(p) AS market, avg(f) AS m, quantile_cont(f, 0.05) AS
 SELECT event_id, {R('m', 4)} AS mean, {R('lo', 4)} AS low, {R('hi', 4)} AS high, {R('CASE WHEN m >= market THEN greatest(market, least(m, lo)) ELSE least(market, greatest(m, hi)) END', 4)} AS guarded FROM e""")
 def ensemble_quantiles(spark, sf):
     z = _standardized(spark, sf).select("event_id", "day", "p", "y", "z_value", "z_spread")
-    members = B.block_members(z.select("day").distinct(), "day", members=8)
+    members = B.block_members(z.select("day").distinct(), "day", members=32)
     coef = M.fit_market_offset(z.join(members, "day"), ["member"], ["z_value", "z_spread"], weight="copies")
     # Members are a literal list: exploding them keeps the scoring join on one small keyed frame.
-    rows = z.withColumn("member", F.explode(F.array(*[F.lit(i) for i in range(8)])))
+    rows = z.withColumn("member", F.explode(F.array(*[F.lit(i) for i in range(32)])))
     out = M.ensemble(M.score_offset(rows, coef, ["member"], ["z_value", "z_spread"]), ["event_id"], "predicted", "p")
     return out.select("event_id", *[rounded(F.col(c), 4).alias(c) for c in ("mean", "low", "high", "guarded")])
 
@@ -236,7 +236,7 @@ def logistic_score(spark, sf):
 @query("tree_score")
 def tree_score(spark, sf):
     s = samples(spark, sf)
-    fit = M.fit_trees(s, ["p", "spread", "value", "hours_left"], trees=10)
+    fit = M.fit_trees(s, ["p", "spread", "value", "hours_left"])
     from pyspark.ml.functions import vector_to_array
 
     out = fit.transform(s).withColumn("f", vector_to_array("probability")[1])
