@@ -190,3 +190,23 @@ def test_freshness_labels(spark):
     d = spark.createDataFrame([("a", 100), ("b", 900), ("c", None)], "k string, t long")
     f = streams.freshness(d, F.lit(1000), "t", 200, F.col("k") == "b", F.col("k") == "z")
     assert {r.k: r.state for r in f.collect()} == {"a": "collecting", "b": "forecast", "c": "collecting"}
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    """Two runs over growing files close every window that the batch closes, each once."""
+    rows = [(i, "a" if i % 2 else "b", f"2024-01-01T{i // 6:02d}:{i % 6 * 10:02d}:00", float(i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, k string, at string, price double").select("id", "k", F.to_timestamp("at").alias("ts"), "price")
+    source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+
+    def run():
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        return streams.run_available(streams.tumbling_bars(stream, ["k"], "ts", "price", F.lit(1.0), "id", "1 hour", "10 minutes"), "bars", out=out, checkpoint=checkpoint)
+
+    df.filter("id < 25").coalesce(1).write.parquet(source)
+    first = {(r.k, r.w.start): r.trades for r in run().collect()}
+    df.filter("id >= 25").coalesce(1).write.mode("append").parquet(source)
+    both = run().collect()
+    assert first and len({(r.k, r.w.start) for r in both}) == len(both) > len(first)
+    hand = {(r.k, r.w.start): (r.open, r.high, r.low, r.close, r.trades) for r in streams.tumbling_bars(df, ["k"], "ts", "price", F.lit(1.0), "id", "1 hour", "10 minutes").collect()}
+    last = max(start for _, start in hand)
+    assert {(r.k, r.w.start): (r.open, r.high, r.low, r.close, r.trades) for r in both} == {k: v for k, v in hand.items() if k[1] < last}

@@ -338,7 +338,7 @@ def station_pilot(spark, sf):
 @query("rolling_study")
 def rolling_study(spark, sf):
     out = ST.rolling_study(samples(spark, sf), [(A, A + 4 * DAY), (A + 4 * DAY, A + 8 * DAY), (A + 8 * DAY, A + 12 * DAY)], ["value", "spread", "hours_left"],
-                           {"full": ["value", "spread", "hours_left"], "value_only": ["value"]}, 2 * H, reps=500)
+                           {"full": ["value", "spread", "hours_left"], "value_only": ["value"]}, 2 * H)
     return out["pooled"].join(out["paired"], "model", "left").select("model", "events", "days", "log_loss", "brier", "mean", "mean_low", "mean_high")
 
 

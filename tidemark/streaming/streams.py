@@ -23,13 +23,17 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return reader.parquet(folder)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append", rocksdb: bool = False) -> DataFrame:
+def run_available(stream: DataFrame, name: str, mode: str = "append", rocksdb: bool = False, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Process everything available, then return the written table. Update mode keeps the batch number of each row.
 
-    A batch is written under its own number, so a replayed batch overwrites itself instead of appending twice.
+    A batch is written under its own number, so a replayed batch overwrites itself instead of appending twice. With the
+    caller's ``out`` and ``checkpoint`` a later run goes on where this one stopped: it reads only new files, and windows
+    that are still open now are written once it has seen their end. Without them both are new.
     """
     spark = stream.sparkSession
-    out, checkpoint = new_folder(spark, name), new_folder(spark, name + "-checkpoint")
+    if (out is None) != (checkpoint is None):
+        raise ValueError("out and checkpoint belong together")
+    out, checkpoint = out or new_folder(spark, name), checkpoint or new_folder(spark, name + "-checkpoint")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     previous = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     if rocksdb:
@@ -128,52 +132,57 @@ def sliding_imbalance(stream: DataFrame, by: list[str], ts: str, volume: Column,
     return s.withColumn("imbalance", F.when(F.col("volume") > 0, F.lit(2.0) * F.col("buy") / F.col("volume") - F.lit(1.0)))
 
 
-def intent_processor():
+def intent_processor(delay_ms: int = 0):
     """Stateful matching with expiry, cancellation and late events, per key.
 
     Rows: key, ts, kind ('prediction' | 'book'), id, expires, qualifies. A qualifying prediction becomes the pending
-    intent; a newer one that does not qualify cancels it; the first later book fills it; an event-time timer expires it.
-    Events older than the watermark go to the output as 'late' and change no state.
+    intent; a newer one that does not qualify cancels it; the first later book that is at least ``delay_ms`` younger fills
+    it; an event-time timer expires it. Events older than the watermark go to the output as 'late' and change no state.
     """
     import pandas as pd
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
     from pyspark.sql.types import LongType, StructField, StructType
 
+    columns = ["key", "event", "intent_id", "other_id", "ts_ms"]
+
     class IntentProcessor(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
             self.pending = handle.getValueState("pending", StructType([StructField("id", LongType()), StructField("ts", LongType()), StructField("expires", LongType())]))
 
-        def _row(self, key, event, intent, other, ts):
-            return pd.DataFrame({"key": [key], "event": [event], "intent_id": [intent], "other_id": [other], "ts_ms": [ts]})
-
         def handleInputRows(self, key, rows, timerValues):
             mark = timerValues.getCurrentWatermarkInMs()
-            # A micro-batch of one key is ordered in memory; its size is bounded by the trigger, not by the stream.
+            # One key's rows of one micro-batch: bounded by maxFilesPerTrigger of the source, not by the stream.
             batch = pd.concat(list(rows)).sort_values(["ts_ms", "id"])
-            for r in batch.itertuples():
-                held = self.pending.get() if self.pending.exists() else None
-                if held is not None and r.ts_ms >= held[2]:
-                    yield self._row(key[0], "expired", held[0], -1, held[2])
-                    self.pending.clear()
+            start = held = self.pending.get() if self.pending.exists() else None
+            out = []
+            for ts, kind, ident, expires, qualifies in zip(*(batch[c].tolist() for c in ("ts_ms", "kind", "id", "expires_ms", "qualifies"))):
+                if held is not None and ts >= held[2]:
+                    out.append((key[0], "expired", held[0], -1, held[2]))
                     held = None
-                if mark > 0 and r.ts_ms < mark:
-                    yield self._row(key[0], "late", r.id, -1, r.ts_ms)
-                elif r.kind == "prediction":
-                    if r.qualifies:
-                        self.pending.update((int(r.id), int(r.ts_ms), int(r.expires_ms)))
-                        self.handle.registerTimer(int(r.expires_ms))
+                if mark > 0 and ts < mark:
+                    out.append((key[0], "late", ident, -1, ts))
+                elif kind == "prediction":
+                    if qualifies:
+                        held = (int(ident), int(ts), int(expires))
                     elif held is not None:
-                        yield self._row(key[0], "cancelled", held[0], r.id, r.ts_ms)
-                        self.pending.clear()
-                elif held is not None and r.ts_ms > held[1]:
-                    yield self._row(key[0], "matched", held[0], r.id, r.ts_ms)
-                    self.pending.clear()
+                        out.append((key[0], "cancelled", held[0], ident, ts))
+                        held = None
+                elif held is not None and ts > held[1] and ts >= held[1] + delay_ms:
+                    out.append((key[0], "matched", held[0], ident, ts))
+                    held = None
+            if held is None:
+                self.pending.clear()
+            elif held != start:
+                self.pending.update(held)
+                self.handle.registerTimer(held[2])
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             held = self.pending.get() if self.pending.exists() else None
             if held is not None and held[2] <= expiredTimerInfo.getExpiryTimeInMs():
-                yield self._row(key[0], "expired", held[0], -1, held[2])
+                yield pd.DataFrame([(key[0], "expired", held[0], -1, held[2])], columns=columns)
                 self.pending.clear()
 
         def close(self) -> None:
@@ -185,10 +194,13 @@ def intent_processor():
 INTENT_SCHEMA = "key long, event string, intent_id long, other_id long, ts_ms long"
 
 
-def intents_with_cancellation(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
-    """Lifecycle events of intents: matched, cancelled, expired, late (needs the RocksDB state store)."""
+def intents_with_cancellation(stream: DataFrame, key: str, ts: str, delay: str, fill_delay_ms: int = 0) -> DataFrame:
+    """Lifecycle events of intents: matched, cancelled, expired, late (needs the RocksDB state store).
+
+    ``delay`` is the watermark's; ``fill_delay_ms`` is what a book must be younger than the intent to fill it.
+    """
     return stream.withWatermark(ts, delay).groupBy(key).transformWithStateInPandas(
-        statefulProcessor=intent_processor(), outputStructType=INTENT_SCHEMA, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=intent_processor(fill_delay_ms), outputStructType=INTENT_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
 
 
