@@ -225,3 +225,9 @@ def test_execution_checks_and_eligibility(spark):
     df = spark.createDataFrame([(i, json.dumps(x)) for i, (x, _) in enumerate(lines)], "i int, value string")
     got = {r.i: ",".join(r.violations) for r in market.tag_records(df).collect()}
     assert got == {i: v for i, (_, v) in enumerate(lines)}
+
+
+def test_fingerprint_tells_null_from_empty_and_keeps_columns_apart(spark):
+    rows = [(None, "x"), ("", "x"), ("a|b", "c"), ("a", "b|c"), ("1", "-")]
+    prints = {tuple(sinks.data_fingerprint(spark.createDataFrame([r], "a string, b string"), ["a", "b"]).first()) for r in rows}
+    assert len(prints) == len(rows)

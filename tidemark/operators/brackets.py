@@ -7,22 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _mass_of(bound: Column) -> Column:
-    return F.sum(F.xxhash64(bound.cast("double")).cast("decimal(20,0)"))
-
-
 def partition_check(df: DataFrame, keys: list[str], lower: str, upper: str, ticker: str, y: str | None = None) -> DataFrame:
     """One row per event with a reason when its brackets are not a complete partition of the line.
 
     A set of intervals with lower < upper, exactly one open lower and one open upper end tiles the line exactly when
-    the finite lower bounds equal the finite upper bounds as multisets. Comparing hash sums of both sides makes this a
-    plain map-side combined aggregate: no ordering, no window, no group in one task.
+    the finite lower bounds equal the finite upper bounds as multisets; both are compared as sorted lists, which are as
+    long as the listing's ladder.
     """
     lo, hi = F.col(lower), F.col(upper)
     aggs = [
         F.count(F.lit(1)).alias("brackets"), F.count_distinct(ticker).alias("_tickers"),
         F.count_if(lo.isNull()).alias("_open_lo"), F.count_if(hi.isNull()).alias("_open_hi"),
-        F.count_if(lo >= hi).alias("_bad"), _mass_of(lo).alias("_lo"), _mass_of(hi).alias("_hi"),
+        F.count_if(lo >= hi).alias("_bad"), F.array_sort(F.collect_list(lo.cast("double"))).alias("_lo"), F.array_sort(F.collect_list(hi.cast("double"))).alias("_hi"),
         (F.sum(y) if y else F.lit(1).cast("long")).alias("_winners") if y else F.max(F.lit(1)).alias("_winners"),
     ]
     return df.groupBy(*keys).agg(*aggs).select(

@@ -207,11 +207,11 @@ def remaining_max(decisions: DataFrame, hours: DataFrame, by: list[str], at: str
     d = decisions.withColumn("_from", F.greatest(F.col(at), F.col(day_start))).withColumn("_to", F.col(day_start) + F.lit(DAY))
     h = hours.select(*by, "model", "value", F.col("valid_at").alias("_a"), (F.col("valid_at") + F.lit(HOUR)).alias("_b"), initialized)
     pair = overlap_join(d, h, by, ("_from", "_to"), ("_a", "_b"), width).filter(
-        (F.col(initialized) + F.lit(allowance) <= F.col(at)) & F.col("value").between(-100, 150) & (F.col("_a") >= F.col(initialized))
+        (F.col(initialized) + F.lit(allowance) <= F.col(at)) & (F.col("value") > -100) & (F.col("value") < 150) & (F.col("_a") >= F.col(initialized))
     )
     per_model = pair.groupBy(*ids, initialized, "model", (F.col("_to") - F.col("_from")).alias("_need")).agg(
-        F.max("value").alias("_max"), F.sum("overlap").alias("_covered")
-    ).filter(F.col("_covered") == F.col("_need"))
+        F.max("value").alias("_max"), F.sum("overlap").alias("_covered"), F.count(F.lit(1)).alias("_hours"), F.count_distinct("_a").alias("_starts")
+    ).filter((F.col("_covered") == F.col("_need")) & (F.col("_hours") == F.col("_starts")))
     one = lambda m: F.max(F.when(F.col("model") == m, F.col("_max")))
     a, b = models
     wide = per_model.groupBy(*ids, initialized, "_need").agg(one(a).alias(f"{a}_max"), one(b).alias(f"{b}_max"))

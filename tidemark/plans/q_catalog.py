@@ -96,7 +96,7 @@ def experiment_inventory(spark, sf):
 
 
 @query("data_fingerprint", """
-WITH h AS (SELECT CAST('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)), 1, 15) AS BIGINT) AS h FROM orders)
+WITH h AS (SELECT CAST('0x' || substr(md5(concat(length(o_orderkey::VARCHAR), ':', o_orderkey, length(o_custkey::VARCHAR), ':', o_custkey, length(o_orderstatus), ':', o_orderstatus, length(o_orderpriority), ':', o_orderpriority)), 1, 15) AS BIGINT) AS h FROM orders)
 SELECT count(*) AS rows, CAST(sum(h) AS VARCHAR) AS hash_sum, bit_xor(h) AS hash_xor FROM h""")
 def data_fingerprint(spark, sf):
     return K.data_fingerprint(table(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])

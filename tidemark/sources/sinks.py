@@ -103,7 +103,10 @@ def experiment_inventory(reports: DataFrame, column: str = "json") -> DataFrame:
 
 
 def data_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-independent digest: row count, and the sum and xor of the first 60 bits of each row's MD5."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    """Order-independent digest: row count, and the sum and xor of the first 60 bits of each row's MD5.
+
+    Values are hashed with their lengths in front and NULL as a sign of its own, so that no two different rows agree.
+    """
+    text = F.concat(*[F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns])
     h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10)
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum"), F.bit_xor(h.cast("long")).alias("hash_xor"))
