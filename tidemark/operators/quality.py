@@ -85,17 +85,23 @@ def sample_rules(columns: list[str], at="at", feature="feature_time", close="clo
     return rules
 
 
-def validate_samples(df: DataFrame, ticker: str = "ticker", at: str = "at", **times) -> tuple[DataFrame, DataFrame]:
-    """Row rules plus two cross-row rules: one row per (ticker, at), one label per ticker.
+def tag_samples(df: DataFrame, ticker: str = "ticker", at: str = "at", once: list[str] | None = None, **times) -> DataFrame:
+    """Rows with the ``violations`` of the row rules and of two cross-row rules: one row per ``once`` (ticker, at), one label per ticker.
 
-    The cross-row rules are two map-side combined aggregates over the keys, joined back; a key with a third of all
-    rows collapses to one row before any shuffle, and AQE splits the skewed side of the join.
+    One map-side combined aggregate per (ticker, at) serves both cross-row rules, so the rows are joined once; a key with a
+    third of all rows collapses before any shuffle, and AQE splits the skewed side of the join.
     """
-    copies = df.groupBy(ticker, at).agg(F.count(F.lit(1)).alias("_copies"))
-    labels = df.groupBy(ticker).agg((F.min("y") != F.max("y")).alias("_conflict"))
-    tagged = df.join(copies, [ticker, at]).join(labels, ticker)
+    keys = once or [ticker, at]
+    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"), F.min("y").alias("_lo"), F.max("y").alias("_hi"))
+    labels = per.groupBy(ticker).agg((F.min("_lo") != F.max("_hi")).alias("_conflict"))
+    tagged = df.join(per.join(labels, ticker).drop("_lo", "_hi"), keys)
     rules = sample_rules(df.columns, at=at, **times) | {"duplicate": F.col("_copies") == 1, "conflicting_label": ~F.col("_conflict")}
-    tagged = tagged.withColumn("violations", violations(rules)).drop("_copies", "_conflict")
+    return tagged.withColumn("violations", violations(rules)).drop("_copies", "_conflict")
+
+
+def validate_samples(df: DataFrame, ticker: str = "ticker", at: str = "at", **times) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with ``violations``), two views of ``tag_samples``."""
+    tagged = tag_samples(df, ticker, at, **times)
     return tagged.filter(F.size("violations") == 0).drop("violations"), tagged.filter(F.size("violations") > 0)
 
 

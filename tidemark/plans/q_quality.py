@@ -30,10 +30,7 @@ def validate_samples(spark, sf):
     d = samples(spark, sf).withColumns({
         "feature_t": F.when(k % 17 == 0, F.col("at") + 1).otherwise(F.col("at")), "spread": F.when(k % 19 == 0, F.col("spread") + 0.01).otherwise(F.col("spread")),
         "y": F.when(k % 23 == 0, 2).otherwise(F.col("y")), "decision_t": F.col("at"), "ticker": F.col("user_id")})
-    copies = d.groupBy("ticker", "day").agg(F.count(F.lit(1)).alias("_c"))
-    labels = d.groupBy("ticker").agg((F.min("y") != F.max("y")).alias("_x"))
-    rules = Q.sample_rules(d.columns, feature="feature_t") | {"duplicate": F.col("_c") == 1, "conflicting_label": ~F.col("_x")}
-    t = d.join(copies, ["ticker", "day"]).join(labels, "ticker").select(F.explode(Q.violations(rules)).alias("violation"))
+    t = Q.tag_samples(d, once=["ticker", "day"], feature="feature_t").select(F.explode("violations").alias("violation"))
     return t.groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -42,9 +39,8 @@ WITH {SAMPLES}, g AS (SELECT *, count(*) OVER (PARTITION BY event_id, "at") AS c
 SELECT c = 1 AND bid <= ask AND "at" < close_t AS accepted, count(*) AS n FROM g GROUP BY 1""")
 def accepted_samples(spark, sf):
     d = samples(spark, sf).withColumn("feature_t", F.col("at"))
-    good, bad = Q.validate_samples(d, ticker="event_id", feature="feature_t")
-    both = good.select(F.lit(True).alias("accepted")).unionByName(bad.select(F.lit(False).alias("accepted")))
-    return both.groupBy("accepted").agg(F.count(F.lit(1)).alias("n"))
+    tagged = Q.tag_samples(d, ticker="event_id", feature="feature_t")
+    return tagged.groupBy((F.size("violations") == 0).alias("accepted")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ohlcv_rules", f"""
@@ -83,7 +79,7 @@ WITH j AS (SELECT conv_id, turn, role, text, turn * 10 - CASE WHEN turn = 3 AND
 h AS (SELECT *, sha256(conv_id || '|' || turn || '|' || text) AS link FROM j),
 p AS (SELECT *, CASE WHEN turn = 0 THEN repeat('0', 64) WHEN conv_id % 4 = 1 AND turn = 2 THEN repeat('f', 64) ELSE sha256(conv_id || '|' || (turn - 1) || '|' || coalesce(lag(text) OVER w, '')) END AS previous,
    lag(turn) OVER w AS pt, lag(link) OVER w AS pl, lag(clock) OVER w AS pc FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-r AS (SELECT CASE WHEN turn = 0 THEN NULL WHEN pt IS NULL OR pt <> turn - 1 THEN 'skipped_sequence' WHEN pl <> previous THEN 'broken_link' WHEN pc > clock THEN 'clock_moved_back' END AS reason FROM p)
+r AS (SELECT CASE WHEN conv_id % 5 = 2 AND turn = 1 THEN 'altered' WHEN turn = 0 THEN NULL WHEN pt IS NULL OR pt <> turn - 1 THEN 'skipped_sequence' WHEN pl <> previous THEN 'broken_link' WHEN pc > clock THEN 'clock_moved_back' END AS reason FROM p)
 SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM r GROUP BY 1""")
 def hash_chain(spark, sf):
     from pyspark.sql import Window as W
@@ -95,8 +91,10 @@ def hash_chain(spark, sf):
     j = c.join(prior, ["conv_id", "turn"], "left")
     previous = F.when(F.col("turn") == 0, F.lit("0" * 64)).when((F.col("conv_id") % 4 == 1) & (F.col("turn") == 2), F.lit("f" * 64)).otherwise(
         link((F.col("turn") - 1), F.coalesce("_p", F.lit(""))))
-    j = j.withColumn("previous", previous).withColumn("sha256", link(F.col("turn"), F.col("text")))
-    checked = Q.chain_links(j, ["conv_id"], "turn", "clock", "previous", "sha256", width=1000)
+    body = F.concat_ws("|", "conv_id", "turn", "text")
+    altered = (F.col("conv_id") % 5 == 2) & (F.col("turn") == 1)
+    j = j.withColumn("previous", previous).withColumn("sha256", F.sha2(body, 256)).withColumn("body", F.when(altered, F.concat(body, F.lit("x"))).otherwise(body))
+    checked = Q.verify_chain(j, ["conv_id"], seq="turn", clock="clock")
     return Q.exclusion_report(checked)
 
 
