@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.tasks import of_batches
+
 #: A subtree outside the main text is a template if it is on so many pages of its host and on this share (in hundredths) of them.
 #: The share bounds the number of a host's templates by the elements of 100 / SHARE pages.
 MIN_PAGES, SHARE = 3, 10
@@ -187,7 +189,7 @@ def host_of(url):
 def site_templates(pages: DataFrame) -> DataFrame:
     """host, templates: hashes of the subtrees outside main text that recur on the host's pages (see MIN_PAGES, SHARE)."""
     source = pages.select(host_of("url").alias("host"), F.col("html").cast("string").alias("html"))
-    per_page = source.mapInArrow(_subtrees, "host string, hash long")
+    per_page = source.mapInArrow(of_batches(_subtrees), "host string, hash long")
     size = source.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumnRenamed("host", "_host")
     often = per_page.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES)
     often = often.join(size, F.col("host") == F.col("_host")).where(F.col("n") * 100 >= F.col("pages") * SHARE)
@@ -209,4 +211,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
     source = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of("url").alias("host"))
     joined = source.join(found, F.col("host") == F.col("_host"), "left").select("page_id", F.col("url").cast("string").alias("url"), "html", "templates")
     kind = dict(pages.dtypes)["page_id"]
-    return joined.mapInArrow(_extract, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return joined.mapInArrow(of_batches(_extract), f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

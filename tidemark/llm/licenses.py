@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.codes import text_bytes, word_bounds
 from tidemark.llm.decontaminate import normal_words, shingles
+from tidemark.llm.tasks import of_batches
 
 #: Share of a template's words, in hundredths, that must be aligned.
 COVERAGE = 80
@@ -168,4 +169,4 @@ def license_scan(docs: DataFrame, templates: dict[str, tuple[str, str]] | None =
     blank texts match nothing; repeated rows are reported each; a null doc_id stays null; an empty table gives no row.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_scan(templates or TEMPLATES), "doc_id long, license string, template string, start_word long, n_words long, coverage long")
+    return source.mapInArrow(of_batches(_scan(templates or TEMPLATES)), "doc_id long, license string, template string, start_word long, n_words long, coverage long")

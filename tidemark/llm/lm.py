@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.codes import text_bytes, word_bounds, word_hashes
+from tidemark.llm.tasks import of_batches
 
 BUCKETS, CLASSES, REACH = 1 << 16, 16, 2
 PAD = CLASSES
@@ -146,13 +147,13 @@ def fit_network(context: np.ndarray, target: np.ndarray, n: np.ndarray, epochs:
 def fit(docs: DataFrame, text: str = "text") -> Model:
     """Counts over the whole of docs, then the network; the driver holds the bounded tables of counts alone."""
     source = docs.select(F.col(text).cast("string").alias("text"))
-    cell, n = _summed(source.mapInArrow(_count_buckets, "cell long, n long"))
+    cell, n = _summed(source.mapInArrow(of_batches(_count_buckets), "cell long, n long"))
     counts = np.zeros(BUCKETS, np.int64)
     counts[cell] = n
     classes = frequency_classes(counts)
     smooth = counts + 0.5
     in_class = np.log(smooth / np.bincount(classes, smooth, CLASSES)[classes])
-    cell, n = _summed(source.mapInArrow(_count_contexts(classes), "cell long, n long"))
+    cell, n = _summed(source.mapInArrow(of_batches(_count_contexts(classes)), "cell long, n long"))
     order = np.argsort(cell)
     cell, n = cell[order], n[order]
     return Model(classes, in_class, fit_network(cell // CLASSES, cell % CLASSES, n))
@@ -171,7 +172,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), pa.array(sums[first[1:]] - sums[first[:-1]])], ["doc_id", "n_words", "log_prob"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_words long, log_prob double").withColumn("per_word", F.try_divide("log_prob", "n_words"))
+    return source.mapInArrow(of_batches(run), "doc_id long, n_words long, log_prob double").withColumn("per_word", F.try_divide("log_prob", "n_words"))
 
 
 def lm_score(docs: DataFrame) -> DataFrame:

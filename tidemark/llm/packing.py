@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import encoder
+from tidemark.llm.tasks import of_batches, of_group
 
 #: Documents whose last pieces are packed together by one task; a group leaves about one sequence unfilled.
 GROUP_DOCS = 16_384
@@ -122,6 +123,6 @@ def pack(docs: DataFrame, tokenizer_path: str, room: Capacity = Capacity(), with
     """
     groups = max(1, ceil(docs.count() / GROUP_DOCS))
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = source.mapInArrow(_cut(tokenizer_path, room.tokens, with_ids), _PIECE + (", ids array<int>" if with_ids else ""))
+    pieces = source.mapInArrow(of_batches(_cut(tokenizer_path, room.tokens, with_ids)), _PIECE + (", ids array<int>" if with_ids else ""))
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("_group").applyInArrow(_place(room), f"{_PIECE}{', ids array<int>' if with_ids else ''}, sequence_id long, offset long")
+    return dealt.groupBy("_group").applyInArrow(of_group(_place(room)), f"{_PIECE}{', ids array<int>' if with_ids else ''}, sequence_id long, offset long")

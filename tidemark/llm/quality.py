@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.codes import text_bytes, word_bounds, word_hashes
 from tidemark.session import written
+from tidemark.llm.tasks import of_batches
 
 WINDOW = 5
 #: Groups of fewer documents take their language's sketch, and languages of fewer the sketch of all.
@@ -86,7 +87,7 @@ def measured(docs: DataFrame, text: str) -> DataFrame:
     """docs with the counts of its column `text` added; null counts as empty."""
     source = docs.withColumnRenamed(text, "_text").withColumn("_text", F.col("_text").cast("string"))
     schema = T.StructType([*source.schema.fields, *T._parse_datatype_string(_BASE).fields])
-    return source.mapInArrow(_measure, schema).withColumnRenamed("_text", text)
+    return source.mapInArrow(of_batches(_measure), schema).withColumnRenamed("_text", text)
 
 
 def step(value: Column) -> Column:

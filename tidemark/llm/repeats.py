@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.codes import BASES, BYTE_CODES, CHUNK, U64, covered, from_planes, mix, powers, prefix_sums, ranges, run_hash, text_bytes, to_planes, word_bounds, word_hashes
+from tidemark.llm.tasks import of_group, of_groups
 
 BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
@@ -413,12 +414,12 @@ def without_repeats(docs: DataFrame, rule: Rule, carry: bool = False, id_column:
     source = source.select(*(c for c in names if c != f"_c{words}"), F.coalesce(F.col(f"_c{at}").cast("long"), F.lit(LAST)).alias("_id"), F.col(f"_c{at}").isNull().alias("_null"), body.alias("_text"), F.xxhash64(body).alias("_digest"))
     source = source.withColumn("_batch", F.pmod(F.xxhash64("_id", "_digest"), F.lit(batches)))
     by_batch = source.groupBy("_batch")
-    sent = by_batch.applyInArrow(_send_anchors(rule, buckets), _SENT)
-    first = sent.groupBy("bucket").applyInArrow(_compare_anchors(rule), _REPLY)
-    asked = by_batch.cogroup(first.groupBy("batch")).applyInArrow(_send_contexts(rule, buckets), _SENT)
-    second = asked.groupBy("bucket").applyInArrow(_compare_contexts(rule), _REPLY)
+    sent = by_batch.applyInArrow(of_group(_send_anchors(rule, buckets)), _SENT)
+    first = sent.groupBy("bucket").applyInArrow(of_group(_compare_anchors(rule)), _REPLY)
+    asked = by_batch.cogroup(first.groupBy("batch")).applyInArrow(of_groups(_send_contexts(rule, buckets)), _SENT)
+    second = asked.groupBy("bucket").applyInArrow(of_group(_compare_contexts(rule)), _REPLY)
     carried = ["_id", "_null", *(c for c in names if c != f"_c{words}")]
     kinds = dict(source.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", _n long, _removed long, _spans array<struct<start:long,end:long>>, _kept binary"
-    out = by_batch.cogroup(first.unionByName(second).groupBy("batch")).applyInArrow(_clean(rule, buckets, carried), schema)
+    out = by_batch.cogroup(first.unionByName(second).groupBy("batch")).applyInArrow(of_groups(_clean(rule, buckets, carried)), schema)
     return out.select(F.when(~F.col("_null"), F.col("_id")).alias(id_column), F.col("_n").alias("n_symbols"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("spans"), F.col("_kept").alias("kept"), *(c for c in names if c != f"_c{words}"))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.codes import ranges
 from tidemark.llm.repeats import Rule, without_repeats
+from tidemark.llm.tasks import of_batches
 
 WIDTH, ANCHOR, CROWD = 50, 24, 4096
 DIGIT = 8
@@ -95,7 +96,7 @@ def without_passages(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     out = suffix_dedup(docs, width, carry=True)
     schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "kept" else f for f in out.schema])
-    out = out.mapInArrow(_decode, schema).where((F.col("n_removed") == 0) | (F.length("kept") > 0))
+    out = out.mapInArrow(of_batches(_decode), schema).where((F.col("n_removed") == 0) | (F.length("kept") > 0))
     new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return out.select(*(new.get(c, F.col(f"_c{i}")).cast(kind).alias(f"o{i}") for i, (c, kind) in enumerate(docs.dtypes))).toDF(*docs.columns)
 
@@ -104,3 +105,4 @@ def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     out = suffix_dedup(docs)
     return out.select("doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
