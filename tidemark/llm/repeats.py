@@ -35,6 +35,8 @@ BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 LAST = np.iinfo(np.int64).max
 _IDX = U64((1 << 18) - 1)
+#: Contexts are told apart by 56 bits next to the anchor's own: 7 bytes each in the shuffle.
+_CTX = U64((1 << 56) - 1)
 
 _SENT = "bucket long, batch long, kind int, key binary, ctx binary, doc binary, pos binary, syms binary, lens binary, offs binary"
 _REPLY = "batch long, kind int, key binary, ctx binary, doc binary, pos binary, lens binary"
@@ -106,7 +108,7 @@ class Batch:
             lo, hi, p, row = at[new], at[np.concatenate((new[1:] - 1, [len(at) - 1]))], mine[new], rows[new]
             other = prefix_sums(codes, BASES[1])
             ctx = run_hash(other, lo, hi + w, BASES[1]) + (hi - lo).astype(U64) * U64(0xA0761D6478BD642F) + (p - lo).astype(U64) * U64(0xE7037ED1A0B428DB)
-            got.append((mix(hashes[p]), mix(ctx), row, p + c, lo + c, hi + c))
+            got.append((mix(hashes[p]), mix(ctx) & _CTX, row, p + c, lo + c, hi + c))
         key, ctx, row, p, lo, hi = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, U64), np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(4)))
         row = row.astype(np.int64)
         return {"key": key, "ctx": ctx, "row": row, "doc": self.ids[row], "pos": (p - self.bounds[row]) if rule.within else np.zeros(len(p), np.int64), "lo": lo, "hi": hi}

@@ -14,7 +14,7 @@ from tidemark.llm.codes import ranges
 from tidemark.llm.repeats import Rule, without_repeats
 from tidemark.llm.tasks import of_batches
 
-WIDTH, ANCHOR, CROWD = 50, 24, 4096
+WIDTH, ANCHOR, CROWD = 50, 22, 4096
 DIGIT = 8
 
 
