@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.codes import FOLDED_CODES, U64, covered, mix, prefix_sums, run_hash, text_bytes, word_bounds
+from tidemark.llm.tasks import of_batches
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Fingerprints of 64 bits within RADIUS are all found: of BLOCKS blocks one differs in at most one bit.
@@ -164,12 +165,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, start_word, n_words: documents with a window similar to a benchmark item, best window each.
 
     A window has as many words as the item; similarity is that of their multisets of 5-word shingles (fewer words: of all
-    words as one), case and punctuation after words aside, and must be 0.8 or more. Windows that share no shingle with any
+    words as one) and must be 0.8 or more. A-Z count as a-z, punctuation after a word not at all, inside it as one sign. Windows that share no shingle with any
     item have similarity 0 and get no fingerprint. Null or blank texts and items match nothing; null ids are kept as they
     are; repeated rows are matched each; without items or documents there is no row.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = [source.mapInArrow(_find(items), "doc_id long, item_id long, similarity double, start_word long, n_words long") for items in item_blocks(benchmark)]
+    parts = [source.mapInArrow(of_batches(_find(items)), "doc_id long, item_id long, similarity double, start_word long, n_words long") for items in item_blocks(benchmark)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -181,5 +182,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     names = [f"_c{i}" for i in range(len(docs.columns))]
     out = docs.toDF(*names)
     for items in item_blocks(benchmark):
-        out = out.mapInArrow(_clean(items, names[docs.columns.index("text")]), out.schema)
+        out = out.mapInArrow(of_batches(_clean(items, names[docs.columns.index("text")])), out.schema)
     return out.toDF(*docs.columns)

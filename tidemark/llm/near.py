@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.codes import U64, mix, ranges, shingle_hashes, text_bytes, word_bounds, word_hashes
 from tidemark.llm.graph import components
 from tidemark.session import written
+from tidemark.llm.tasks import of_batches, of_group, of_groups
 
 #: Two collections of SIDE hashes of ROWS minhashes each give SIDE**2 table keys from 2 * SIDE * ROWS minhashes. A pair of
 #: similarity s is missed with probability below 2 * (1 - s**ROWS)**SIDE: 1e-5 at 0.8, 2e-7 at 0.85, 1e-8 at 0.9.
@@ -86,7 +87,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     dealt = pairs.join(degree, F.col("a") == F.col("_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("_parts")).alias("part"))
     members = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "text")
     centres = dealt.select(F.col("a").alias("c"), F.col("part").alias("cpart")).distinct().join(texts.select(F.col("doc_id").alias("c"), F.col("text").alias("ctext")), "c")
-    return members.groupBy("a", "part").cogroup(centres.groupBy("c", "cpart")).applyInArrow(_compare(k, percent), "a long, b long").distinct()
+    return members.groupBy("a", "part").cogroup(centres.groupBy("c", "cpart")).applyInArrow(of_groups(_compare(k, percent)), "a long, b long").distinct()
 
 
 def _in_doubt(buckets: DataFrame, parts: DataFrame) -> DataFrame:
@@ -144,7 +145,7 @@ def block_links(doubt: DataFrame, buckets: DataFrame, texts: DataFrame, k: int,
     sent = placed.select("gs", "gb", "id", "block", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     sent = sent.select("gs", "gb", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "block", "component")
     full = sent.join(texts.select(F.col("doc_id").alias("_id"), "text"), F.col("id") == F.col("_id")).drop("_id")
-    return full.groupBy("gs", "gb", "lo", "hi").applyInArrow(_compare_blocks(k, percent), "a long, b long").distinct()
+    return full.groupBy("gs", "gb", "lo", "hi").applyInArrow(of_group(_compare_blocks(k, percent)), "a long, b long").distinct()
 
 
 def _stars(buckets: DataFrame, percent: int) -> DataFrame:
@@ -171,7 +172,7 @@ def rare_shingles(texts: DataFrame, k: int, percent: int) -> DataFrame:
 
     Any order of all shingles serves; rare ones first keeps the keys small. Frequencies are those of CELLS hash cells.
     """
-    got = texts.mapInArrow(_cells(k), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    got = texts.mapInArrow(of_batches(_cells(k)), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CELLS, np.int32)
     counts[got["cell"].to_numpy()] = np.minimum(got["n"].to_numpy(), np.iinfo(np.int32).max)
     shared = texts.sparkSession.sparkContext.broadcast(counts)
@@ -188,13 +189,13 @@ def rare_shingles(texts: DataFrame, k: int, percent: int) -> DataFrame:
                     n += [len(s)] * len(key[-1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key or [np.zeros(0, U64)]).view(np.int64)), pa.array(ids, pa.int64()), pa.array(n, pa.int64())], ["key", "id", "n"])
 
-    return texts.mapInArrow(first, "key long, id long, n long")
+    return texts.mapInArrow(of_batches(first), "key long, id long, n long")
 
 
 def near_links(docs: DataFrame, k: int = 4, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(signed, parts): doc_id and n_shingles of every row, and id, component of linked documents. See near_duplicates."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(source.mapInArrow(_sign(k), _SIGNED), "signed")
+    signed = written(source.mapInArrow(of_batches(_sign(k)), _SIGNED), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     # equal sets are one document from here on
     first = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
@@ -241,3 +242,19 @@ def first_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = F.col(names[docs.columns.index("doc_id")])
     return docs.toDF(*names).join(gone, at.cast("long") == F.col("_gone"), "left_anti").toDF(*docs.columns)
+
+
+#: The same rows by counting common shingles of all documents that share one.
+ORACLE_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1) + 1))) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b WHERE 100 * c >= 80 * (m.n + o.n - c)),
+ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT a AS doc_id, a AS other FROM (SELECT DISTINCT a FROM ways) UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON ways.a = reach.other),
+least_ AS (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_ ON least_.doc_id = d.doc_id
+"""

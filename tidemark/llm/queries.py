@@ -57,4 +57,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_substring_dedup, op2_quality_rules, op3_best_fit_packing, op4_suffix_dedup, op5_benchmark_decontamination, op6_license_scan, op7_chat_formatting, op8_lm_scoring, op9_minhash_near_dedup, op10_html_extraction)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {"op2_quality_rules": quality.ORACLE_SQL, "op7_chat_formatting": chat.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": substring.ORACLE_SQL, "op2_quality_rules": quality.ORACLE_SQL, "op4_suffix_dedup": suffix_array.ORACLE_SQL,
+    "op7_chat_formatting": chat.ORACLE_SQL, "op9_minhash_near_dedup": near.ORACLE_SQL,
+}

@@ -85,3 +85,15 @@ def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
     out = substring_dedup(docs)
     return out.select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The digest by windows as lists of words.
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, i, list_slice(w, i, i + {WIDTH - 1}) AS x FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - {WIDTH - 2})) AS i FROM d)),
+late AS (SELECT r, i FROM win QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, i) > 1),
+gone AS (SELECT r, list(DISTINCT i + j) AS g FROM (SELECT r, i, unnest(range(0, {WIDTH})) AS j FROM late) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(len(g), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(g, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""

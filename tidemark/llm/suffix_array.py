@@ -106,3 +106,17 @@ def digest(docs: DataFrame) -> DataFrame:
     out = suffix_dedup(docs)
     return out.select("doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
+
+#: The digest by windows as hexadecimal text, two digits a byte.
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, {2 * WIDTH}) AS x FROM (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - {WIDTH - 1})) AS i FROM d)),
+late AS (SELECT r, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY x) < doc_id),
+runs AS (SELECT r, min(i) AS a, max(i) + {WIDTH} AS b FROM (
+  SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM (
+    SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + {WIDTH} THEN 1 ELSE 0 END AS new FROM late)) GROUP BY r, run),
+cut AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS z FROM runs),
+kept AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS k FROM cut JOIN d USING (r) GROUP BY r)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
