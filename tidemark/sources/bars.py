@@ -51,11 +51,12 @@ def read_kline_zips(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(unzip, schema=KLINE_DDL)
 
 
-def check_klines(raw: DataFrame, step: int, period: Column, start: Column, end: Column) -> tuple[DataFrame, DataFrame]:
+def check_klines(raw: DataFrame, step: int, period: Column, start: Column, end: Column, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(bars, rejected): exact seconds in ms or us, inside the declared period, aligned, exact close time, valid OHLCV.
 
-    A repeated bar start is rejected in full unless its copies agree; agreeing copies are reported as duplicates too.
+    A bar start that a series (the columns ``by``, none: all rows) has more than once is rejected in full, agreeing copies too.
     """
+    by = by or []
     unit = F.when(F.col("open_time") >= 10**15, F.lit(1_000_000)).otherwise(F.lit(1000))
     d = evaluated_once(raw, t=epoch_seconds(F.col("open_time")), period=period, _start=start, _end=end)
     rules = {
@@ -67,12 +68,13 @@ def check_klines(raw: DataFrame, step: int, period: Column, start: Column, end:
     } | ohlcv_rules(buy="taker_buy")
     d = evaluated_once(d, violations=violations(rules))
     bars = d.filter(F.size("violations") == 0).select(
-        "period", "t", "open", "high", "low", "close", "volume", F.col("taker_buy").alias("buy"), "trades"
+        *by, "period", "t", "open", "high", "low", "close", "volume", F.col("taker_buy").alias("buy"), "trades"
     )
-    counted = bars.groupBy("t").agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct(*[c for c in bars.columns if c != "t"])).alias("_r"))
-    good = counted.filter("_c = 1").select("t", "_r.*")
-    repeated = counted.filter("_c > 1").select(F.col("t"), F.array(F.lit("duplicate")).alias("violations"))
-    return good, d.filter(F.size("violations") > 0).select("t", "violations").unionByName(repeated)
+    keys = [*by, "t"]
+    counted = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"), F.min(F.struct(*[c for c in bars.columns if c not in keys])).alias("_r"))
+    good = counted.filter("_c = 1").select(*keys, "_r.*")
+    repeated = counted.filter("_c > 1").select(*keys, F.array(F.lit("duplicate")).alias("violations"))
+    return good, d.filter(F.size("violations") > 0).select(*keys, "violations").unionByName(repeated)
 
 
 def _utc(text: Column) -> Column:
