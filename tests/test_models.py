@@ -1,5 +1,6 @@
 """Fits, gates, accounting identities and multi-batch streams."""
 
+import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -210,3 +211,12 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
     hand = {(r.k, r.w.start): (r.open, r.high, r.low, r.close, r.trades) for r in streams.tumbling_bars(df, ["k"], "ts", "price", F.lit(1.0), "id", "1 hour", "10 minutes").collect()}
     last = max(start for _, start in hand)
     assert {(r.k, r.w.start): (r.open, r.high, r.low, r.close, r.trades) for r in both} == {k: v for k, v in hand.items() if k[1] < last}
+
+
+def test_newton_steps_descend_from_far_offsets(spark):
+    """Offsets far from the labels make full Newton steps overshoot; the halved ones end where the gradient is zero."""
+    rows = [(x / 10, 1 - 1e-6 if x < 0 else 1e-6, int(x >= 0)) for x in range(-20, 21)]
+    df = spark.createDataFrame(rows, "x double, p double, y int")
+    c = models.fit_market_offset(df, [], ["x"], l2=1e-4, bound=None).first().coef
+    g = sum(x * (1 / (1 + math.exp(-(math.log(p / (1 - p)) + c * x))) - y) for x, p, y in rows) / len(rows) + 2e-4 * c
+    assert abs(g) < 1e-8

@@ -12,6 +12,7 @@ from tidemark.functions.numeric import clip, expit, logit
 
 SCALE_FLOOR = 1e-6
 STEP_LIMIT, MAX_STEPS = 1e-9, 40
+DESCENT = 1e-12
 
 
 def moments(df: DataFrame, by: list[str], features: list[str], weight: str | None = None) -> DataFrame:
@@ -72,6 +73,7 @@ def fit_market_offset(rows: DataFrame, by: list[str], features: list[str], p: st
     keys = [tuple(r[b] for b in by) for r in design.select(*by).distinct().collect()] if by else [()]
     coef = {key: np.zeros(k) for key in keys}
     open_keys, steps = set(keys), dict.fromkeys(keys, 0)
+    last: dict[tuple, tuple[np.ndarray, float]] = {}  # the best coefficients so far and their objective
     key_fields = [design.schema[b] for b in by]
     coef_schema = T.StructType([*key_fields, T.StructField("_c", T.ArrayType(T.DoubleType()))])
     for _ in range(MAX_STEPS):
@@ -85,15 +87,21 @@ def fit_market_offset(rows: DataFrame, by: list[str], features: list[str], p: st
         z = F.col("_o")
         for a in range(k):
             z = z + F.col("_x")[a] * F.col("_c")[a]
-        scored = scored.select(*by, "_y", "_w", "_x", expit(z).alias("_q"))
+        cost = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - F.col("_y") * z
+        scored = scored.select(*by, "_y", "_w", "_x", expit(z).alias("_q"), cost.alias("_l"))
         r = F.col("_w") * (F.col("_q") - F.col("_y"))
         v = F.col("_w") * F.col("_q") * (F.lit(1.0) - F.col("_q"))
         sums = scored.groupBy(*by).agg(
-            F.sum("_w").alias("_n"), F.array(*[F.sum(r * F.col("_x")[a]) for a in range(k)]).alias("_g"),
+            F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_l")).alias("_f"), F.array(*[F.sum(r * F.col("_x")[a]) for a in range(k)]).alias("_g"),
             F.array(*[F.sum(v * F.col("_x")[a] * F.col("_x")[b]) for a, b in pairs]).alias("_h"),
         )
         for row in sums.collect():
             key = tuple(row[b] for b in by)
+            objective = row["_f"] / row["_n"] + float(penalty @ coef[key] ** 2)
+            if key in last and objective > last[key][1] + DESCENT * (1 + abs(objective)):  # the step went too far
+                coef[key], steps[key] = (coef[key] + last[key][0]) / 2, steps[key] + 1
+                continue
+            last[key] = (coef[key], objective)
             g = np.array(row["_g"]) / row["_n"] + 2 * penalty * coef[key]
             h = np.zeros((k, k))
             for (a, b), value in zip(pairs, row["_h"]):
