@@ -296,8 +296,9 @@ def prospective_dataset(spark, sf):
 
 @query("market_board", """
 WITH s AS (SELECT s_suppkey AS series, CASE WHEN s_nationkey % 3 = 0 THEN 'economics' WHEN s_nationkey % 3 = 1 THEN 'weather' ELSE 'mentions' END AS category, s_acctbal AS volume, CASE WHEN s_nationkey % 4 = 0 THEN NULL WHEN s_nationkey % 4 = 1 THEN 0.035 ELSE 0.07 END AS fee FROM supplier),
-r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY volume DESC, 'S' || series) AS rk FROM s), m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 1 + CAST(floor(l_extendedprice) AS BIGINT) % 97 AS c, l_discount FROM lineitem)
-SELECT category, series, count(*) AS cards, CAST(max(fee) AS DOUBLE) AS fee_rate, floor(max(l_discount) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS best_edge FROM m JOIN r ON r.series = m.l_suppkey AND rk <= 4 GROUP BY 1, 2""")
+r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY volume DESC, 'S' || series) AS rk FROM s), m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 1 + CAST(floor(l_extendedprice) AS BIGINT) % 97 AS c, l_discount FROM lineitem WHERE l_linenumber <> 1),
+f AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY rk) AS place FROM r WHERE rk <= CASE category WHEN 'weather' THEN 4 ELSE 30 END AND series IN (SELECT l_suppkey FROM m))
+SELECT category, series, count(*) AS cards, CAST(max(fee) AS DOUBLE) AS fee_rate, floor(max(l_discount) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS best_edge FROM m JOIN f ON f.series = m.l_suppkey AND place <= CASE category WHEN 'weather' THEN 4 ELSE 3 END GROUP BY 1, 2""")
 def market_board(spark, sf):
     s = table(spark, sf, "supplier")
     m3, m4 = F.col("s_nationkey") % 3, F.col("s_nationkey") % 4
@@ -307,9 +308,9 @@ def market_board(spark, sf):
         F.when(m4 == 0, "flat").otherwise("quadratic").alias("fee_type"), F.when(m4 == 1, 0.5).otherwise(1.0).alias("fee_multiplier"))
     c = F.lit(1) + F.floor("l_extendedprice").cast("long") % 97
     markets = table(spark, sf, "lineitem").select(
-        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("series"), F.concat(F.lit("R"), (F.col("l_suppkey") % 5).cast("string")).alias("event"), (c / 100.0).alias("bid"), ((c + 1) / 100.0).alias("ask"), F.lit("active").alias("status"), ((c + 1) / 100.0 + F.col("l_discount")).alias("model_p"))
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("series"), F.concat(F.lit("R"), (F.col("l_suppkey") % 5).cast("string")).alias("event"), (c / 100.0).alias("bid"), ((c + 1) / 100.0).alias("ask"), F.lit("active").alias("status"), F.when(F.col("l_linenumber") == 1, 0).otherwise(1).alias("close_t"), ((c + 1) / 100.0 + F.col("l_discount")).alias("model_p"))
     events = table(spark, sf, "region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("event"), F.lit(None).cast("string").alias("fee_type_override"), F.lit(None).cast("double").alias("fee_multiplier_override"))
-    cards = ST.market_board(series, events, markets)
+    cards = ST.market_board(series, events, markets, F.lit(0))
     return cards.groupBy("category", F.substring("series", 2, 20).cast("long").alias("series")).agg(
         F.count(F.lit(1)).alias("cards"), F.max("fee_rate").cast("double").alias("fee_rate"), rounded(F.max("estimated_edge")).alias("best_edge"))
 

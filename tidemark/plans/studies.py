@@ -161,13 +161,22 @@ def prospective_dataset(weather: DataFrame, markets: DataFrame, books: DataFrame
     return one_per_hour(good, ["ticker"], "at", HOUR, "at"), counts
 
 
-def market_board(series: DataFrame, events: DataFrame, markets: DataFrame, per_category: int = 4) -> DataFrame:
-    """Cards: top series per category, effective fee with event overrides, two-sided quotes, spread, status and edge."""
+# Series of a category that are looked at, and of these how many with an open quoted market are shown.
+LISTED, SHOWN = {"weather": 4, "other": 30}, {"weather": 4, "other": 3}
+
+
+def market_board(series: DataFrame, events: DataFrame, markets: DataFrame, now: Column) -> DataFrame:
+    """Cards of open, two-sided markets: top series per category (LISTED, SHOWN), effective fee with event overrides, spread, status and edge."""
     from tidemark.operators.ranking import top_per_group
 
+    limit = lambda n: F.when(F.col("category") == "weather", n["weather"]).otherwise(n["other"])
+
     s = series.withColumn("category", T.category_of(F.col("title"), F.col("series"), F.col("tags"), F.col("categories"), F.col("frequency"))).filter("category IS NOT NULL")
-    top = top_per_group(s, ["category"], [F.desc("priority"), F.desc("volume"), F.asc("series")], per_category)
-    m = markets.join(top.select("series", "category", "fee_type", "fee_multiplier"), "series").filter((F.col("bid") >= 0) & (F.col("bid") <= F.col("ask")) & (F.col("ask") <= 1))
+    top = top_per_group(s, ["category"], [F.desc("priority"), F.desc("volume"), F.asc("series")], max(LISTED.values())).filter(F.col("rank") <= limit(LISTED))
+    quoted = markets.filter((F.col("close_t") > now) & (F.col("bid") >= 0) & (F.col("bid") <= F.col("ask")) & (F.col("ask") <= 1))
+    found = top.withColumnRenamed("rank", "place").join(quoted.select("series").distinct(), "series", "left_semi")
+    shown = top_per_group(found, ["category"], [F.asc("place")], max(SHOWN.values())).filter(F.col("rank") <= limit(SHOWN))
+    m = quoted.join(shown.select("series", "category", "fee_type", "fee_multiplier"), "series")
     m = m.join(events.select("event", "fee_type_override", "fee_multiplier_override"), "event", "left")
     from tidemark.functions.money import board_edge
 
