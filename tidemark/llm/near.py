@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from tidemark.llm.tasks import of_batches, of_group, of_groups
 SIDE, ROWS = 12, 2
 #: Members that one task compares with a bucket's centre.
 STAR = 512
+#: Documents whose table keys one task makes and counts.
+TABLED = 4096
 #: Cells of the table of approximate shingle frequencies that orders shingles from rare to frequent.
 CELLS = 1 << 20
 #: Documents in doubt are compared in blocks of about so many; a task holds two blocks.
@@ -201,6 +204,7 @@ def near_links(docs: DataFrame, k: int = 4, percent: int = 80) -> tuple[DataFram
     first = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"))
     classes = some.join(first, ["d1", "d2"])
     single = classes.where("doc_id = id").select("id", F.col("n_shingles").alias("n"), "sides").dropDuplicates(["id", "n", "sides"])
+    single = single.repartition(max(1, ceil(signed.count() / TABLED)), "id")  # each task then holds a bounded number of keys
     table = F.expr(f"explode(flatten(transform(sequence(0, {SIDE - 1}), i -> transform(sequence(0, {SIDE - 1}), j -> xxhash64(i, j, sides[i], sides[{SIDE} + j])))))")
     keys = single.select(table.alias("key"), "id", "n")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").select(F.col("key").alias("_key"))
