@@ -16,8 +16,8 @@ from tidemark.session import written
 from tidemark.llm.tasks import of_batches, of_group, of_groups
 
 #: Two collections of SIDE hashes of ROWS minhashes each give SIDE**2 table keys from 2 * SIDE * ROWS minhashes. A pair of
-#: similarity s is missed with probability below 2 * (1 - s**ROWS)**SIDE: 1e-5 at 0.8, 2e-7 at 0.85, 1e-8 at 0.9.
-SIDE, ROWS = 12, 2
+#: similarity s is missed with probability below 2 * (1 - s**ROWS)**SIDE: 3e-5 at 0.8, 8e-7 at 0.85, 3e-8 at 0.9.
+SIDE, ROWS = 11, 2
 #: Members that one task compares with a bucket's centre.
 STAR = 512
 #: Documents whose table keys one task makes and counts.
@@ -206,9 +206,10 @@ def near_links(docs: DataFrame, k: int = 4, percent: int = 80) -> tuple[DataFram
     single = classes.where("doc_id = id").select("id", F.col("n_shingles").alias("n"), "sides").dropDuplicates(["id", "n", "sides"])
     single = single.repartition(max(1, ceil(signed.count() / TABLED)), "id")  # each task then holds a bounded number of keys
     table = F.expr(f"explode(flatten(transform(sequence(0, {SIDE - 1}), i -> transform(sequence(0, {SIDE - 1}), j -> xxhash64(i, j, sides[i], sides[{SIDE} + j])))))")
-    keys = single.select(table.alias("key"), "id", "n")
+    keys = single.select(table.alias("key"), "id")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").select(F.col("key").alias("_key"))
-    buckets = written(keys.join(shared, F.col("key") == F.col("_key")).drop("_key"), "buckets")
+    met = keys.join(shared, F.col("key") == F.col("_key")).drop("_key")
+    buckets = written(met.join(single.select(F.col("id").alias("_id"), "n"), F.col("id") == F.col("_id")).drop("_id"), "buckets")
     involved = buckets.select("id").distinct()
     texts = written(source.join(involved, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
     same = classes.where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
