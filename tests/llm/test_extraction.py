@@ -68,6 +68,18 @@ def test_templates_spare_the_article(spark):
     assert {r.text for r in out} == {"Same\n\nCopied article"}
 
 
+def test_recurring_box_inside_articles(spark):
+    """An unnamed box on every page of a host goes; a container of copied articles and a paragraph on all pages stay."""
+    box = "<div><p>Get our letter every week</p><p>Write to us</p></div>"
+    rows = [(i, f"http://d.example.com/{i}", f"<article><h1>Story {i}</h1><p>What happened on day number {i} of the long year, told in full</p><p>As ever</p>{box}</article>") for i in range(12)]
+    rows += [(50 + i, f"http://e.example.com/{i}", f"<main><p>copied words of one article in full</p>{box}</main>") for i in range(12)]
+    rows += [(80 + i, f"http://f.example.com/{i}", f"<article><div><p>One long body of an article that is shown under several addresses</p></div><p>seen {i}</p></article>") for i in range(12)]
+    out = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[7] == "Story 7\n\nWhat happened on day number 7 of the long year, told in full\n\nAs ever"
+    assert out[55] == "copied words of one article in full\n\nGet our letter every week\n\nWrite to us"
+    assert out[83] == "One long body of an article that is shown under several addresses\n\nseen 3"
+
+
 def folded(text):
     return [w.rstrip(b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~""") for w in re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()).split()]
 

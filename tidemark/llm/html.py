@@ -1,4 +1,4 @@
-"""Main text of web pages: site templates are element subtrees that recur across many pages of one host."""
+"""Main text of web pages: site templates are element subtrees that recur across many pages of one host, inside its main text too."""
 
 from __future__ import annotations
 
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.tasks import of_batches
 
-#: A subtree outside the main text is a template if it is on so many pages of its host and on this share (in hundredths) of them.
+#: A subtree is a template if it is on so many pages of its host and on this share (in hundredths) of them. Inside the main
+#: text only containers count, and pages only as far as their main texts differ: copies of an article are one page.
 #: The share bounds the number of a host's templates by the elements of 100 / SHARE pages.
 MIN_PAGES, SHARE = 3, 10
 #: At most so many templates are broadcast; more are joined by a shuffle on the host.
@@ -23,6 +24,7 @@ BROADCAST_TEMPLATES = 200_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas video audio select".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+CONTAINERS = frozenset("div section ul ol dl table figure details address center hgroup".split())
 BOILERPLATE = frozenset("nav footer aside form button dialog menu head fieldset".split()) | RAW
 #: A start tag of a key closes an open element of the value that is nearer than the stop elements.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -36,6 +38,9 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
+#: Tells the hash of a subtree inside the main text from that of the same subtree outside.
+_WITHIN = 0x2545F4914F6CDD1D
+
 
 class Page:
     """Blocks of text and the elements they stand in. A node is (parent, is boilerplate, is main, hash)."""
@@ -142,8 +147,16 @@ class Page:
         clean = {m for m, bad in zip(self.main, self.bad, strict=True) if m and not bad}
         return "article" if "article" in clean else "main" if "main" in clean else ""
 
-    def subtrees(self) -> set[int]:
-        """Hashes of the elements that may be templates: those outside the main text that do not hold it."""
+    def _within(self, root: str) -> list[int]:
+        """Containers inside the main text; not what the main text begins with."""
+        return [n for n in range(1, len(self.tag)) if root and self.tag[n] in CONTAINERS and self.main[n] == root == self.main[self.parent[n]]]
+
+    def subtrees(self) -> set[tuple[int, int]]:
+        """(hash, text) of the elements that may be templates, at most half of the main text each.
+
+        Outside the main text, and not around it: text is 0. Inside: text is a hash of the page's whole main text, so that
+        copies of an article are known.
+        """
         root = self.root()
         holds = set()
         if root:
@@ -153,24 +166,39 @@ class Page:
                     while up >= 0 and up not in holds:
                         holds.add(up)
                         up = self.parent[up]
-        return {h for node, h in enumerate(self.hash) if node and node not in holds and self.tag[node] not in ("html", "body", "head")}
+        out = {(h, 0) for node, h in enumerate(self.hash) if node and node not in holds and self.tag[node] not in ("html", "body", "head")}
+        within = [n for n in self._within(root) if not self.bad[n]]
+        if within:
+            size, texts = [0] * len(self.tag), []
+            for t, node in self.blocks:
+                if self.main[node] == root and not self.bad[node]:
+                    size[node] += len(t)
+                    texts.append(t)
+            whole = sum(size)
+            for node in range(len(size) - 1, 0, -1):
+                size[self.parent[node]] += size[node]
+            text = xxhash.xxh3_64_intdigest("\x00".join(texts)) >> 1 | 1
+            out.update((self.hash[n] ^ _WITHIN, text) for n in within if 0 < size[n] * 2 <= whole)
+        return out
 
     def text(self, templates: set[int]) -> str:
         root, gone = self.root(), [False] * len(self.tag)
+        within = {n for n in self._within(root) if self.hash[n] ^ _WITHIN in templates} if templates else ()
         for node in range(1, len(self.tag)):
-            gone[node] = gone[self.parent[node]] or self.bad[node] or not (root and self.main[node] == root) and self.hash[node] in templates and self.tag[node] not in ("html", "body")
+            outside = not (root and self.main[node] == root) and self.tag[node] not in ("html", "body")
+            gone[node] = gone[self.parent[node]] or self.bad[node] or node in within or outside and self.hash[node] in templates
         return "\n\n".join(t for t, node in self.blocks if not gone[node] and (not root or self.main[node] == root))
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
-            host, hashes = [], []
+            host, found = [], []
             for h, x in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns), strict=True):
-                found = Page(x or "").subtrees()
-                host += [h] * len(found)
-                hashes += found
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
+                mine = Page(x or "").subtrees()
+                host += [h] * len(mine)
+                found += mine
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))], ["host", "hash", "text"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,11 +215,12 @@ def host_of(url):
 
 
 def site_templates(pages: DataFrame) -> DataFrame:
-    """host, templates: hashes of the subtrees outside main text that recur on the host's pages (see MIN_PAGES, SHARE)."""
+    """host, templates: hashes of the subtrees that recur on the host's pages (see MIN_PAGES, SHARE)."""
     source = pages.select(host_of("url").alias("host"), F.col("html").cast("string").alias("html"))
-    per_page = source.mapInArrow(of_batches(_subtrees), "host string, hash long")
+    per_page = source.mapInArrow(of_batches(_subtrees), "host string, hash long, text long")
     size = source.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumnRenamed("host", "_host")
-    often = per_page.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES)
+    by_text = per_page.groupBy("host", "hash", "text").agg(F.count(F.lit(1)).alias("n"))
+    often = by_text.groupBy("host", "hash").agg(F.sum(F.when(F.col("text") == 0, F.col("n")).otherwise(1)).alias("n")).where(F.col("n") >= MIN_PAGES)
     often = often.join(size, F.col("host") == F.col("_host")).where(F.col("n") * 100 >= F.col("pages") * SHARE)
     return often.groupBy("host").agg(F.collect_list("hash").alias("templates"))  # at most the elements of 100 / SHARE pages
 
@@ -200,8 +229,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page: blocks of the main text, joined by two newlines.
 
     Main text is what stands in article, else in main, else the page; without boilerplate elements, elements named as such
-    by class, id or role, and, outside article and main, the host's templates. Null html is empty; a null url's host is
-    empty; repeated pages count for templates each; an empty table gives no row; other columns are ignored.
+    by class, id or role, and the host's templates: any element outside article and main, containers of blocks inside. A
+    paragraph or heading that stands in the main text itself is text, however often it recurs. Null html is empty; a null
+    url's host is empty; repeated pages count for templates each; an empty table gives no row; other columns are ignored.
     """
     from tidemark.session import written
 
