@@ -80,6 +80,19 @@ def test_recurring_box_inside_articles(spark):
     assert out[83] == "One long body of an article that is shown under several addresses\n\nseen 3"
 
 
+@pytest.mark.parametrize("broadcast, hot", [(200_000, 10**6), (0, 10**6), (0, 2), (0, 6)])
+def test_templates_of_sections_of_a_large_host(spark, monkeypatch, broadcast, hot):
+    """Each of 40 sections has a menu on 5 of the host's 200 pages; results are those of a small host on every path."""
+    monkeypatch.setattr(html, "BROADCAST_TEMPLATES", broadcast)
+    monkeypatch.setattr(html, "HOT_ROWS", hot)
+    page = lambda i: f"<div><p>All pages</p></div><div><p>Menu of section {i % 40}</p></div><p>only {i}</p>"
+    rows = [(i, f"http://g.example.com/{i % 40}/{i}", page(i)) for i in range(200)] + [(200, "http://g.example.com/again", page(3)), (201, "http://h.example.com/", page(3))]
+    rows += [(None, None, None)]
+    out = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(out) == 203 and out[200] == out[3] == "only 3" and all(out[i] == f"only {i}" for i in range(200))
+    assert out[201] == "All pages\n\nMenu of section 3\n\nonly 3" and out[None] == ""
+
+
 def folded(text):
     return [w.rstrip(b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~""") for w in re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()).split()]
 

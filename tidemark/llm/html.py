@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.tasks import of_batches
 
-#: A subtree is a template if it is on so many pages of its host and on this share (in hundredths) of them. Inside the main
-#: text only containers count, and pages only as far as their main texts differ: copies of an article are one page.
-#: The share bounds the number of a host's templates by the elements of 100 / SHARE pages.
-MIN_PAGES, SHARE = 3, 10
-#: At most so many templates are broadcast; more are joined by a shuffle on the host.
+#: A subtree is a template if it is on so many pages of its host, whatever the host's size. Inside the main text only
+#: containers count, and pages only as far as their main texts differ: copies of an article are one page.
+MIN_PAGES = 3
+#: At most so many templates are broadcast; more are joined with the pages' subtrees by a shuffle on host and hash.
 BROADCAST_TEMPLATES = 200_000
+#: In that shuffle, templates on more rows than this are joined by broadcast: one task would get all their rows.
+HOT_ROWS = 1_000_000
 
 # Element names of the HTML standard by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -181,6 +182,12 @@ class Page:
             out.update((self.hash[n] ^ _WITHIN, text) for n in within if 0 < size[n] * 2 <= whole)
         return out
 
+    def marks(self) -> set[int]:
+        """Hashes that text() looks for among the templates."""
+        root = self.root()
+        outside = {h for n, h in enumerate(self.hash) if n and not (root and self.main[n] == root) and self.tag[n] not in ("html", "body")}
+        return outside | {self.hash[n] ^ _WITHIN for n in self._within(root)}
+
     def text(self, templates: set[int]) -> str:
         root, gone = self.root(), [False] * len(self.tag)
         within = {n for n in self._within(root) if self.hash[n] ^ _WITHIN in templates} if templates else ()
@@ -201,12 +208,30 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))], ["host", "hash", "text"])
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _page_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
-            part = batch.slice(at, 128)
-            texts = [Page(x or "").text(set(t or ())) for x, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            page, host, hashes = [], [], []
+            for p, h, x in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns), strict=True):
+                found = Page(x or "").marks()
+                page += [p] * len(found)
+                host += [h] * len(found)
+                hashes += found
+            yield pa.RecordBatch.from_arrays([pa.array(page, pa.string()), pa.array(host, pa.string()), pa.array(hashes, pa.int64())], ["page", "host", "hash"])
+
+
+def _extract(of_host):
+    """Text of (page_id, url, html, host) by a broadcast {host: hashes}, or of (page_id, url, html, hashes) without one."""
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                found = [of_host.value.get(t, ()) if of_host else set(t or ()) for t in part.column(3).to_pylist()]
+                texts = [Page(x or "").text(t) for x, t in zip(part.column(2).to_pylist(), found, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    return extract
 
 
 def host_of(url):
@@ -215,14 +240,24 @@ def host_of(url):
 
 
 def site_templates(pages: DataFrame) -> DataFrame:
-    """host, templates: hashes of the subtrees that recur on the host's pages (see MIN_PAGES, SHARE)."""
+    """host, hash, rows: the subtrees that recur on the host's pages (see MIN_PAGES), and how many pages have them."""
     source = pages.select(host_of("url").alias("host"), F.col("html").cast("string").alias("html"))
     per_page = source.mapInArrow(of_batches(_subtrees), "host string, hash long, text long")
-    size = source.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumnRenamed("host", "_host")
     by_text = per_page.groupBy("host", "hash", "text").agg(F.count(F.lit(1)).alias("n"))
-    often = by_text.groupBy("host", "hash").agg(F.sum(F.when(F.col("text") == 0, F.col("n")).otherwise(1)).alias("n")).where(F.col("n") >= MIN_PAGES)
-    often = often.join(size, F.col("host") == F.col("_host")).where(F.col("n") * 100 >= F.col("pages") * SHARE)
-    return often.groupBy("host").agg(F.collect_list("hash").alias("templates"))  # at most the elements of 100 / SHARE pages
+    often = by_text.groupBy("host", "hash").agg(F.sum(F.when(F.col("text") == 0, F.col("n")).otherwise(1)).alias("pages"), F.sum("n").alias("rows"))
+    return often.where(F.col("pages") >= MIN_PAGES).drop("pages")
+
+
+def _templates_of_pages(source: DataFrame, found: DataFrame) -> DataFrame:
+    """page, templates: the templates among the subtrees of each different page of source (page, host, html)."""
+    marks = source.select("page", "host", "html").mapInArrow(of_batches(_page_subtrees), "page string, host string, hash long")
+    named = found.withColumnsRenamed({"host": "_host", "hash": "_hash"})
+    hot, rest = (named.where(w).select("_host", "_hash") for w in (F.col("rows") > HOT_ROWS, F.col("rows") <= HOT_ROWS))
+    same = (F.col("host") == F.col("_host")) & (F.col("hash") == F.col("_hash"))
+    # all rows of hot templates stay where they are; no other (host, hash) that finds a partner has more than HOT_ROWS
+    few = marks.join(F.broadcast(hot), same).select("page", "hash")
+    cold = marks.join(F.broadcast(hot), same, "left_anti").join(rest, same).select("page", "hash")
+    return few.unionByName(cold).groupBy("page").agg(F.collect_set("hash").alias("templates"))  # at most one page's elements
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -235,10 +270,16 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """
     from tidemark.session import written
 
-    found = written(site_templates(pages), "templates").withColumnRenamed("host", "_host")
-    if (found.agg(F.sum(F.size("templates"))).first()[0] or 0) <= BROADCAST_TEMPLATES:
-        found = F.broadcast(found)
-    source = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of("url").alias("host"))
-    joined = source.join(found, F.col("host") == F.col("_host"), "left").select("page_id", F.col("url").cast("string").alias("url"), "html", "templates")
+    found = written(site_templates(pages), "templates")
+    source = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of("url").alias("host"))
+    if found.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES:
+        of_host: dict[str, set[int]] = {}
+        for host, h in zip(*(c.to_pylist() for c in found.select("host", "hash").toArrow().columns), strict=True):
+            of_host.setdefault(host, set()).add(h)
+        joined, shared = source, pages.sparkSession.sparkContext.broadcast(of_host)
+    else:  # equal pages of a host have equal templates, so a digest serves as the key of a page
+        source = source.withColumn("page", F.sha2(F.concat_ws("\n", "host", "html"), 256))
+        theirs = written(_templates_of_pages(source, found), "found").withColumnRenamed("page", "_page")
+        joined, shared = source.join(theirs, F.col("page") == F.col("_page"), "left").select("page_id", "url", "html", "templates"), None
     kind = dict(pages.dtypes)["page_id"]
-    return joined.mapInArrow(of_batches(_extract), f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return joined.mapInArrow(of_batches(_extract(shared)), f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
