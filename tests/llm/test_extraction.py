@@ -93,6 +93,19 @@ def test_templates_of_sections_of_a_large_host(spark, monkeypatch, broadcast, ho
     assert out[201] == "All pages\n\nMenu of section 3\n\nonly 3" and out[None] == ""
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><h2 id='related-work' class='form'>Related</h2><section id='search-algorithms'><p>a</p></section><section id=social-history class='notice-of-1848'><p>b</p></section></article>", "Related\n\na\n\nb"),
+        ("<article class='post sponsored-by-x'><p>a</p><div id='search'>b</div><div class='share-price'>c</div></article>", "a\n\nb\n\nc"),
+        ("<article class='sponsored'><p>a</p><div class='share box'>x</div><div class='related-posts'>x</div><div role=search>x</div><div id=comments>x</div><article class=comment>x</article></article>", "a"),
+        ("<main class=form><div class='comment_list'>x</div><p class='form-of-words'>a</p></main>", "a"),
+    ],
+)
+def test_names_inside_the_article(page, text):
+    assert html.Page(page).text(set()) == text
+
+
 def folded(text):
     return [w.rstrip(b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~""") for w in re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()).split()]
 

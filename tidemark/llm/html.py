@@ -33,6 +33,11 @@ STOPS = frozenset("ul ol dl table tbody thead tfoot section article main div bod
 # Words of class, id and role that name what is not main text.
 NAMED = frozenset("ad ads advert advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus replies respond share sharing social related recommended widget pagination pager toolbar login signup signin search complementary contentinfo alert dialog form".split())
 NAMED_OUTSIDE = frozenset("header masthead topbar".split())
+# Inside article and main a name counts as a whole: words of NAMED, with words of what holds them around.
+FRAMES = frozenset("slot box container wrapper wrap block bar panel inner unit user reader posts articles links list".split())
+#: An id is also what links aim at: inside article and main only these words make it a name.
+NAMED_IDS = frozenset("ad ads advert advertisement advertising banner cookie cookies consent gdpr newsletter popup sidebar nav navbar breadcrumb breadcrumbs comments disqus replies respond pagination pager toolbar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -62,13 +67,27 @@ class Page:
                 self.blocks.append((text, self._at))
                 self._inside[-1].append(text)
 
+    def _named(self, tag: str, names: list[tuple[str, str]], words: set[str]) -> bool:
+        """Whether class, id or role name what is not main text. The outermost article, and main, are never named so."""
+        top = self._stack[-1]
+        if tag in ("html", "body", "main") or tag == "article" and not any(self.tag[n] == "article" for n in self._stack):
+            return False
+        if not self.main[top]:
+            return bool(words & NAMED)
+        for kind, value in names if words & NAMED and tag not in HEADINGS else ():
+            known = NAMED if kind != "id" else NAMED_IDS if tag != "section" else frozenset()
+            for token in value.split():
+                parts = {x for x in re.split("[_-]+", token) if x}
+                if parts & known and parts <= known | FRAMES:
+                    return True
+        return False
+
     def _open(self, tag: str, attributes: str) -> None:
-        named = set()
-        for _, a, b, c in _ATTRIBUTE.findall(attributes) if "=" in attributes else ():
-            named.update(re.split(r"[\s_-]+", (a or b or c).lower()))
+        names = [(kind.lower(), (a or b or c).lower()) for kind, a, b, c in _ATTRIBUTE.findall(attributes)] if "=" in attributes else []
+        named = {x for _, value in names for x in re.split(r"[\s_-]+", value)}
         top = self._stack[-1]
         main = self.main[top] or ("article" if tag == "article" else "main" if tag == "main" or "main" in named and "role" in attributes else "")
-        bad = self.bad[top] or tag in BOILERPLATE or tag not in ("html", "body", "main") and bool(named & NAMED) or not self.main[top] and tag not in ("html", "body", "main", "article") and (tag == "header" or bool(named & NAMED_OUTSIDE)) or bool(attributes and _HIDDEN.search(attributes))
+        bad = self.bad[top] or tag in BOILERPLATE or self._named(tag, names, named) or not self.main[top] and tag not in ("html", "body", "main", "article") and (tag == "header" or bool(named & NAMED_OUTSIDE)) or bool(attributes and _HIDDEN.search(attributes))
         self.parent.append(top)
         self.tag.append(tag)
         self.bad.append(bad)
@@ -264,7 +283,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page: blocks of the main text, joined by two newlines.
 
     Main text is what stands in article, else in main, else the page; without boilerplate elements, elements named as such
-    by class, id or role, and the host's templates: any element outside article and main, containers of blocks inside. A
+    by class, id or role (see _named), and the host's templates: any element outside article and main, containers of blocks inside. A
     paragraph or heading that stands in the main text itself is text, however often it recurs. Null html is empty; a null
     url's host is empty; repeated pages count for templates each; an empty table gives no row; other columns are ignored.
     """
