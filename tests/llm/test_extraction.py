@@ -198,3 +198,32 @@ def test_license_odd(spark, odd):
     got = {(r.doc_id, r.template): (r.start_word, r.n_words) for r in licenses.license_scan(d).collect()}
     assert got == {(1, "mit-grant"): (2, len(grant.split())), (2, "mit-grant"): (0, len(cut.split())), (None, "mit-grant"): (0, len(grant.split()))}
     assert licenses.license_scan(odd).count() == 0 and licenses.license_scan(d.limit(0)).count() == 0
+
+
+def test_licenses_are_told_apart(spark):
+    """One row per license and copy: names and versions must stand in the text; overlapping matches give the best one."""
+    t = {k: text for k, (_, text) in licenses.TEMPLATES.items()}
+    prose = "in the end of the day to the people of the town it is said that the work of the year is the best of any of it " * 3
+    cases = {
+        "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0"],
+        "Licensed under CC BY 4.0. Released under the MIT License.": ["CC-BY-4.0", "MIT"],
+        "Licensed under CC BY-NC 3.0.": [],
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0"],
+        "This work is licensed under the GNU General Public License v3": ["GPL-3.0"],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": [],
+        "Licensed under the Apache License, Version 1.1.": [],
+        "Released under the BSD License.": [],
+        f"{t['mit-grant']} {prose} {t['mit-grant']} {prose}": ["MIT", "MIT"],
+        f"{t['mit-grant']} {t['mit-grant']}": ["MIT", "MIT"],
+        f"{prose} {t['agpl-header']} {prose} {t['apache-header']}": ["AGPL-3.0", "Apache-2.0"],
+        t["isc-grant"]: ["ISC"],
+        t["bsl-grant"]: ["BSL-1.0"],
+        prose: [],
+    }
+    d = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {i: [] for i in range(len(cases))}
+    for r in sorted(licenses.license_scan(d).collect(), key=lambda r: r.start_word):
+        got[r.doc_id].append(r.license)
+    assert list(got.values()) == list(cases.values())
+    alone = licenses.license_scan(spark.createDataFrame([(i, x) for i, x in enumerate(t.values())], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.template, r.coverage, r.start_word) for r in alone) == [(i, k, 1000, 0) for i, k in enumerate(t)]
