@@ -94,3 +94,7 @@ def test_components_of_a_long_path(spark):
 def test_tables_from_pairs_of_collections():
     """The miss at the threshold that the constants promise."""
     assert 2 * (1 - 0.8**near.ROWS) ** near.SIDE < 1e-4
+
+
+def test_links_at_the_threshold_missed_by_one_in_100_000():
+    assert 2 * (1 - 0.8**near.ROWS) ** near.SIDE < 1e-5

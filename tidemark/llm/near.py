@@ -16,8 +16,8 @@ from tidemark.session import written
 from tidemark.llm.tasks import of_batches, of_group, of_groups
 
 #: Two collections of SIDE hashes of ROWS minhashes each give SIDE**2 table keys from 2 * SIDE * ROWS minhashes. A pair of
-#: similarity s is missed with probability below 2 * (1 - s**ROWS)**SIDE: 3e-5 at 0.8, 8e-7 at 0.85, 3e-8 at 0.9.
-SIDE, ROWS = 11, 2
+#: similarity s is missed with probability below 2 * (1 - s**ROWS)**SIDE: 1e-5 at 0.8, 5e-7 at 0.85, 5e-9 at 0.9.
+SIDE, ROWS = 12, 2
 #: Members that one task compares with a bucket's centre.
 STAR = 512
 #: Documents whose table keys one task makes and counts.
