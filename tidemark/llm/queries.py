@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, html, licenses, lm, near, packing, quality, substring, suffix_array
+from tidemark.llm import chat, decontaminate, html, licenses, lm, near, packing, quality, runs, substring, suffix_array
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,7 +55,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(_read(spark, sf_dir, "pages"))
 
 
-_ALL = (op1_substring_dedup, op2_quality_rules, op3_best_fit_packing, op4_suffix_dedup, op5_benchmark_decontamination, op6_license_scan, op7_chat_formatting, op8_lm_scoring, op9_minhash_near_dedup, op10_html_extraction)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(_read(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_substring_dedup, op2_quality_rules, op3_best_fit_packing, op4_suffix_dedup, op5_benchmark_decontamination, op6_license_scan, op7_chat_formatting, op8_lm_scoring, op9_minhash_near_dedup, op10_html_extraction, op11_periodic_runs)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": substring.ORACLE_SQL, "op2_quality_rules": quality.ORACLE_SQL, "op4_suffix_dedup": suffix_array.ORACLE_SQL,
