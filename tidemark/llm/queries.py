@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, decontaminate, html, licenses, lm, near, packing, quality, runs, substring, suffix_array
+from tidemark.llm import chat, decontaminate, html, licenses, lm, near, packing, quality, runs, secret_spans, spelling, substring, suffix_array
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,9 +59,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(_read(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_substring_dedup, op2_quality_rules, op3_best_fit_packing, op4_suffix_dedup, op5_benchmark_decontamination, op6_license_scan, op7_chat_formatting, op8_lm_scoring, op9_minhash_near_dedup, op10_html_extraction, op11_periodic_runs)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(_read(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans.digest(_read(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_substring_dedup, op2_quality_rules, op3_best_fit_packing, op4_suffix_dedup, op5_benchmark_decontamination, op6_license_scan, op7_chat_formatting, op8_lm_scoring, op9_minhash_near_dedup, op10_html_extraction, op11_periodic_runs, op12_spelling_variants, op13_secret_scan)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": substring.ORACLE_SQL, "op2_quality_rules": quality.ORACLE_SQL, "op4_suffix_dedup": suffix_array.ORACLE_SQL,
-    "op7_chat_formatting": chat.ORACLE_SQL, "op9_minhash_near_dedup": near.ORACLE_SQL,
+    "op7_chat_formatting": chat.ORACLE_SQL, "op9_minhash_near_dedup": near.ORACLE_SQL, "op12_spelling_variants": spelling.ORACLE_SQL,
 }
