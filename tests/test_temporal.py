@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import books, brackets, quality, quantiles, resample, slicing, splits, temporal, windows
+from tidemark.operators import books, brackets, ordered, quality, quantiles, resample, slicing, splits, temporal, windows
 
 H, DAY = slicing.HOUR, slicing.DAY
 
@@ -23,26 +23,34 @@ def brute_asof(left, right, tol, allowance=0):
     return sorted(out, key=lambda r: r[0])
 
 
-@pytest.mark.parametrize("width", [7, 50, 10_000])
+def few_rows(monkeypatch, rows):
+    monkeypatch.setattr(ordered, "ROWS", rows)
+    monkeypatch.setattr(ordered, "DRAWN", min(ordered.DRAWN, max(2, rows // 8)))
+    monkeypatch.setattr(ordered, "BLOCK", 3)
+
+
+@pytest.mark.parametrize("size", [20, 60, 1_000_000])
 @pytest.mark.parametrize("allowance", [0, 3])
-def test_asof_backward_brute_force_with_hot_key(spark, width, allowance):
+def test_asof_backward_brute_force_with_hot_key(spark, monkeypatch, size, allowance):
+    few_rows(monkeypatch, size)
     rnd = random.Random(1)
     key = lambda: 0 if rnd.random() < 0.4 else rnd.randrange(1, 6)
     left = [(i, key(), rnd.randrange(0, 600)) for i in range(300)]
     right = [(key(), t, t * 10) for t in rnd.sample(range(0, 600), 250)]
     l, r = spark.createDataFrame(left, "i int, k int, t long"), spark.createDataFrame(right, "k int, t long, v long")
-    out = temporal.asof_backward(l, r, ["k"], "t", "t", tolerance=20, allowance=allowance, width=width)
+    out = temporal.asof_backward(l, r, ["k"], "t", "t", tolerance=20, allowance=allowance)
     got = sorted(((x.i, x.quote.v if x.quote else None) for x in out.select("i", "quote").collect()), key=lambda x: x[0])
     assert got == brute_asof(left, right, 20, allowance)
 
 
-@pytest.mark.parametrize("width", [7, 10_000])
-def test_asof_forward_brute_force(spark, width):
+@pytest.mark.parametrize("size", [20, 1_000_000])
+def test_asof_forward_brute_force(spark, monkeypatch, size):
+    few_rows(monkeypatch, size)
     rnd = random.Random(2)
     left = [(i, rnd.randrange(3), rnd.randrange(0, 500)) for i in range(200)]
     right = [(rnd.randrange(3), t, t) for t in rnd.sample(range(0, 500), 200)]
     l, r = spark.createDataFrame(left, "i int, k int, t long"), spark.createDataFrame(right, "k int, t long, v long")
-    out = temporal.asof_forward(l, r, ["k"], "t", "t", max_gap=15, min_gap=2, width=width)
+    out = temporal.asof_forward(l, r, ["k"], "t", "t", max_gap=15, min_gap=2)
     got = {x.i: (x.later.v if x.later else None) for x in out.select("i", "later").collect()}
     for i, k, t in left:
         ok = [rt for rk, rt, _ in right if rk == k and t + 2 <= rt <= t + 15]
@@ -68,11 +76,12 @@ def test_equal_times_use_the_tie_column(spark):
 
 
 @pytest.mark.parametrize("width", [5, 1000])
-def test_previous_and_running_sums_do_not_depend_on_slices(spark, width):
+def test_previous_and_running_sums_do_not_depend_on_slices(spark, monkeypatch, width):
+    few_rows(monkeypatch, 4 * width)
     rnd = random.Random(3)
     data = [(rnd.randrange(2), t, rnd.randrange(10)) for t in rnd.sample(range(200), 80)]
     df = spark.createDataFrame(data, "k int, t long, v long")
-    prev = {(r.k, r.t): r.previous.v if r.previous else None for r in temporal.with_previous(df, ["k"], "t", ["v"], 30, width=width).collect()}
+    prev = {(r.k, r.t): r.previous.v if r.previous else None for r in temporal.with_previous(df, ["k"], "t", ["v"], 30).collect()}
     sums = {(r.k, r.t): r.s for r in slicing.running_sums(df, ["k"], "t", [], width, {"s": F.col("v")}).collect()}
     peak = {(r.k, r.t): r.m for r in slicing.running_max(df, ["k"], "t", [], width, F.col("v"), "m").collect()}
     gap = {(r.k, r.t): r.previous_t for r in slicing.previous_time(df, ["k"], "t", width).collect()}
@@ -254,7 +263,7 @@ def test_liquidation_uses_a_tenth_of_depth(spark):
 
 def test_exposure_settles_before_entry(spark):
     e = spark.createDataFrame([("g", "a", 0, 10, 5.0), ("g", "b", 10, 20, 7.0), ("g", "c", 12, 30, 1.0)], "g string, ticker string, t long, s long, cost double")
-    got = {r.ticker: r.open_cost for r in books.exposure(e, ["g"], "t", "s", "cost", "ticker", width=4).collect()}
+    got = {r.ticker: r.open_cost for r in books.exposure(e, ["g"], "t", "s", "cost", "ticker").collect()}
     assert got == {"a": 5.0, "b": 7.0, "c": 8.0}
 
 
@@ -313,3 +322,66 @@ def test_expected_block_copies(spark, n):
         assert e[0] == pytest.approx(e[1] / 2)
     m = resample.block_members(days, "day", members=50).groupBy("member").agg(F.sum("copies").alias("n"))
     assert {r.n for r in m.collect()} == {n}
+
+
+@pytest.fixture()
+def one_instant(spark):
+    """Ten thousand rows, nine tenths of them of one key and one instant, in values that tell them apart."""
+    return spark.range(10_000).select(F.col("id"), F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id") % 7).alias("k"),
+                                      F.when(F.col("id") % 10 > 0, 500).otherwise(F.col("id") % 1000).alias("t"), (F.col("id") * 37 % 101 - 50).alias("v"))
+
+
+def test_one_instant_is_cut_into_bounded_parts(one_instant, monkeypatch):
+    few_rows(monkeypatch, 500)
+    parts = ordered.deal(one_instant, ["k"], ["t"])
+    sizes = [r["count"] for r in parts.rows.groupBy("k", "_part").count().collect()]
+    assert parts.cut and sum(sizes) == 10_000 and max(sizes) < 1000 and len(sizes) > 12
+    ranges = parts.rows.where("k = 0").groupBy("_part").agg(F.min("t").alias("a"), F.max("t").alias("b")).orderBy("_part").collect()
+    assert all(x.b <= y.a for x, y in zip(ranges, ranges[1:]))
+
+
+@pytest.mark.parametrize("by", [["k"], []])
+def test_scans_of_one_instant_match_whole_windows(one_instant, monkeypatch, by):
+    from pyspark.sql import Window
+
+    few_rows(monkeypatch, 500)
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("v").over(w)
+    whole = one_instant.withColumns({"s": total, "m": F.max("v").over(w)}).withColumn("equity", F.col("s") + 5.0).withColumn("peak", F.greatest(F.max("equity").over(w), F.lit(5.0)))
+    want = {r.id: (r.s, r.m, r.equity, r.peak - r.equity) for r in whole.collect()}
+    run = ordered.running(one_instant, by, ["t", "id"], {"s": F.col("v")}, {"m": F.col("v")})
+    eq = books.equity_curve(one_instant, "t", F.col("v"), 5.0, ["id"], by)
+    got = {r.id: (r.s, r.m, r.equity, r.drawdown) for r in run.join(eq.select("id", "equity", "drawdown"), "id").collect()}
+    assert got == want
+    opened = ordered.running(one_instant, by, ["t", "id"], {"s": F.col("v")}, before=True)
+    assert {r.id: r.s + r.v for r in opened.collect()} == {i: x[0] for i, x in want.items()}
+
+
+def test_previous_and_asof_across_parts_of_one_instant(one_instant, monkeypatch):
+    few_rows(monkeypatch, 500)
+    got = {r.id: r.p for r in temporal.with_previous(one_instant, ["k"], "t", ["id"], None, tie=["id"]).select("id", F.col("previous.id").alias("p")).collect()}
+    rows = sorted((r.k, r.t, r.id) for r in one_instant.collect())
+    assert got == {b[2]: a[2] if a[0] == b[0] else None for a, b in zip([(-1, 0, 0), *rows], rows)}
+    old = one_instant.where("id = 10 or id = 9990")  # before and after the crowded instant, keys 3 and 1
+    found = temporal.asof_backward(one_instant, old.withColumn("k", F.lit(0)), ["k"], "t", "t", None).where("k = 0").groupBy("quote.id").count().collect()
+    assert {r.id: r["count"] for r in found} == {i: sum(1 for k, t, _ in rows if k == 0 and (t >= 990 if i == 9990 else 10 <= t < 990 if i == 10 else t < 10)) for i in (None, 10, 9990) if i != 9990 or any(k == 0 and t >= 990 for k, t, _ in rows)}
+
+
+def test_equity_has_few_exchanges(one_instant, monkeypatch, capsys):
+    books.equity_curve(one_instant, "t", F.col("v"), 5.0, ["id"]).explain()
+    whole = capsys.readouterr().out
+    few_rows(monkeypatch, 500)
+    books.equity_curve(one_instant, "t", F.col("v"), 5.0, ["id"]).explain()
+    cut = capsys.readouterr().out
+    count = lambda plan: sum("Exchange" in line and "Reused" not in line for line in plan.splitlines())
+    assert count(whole) == 1 and count(cut) <= 4
+
+
+def test_empty_tables_and_null_keys(spark, one_instant, monkeypatch):
+    few_rows(monkeypatch, 500)
+    none = one_instant.limit(0)
+    assert temporal.asof_backward(none, one_instant, ["k"], "t", "t", 5).count() == 0
+    assert temporal.asof_backward(one_instant, none, ["k"], "t", "t", 5).where("quote is null").count() == 10_000
+    assert ordered.running(none, ["k"], ["t"], {"s": F.col("v")}).count() == 0
+    blank = one_instant.withColumn("k", F.lit(None).cast("long"))
+    assert ordered.running(blank, ["k"], ["t", "id"], {"s": F.lit(1)}).agg(F.max("s")).first()[0] == 10_000

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.money import fee_and_cost
-from tidemark.operators.slicing import DAY, running, running_sums
+from tidemark.operators.ordered import running, running_peak
+from tidemark.operators.slicing import running_sums
 
 
 def depth_curve(levels: DataFrame, keys: list[str], rank: str, price: str, quantity: str, width: int, tie: list[str]) -> DataFrame:
@@ -47,18 +48,16 @@ def liquidation_value(positions: DataFrame, bids: DataFrame, on: list[str], ids:
     )
 
 
-def exposure(entries: DataFrame, by: list[str], enter: str, settle: str, cost: str, ticker: str, width: int = DAY) -> DataFrame:
+def exposure(entries: DataFrame, by: list[str], enter: str, settle: str, cost: str, ticker: str) -> DataFrame:
     """Open cost of the group right after each entry; a settlement at the same instant frees its cost first."""
     c = F.col(cost)
     plus = entries.select(*by, ticker, F.col(enter).alias("_t"), F.lit(1).alias("_kind"), c.alias("_delta"))
     minus = entries.select(*by, ticker, F.col(settle).alias("_t"), F.lit(0).alias("_kind"), (-c).alias("_delta"))
-    run = running_sums(plus.unionByName(minus), by, "_t", [F.col("_kind"), F.col(ticker)], width, {"open_cost": F.col("_delta")})
+    run = running(plus.unionByName(minus), by, ["_t", "_kind", ticker], {"open_cost": F.col("_delta")})
     return run.filter("_kind = 1").select(*by, ticker, F.col("_t").alias(enter), "open_cost")
 
 
-def equity_curve(ledger: DataFrame, t: str, pnl: Column, initial: float, order: list[Column], by: list[str] | None = None, width: int = DAY) -> DataFrame:
-    """Running equity, running peak and drawdown of each ledger row, in two-level prefixes."""
-    by = by or []
-    e = running(ledger, by, t, order, width, sums={"equity": pnl}, keep_slice=True).withColumn("equity", F.col("equity") + F.lit(initial))
-    e = running(e, by, t, order, width, maxes={"peak": F.greatest(F.col("equity"), F.lit(initial))})
+def equity_curve(ledger: DataFrame, t: str, pnl: Column, initial: float, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """Running equity, running peak and drawdown of each ledger row, in one ordered scan."""
+    e = running_peak(ledger, by or [], [t, *order], pnl, initial).withColumnRenamed("total", "equity")
     return e.withColumn("drawdown", F.col("peak") - F.col("equity"))

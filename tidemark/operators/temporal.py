@@ -6,28 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.slicing import HOUR, slice_of, sliced, visible_copies
+from tidemark.operators.ordered import carried, deal
+from tidemark.operators.slicing import HOUR, slice_of
 
 
 def _all(df: DataFrame) -> Column:
     return F.struct(*[F.col(c) for c in df.columns])
 
 
-def _nearest(left: DataFrame, right: DataFrame, by: list[str], left_time: Column, right_time: Column, right_side: int, tie: list[str],
-             width: int, nearest: int, farthest: int, forward: bool) -> DataFrame:
-    """Left rows (``_l``) with the nearest right row in time (``_q``): one union, one exchange on (by, slice), one window.
+def _nearest(left: DataFrame, right: DataFrame, by: list[str], left_time: Column, right_time: Column, right_side: int, tie: list[str], forward: bool) -> DataFrame:
+    """Left rows (``_l``) with the nearest right row in time (``_q``): one union, dealt to ordered parts, one window.
 
-    The left side is used once, so chained joins do not repeat each other's work.
+    The left side is used once, so chained joins do not repeat each other's work. A part begins with the nearest right row
+    of the parts before it.
     """
     rank = F.struct(*[F.col(c) for c in tie]) if tie else F.lit(0)
     rank_type = right.select(rank.alias("r")).schema["r"].dataType
     r = right.select(*by, right_time.alias("_t"), F.lit(right_side).alias("_side"), rank.alias("_tie"), _all(right).alias("_r"))
-    r = visible_copies(r, by, "_t", ["_tie"], width, nearest, farthest, forward)
     l = left.select(*by, left_time.alias("_t"), F.lit(1 - right_side).alias("_side"), F.lit(None).cast(rank_type).alias("_tie"), _all(left).alias("_l"))
-    both = sliced(l, by, "_t", width).unionByName(r, allowMissingColumns=True)
-    order = ["_t", "_side", "_tie"] if forward else [F.desc("_t"), F.asc("_side"), F.desc("_tie")]
-    w = W.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return both.withColumn("_q", F.last("_r", ignorenulls=True).over(w)).filter(F.col("_l").isNotNull())
+    order = ["_t", "_side", "_tie"]
+    parts = deal(l.unionByName(r, allowMissingColumns=True), by, order)
+    rows, more = parts.rows, carried(parts, F.col("_r").isNotNull(), [*order, "_r"], order, forward)
+    if more is not None:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    direction = order if forward else [F.desc(c) for c in order]
+    w = parts.window(*direction).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return rows.withColumn("_q", F.last("_r", ignorenulls=True).over(w)).filter(F.col("_l").isNotNull())
 
 
 def asof_backward(
@@ -36,23 +40,21 @@ def asof_backward(
     by: list[str],
     left_time: str,
     right_time: str,
-    tolerance: int,
+    tolerance: int | None,
     allowance: int = 0,
-    width: int | None = None,
     allow_equal: bool = True,
     tie: list[str] | None = None,
     name: str = "quote",
 ) -> DataFrame:
-    """Latest right row that was usable at the left time and is not older than ``tolerance``.
+    """Latest right row that was usable at the left time and is not older than ``tolerance`` (None: however old).
 
     Point-in-time rule: a right row is usable from ``right_time + allowance`` on. Age is measured from ``right_time``.
     Among right rows of equal time the greatest ``tie`` columns win. Adds the struct column ``name`` (NULL if none).
-    ``width`` (default: an hour, or the tolerance if longer) bounds the rows of one key that share a task; it changes the
-    plan's granularity, never the result.
     """
     usable = F.col(right_time) + F.lit(allowance)
-    width = width or max(HOUR, tolerance)
-    found = _nearest(left, right, by, F.col(left_time), usable, 0 if allow_equal else 1, tie or [], width, 0, max(0, tolerance - allowance), forward=True)
+    found = _nearest(left, right, by, F.col(left_time), usable, 0 if allow_equal else 1, tie or [], forward=True)
+    if tolerance is None:
+        return found.select("_l.*", F.col("_q").alias(name))
     fresh = F.col("_t") - F.col(f"_q.{right_time}") <= F.lit(tolerance)
     return found.select("_l.*", F.when(fresh, F.col("_q")).alias(name))
 
@@ -65,7 +67,6 @@ def asof_forward(
     right_time: str,
     max_gap: int,
     min_gap: int = 1,
-    width: int | None = None,
     tie: list[str] | None = None,
     name: str = "later",
 ) -> DataFrame:
@@ -74,25 +75,25 @@ def asof_forward(
     Both sides are read in descending time so that the frame stays unbounded-preceding, which Spark evaluates in linear
     time.
     """
-    width = width or max(HOUR, max_gap)
     start = F.col(left_time) + F.lit(min_gap)
-    found = _nearest(left, right, by, start, F.col(right_time), 0, tie or [], width, 0, max(0, max_gap - min_gap), forward=False)
+    found = _nearest(left, right, by, start, F.col(right_time), 1, tie or [], forward=False)
     near = F.col(f"_q.{right_time}") - F.col(f"_l.{left_time}") <= F.lit(max_gap)
     return found.select("_l.*", F.when(near, F.col("_q")).alias(name))
 
 
-def with_previous(df: DataFrame, by: list[str], t: str, columns: list[str], tolerance: int, width: int | None = None,
-                  tie: list[str] | None = None, name: str = "previous") -> DataFrame:
-    """Attach the preceding row of the same key (as a struct) when it is not older than ``tolerance``."""
-    tie = tie or []
-    width = width or max(HOUR, tolerance)
-    context = visible_copies(df.select(*dict.fromkeys([*by, t, *tie, *columns])), by, t, tie, width, 0, tolerance, forward=True)
-    context = context.filter(F.col("_slice") != slice_of(F.col(t), width)).withColumn("_core", F.lit(False))
-    rows = sliced(df, by, t, width).withColumn("_core", F.lit(True)).unionByName(context, allowMissingColumns=True)
-    prior = F.lag(F.struct(*columns, F.col(t).alias("_pt"))).over(W.partitionBy(*by, "_slice").orderBy(t, *tie))
-    out = rows.withColumn("_p", prior).filter("_core")
-    fresh = F.col(t) - F.col("_p._pt") <= F.lit(tolerance)
-    return out.withColumn(name, F.when(fresh, F.col("_p").dropFields("_pt"))).drop("_p", "_slice", "_core")
+def with_previous(df: DataFrame, by: list[str], t: str, columns: list[str], tolerance: int | None, tie: list[str] | None = None, name: str = "previous") -> DataFrame:
+    """Attach the preceding row of the same key (as a struct) when it is not older than ``tolerance`` (None: however old)."""
+    order = [t, *(tie or [])]
+    parts = deal(df, by, order)
+    needed = list(dict.fromkeys([*order, *columns]))
+    rows, more = parts.rows.withColumn("_own", F.lit(True)), carried(parts, F.lit(True), needed, order)
+    if more is not None:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    prior = F.lag(F.struct(*columns, F.col(t).alias("_pt"))).over(parts.window(*order))
+    out = rows.withColumn("_p", prior).filter("_own")
+    previous = F.col("_p").dropFields("_pt")
+    fresh = F.lit(True) if tolerance is None else F.col(t) - F.col("_p._pt") <= F.lit(tolerance)
+    return out.withColumn(name, F.when(F.col("_p").isNotNull() & fresh, previous)).drop("_p", "_part", "_last", "_own")
 
 
 def fan_out(df: DataFrame, close: str, horizons: list[int], at: str = "at", horizon: str = "horizon") -> DataFrame:
@@ -183,9 +184,9 @@ def scenario_grid(df: DataFrame, **axes: list) -> DataFrame:
 
 
 def match_intent(signals: DataFrame, books: DataFrame, by: list[str], signal_time: str, book_time: str, expires: str,
-                 delay: int, max_latency: int, width: int | None = None, tie: list[str] | None = None) -> DataFrame:
+                 delay: int, max_latency: int, tie: list[str] | None = None) -> DataFrame:
     """First book at least ``delay`` after each signal, not later than ``max_latency`` nor at or past expiry."""
-    m = asof_forward(signals, books, by, signal_time, book_time, max_gap=max_latency, min_gap=delay, width=width, tie=tie, name="book")
+    m = asof_forward(signals, books, by, signal_time, book_time, max_gap=max_latency, min_gap=delay, tie=tie, name="book")
     in_time = F.col(f"book.{book_time}") < F.col(expires)
     return m.withColumn("book", F.when(in_time, F.col("book")))
 

@@ -225,11 +225,11 @@ def remaining_max(decisions: DataFrame, hours: DataFrame, by: list[str], at: str
     )
 
 
-def interpolate_at(points: DataFrame, series: DataFrame, by: list[str], at: str, t: str, value: str, step: int, width: int | None = None, name: str = "interpolated") -> DataFrame:
+def interpolate_at(points: DataFrame, series: DataFrame, by: list[str], at: str, t: str, value: str, step: int, name: str = "interpolated") -> DataFrame:
     """Linear interpolation between the two grid values around ``at``; NULL unless they are exactly ``step`` apart."""
     nxt = series.select(*by, (F.col(t) - F.lit(step)).alias(t), F.col(value).alias("_next"))
     pairs = series.select(*by, t, F.col(value).alias("_this")).join(nxt, [*by, t])
-    j = asof_backward(points, pairs, by, at, t, tolerance=step, width=width, name="_g")
+    j = asof_backward(points, pairs, by, at, t, tolerance=step, name="_g")
     fraction = (F.col(at) - F.col(f"_g.{t}")) / F.lit(float(step))
     line = F.col("_g._this") + (F.col("_g._next") - F.col("_g._this")) * fraction
     inside = F.col(at) - F.col(f"_g.{t}") < F.lit(step)
@@ -284,11 +284,11 @@ def covered_length(intervals: DataFrame, by: list[str], a: str, b: str, width: i
     return cut.withColumn("_len", piece).groupBy(*by).agg(F.sum("_len").alias("covered"))
 
 
-def revision(df: DataFrame, by: list[str], t: str, value: str, tolerance: int, width: int | None = None, tie: list[str] | None = None) -> DataFrame:
+def revision(df: DataFrame, by: list[str], t: str, value: str, tolerance: int, tie: list[str] | None = None) -> DataFrame:
     """Difference from the previous snapshot of the same key within ``tolerance``; NULL for the first."""
     from tidemark.operators.temporal import with_previous
 
-    out = with_previous(df, by, t, [value], tolerance, width, tie)
+    out = with_previous(df, by, t, [value], tolerance, tie)
     return out.withColumn("revision", F.col(value) - F.col(f"previous.{value}")).drop("previous")
 
 

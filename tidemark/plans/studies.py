@@ -21,12 +21,12 @@ def price_samples(markets: DataFrame, candles: DataFrame, horizons_hours: list[i
     """One row per contract and horizon: newest valid hourly quote at the cutoff (at most 1 h old), the previous quote
     (2 h), and the next quote (2 h) as execution scenario only. ``close_s``/``end_ts`` are epoch seconds."""
     q = candles.filter("bid IS NOT NULL").select("ticker", "end_ts", "bid", "ask")
-    q = temporal.with_previous(q, ["ticker"], "end_ts", ["bid", "ask"], 7200, width=86400, name="before")
+    q = temporal.with_previous(q, ["ticker"], "end_ts", ["bid", "ask"], 7200, name="before")
     m = T.settled_sample_filter(markets)
     d = temporal.fan_out(m, "close_s", [h * 3600 for h in horizons_hours], at="cutoff", horizon="horizon_s")
-    j = temporal.asof_backward(d, q, ["ticker"], "cutoff", "end_ts", 3600, width=86400, name="quote").filter("quote IS NOT NULL")
+    j = temporal.asof_backward(d, q, ["ticker"], "cutoff", "end_ts", 3600, name="quote").filter("quote IS NOT NULL")
     j = j.withColumn("at", F.col("quote.end_ts")).filter(F.col("at") < F.col("settled_s"))
-    j = temporal.asof_forward(j, q.select("ticker", "end_ts", "bid", "ask"), ["ticker"], "at", "end_ts", 7200, width=86400, name="next")
+    j = temporal.asof_forward(j, q.select("ticker", "end_ts", "bid", "ask"), ["ticker"], "at", "end_ts", 7200, name="next")
     mid = lambda s: (F.col(f"{s}.bid") + F.col(f"{s}.ask")) / F.lit(2.0)
     p = mid("quote")
     return j.select(
@@ -46,9 +46,9 @@ def bar_contract_rows(contracts: DataFrame, candles: DataFrame, features: DataFr
     The execution quote is used only if it ends exactly one step after the decision quote.
     """
     q = candles.filter("bid IS NOT NULL").select("ticker", "end_ts", "bid", "ask")
-    q = temporal.with_previous(q, ["ticker"], "end_ts", ["bid", "ask"], quote_window, width=86400, name="before")
+    q = temporal.with_previous(q, ["ticker"], "end_ts", ["bid", "ask"], quote_window, name="before")
     d = contracts.withColumn("reason", T.supported_contract(contracts)).withColumn("at", F.col("close_s") - F.lit(before_close))
-    j = temporal.asof_backward(d, q, ["ticker"], "at", "end_ts", quote_window, allowance=allowance, width=86400, name="quote")
+    j = temporal.asof_backward(d, q, ["ticker"], "at", "end_ts", quote_window, allowance=allowance, name="quote")
     two_sided = (F.col("quote.bid") > 0) & (F.col("quote.ask") < 1)
     fresh = (F.col("at") - F.col("quote.end_ts") <= max_age) & (F.col("quote.end_ts") > F.col("open_s"))
     j = j.withColumn("reason", F.coalesce("reason", F.when(F.col("quote").isNull(), "no_quote").when(~fresh, "stale_quote").when(~two_sided, "no_two_sided_price")))
@@ -150,8 +150,8 @@ def prospective_dataset(weather: DataFrame, markets: DataFrame, books: DataFrame
     """
     from tidemark.operators.ranking import one_per_hour
 
-    j = temporal.asof_backward(weather, markets, ["ticker"], "at", "available_t", market_age, width=market_age, name="market")
-    j = temporal.asof_backward(j, books, ["ticker"], "at", "available_t", market_age, width=market_age, name="book")
+    j = temporal.asof_backward(weather, markets, ["ticker"], "at", "available_t", market_age, name="market")
+    j = temporal.asof_backward(j, books, ["ticker"], "at", "available_t", market_age, name="book")
     stale = F.col("at") - F.col("book.observed_t") > max_book_age
     bad = ~((F.col("book.bid") >= 0) & (F.col("book.bid") <= F.col("book.ask")) & (F.col("book.ask") <= 1))
     j = j.withColumn("reason", F.when(F.col("market").isNull() | F.col("book").isNull(), "missing_market_or_book").when(stale, "stale_book").when(F.col("book.bid").isNull() | F.col("book.ask").isNull(), "empty_book").when(bad, "invalid_book"))
