@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import books, brackets, ordered, quality, quantiles, resample, slicing, splits, temporal, windows
+from tidemark.operators import books, brackets, ordered, quality, quantiles, ranges, resample, slicing, splits, temporal, windows
 
 H, DAY = slicing.HOUR, slicing.DAY
 
@@ -334,9 +334,9 @@ def one_instant(spark):
 def test_one_instant_is_cut_into_bounded_parts(one_instant, monkeypatch):
     few_rows(monkeypatch, 500)
     parts = ordered.deal(one_instant, ["k"], ["t"])
-    sizes = [r["count"] for r in parts.rows.groupBy("k", "_part").count().collect()]
+    sizes = [r["count"] for r in parts.rows.groupBy("k", "__part").count().collect()]
     assert parts.cut and sum(sizes) == 10_000 and max(sizes) < 1000 and len(sizes) > 12
-    ranges = parts.rows.where("k = 0").groupBy("_part").agg(F.min("t").alias("a"), F.max("t").alias("b")).orderBy("_part").collect()
+    ranges = parts.rows.where("k = 0").groupBy("__part").agg(F.min("t").alias("a"), F.max("t").alias("b")).orderBy("__part").collect()
     assert all(x.b <= y.a for x, y in zip(ranges, ranges[1:]))
 
 
@@ -385,3 +385,34 @@ def test_empty_tables_and_null_keys(spark, one_instant, monkeypatch):
     assert ordered.running(none, ["k"], ["t"], {"s": F.col("v")}).count() == 0
     blank = one_instant.withColumn("k", F.lit(None).cast("long"))
     assert ordered.running(blank, ["k"], ["t", "id"], {"s": F.lit(1)}).agg(F.max("s")).first()[0] == 10_000
+
+
+@pytest.mark.parametrize("size", [40, 1_000_000])
+def test_interval_max_brute_force(spark, monkeypatch, size):
+    few_rows(monkeypatch, size)
+    rnd = random.Random(9)
+    points = [(rnd.choice([0, 0, 0, 1, None]), rnd.choice([None, *range(200)]), rnd.randrange(1000)) for _ in range(400)]
+    asked = [(i, rnd.choice([0, 0, 1, 2, None]), a, a + rnd.choice([-3, 0, 1, 5, 60, 250])) for i, a in enumerate(rnd.choices(range(-20, 220), k=150))]
+    p, i = spark.createDataFrame(points, "k int, t long, v long"), spark.createDataFrame(asked + asked[:5], "i int, k int, a long, b long")
+    got = ranges.interval_max(i, p, ["k"], ("a", "b"), "t", {"top": "v"}, tie=["v"]).collect()
+    hits = lambda k, a, b: [v for kk, t, v in points if kk == k and t is not None and a <= t < b]
+    want = [(n, len(hits(k, a, b)), max(hits(k, a, b), default=-1)) for n, k, a, b in asked + asked[:5]]
+    assert sorted((r.i, r.points, -1 if r.top is None else r.top) for r in got) == sorted(want)
+
+
+def test_ranges_are_few_blocks(spark):
+    levels = 11
+    df = spark.createDataFrame([(a, b) for a in range(0, 60, 7) for b in (a, a + 1, a + 2, a + 31, a + 1000, a + 2047)], "a long, b long")
+    for r in df.withColumn("x", ranges.blocks_of_range(F.col("a"), F.col("b"), levels)).collect():
+        covered = sorted(n for x in r.x for n in range(x.node << x.level, (x.node + 1) << x.level))
+        assert covered == list(range(r.a, r.b)) and len(r.x) <= 2 * levels
+    one = spark.createDataFrame([(37,)], "n long").select(ranges.blocks_of_point(F.col("n"), 4).alias("x")).first().x
+    assert [(x.level, x.node) for x in one] == [(0, 37), (1, 18), (2, 9), (3, 4)]
+
+
+def test_remaining_max_asks_for_few_rows(spark):
+    """A decision meets at most two blocks of each level per run and model, not every hour."""
+    hours = spark.range(48).select(F.lit("S").alias("station"), F.lit(0).cast("long").alias("initialized"), F.explode(F.array(F.lit("gfs"), F.lit("ecmwf"))).alias("model"), (F.col("id") * H).alias("valid_at"), F.col("id").cast("double").alias("value"))
+    d = spark.range(100).select(F.col("id"), F.lit("S").alias("station"), (F.lit(DAY) + F.col("id") * 60_000_000).alias("at"), F.lit(DAY).alias("day_start"))
+    out = windows.remaining_max(d, hours, ["station"], "at", "day_start", "initialized").collect()
+    assert len(out) == 100 and all(r.remaining_forecast_max == 47 for r in out)

@@ -48,7 +48,7 @@ def same_key(by: list[str], left: str, right: str) -> Column:
 
 @dataclass
 class Parts:
-    """rows with `_part` and `_last`, the number of the key's last part; `cut` if any key has more than one."""
+    """rows with `__part` and `__last`, the number of the key's last part; `cut` if any key has more than one."""
 
     rows: DataFrame
     by: list[str]
@@ -56,7 +56,7 @@ class Parts:
 
     @property
     def keys(self) -> list[str]:
-        return [*self.by, "_part"]
+        return [*self.by, "__part"]
 
     def window(self, *order) -> W:
         return W.partitionBy(*self.keys).orderBy(*order)
@@ -78,7 +78,7 @@ def _splitters(df: DataFrame, by: list[str], hot: DataFrame, value: Column) -> D
 def deal(df: DataFrame, by: list[str], order: list[str]) -> Parts:
     """Parts of df, cut in the order of `order` and a hash of the row; null keys are a key."""
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ROWS)
-    whole = Parts(df.withColumns({"_part": F.lit(0), "_last": F.lit(0)}), by, False)
+    whole = Parts(df.withColumns({"__part": F.lit(0), "__last": F.lit(0)}), by, False)
     if not counts.limit(1).count():
         return whole
     hot = written(counts.select(*by) if by else counts, "hot-keys")
@@ -97,24 +97,24 @@ def deal(df: DataFrame, by: list[str], order: list[str]) -> Parts:
     inside = F.size(F.filter(F.get("_blocks", F.col("_begun") - 1), lambda s: s <= F.col("_value")))
     last = F.coalesce((F.size("_blocks") - 1) * BLOCK + F.size(F.element_at("_blocks", -1)), F.lit(0))
     part = F.when(F.col("_begun") > 0, (F.col("_begun") - 1) * BLOCK + inside).otherwise(0)
-    return Parts(evaluated_once(rows, _part=part, _last=F.when(F.size("_blocks") > 0, last).otherwise(0)).drop("_value", "_blocks", "_begun"), by, True)
+    return Parts(evaluated_once(rows, __part=part, __last=F.when(F.size("_blocks") > 0, last).otherwise(0)).drop("_value", "_blocks", "_begun"), by, True)
 
 
 def carried(parts: Parts, wanted: Column, columns: list[str], order: list[str], forward: bool = True) -> DataFrame | None:
     """For each part, the nearest row of an earlier part (a later one if not `forward`) for which `wanted` holds.
 
-    Columns: by, _part, columns. One row per part that has wanted rows is repeated up to the next such part; None if no
+    Columns: by, __part, columns. One row per part that has wanted rows is repeated up to the next such part; None if no
     key is cut.
     """
     if not parts.cut:
         return None
     pick = F.max_by if forward else F.min_by
-    edge = parts.rows.where(wanted).where("_last > 0").groupBy(*parts.keys).agg(pick(F.struct(*columns), F.struct(*order)).alias("_e"), F.max("_last").alias("_last"))
-    w = W.partitionBy(*(parts.by or [F.lit(0)])).orderBy(F.asc("_part") if forward else F.desc("_part"))
-    stop = F.lead("_part").over(w)
-    begin, end = (F.col("_part") + 1, F.coalesce(stop, F.col("_last"))) if forward else (F.coalesce(stop, F.lit(0)), F.col("_part") - 1)
+    edge = parts.rows.where(wanted).where("__last > 0").groupBy(*parts.keys).agg(pick(F.struct(*columns), F.struct(*order)).alias("_e"), F.max("__last").alias("__last"))
+    w = W.partitionBy(*(parts.by or [F.lit(0)])).orderBy(F.asc("__part") if forward else F.desc("__part"))
+    stop = F.lead("__part").over(w)
+    begin, end = (F.col("__part") + 1, F.coalesce(stop, F.col("__last"))) if forward else (F.coalesce(stop, F.lit(0)), F.col("__part") - 1)
     reach = edge.select(*parts.keys, "_e", begin.alias("_from"), end.alias("_to")).where("_from <= _to")
-    return reach.select(*parts.by, F.explode(F.sequence("_from", "_to")).alias("_part"), "_e.*")
+    return reach.select(*parts.by, F.explode(F.sequence("_from", "_to")).alias("__part"), "_e.*")
 
 
 def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None, before: bool = False) -> DataFrame:
@@ -128,10 +128,10 @@ def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Colu
     upto, past = inside.rowsBetween(W.unboundedPreceding, 0), inside.rowsBetween(W.unboundedPreceding, -1 if before else 0)
     local = {n: F.coalesce(F.sum(v).over(past), F.lit(0)) for n, v in sums.items()} | {n: F.max(v).over(upto) for n, v in maxes.items()}
     if not parts.cut:
-        return parts.rows.withColumns(local).drop("_part", "_last")
+        return parts.rows.withColumns(local).drop("__part", "__last")
     rows = parts.rows.withColumns(local)
     totals = parts.rows.groupBy(*parts.keys).agg(*[F.sum(v).alias(f"_s_{n}") for n, v in sums.items()], *[F.max(v).alias(f"_s_{n}") for n, v in maxes.items()])
-    prior = W.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    prior = W.partitionBy(*(by or [F.lit(0)])).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     opening = totals.select(*parts.keys, *[F.coalesce(F.sum(f"_s_{n}").over(prior), F.lit(0)).alias(f"_o_{n}") for n in sums], *[F.max(f"_s_{n}").over(prior).alias(f"_o_{n}") for n in maxes])
     out = rows.alias("r").join(opening.alias("o"), same_key(parts.keys, "r", "o"))
     whole = {n: F.col(f"r.{n}") + F.col(f"_o_{n}") for n in sums} | {n: F.greatest(f"r.{n}", f"_o_{n}") for n in maxes}
@@ -148,9 +148,9 @@ def running_peak(df: DataFrame, by: list[str], order: list[str], delta: Column,
     rows = parts.rows.withColumn("_sum", F.sum(delta).over(inside)).withColumn("_top", F.max("_sum").over(inside))
     if not parts.cut:
         total, peak = F.col("_sum") + F.lit(initial), F.greatest(F.col("_top") + F.lit(initial), F.lit(initial))
-        return rows.withColumns({"total": total, "peak": peak}).drop("_sum", "_top", "_part", "_last")
+        return rows.withColumns({"total": total, "peak": peak}).drop("_sum", "_top", "__part", "__last")
     ends = rows.groupBy(*parts.keys).agg(F.sum(delta).alias("_s"), F.max("_top").alias("_m"))
-    prior = W.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    prior = W.partitionBy(*(by or [F.lit(0)])).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     opened = ends.withColumn("_open", F.coalesce(F.sum("_s").over(prior), F.lit(0.0)) + F.lit(initial))
     opened = opened.select(*parts.keys, "_open", F.greatest(F.max(F.col("_m") + F.col("_open")).over(prior), F.lit(initial)).alias("_peak"))
     out = rows.alias("r").join(opened.alias("o"), same_key(parts.keys, "r", "o"))

@@ -93,7 +93,7 @@ def with_previous(df: DataFrame, by: list[str], t: str, columns: list[str], tole
     out = rows.withColumn("_p", prior).filter("_own")
     previous = F.col("_p").dropFields("_pt")
     fresh = F.lit(True) if tolerance is None else F.col(t) - F.col("_p._pt") <= F.lit(tolerance)
-    return out.withColumn(name, F.when(F.col("_p").isNotNull() & fresh, previous)).drop("_p", "_part", "_last", "_own")
+    return out.withColumn(name, F.when(F.col("_p").isNotNull() & fresh, previous)).drop("_p", "__part", "__last", "_own")
 
 
 def fan_out(df: DataFrame, close: str, horizons: list[int], at: str = "at", horizon: str = "horizon") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import cyclic, normal_cdf, clip
 from tidemark.operators.slicing import DAY, HOUR, halo, running, slice_of
-from tidemark.operators.temporal import asof_backward, overlap_join
+from tidemark.operators.ranges import blocks_of_point, blocks_of_range
+from tidemark.operators.temporal import asof_backward
 
 # Bar feature definition (minutes at the default step).
 LOOKBACK, SIGMA_RETURNS, DECAY, SIGMA_FLOOR = 120, 60, 0.94, 1e-6
@@ -194,24 +195,39 @@ def running_max_obs(decisions: DataFrame, obs: DataFrame, by: list[str], at: str
     }).drop("_o", "_day", "_cut")
 
 
+#: A day and what an hour that began before it adds are at most 25 hours: blocks of up to 16.
+DAY_LEVELS = 5
+
+
 def remaining_max(decisions: DataFrame, hours: DataFrame, by: list[str], at: str, day_start: str, initialized: str,
-                  allowance: int = 8 * HOUR, models: tuple[str, str] = ("gfs", "ecmwf"), width: int = 12 * HOUR) -> DataFrame:
+                  allowance: int = 8 * HOUR, models: tuple[str, str] = ("gfs", "ecmwf")) -> DataFrame:
     """Per-model maximum of the forecast over the rest of the station day, only with full coverage of it.
 
     Point-in-time rule: a run is usable from initialisation + allowance (8 h or more). Hours before the decision or
-    outside the day do not count. ``hours`` is long: (by..., initialized, model, valid_at, value).
+    outside the day do not count. ``hours`` is long: (by..., initialized, model, valid_at, value). A run is kept as maxima
+    of blocks of 1, 2, 4, 8 and 16 hours, of which a decision asks for two each at most.
     """
     if allowance < 8 * HOUR:
         raise ValueError("the publication allowance must be at least eight hours")
-    ids = decisions.columns
+    ids, run = decisions.columns, [*by, "_init", "_phase"]
+    phase = F.pmod(F.col("valid_at"), F.lit(HOUR))
+    usable = hours.where((F.col("value") > -100) & (F.col("value") < 150) & (F.col("valid_at") >= F.col(initialized)))
+    leaf = usable.groupBy(*by, F.col(initialized).alias("_init"), phase.alias("_phase"), "model", F.floor(F.col("valid_at") / HOUR).cast("long").alias("_hour")).agg(F.max("value").alias("_max"), F.count(F.lit(1)).alias("_rows"))
+    table = leaf.withColumn("_block", F.explode(blocks_of_point(F.col("_hour"), DAY_LEVELS)))
+    table = table.groupBy(*run, "model", "_block.level", "_block.node").agg(F.max("_max").alias("_max"), F.sum("_rows").alias("_rows"), F.count(F.lit(1)).alias("_hours"))
+    # A run is paired with the decisions whose day ends in what it covers: those are the rows of the result, or nearly.
+    spans = leaf.groupBy(*run).agg(F.min("_hour").alias("_first"), F.max("_hour").alias("_final"))
+    days = lambda hour: F.floor(hour * HOUR / DAY).cast("long")
+    spans = spans.withColumn("_day", F.explode(F.sequence(days(F.col("_first")), days(F.col("_final") + 1))))
     d = decisions.withColumn("_from", F.greatest(F.col(at), F.col(day_start))).withColumn("_to", F.col(day_start) + F.lit(DAY))
-    h = hours.select(*by, "model", "value", F.col("valid_at").alias("_a"), (F.col("valid_at") + F.lit(HOUR)).alias("_b"), initialized)
-    pair = overlap_join(d, h, by, ("_from", "_to"), ("_a", "_b"), width).filter(
-        (F.col(initialized) + F.lit(allowance) <= F.col(at)) & (F.col("value") > -100) & (F.col("value") < 150) & (F.col("_a") >= F.col(initialized))
-    )
-    per_model = pair.groupBy(*ids, initialized, "model", (F.col("_to") - F.col("_from")).alias("_need")).agg(
-        F.max("value").alias("_max"), F.sum("overlap").alias("_covered"), F.count(F.lit(1)).alias("_hours"), F.count_distinct("_a").alias("_starts")
-    ).filter((F.col("_covered") == F.col("_need")) & (F.col("_hours") == F.col("_starts")))
+    d = d.withColumn("_day", F.floor((F.col("_to") - 1) / DAY).cast("long"))
+    pair = d.join(spans, [*by, "_day"]).where(F.col("_init") + F.lit(allowance) <= F.col(at))
+    pair = pair.withColumn("_lo", F.floor((F.col("_from") - F.col("_phase")) / HOUR).cast("long")).withColumn("_hi", F.ceil((F.col("_to") - F.col("_phase")) / HOUR).cast("long"))
+    pair = pair.where((F.col("_first") <= F.col("_lo")) & (F.col("_hi") <= F.col("_final") + 1) & (F.col("_lo") < F.col("_hi")))
+    asked = pair.withColumn("_block", F.explode(blocks_of_range(F.col("_lo"), F.col("_hi"), DAY_LEVELS))).select(*ids, "_init", "_phase", "_from", "_to", "_lo", "_hi", "_block.level", "_block.node")
+    per_model = asked.join(table, [*run, "level", "node"]).groupBy(*ids, F.col("_init").alias(initialized), "_phase", "model", "_lo", "_hi", (F.col("_to") - F.col("_from")).alias("_need")).agg(
+        F.max("_max").alias("_max"), F.sum("_hours").alias("_hours"), F.sum("_rows").alias("_rows")
+    ).filter((F.col("_hours") == F.col("_hi") - F.col("_lo")) & (F.col("_rows") == F.col("_hours")))
     one = lambda m: F.max(F.when(F.col("model") == m, F.col("_max")))
     a, b = models
     wide = per_model.groupBy(*ids, initialized, "_need").agg(one(a).alias(f"{a}_max"), one(b).alias(f"{b}_max"))

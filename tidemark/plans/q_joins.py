@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import rounded
 from tidemark.operators import temporal as J
+from tidemark.operators.ranges import interval_max
 from tidemark.plans.registry import query
 from tidemark.plans.standins import DAY, R, S, SAMPLES, TICKS, samples, table, ticks
 
@@ -144,10 +145,8 @@ def point_in_interval_max(spark, sf):
     t = ticks(spark, sf)
     i = _side(t, "signup").select(F.col("event_id").alias("interval_id"), "user_id", F.col("t").alias("a"), (F.col("t") + DAY).alias("b"))
     p = t.filter("event_type <> 'signup'").select("user_id", "t", "event_id", "value")
-    hit = J.points_in_interval(i, p, ["user_id"], ("a", "b"), "t", width=6 * H)
-    return hit.groupBy(F.col("interval_id").alias("event_id")).agg(
-        F.count(F.lit(1)).alias("points"), F.max("value").alias("max_value"),
-        F.max_by("value", F.struct("t", "event_id")).alias("last_value"))
+    found = interval_max(i, p.withColumn("_last", F.struct("t", "event_id", "value")), ["user_id"], ("a", "b"), "t", {"max_value": "value", "_last": "_last"}, tie=["event_id"])
+    return found.where("points > 0").select(F.col("interval_id").alias("event_id"), "points", "max_value", F.col("_last.value").alias("last_value"))
 
 
 @query("intent_to_book_match", f"""
