@@ -220,3 +220,44 @@ def test_newton_steps_descend_from_far_offsets(spark):
     c = models.fit_market_offset(df, [], ["x"], l2=1e-4, bound=None).first().coef
     g = sum(x * (1 / (1 + math.exp(-(math.log(p / (1 - p)) + c * x))) - y) for x, p, y in rows) / len(rows) + 2e-4 * c
     assert abs(g) < 1e-8
+
+
+def test_first_answers_of_two_runs_equal_the_batch(spark, tmp_path):
+    """Rows out of order within the watermark, in several files and two runs; the second run goes on from the first."""
+    import random
+
+    rng = random.Random(5)
+    base = 1_700_000_000
+    rows = [(i, rng.randrange(4), base + rng.randrange(0, 40_000), i % 3 == 0, rng.choice([600, 20_000])) for i in range(600)]
+    rows.sort(key=lambda r: r[2] + rng.randrange(0, 500))
+    frame = lambda part: spark.createDataFrame(part, "id long, key long, s long, answer boolean, life long").withColumn("ts", F.timestamp_seconds("s"))
+    src, out, checkpoint = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "check")
+    for run, half in enumerate((rows[:300], rows[300:])):
+        for k in range(0, 300, 100):
+            frame(half[k : k + 100]).coalesce(1).write.mode("append").parquet(src)
+        t = spark.readStream.schema("id long, key long, s long, answer boolean, life long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+        signals = t.where("not answer").select("key", "ts", "id", (F.col("ts") + F.make_dt_interval(secs=F.col("life"))).alias("expires"))
+        m = streams.match_intents(signals, t.where("answer").select("key", "ts", "id"), "30 SECONDS", "3 HOURS", "10 minutes")
+        table = streams.run_available(m, "m", "update", rocksdb=True, out=out, checkpoint=checkpoint)
+    want = {}
+    for i, k, s, answer, life in rows:
+        if not answer:
+            ok = [(bs, b) for b, bk, bs, is_book, _ in rows if is_book and bk == k and s + 30 <= bs <= s + 10_800 and bs < s + life]
+            if ok:
+                want[i] = min(ok)[1]
+    got = {r.id: r.answer_id for r in streams.latest_version(table, ["id"]).collect()}
+    assert got == want and len(want) > 50
+    assert table.count() <= 1.2 * len(want)  # found books, no candidates
+
+
+def test_settlement_waits_without_a_horizon(spark, tmp_path):
+    base = 1_700_000_000
+    day = 86_400
+    rows = [(1, 1, base, 0, None), (2, 1, base + 5, 0, day), (3, 2, base, 0, None), (4, 1, base + 400 * day, 1, None), (5, 2, base, 1, None), (6, 2, base + 500 * day, 1, None)]
+    src, out, checkpoint = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "check")
+    for part in (rows[:3], rows[3:]):
+        spark.createDataFrame(part, "id long, key long, s long, kind int, life long").coalesce(1).write.mode("append").parquet(src)
+        t = spark.readStream.schema("id long, key long, s long, kind int, life long").parquet(src).withColumn("ts", F.timestamp_seconds("s"))
+        p = t.where("kind = 0").select("key", "ts", "id", F.timestamp_seconds(F.col("s") + F.col("life")).alias("close"))
+        table = streams.run_available(streams.settle(p, t.where("kind = 1").select("key", "ts", "id"), "1 hour"), "s", "update", rocksdb=True, out=out, checkpoint=checkpoint)
+    assert {r.id: r.answer_id for r in streams.latest_version(table, ["id"]).collect()} == {1: 4, 3: 6}

@@ -67,19 +67,20 @@ WITH {TICKS}, m AS (SELECT s.event_id, arg_min(b.event_id, (b.t, b.event_id)) AS
 SELECT event_id, book_id FROM m""")
 def stream_match_intents(spark, sf):
     t = tick_stream(spark, sf)
-    s = t.filter("event_type = 'view'").select("event_id", "user_id", F.col("ts").alias("signal_ts"), (F.col("ts") + F.expr("INTERVAL 12 HOURS")).alias("expires"))
-    b = tick_stream(spark, sf).filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("book_ts"), F.col("event_id").alias("book_id"))
-    m = T.match_intents(s, b, "user_id", "signal_ts", "book_ts", "expires", "5 SECONDS", "24 HOURS", "1 hour")
-    out = T.run_available(m, "stream_match_intents")
-    return D.first_per_key(out.select("event_id", "book_id", "book_ts"), ["event_id"], ["book_ts", "book_id"]).select("event_id", "book_id")
+    s = t.filter("event_type = 'view'").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), (F.col("ts") + F.expr("INTERVAL 12 HOURS")).alias("expires"))
+    b = tick_stream(spark, sf).filter("event_type = 'purchase'").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"))
+    m = T.match_intents(s, b, "5 SECONDS", "24 HOURS", "1 hour")
+    out = T.latest_version(T.run_available(m, "stream_match_intents", "update", rocksdb=True), ["id"])
+    return out.select(F.col("id").alias("event_id"), F.col("answer_id").alias("book_id"))
 
 
 @query("stream_settle", f"""
-WITH {TICKS} SELECT p.event_id AS prediction_id, o.event_id AS outcome_id FROM ticks p JOIN ticks o ON o.user_id = p.user_id AND o.event_type = 'purchase' AND o.t > p.t AND o.t <= p.t + 21600000000 WHERE p.event_type = 'click'""")
+WITH {TICKS} SELECT p.event_id AS prediction_id, arg_min(o.event_id, (o.t, o.event_id)) AS outcome_id FROM ticks p JOIN ticks o ON o.user_id = p.user_id AND o.event_type = 'purchase' AND o.t > p.t WHERE p.event_type = 'click' GROUP BY 1""")
 def stream_settle(spark, sf):
-    p = tick_stream(spark, sf).filter("event_type = 'click'").select("user_id", F.col("event_id").alias("prediction_id"), F.col("ts").alias("made"))
-    o = tick_stream(spark, sf).filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("outcome_id"), F.col("ts").alias("settled"))
-    return T.run_available(T.settle(p, o, "user_id", "made", "settled", "6 HOURS", "1 hour"), "stream_settle").select("prediction_id", "outcome_id")
+    p = tick_stream(spark, sf).filter("event_type = 'click'").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), F.lit(None).cast("timestamp").alias("close"))
+    o = tick_stream(spark, sf).filter("event_type = 'purchase'").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"))
+    out = T.latest_version(T.run_available(T.settle(p, o, "1 hour"), "stream_settle", "update", rocksdb=True), ["id"])
+    return out.select(F.col("id").alias("prediction_id"), F.col("answer_id").alias("outcome_id"))
 
 
 @query("stream_record_validation", f"""

@@ -91,24 +91,106 @@ def first_prediction(stream: DataFrame, key: list[str], order: list[str], value:
     return stream.groupBy(*key).agg(F.min_by(F.struct(*value), F.struct(*order)).alias("prediction"))
 
 
-def match_intents(signals: DataFrame, books: DataFrame, key: str, signal_ts: str, book_ts: str, expires: str, delay: str, latency: str, watermark: str) -> DataFrame:
-    """Candidate books of each signal: at least ``delay`` later, within ``latency`` and before expiry.
+def first_answer_processor(gap_us: int):
+    """Stateful search for the earliest answer of each waiting row, per key.
 
-    A stream-stream join whose time bounds let Spark drop state; reduce to the first book per signal with
-    ``ranking.first_per_key`` on the written table.
+    Rows: key, ts_us, id, is_answer, until_us (null: for ever). A waiting row is answered by the first answer (by ts, id) at
+    least ``gap_us`` later and before ``until_us``. State: waiting rows with their earliest answer so far, until the watermark
+    has passed that answer or their end, and answers that a waiting row may still ask for. An answer is sent when it is
+    found, and again when an earlier one arrives: the newest row of an id is right.
     """
-    s = signals.withWatermark(signal_ts, watermark)
-    b = books.withWatermark(book_ts, watermark).withColumnRenamed(key, "_key")
-    bound = (F.col(book_ts) >= F.col(signal_ts) + F.expr(f"INTERVAL {delay}")) & (F.col(book_ts) <= F.col(signal_ts) + F.expr(f"INTERVAL {latency}")) & (F.col(book_ts) < F.col(expires))
-    return s.join(b, (F.col(key) == F.col("_key")) & bound).drop("_key")
-
-
-def settle(predictions: DataFrame, outcomes: DataFrame, key: str, made: str, settled: str, horizon: str, watermark: str) -> DataFrame:
-    """Predictions joined to outcomes that arrived strictly later, within ``horizon``."""
-    p = predictions.withWatermark(made, watermark)
-    o = outcomes.withWatermark(settled, watermark).withColumnRenamed(key, "_key")
-    bound = (F.col(settled) > F.col(made)) & (F.col(settled) <= F.col(made) + F.expr(f"INTERVAL {horizon}"))
-    return p.join(o, (F.col(key) == F.col("_key")) & bound).drop("_key")
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    never = np.iinfo(np.int64).max
+    fields = lambda *names: StructType([StructField(n, LongType()) for n in names])
+
+    class FirstAnswer(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.waiting = handle.getListState("waiting", fields("id", "ts", "until", "best_ts", "best_id"))
+            self.answers = handle.getListState("answers", fields("ts", "id"))
+
+        def _load(self, state, width: int) -> np.ndarray:
+            return np.array([list(r) for r in state.get()] if state.exists() else [], np.int64).reshape(-1, width)
+
+        def _store(self, waiting: np.ndarray, answers: np.ndarray, mark_us: int) -> None:
+            open_ = (waiting[:, 2] > mark_us) & (waiting[:, 3] >= mark_us)
+            waiting, answers = waiting[open_], answers[answers[:, 0] >= mark_us + gap_us]
+            for state, rows in ((self.waiting, waiting), (self.answers, answers)):
+                if len(rows):
+                    state.put([tuple(map(int, r)) for r in rows])
+                else:
+                    state.clear()
+            ends = np.concatenate((np.minimum(waiting[:, 2], waiting[:, 3]), answers[:, 0] - gap_us + 1))
+            ends = ends[ends < never]
+            if len(ends):  # what is over first; a timer in the past would fire at once and again
+                self.handle.registerTimer(int(max(ends.min(), mark_us) // 1000 + 1))
+
+        def handleInputRows(self, key, rows, timerValues):
+            mark_us = timerValues.getCurrentWatermarkInMs() * 1000
+            batch = pd.concat(list(rows))
+            new = batch[~batch["is_answer"].astype(bool)]
+            until = new["until_us"].astype("Int64").fillna(never).to_numpy(np.int64)
+            fresh = np.stack([new["id"].to_numpy(np.int64), new["ts_us"].to_numpy(np.int64), until, np.full(len(new), never), np.full(len(new), never)], axis=1)
+            waiting = np.concatenate((self._load(self.waiting, 5), fresh))
+            given = batch[batch["is_answer"].astype(bool)]
+            answers = np.concatenate((self._load(self.answers, 2), np.stack([given["ts_us"].to_numpy(np.int64), given["id"].to_numpy(np.int64)], axis=1)))
+            answers = answers[np.lexsort((answers[:, 1], answers[:, 0]))]
+            if len(waiting) and len(answers):
+                at = np.searchsorted(answers[:, 0], waiting[:, 1] + gap_us)
+                found = answers[np.minimum(at, len(answers) - 1)]
+                earlier = (found[:, 0] < waiting[:, 3]) | (found[:, 0] == waiting[:, 3]) & (found[:, 1] < waiting[:, 4])
+                better = (at < len(answers)) & (found[:, 0] < waiting[:, 2]) & earlier
+                waiting[better, 3:] = found[better]
+                if better.any():
+                    w = waiting[better]
+                    yield pd.DataFrame({"key": key[0], "id": w[:, 0], "ts_us": w[:, 1], "answer_id": w[:, 4], "answer_ts_us": w[:, 3]})
+            self._store(waiting, answers, mark_us)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self._store(self._load(self.waiting, 5), self._load(self.answers, 2), timerValues.getCurrentWatermarkInMs() * 1000)
+            yield from ()
+
+        def close(self) -> None:
+            pass
+
+    return FirstAnswer()
+
+
+FIRST_ANSWER_SCHEMA = "key long, id long, ts_us long, answer_id long, answer_ts_us long"
+
+
+def first_answer(waiting: DataFrame, answers: DataFrame, gap_us: int, watermark: str) -> DataFrame:
+    """The earliest answer of each waiting row (update mode, RocksDB): waiting has key, ts, id, until; answers key, ts, id.
+
+    Both come as one stream, so one watermark closes both. Rows older than it are dropped; nulls in key, ts or id too.
+    """
+    shape = lambda df, until, is_answer: df.select("key", "ts", "id", until.cast("timestamp").alias("until"), F.lit(is_answer).alias("is_answer"))
+    both = shape(waiting, F.col("until"), False).unionByName(shape(answers, F.lit(None), True)).where("key IS NOT NULL AND ts IS NOT NULL AND id IS NOT NULL")
+    rows = both.withWatermark("ts", watermark).select("key", "ts", "id", "is_answer", F.unix_micros("ts").alias("ts_us"), F.unix_micros("until").alias("until_us"))
+    return rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=first_answer_processor(gap_us), outputStructType=FIRST_ANSWER_SCHEMA, outputMode="Update", timeMode="EventTime")
+
+
+def match_intents(signals: DataFrame, books: DataFrame, delay: str, latency: str, watermark: str) -> DataFrame:
+    """First book of each signal: at least ``delay`` later, within ``latency`` and before the signal's ``expires``.
+
+    signals: key, ts, id, expires; books: key, ts, id. See ``first_answer``; only found books are written, no candidates.
+    """
+    end = F.least(F.col("expires"), F.col("ts") + F.expr(f"INTERVAL {latency}") + F.expr("INTERVAL 1 MICROSECOND"))
+    gap = signals.sparkSession.range(1).select(F.expr(f"CAST(unix_micros(timestamp'1970-01-01 00:00:00Z' + INTERVAL {delay}) AS BIGINT)")).first()[0]
+    return first_answer(signals.withColumn("until", end), books, gap, watermark)
+
+
+def settle(predictions: DataFrame, outcomes: DataFrame, watermark: str) -> DataFrame:
+    """The first outcome strictly after each prediction: predictions have key, ts, id, close (null: open end), outcomes key, ts, id.
+
+    A prediction is held until its outcome or its close, however long that takes.
+    """
+    return first_answer(predictions.withColumnRenamed("close", "until"), outcomes, 1, watermark)
 
 
 def tumbling_bars(stream: DataFrame, by: list[str], ts: str, price: str, size: Column, tie: str, length: str, delay: str) -> DataFrame:
