@@ -217,7 +217,7 @@ def test_newton_steps_descend_from_far_offsets(spark):
     """Offsets far from the labels make full Newton steps overshoot; the halved ones end where the gradient is zero."""
     rows = [(x / 10, 1 - 1e-6 if x < 0 else 1e-6, int(x >= 0)) for x in range(-20, 21)]
     df = spark.createDataFrame(rows, "x double, p double, y int")
-    c = models.fit_market_offset(df, [], ["x"], l2=1e-4, bound=None).first().coef
+    c = models.fit_market_offset(df, [], ["x"], l2=1e-4, bound=None, least_rows=41).first().coef
     g = sum(x * (1 / (1 + math.exp(-(math.log(p / (1 - p)) + c * x))) - y) for x, p, y in rows) / len(rows) + 2e-4 * c
     assert abs(g) < 1e-8
 
@@ -261,3 +261,28 @@ def test_settlement_waits_without_a_horizon(spark, tmp_path):
         p = t.where("kind = 0").select("key", "ts", "id", F.timestamp_seconds(F.col("s") + F.col("life")).alias("close"))
         table = streams.run_available(streams.settle(p, t.where("kind = 1").select("key", "ts", "id"), "1 hour"), "s", "update", rocksdb=True, out=out, checkpoint=checkpoint)
     assert {r.id: r.answer_id for r in streams.latest_version(table, ["id"]).collect()} == {1: 4, 3: 6}
+
+
+def test_sparse_and_one_class_models_are_left_out(spark, data):
+    df, *_ = data
+    g = df.withColumn("g", F.when(F.col("day") == 0, "few").when(F.col("day") < 6, "one").otherwise("good")).withColumn("y", F.when(F.col("g") == "one", 1).otherwise(F.col("y")))
+    got = models.fit_market_offset(g, ["g"], ["a"])
+    assert [r.g for r in got.select("g").distinct().collect()] == ["good"]
+    assert {r.g: r.reason for r in models.training_state(g, ["g"], "y", models.LEAST_ROWS).collect()} == {"few": "few_rows", "one": "one_class", "good": None}
+    with pytest.raises(ValueError, match="Insufficient"):
+        models.fit_market_offset(df.limit(49), [], ["a"])
+
+
+def test_many_keys_are_fitted_without_the_driver(spark, monkeypatch):
+    """Ten thousand models by a shuffle join; the driver collects none of them."""
+    from pyspark.sql import classic
+
+    monkeypatch.setattr(models, "BROADCAST_MODELS", 10)
+    x = F.xxhash64("id") % 1000 / 500.0
+    df = spark.range(200_000).select((F.col("id") % 10_000).alias("g"), x.alias("x"), F.lit(0.5).alias("p"), (F.xxhash64("id", F.lit(1)) % 2 == 0).cast("int").alias("y"))
+    collected = []
+    collect = classic.dataframe.DataFrame.collect
+    monkeypatch.setattr(classic.dataframe.DataFrame, "collect", lambda self: collected.append(collect(self)) or collected[-1])
+    c = models.fit_market_offset(df, ["g"], ["x"], least_rows=2)
+    assert max((len(r) for r in collected), default=0) <= 10
+    assert c.select("g").distinct().count() >= 9_990

@@ -1,18 +1,28 @@
-"""Small market-relative models fitted as Spark aggregates: rows stay distributed, only coefficients reach the driver."""
+"""Small market-relative models fitted as Spark aggregates: rows stay distributed, models are tables too."""
 
 from __future__ import annotations
 
+from functools import reduce
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.numeric import clip, expit, logit
+from tidemark.operators.ordered import same_key
+from tidemark.session import written
 
 SCALE_FLOOR = 1e-6
 STEP_LIMIT, MAX_STEPS = 1e-9, 40
 DESCENT = 1e-12
+#: Fixed value: fewer training rows make no model.
+LEAST_ROWS = 50
+#: Steps between two written tables of models; at most so many models are broadcast, more are joined by a shuffle.
+CHAINED = 4
+BROADCAST_MODELS = 50_000
 
 
 def moments(df: DataFrame, by: list[str], features: list[str], weight: str | None = None) -> DataFrame:
@@ -50,74 +60,107 @@ def _projected_newton(w: np.ndarray, g: np.ndarray, h: np.ndarray, bound: float
     return new if bound is None else np.clip(new, -bound, bound)
 
 
-def fit_market_offset(rows: DataFrame, by: list[str], features: list[str], p: str = "p", y: str = "y", l2: float | dict[str, float] = 0.1,
-                      bound: float | None = 0.25, weight: str | None = None, intercept: bool = False, eps: float = 1e-6, persist: bool = True) -> DataFrame:
-    """Market-offset logistic models, all keys of ``by`` in the same passes.
+def training_state(design: DataFrame, keys: list[str], y: str, least_rows: int) -> DataFrame:
+    """keys, rows, reason: how many rows each model has, and why it cannot be fitted (too few rows, one class), else null."""
+    counts = design.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.min(y).alias("_lo"), F.max(y).alias("_hi"))
+    reason = F.when(F.col("rows") < least_rows, "few_rows").when(F.col("_lo") == F.col("_hi"), "one_class")
+    return counts.select(*keys, "rows", reason.alias("reason"))
+
+
+def _newton_tasks(keys: list[str], k: int, penalty: np.ndarray, bound: float | None):
+    """For mapInPandas over models with their sums: the next coefficients of each, or half the last step if it went too far."""
+    pairs = [(a, b) for a in range(k) for b in range(a, k)]
+
+    def step(row) -> tuple[np.ndarray, np.ndarray, float, int, bool]:
+        c, best, least = np.array(row._c), np.array(row._best), row._least
+        if row._done:
+            return c, best, least, row._steps, True
+        objective = row._f / row._n + float(penalty @ c**2)
+        if objective > least + DESCENT * (1 + abs(objective)):
+            return (c + best) / 2, best, least, row._steps + 1, False
+        h = np.zeros((k, k))
+        for (a, b), value in zip(pairs, row._h, strict=True):
+            h[a, b] = h[b, a] = value / row._n
+        new = _projected_newton(c, np.array(row._g) / row._n + 2 * penalty * c, h + np.diag(2 * penalty), bound)
+        return new, c, objective, row._steps + 1, bool(np.abs(new - c).max() < STEP_LIMIT)
+
+    def run(batches):
+        for batch in batches:
+            found = [step(SimpleNamespace(**row)) for row in batch.to_dict("records")]
+            out = batch[keys].copy()
+            for name, at in (("_c", 0), ("_best", 1), ("_least", 2), ("_steps", 3), ("_done", 4)):
+                out[name] = [f[at].tolist() if at < 2 else f[at] for f in found]
+            yield out
+
+    return run
+
+
+def fit_market_offset(rows: DataFrame, by: list[str], features: list[str], p: str = "p", y: str = "y", l2: float | dict[str, float] = 0.1, bound: float | None = 0.25,
+                      weight: str | None = None, intercept: bool = False, eps: float = 1e-6, persist: bool = True, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """Market-offset logistic models, all keys of ``by`` in the same passes. Returns (by..., feature, coef, steps).
 
     Minimises mean(w * (log(1 + e^z) - y z)) + sum(l2 * c^2) with z = logit(p) + x.c inside |c| <= bound.
-    Each step is one map-side combined aggregate of gradient and Hessian sums (k + k(k+1)/2 numbers per model), a k x k
-    projected Newton step on the driver, and the coefficients sent back. Returns (by..., feature, coef, steps).
+    Models are a table, written every few steps: a step joins it to the rows, adds up gradient and Hessian map-side
+    (k + k(k+1)/2 numbers a model) and solves the k x k systems in tasks over models. The driver sees how many are open.
+    Keys with fewer than ``least_rows`` rows or one class get no coefficients (see ``training_state``); without keys that is
+    an error.
     """
-    spark = rows.sparkSession
     names = (["intercept"] if intercept else []) + list(features)
     penalty = np.array([l2[n] if isinstance(l2, dict) else l2 for n in names], float)
     x = [F.lit(1.0) if n == "intercept" else F.col(n).cast("double") for n in names]
+    keys = list(by) or ["_model"]
     design = rows.select(
-        *by, logit(F.col(p), eps).alias("_o"), F.col(y).cast("double").alias("_y"),
+        *(by or [F.lit(0).alias("_model")]), logit(F.col(p), eps).alias("_o"), F.col(y).cast("double").alias("_y"),
         (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"), F.array(*x).alias("_x"),
     )
     if persist:
         design = design.persist()
     k = len(names)
     pairs = [(a, b) for a in range(k) for b in range(a, k)]
-    keys = [tuple(r[b] for b in by) for r in design.select(*by).distinct().collect()] if by else [()]
-    coef = {key: np.zeros(k) for key in keys}
-    open_keys, steps = set(keys), dict.fromkeys(keys, 0)
-    last: dict[tuple, tuple[np.ndarray, float]] = {}  # the best coefficients so far and their objective
-    key_fields = [design.schema[b] for b in by]
-    coef_schema = T.StructType([*key_fields, T.StructField("_c", T.ArrayType(T.DoubleType()))])
-    for _ in range(MAX_STEPS):
-        if not open_keys:
-            break
-        if by:
-            table = spark.createDataFrame([(*key, coef[key].tolist()) for key in open_keys], coef_schema)
-            scored = design.join(table, by)
-        else:
-            scored = design.withColumn("_c", F.array(*[F.lit(float(v)) for v in coef[()]]))
+    zeros = F.array(*[F.lit(0.0)] * k)
+    state = training_state(design, keys, "_y", least_rows)
+    state = written(state.select(*keys, "reason", zeros.alias("_c"), zeros.alias("_best"), F.lit(float("inf")).alias("_least"), F.lit(0).alias("_steps"), F.lit(False).alias("_done")), "models")
+    if not by and state.where("reason IS NOT NULL").count():
+        raise ValueError("Insufficient training outcomes")
+    models = state.where("reason IS NULL").drop("reason")
+    few = models.limit(BROADCAST_MODELS + 1).count() <= BROADCAST_MODELS
+    columns = ["_c", "_best", "_least", "_steps", "_done"]
+    solve = _newton_tasks(keys, k, penalty, bound)
+
+    def newton(now: DataFrame) -> DataFrame:
+        j = design.alias("d").join((F.broadcast(now) if few else now).alias("m"), same_key(keys, "d", "m"))
         z = F.col("_o")
         for a in range(k):
             z = z + F.col("_x")[a] * F.col("_c")[a]
         cost = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - F.col("_y") * z
-        scored = scored.select(*by, "_y", "_w", "_x", expit(z).alias("_q"), cost.alias("_l"))
+        scored = j.select(*[F.col(f"d.{c}") for c in keys], "_y", "_w", "_x", expit(z).alias("_q"), cost.alias("_l"), *columns)
         r = F.col("_w") * (F.col("_q") - F.col("_y"))
         v = F.col("_w") * F.col("_q") * (F.lit(1.0) - F.col("_q"))
-        sums = scored.groupBy(*by).agg(
+        sums = scored.groupBy(*keys).agg(
             F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_l")).alias("_f"), F.array(*[F.sum(r * F.col("_x")[a]) for a in range(k)]).alias("_g"),
-            F.array(*[F.sum(v * F.col("_x")[a] * F.col("_x")[b]) for a, b in pairs]).alias("_h"),
+            F.array(*[F.sum(v * F.col("_x")[a] * F.col("_x")[b]) for a, b in pairs]).alias("_h"), *[F.first(c).alias(c) for c in columns],
         )
-        for row in sums.collect():
-            key = tuple(row[b] for b in by)
-            objective = row["_f"] / row["_n"] + float(penalty @ coef[key] ** 2)
-            if key in last and objective > last[key][1] + DESCENT * (1 + abs(objective)):  # the step went too far
-                coef[key], steps[key] = (coef[key] + last[key][0]) / 2, steps[key] + 1
-                continue
-            last[key] = (coef[key], objective)
-            g = np.array(row["_g"]) / row["_n"] + 2 * penalty * coef[key]
-            h = np.zeros((k, k))
-            for (a, b), value in zip(pairs, row["_h"]):
-                h[a, b] = h[b, a] = value / row["_n"]
-            new = _projected_newton(coef[key], g, h + np.diag(2 * penalty), bound)
-            moved = float(np.abs(new - coef[key]).max())
-            coef[key], steps[key] = new, steps[key] + 1
-            if moved < STEP_LIMIT:
-                open_keys.discard(key)
+        return sums.mapInPandas(solve, models.schema)
+
+    closed, open_ = [], models
+    for _ in range(MAX_STEPS // CHAINED):
+        now = open_
+        for _ in range(CHAINED):
+            now = newton(now)
+        note = Observation()
+        now = written(now.observe(note, F.count_if(~F.col("_done")).alias("n")), "models")
+        closed.append(now.where("_done"))
+        open_ = now.where("NOT _done")
+        left = note.get.get("n") or 0
+        if not left:
+            break
+    else:
+        raise ValueError(f"{left} models did not converge")
     if persist:
         design.unpersist()
-    if open_keys:
-        raise ValueError(f"{len(open_keys)} models did not converge")
-    out = [(*key, n, float(c), steps[key]) for key in keys for n, c in zip(names, coef[key])]
-    fields = [T.StructField("feature", T.StringType()), T.StructField("coef", T.DoubleType()), T.StructField("steps", T.IntegerType())]
-    return spark.createDataFrame(out, T.StructType([*key_fields, *fields]))
+    done = reduce(DataFrame.unionByName, closed)
+    coefficients = F.arrays_zip(F.array(*map(F.lit, names)).alias("feature"), F.col("_c").alias("coef"))
+    return done.select(*by, F.inline(coefficients).alias("feature", "coef"), "_steps").withColumnRenamed("_steps", "steps")
 
 
 def score_offset(rows: DataFrame, coef: DataFrame, by: list[str], features: list[str], p: str = "p", eps: float = 1e-6, name: str = "predicted") -> DataFrame:

@@ -160,6 +160,16 @@ def offset_logistic_fit(spark, sf):
     return c.select("feature", rounded(F.col("coef"), 5).alias("coef"))
 
 
+@query("market_recalibration_fit", f"""
+WITH {SAMPLES}, im AS (SELECT *, 1.0::DOUBLE AS one, {LOGIT('p')} AS market FROM samples), {newton_sql('im', '0', ['one', 'market'], 0.1)}
+SELECT 'intercept' AS feature, {R('a', 5)} AS coef FROM w8 UNION ALL SELECT 'market', {R('b', 5)} FROM w8""")
+def market_recalibration_fit(spark, sf):
+    """Intercept and slope on the market's own logit, no further features."""
+    s = samples(spark, sf)
+    c = M.fit_market_offset(s.withColumn("market", logit(F.col("p"), 1e-6)), [], ["market"], intercept=True)
+    return c.select("feature", rounded(F.col("coef"), 5).alias("coef"))
+
+
 @query("offset_logistic_many", f"""
 WITH {SAMPLES}, {MEMBERS}, {ZS}, jn AS (SELECT zz.*, member, copies FROM zz JOIN mb USING (day)), {newton_sql('jn', 'member', ['z_value', 'z_spread'], 0.1, weight='CAST(copies AS DOUBLE)')}
 SELECT g AS member, 'z_value' AS feature, {R('a', 5)} AS coef FROM w8 UNION ALL SELECT g, 'z_spread', {R('b', 5)} FROM w8""")
