@@ -21,7 +21,7 @@ DESCENT = 1e-12
 #: Fixed value: fewer training rows make no model.
 LEAST_ROWS = 50
 #: Steps between two written tables of models; at most so many models are broadcast, more are joined by a shuffle.
-CHAINED = 4
+CHAINED = 2
 BROADCAST_MODELS = 50_000
 
 
@@ -72,7 +72,8 @@ def _newton_tasks(keys: list[str], k: int, penalty: np.ndarray, bound: float | N
     pairs = [(a, b) for a in range(k) for b in range(a, k)]
 
     def step(row) -> tuple[np.ndarray, np.ndarray, float, int, bool]:
-        c, best, least = np.array(row._c), np.array(row._best), row._least
+        c, best = (np.array([getattr(row, f"{x}{i}") for i in range(k)]) for x in ("_c", "_best"))
+        least = row._least
         if row._done:
             return c, best, least, row._steps, True
         objective = row._f / row._n + float(penalty @ c**2)
@@ -88,8 +89,11 @@ def _newton_tasks(keys: list[str], k: int, penalty: np.ndarray, bound: float | N
         for batch in batches:
             found = [step(SimpleNamespace(**row)) for row in batch.to_dict("records")]
             out = batch[keys].copy()
-            for name, at in (("_c", 0), ("_best", 1), ("_least", 2), ("_steps", 3), ("_done", 4)):
-                out[name] = [f[at].tolist() if at < 2 else f[at] for f in found]
+            for at, name in enumerate(("_c", "_best")):
+                for i in range(k):
+                    out[f"{name}{i}"] = [f[at][i] for f in found]
+            for at, name in enumerate(("_least", "_steps", "_done"), 2):
+                out[name] = [f[at] for f in found]
             yield out
 
     return run
@@ -117,21 +121,22 @@ def fit_market_offset(rows: DataFrame, by: list[str], features: list[str], p: st
         design = design.persist()
     k = len(names)
     pairs = [(a, b) for a in range(k) for b in range(a, k)]
-    zeros = F.array(*[F.lit(0.0)] * k)
+    # Single numbers, not arrays: a hash aggregate carries them along.
+    zeros = [F.lit(0.0).alias(f"{x}{i}") for x in ("_c", "_best") for i in range(k)]
     state = training_state(design, keys, "_y", least_rows)
-    state = written(state.select(*keys, "reason", zeros.alias("_c"), zeros.alias("_best"), F.lit(float("inf")).alias("_least"), F.lit(0).alias("_steps"), F.lit(False).alias("_done")), "models")
+    state = written(state.select(*keys, "reason", *zeros, F.lit(float("inf")).alias("_least"), F.lit(0).alias("_steps"), F.lit(False).alias("_done")), "models")
     if not by and state.where("reason IS NOT NULL").count():
         raise ValueError("Insufficient training outcomes")
     models = state.where("reason IS NULL").drop("reason")
     few = models.limit(BROADCAST_MODELS + 1).count() <= BROADCAST_MODELS
-    columns = ["_c", "_best", "_least", "_steps", "_done"]
+    columns = [c for c in models.columns if c not in keys]
     solve = _newton_tasks(keys, k, penalty, bound)
 
     def newton(now: DataFrame) -> DataFrame:
         j = design.alias("d").join((F.broadcast(now) if few else now).alias("m"), same_key(keys, "d", "m"))
         z = F.col("_o")
         for a in range(k):
-            z = z + F.col("_x")[a] * F.col("_c")[a]
+            z = z + F.col("_x")[a] * F.col(f"_c{a}")
         cost = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - F.col("_y") * z
         scored = j.select(*[F.col(f"d.{c}") for c in keys], "_y", "_w", "_x", expit(z).alias("_q"), cost.alias("_l"), *columns)
         r = F.col("_w") * (F.col("_q") - F.col("_y"))
@@ -159,8 +164,8 @@ def fit_market_offset(rows: DataFrame, by: list[str], features: list[str], p: st
     if persist:
         design.unpersist()
     done = reduce(DataFrame.unionByName, closed)
-    coefficients = F.arrays_zip(F.array(*map(F.lit, names)).alias("feature"), F.col("_c").alias("coef"))
-    return done.select(*by, F.inline(coefficients).alias("feature", "coef"), "_steps").withColumnRenamed("_steps", "steps")
+    coefficients = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"_c{i}").alias("coef")) for i, n in enumerate(names)])
+    return done.select(*by, F.inline(coefficients), F.col("_steps").alias("steps"))
 
 
 def score_offset(rows: DataFrame, coef: DataFrame, by: list[str], features: list[str], p: str = "p", eps: float = 1e-6, name: str = "predicted") -> DataFrame:

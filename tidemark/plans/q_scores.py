@@ -15,6 +15,7 @@ from tidemark.operators.slicing import evaluated_once
 from tidemark.plans.oracle_text import CLIP, LOGLOSS, PHI
 from tidemark.plans.q_quality import brackets
 from tidemark.plans.registry import query
+from tidemark.session import written
 from tidemark.plans.standins import DAY, LEDGER, R, S, SAMPLES, TICKS, debit_sql, ledger, samples, table, ticks
 
 H = 3600 * S
@@ -92,7 +93,7 @@ def period_union_bounds(spark, sf):
 WITH {LEDGER}, e AS (SELECT *, 100000 + sum(pnl) OVER (ORDER BY t, ticker ROWS UNBOUNDED PRECEDING) AS eq FROM ledger), p AS (SELECT *, greatest(100000, max(eq) OVER (ORDER BY t, ticker ROWS UNBOUNDED PRECEDING)) AS peak FROM e)
 SELECT day, {R('max(peak - eq)', 2)} AS max_drawdown, {R('arg_max(eq, (t, ticker))', 2)} AS closing_equity FROM p GROUP BY day""")
 def equity_drawdown(spark, sf):
-    led = ledger(spark, sf).select("t", "day", "ticker", "pnl")
+    led = written(ledger(spark, sf).select("t", "day", "ticker", "pnl"), "ledger")  # read more than once
     e = K.equity_curve(led, "t", F.col("pnl"), 100000.0, ["ticker"])
     return e.groupBy("day").agg(rounded(F.max("drawdown"), 2).alias("max_drawdown"), rounded(F.max_by("equity", F.struct("t", "ticker")), 2).alias("closing_equity"))
 
@@ -103,6 +104,7 @@ c AS (SELECT *, sum(delta) OVER (PARTITION BY series ORDER BY tt, kind, ticker R
 SELECT series, tt // 86400000000 AS day, {R('max(oc)', 2)} AS max_open, count(*) AS entries FROM c WHERE kind = 1 GROUP BY 1, 2""")
 def exposure_curve(spark, sf):
     led = ledger(spark, sf).select("series", "ticker", "t", "cost", (F.col("t") + F.col("quantity") * DAY).alias("settle_t"))
+    led = written(led, "ledger")
     e = K.exposure(led, ["series"], "t", "settle_t", "cost", "ticker")
     return e.groupBy("series", F.floor(F.col("t") / DAY).cast("long").alias("day")).agg(rounded(F.max("open_cost"), 2).alias("max_open"), F.count(F.lit(1)).alias("entries"))
 
