@@ -231,3 +231,19 @@ def test_fingerprint_tells_null_from_empty_and_keeps_columns_apart(spark):
     rows = [(None, "x"), ("", "x"), ("a|b", "c"), ("a", "b|c"), ("1", "-")]
     prints = {tuple(sinks.data_fingerprint(spark.createDataFrame([r], "a string, b string"), ["a", "b"]).first()) for r in rows}
     assert len(prints) == len(rows)
+
+
+def test_a_bad_level_of_the_second_venue_rejects_its_book(spark):
+    from tidemark.sources import market
+
+    lines = ['{"bids": [{"price": "0.4", "size": "3"}], "asks": []}', '{"bids": [{"price": "much", "size": "3"}], "asks": []}', '{"bids": [], "asks": [{"price": "1.4", "size": "3"}]}']
+    good, bad = market.split_books(spark.createDataFrame([(x,) for x in lines], "value string"), "value")
+    assert good.count() == 1 and bad.count() == 2
+
+
+def test_prices_and_rates_out_of_range_have_no_cost(spark):
+    from tidemark.functions import money
+
+    df = spark.createDataFrame([(12.0, 3.0, 0.07), (0.5, 3.0, 12.0), (0.5, 1e20, 0.07), (0.123456, 2.5, 0.07)], "p double, q double, r double")
+    got = [r.c for r in df.select(money.fee_and_cost(F.col("p"), F.col("q"), F.col("r"))["cost"].alias("c")).collect()]
+    assert got[:3] == [None] * 3 and float(got[3]) == 0.33

@@ -18,13 +18,14 @@ VARIANCE = "decimal(13,12)"
 
 
 def price_of(x) -> Column:
-    return (x if isinstance(x, Column) else F.lit(x)).cast(PRICE)
+    """The price as a decimal; NULL where it does not fit, so that a bad row has no cost instead of ending the job."""
+    return (x if isinstance(x, Column) else F.lit(x)).try_cast(PRICE)
 
 
 def _debit_parts(price: Column, quantity: Column, rate):
-    p, q = price_of(price), quantity.cast(QUANTITY)
-    r = (rate if isinstance(rate, Column) else F.lit(rate)).cast(RATE)
-    one_minus = (F.lit(1).cast(PRICE) - p).cast(PRICE)
+    p, q = price_of(price), quantity.try_cast(QUANTITY)
+    r = (rate if isinstance(rate, Column) else F.lit(rate)).try_cast(RATE)
+    one_minus = (F.lit(1).cast(PRICE) - p).try_cast(PRICE)
     return (p * q), (r * (p * one_minus).cast(VARIANCE) * q)
 
 

@@ -278,16 +278,16 @@ def price_samples(spark, sf):
 
 
 @query("prospective_dataset", f"""
-WITH {TICKS}, w AS (SELECT event_id, user_id, t FROM ticks WHERE event_type = 'error'), m AS (SELECT user_id, event_id, t FROM ticks WHERE event_type = 'signup'), b AS (SELECT user_id, event_id, t, k FROM ticks WHERE event_type = 'click'),
+WITH {TICKS}, w AS (SELECT event_id, user_id, t, k FROM ticks WHERE event_type = 'error'), m AS (SELECT user_id, event_id, t, k FROM ticks WHERE event_type = 'signup'), b AS (SELECT user_id, event_id, t, k FROM ticks WHERE event_type = 'click'),
 o AS (SELECT user_id, min(t) AS st, min(k % 2) AS lo, max(k % 2) AS hi FROM ticks WHERE event_type = 'purchase' GROUP BY 1),
-j1 AS (SELECT w.*, m.event_id AS mid FROM w ASOF LEFT JOIN m ON w.user_id = m.user_id AND w.t >= m.t), j2 AS (SELECT j1.*, b.event_id AS bid_, b.t AS bt, b.k AS bk FROM j1 ASOF LEFT JOIN b ON j1.user_id = b.user_id AND j1.t >= b.t),
-r AS (SELECT j2.*, CASE WHEN mid IS NULL OR bid_ IS NULL THEN 'missing_market_or_book' WHEN j2.t - bt > 43200000000 THEN 'stale_book' WHEN bk > 90 THEN 'invalid_book' WHEN o.lo IS NULL THEN 'unsettled' WHEN o.lo <> o.hi THEN 'conflicting_settlement' WHEN o.st <= j2.t THEN 'already_closed' END AS reason FROM j2 LEFT JOIN o ON o.user_id = j2.user_id)
+j1 AS (SELECT w.*, m.event_id AS mid, m.t AS mt, m.k AS mk FROM w ASOF LEFT JOIN m ON w.user_id = m.user_id AND w.t >= m.t), j2 AS (SELECT j1.*, b.event_id AS bid_, b.t AS bt, b.k AS bk FROM j1 ASOF LEFT JOIN b ON j1.user_id = b.user_id AND j1.t >= b.t),
+r AS (SELECT j2.*, CASE WHEN mid IS NULL OR bid_ IS NULL THEN 'missing_market_or_book' WHEN mk % 7 = 0 THEN 'unsupported_rules' WHEN j2.t - bt > 43200000000 THEN 'stale_book' WHEN bk > 90 THEN 'invalid_book' WHEN o.lo IS NULL THEN 'unsettled' WHEN o.lo <> o.hi THEN 'conflicting_settlement' WHEN o.lo NOT IN (0, 1) THEN 'nonbinary_settlement' WHEN o.st <= j2.t THEN 'already_closed' WHEN mt + 864000000000 <= j2.t THEN 'already_closed' WHEN k % 11 = 0 OR k % 15 > 12 THEN 'incomplete_or_stale_forecast' END AS reason FROM j2 LEFT JOIN o ON o.user_id = j2.user_id)
 SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM r GROUP BY 1""")
 def prospective_dataset(spark, sf):
     t = ticks(spark, sf).withColumn("ticker", F.col("user_id").cast("string"))
     is_ = lambda e: t.filter(F.col("event_type") == e)
-    w = is_("error").select("event_id", "ticker", F.col("t").alias("at"))
-    m = is_("signup").select("ticker", F.col("t").alias("available_t"), F.col("event_id").cast("string").alias("event"), (F.col("t") + 90 * DAY).alias("close_t"))
+    w = is_("error").select("event_id", "ticker", F.col("t").alias("at"), (F.col("k") % 11 != 0).alias("forecast_complete"), (F.col("k") % 15).cast("double").alias("forecast_age_hours"))
+    m = is_("signup").select("ticker", F.col("t").alias("available_t"), F.col("event_id").cast("string").alias("event"), (F.col("t") + 10 * DAY).alias("close_t"), (F.col("k") % 7 != 0).alias("supported"))
     b = is_("click").select("ticker", F.col("t").alias("available_t"), F.col("t").alias("observed_t"), (F.col("k") / 100.0).alias("bid"), F.when(F.col("k") > 90, 0.9).otherwise(F.col("k") / 100.0 + 0.01).alias("ask"))
     o = is_("purchase").select("ticker", F.col("t").alias("settled_t"), (F.col("k") % 2).alias("yes_payout"))
     _, counts = ST.prospective_dataset(w, m, b, o, max_book_age=12 * H)

@@ -190,7 +190,7 @@ def scenario_grid(spark, sf):
 
 @query("point_in_time_streams", f"""
 WITH {TICKS}, d AS (SELECT * FROM ticks WHERE event_type = 'error'), m AS (SELECT * FROM ticks WHERE event_type = 'signup'), b AS (SELECT * FROM ticks WHERE event_type = 'click'),
-j1 AS (SELECT d.event_id, d.user_id, d.t, CASE WHEN d.t - m.t <= 864000000000 THEN m.event_id END AS market_id FROM d ASOF LEFT JOIN m ON d.user_id = m.user_id AND d.t >= m.t),
+j1 AS (SELECT d.event_id, d.user_id, d.t, m.event_id AS market_id FROM d ASOF LEFT JOIN m ON d.user_id = m.user_id AND d.t >= m.t),
 j2 AS (SELECT j1.*, b.event_id AS book_id, j1.t - b.t AS age FROM j1 ASOF LEFT JOIN b ON j1.user_id = b.user_id AND j1.t >= b.t)
 SELECT event_id, market_id, CASE WHEN age <= 43200000000 THEN book_id END AS book_id,
   CASE WHEN market_id IS NULL OR book_id IS NULL OR age > 43200000000 THEN 'missing_market_or_book' END AS reason FROM j2""")
@@ -199,7 +199,7 @@ def point_in_time_streams(spark, sf):
     d = _side(t, "error").select("event_id", "user_id", F.col("t").alias("at"))
     m = _side(t, "signup").select("user_id", "t", "event_id")
     b = _side(t, "click").select("user_id", "t", "event_id")
-    j = J.asof_backward(d, m, ["user_id"], "at", "t", tolerance=10 * DAY, tie=["event_id"], name="market")
+    j = J.asof_backward(d, m, ["user_id"], "at", "t", tolerance=None, tie=["event_id"], name="market")
     j = J.asof_backward(j, b, ["user_id"], "at", "t", tolerance=12 * H, tie=["event_id"], name="book")
     reason = F.when(F.col("market").isNull() | F.col("book").isNull(), "missing_market_or_book")
     return j.select("event_id", F.col("market.event_id").alias("market_id"), F.col("book.event_id").alias("book_id"), reason.alias("reason"))

@@ -11,7 +11,6 @@ from tidemark.plans.standins import DAY, R, S, TICKS, micros
 from tidemark.streaming import streams as T
 
 H = 3600 * S
-CLOSED = "(SELECT (max(t) - 3600000000) // 1000 * 1000 FROM ticks)"
 
 
 def tick_stream(spark, sf):
@@ -19,21 +18,27 @@ def tick_stream(spark, sf):
     return e.select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+def with_clock(spark, sf):
+    """The ticks and a clock that is a day past the last of them, so that every window is over."""
+    now = spark.read.parquet(f"{sf}/events.parquet").agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).cast("timestamp").alias("ts"))
+    return T.with_heartbeat(tick_stream(spark, sf), T.table_of(now, "clock"), "ts")
+
+
 @query("stream_tumbling_bars", f"""
 WITH {TICKS} SELECT event_type, t // 3600000000 * 3600 AS bar, arg_min(value, (t, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (t, event_id)) AS close, CAST(sum(k) AS DOUBLE) AS volume, count(*) AS trades
-FROM ticks GROUP BY event_type, bar HAVING (t // 3600000000 * 3600 + 3600) * 1000000 <= {CLOSED}""".replace("HAVING (t // 3600000000 * 3600 + 3600)", "HAVING (bar + 3600)"))
+FROM ticks GROUP BY event_type, bar""")
 def stream_tumbling_bars(spark, sf):
-    b = T.tumbling_bars(tick_stream(spark, sf), ["event_type"], "ts", "value", F.col("k").cast("double"), "event_id", "1 hour", "1 hour")
+    b = T.tumbling_bars(with_clock(spark, sf), ["event_type"], "ts", "value", F.col("k").cast("double"), "event_id", "1 hour", "1 hour")
     out = T.run_available(b, "stream_tumbling_bars")
     return out.select("event_type", F.unix_seconds("w.start").alias("bar"), "open", "high", "low", "close", "volume", "trades")
 
 
 @query("stream_sliding_imbalance", f"""
 WITH {TICKS}, w AS (SELECT *, (t // 3600000000 - i) * 3600 AS st FROM ticks, range(3) r(i)), g AS (SELECT st, sum(k)::DOUBLE AS v, sum(CASE WHEN event_type IN ('purchase', 'signup') THEN k ELSE 0 END)::DOUBLE AS b FROM w GROUP BY 1)
-SELECT st AS start_s, CASE WHEN v > 0 THEN {R('2 * b / v - 1')} END AS imbalance FROM g WHERE (st + 10800) * 1000000 <= {CLOSED}""")
+SELECT st AS start_s, CASE WHEN v > 0 THEN {R('2 * b / v - 1')} END AS imbalance FROM g""")
 def stream_sliding_imbalance(spark, sf):
     k = F.col("k").cast("double")
-    s = T.sliding_imbalance(tick_stream(spark, sf), [], "ts", k, F.when(F.col("event_type").isin("purchase", "signup"), k).otherwise(0.0), "3 hours", "1 hour", "1 hour")
+    s = T.sliding_imbalance(with_clock(spark, sf), [], "ts", k, F.when(F.col("event_type").isin("purchase", "signup"), k).otherwise(0.0), "3 hours", "1 hour", "1 hour")
     out = T.run_available(s, "stream_sliding_imbalance")
     return out.select(F.unix_seconds("w.start").alias("start_s"), rounded(F.col("imbalance")).alias("imbalance"))
 

@@ -21,9 +21,10 @@ q AS (SELECT *, greatest(k - 1, 0) / 100.0::DOUBLE AS bid, least(k + 1, 100) / 1
 b AS (SELECT t // 3600000000 * 3600 AS bar, arg_max(value, (t, event_id)) AS close FROM ticks GROUP BY 1),
 c AS (SELECT event_type, ts AS cl, ts - 18000 AS "at" FROM q0 WHERE ts % 21600 = 0),
 j AS (SELECT c.*, q.ts, q.k, q.bid, q.ask, q.pk, q.pt FROM c ASOF LEFT JOIN q ON c.event_type = q.event_type AND c."at" >= q.ts + 5),
-r AS (SELECT j.*, n.bid AS nb, n.ask AS na, CASE WHEN n.bid IS NOT NULL AND j.ts + 3605 < j.cl THEN j.ts + 3605 END AS ex, d.close AS spot,
-  CASE WHEN j.ts IS NULL OR j."at" - j.ts > 14400 THEN 'no_quote' WHEN j."at" - j.ts > 7200 THEN 'stale_quote' WHEN NOT (j.bid > 0 AND j.ask < 1) THEN 'no_two_sided_price' WHEN d.close IS NULL THEN 'missing_lookback' END AS reason
-  FROM j LEFT JOIN q n ON n.event_type = j.event_type AND n.ts = j.ts + 3600 AND j."at" - j.ts <= 14400 LEFT JOIN b d ON d.bar = (j."at" - 5) // 3600 * 3600 - 3600)"""
+ns AS (SELECT j.*, n.bid AS nb, n.ask AS na, CASE WHEN n.bid IS NOT NULL AND j.ts + 3605 < j.cl THEN j.ts + 3605 END AS ex FROM j LEFT JOIN q n ON n.event_type = j.event_type AND n.ts = j.ts + 3600),
+r AS (SELECT ns.*, d.close AS spot,
+  CASE WHEN ns.ts IS NULL THEN 'no_quote' WHEN ns."at" - ns.ts > 7200 THEN 'stale_quote' WHEN NOT (ns.bid > 0 AND ns.ask < 1) THEN 'no_two_sided_price' WHEN d.close IS NULL OR (ex IS NOT NULL AND e.close IS NULL) THEN 'missing_lookback' END AS reason
+  FROM ns LEFT JOIN b d ON d.bar = (ns."at" - 5) // 3600 * 3600 - 3600 LEFT JOIN b e ON e.bar = (ns.ex - 5) // 3600 * 3600 - 3600)"""
 
 
 def contract_rows(spark, sf):
@@ -35,12 +36,12 @@ def contract_rows(spark, sf):
         "*", (F.col("close_s") - 86400).alias("open_s"), F.lit("If it is at least 5, then the market resolves to Yes.").alias("rules_primary"), F.lit("5").alias("floor_strike"), F.lit("greater_or_equal").alias("strike_type"),
         F.lit("yes").alias("result"), F.lit("settled").alias("status"), F.lit("").alias("expiration_value"), F.lit("1").alias("notional_value_dollars"), F.timestamp_seconds(F.col("close_s") - 900).alias("open_time"), close.alias("close_time"), close.alias("settlement_ts"), F.lit("1").alias("settlement_value_dollars"))
     spot = X.ohlcv(t, [], "t", "value", F.lit(1.0), H, tie="event_id").select((F.col("bar") / S).cast("long").alias("bar"), F.col("close").alias("price"))
-    return ST.bar_contract_rows(contracts, candles, spot, before_close=18000, step=3600, allowance=5, max_age=7200, quote_window=14400)
+    return ST.bar_contract_rows(contracts, candles, spot, before_close=18000, step=3600, allowance=5, max_age=7200)
 
 
 @query("bar_contract_rows", f"""
 WITH {CONTRACT_SQL}
-SELECT event_type, cl AS close_s, {R('(bid + ask) / 2.0::DOUBLE')} AS p, {R('(bid + ask) / 2.0::DOUBLE - CASE WHEN ts - pt <= 14400 THEN (greatest(pk - 1, 0) + least(pk + 1, 100)) / 200.0::DOUBLE ELSE (bid + ask) / 2.0::DOUBLE END')} AS prior_move, ex AS execution_at, CASE WHEN ex IS NOT NULL THEN na END AS execution_ask, spot FROM r WHERE reason IS NULL""")
+SELECT event_type, cl AS close_s, {R('(bid + ask) / 2.0::DOUBLE')} AS p, {R('(bid + ask) / 2.0::DOUBLE - CASE WHEN pt IS NOT NULL THEN (greatest(pk - 1, 0) + least(pk + 1, 100)) / 200.0::DOUBLE ELSE (bid + ask) / 2.0::DOUBLE END')} AS prior_move, ex AS execution_at, CASE WHEN ex IS NOT NULL THEN na END AS execution_ask, spot FROM r WHERE reason IS NULL""")
 def bar_contract_rows(spark, sf):
     rows, _ = contract_rows(spark, sf)
     return rows.select(F.col("ticker").alias("event_type"), "close_s", rounded(F.col("p")).alias("p"), rounded(F.col("prior_move")).alias("prior_move"), "execution_at",

@@ -40,15 +40,16 @@ def price_samples(markets: DataFrame, candles: DataFrame, horizons_hours: list[i
 
 
 def bar_contract_rows(contracts: DataFrame, candles: DataFrame, features: DataFrame, before_close: int = 300, step: int = 60, allowance: int = 5,
-                      max_age: int = 65, quote_window: int = 900) -> tuple[DataFrame, DataFrame]:
+                      max_age: int = 65) -> tuple[DataFrame, DataFrame]:
     """Contract rows with spot features at decision and at execution. Returns (rows, counts by exclusion reason).
 
-    The execution quote is used only if it ends exactly one step after the decision quote.
+    The execution quote is used only if it ends exactly one step after the decision quote; its spot features must then
+    exist too. The newest usable quote counts whatever its age: an old one is stale, the one before it gives the prior move.
     """
     q = candles.filter("bid IS NOT NULL").select("ticker", "end_ts", "bid", "ask")
-    q = temporal.with_previous(q, ["ticker"], "end_ts", ["bid", "ask"], quote_window, name="before")
+    q = temporal.with_previous(q, ["ticker"], "end_ts", ["bid", "ask"], None, name="before")
     d = contracts.withColumn("reason", T.supported_contract(contracts)).withColumn("at", F.col("close_s") - F.lit(before_close))
-    j = temporal.asof_backward(d, q, ["ticker"], "at", "end_ts", quote_window, allowance=allowance, name="quote")
+    j = temporal.asof_backward(d, q, ["ticker"], "at", "end_ts", None, allowance=allowance, name="quote")
     two_sided = (F.col("quote.bid") > 0) & (F.col("quote.ask") < 1)
     fresh = (F.col("at") - F.col("quote.end_ts") <= max_age) & (F.col("quote.end_ts") > F.col("open_s"))
     j = j.withColumn("reason", F.coalesce("reason", F.when(F.col("quote").isNull(), "no_quote").when(~fresh, "stale_quote").when(~two_sided, "no_two_sided_price")))
@@ -63,7 +64,7 @@ def bar_contract_rows(contracts: DataFrame, candles: DataFrame, features: DataFr
     for time, prefix in ((F.col("at"), ""), (F.col("execution_at"), "execution_")):
         key, f = at_time(time, prefix)
         j = j.withColumn(f"_{prefix}bar", key).join(f, f"_{prefix}bar", "left")
-    j = j.withColumn("reason", F.coalesce("reason", F.when(F.col("spot").isNull(), "missing_lookback")))
+    j = j.withColumn("reason", F.coalesce("reason", F.when(F.col("spot").isNull() | (F.col("execution_at").isNotNull() & F.col("execution_spot").isNull()), "missing_lookback")))
     mid = (F.col("quote.bid") + F.col("quote.ask")) / F.lit(2.0)
     before = (F.col("quote.before.bid") + F.col("quote.before.ask")) / F.lit(2.0)
     rows = j.filter("reason IS NULL").withColumns({
@@ -142,21 +143,27 @@ def archive_join(rows: DataFrame, hours: DataFrame, obs: DataFrame, embargo: int
 
 
 def prospective_dataset(weather: DataFrame, markets: DataFrame, books: DataFrame, outcomes: DataFrame, max_book_age: int = 180 * MICRO,
-                        market_age: int = 30 * DAY) -> tuple[DataFrame, DataFrame]:
+                        max_forecast_hours: float = 12.0) -> tuple[DataFrame, DataFrame]:
     """Point-in-time join of a journal's streams; labels are target-only. Returns (rows, counts by reason).
 
-    weather(ticker, at, ...), markets(ticker, available_t, close_t, event), books(ticker, available_t, observed_t, bid,
-    ask), outcomes(ticker, settled_t, yes_payout). One row per contract and hour, the first seen.
+    weather(ticker, at, forecast_complete, forecast_age_hours, ...), markets(ticker, available_t, close_t, event, supported),
+    books(ticker, available_t, observed_t, bid, ask), outcomes(ticker, settled_t, yes_payout). The newest market and book
+    count however old; a market needs supported rules and must be open, a forecast complete and fresh. One row per contract
+    and hour, the first seen.
     """
     from tidemark.operators.ranking import one_per_hour
 
-    j = temporal.asof_backward(weather, markets, ["ticker"], "at", "available_t", market_age, name="market")
-    j = temporal.asof_backward(j, books, ["ticker"], "at", "available_t", market_age, name="book")
+    j = temporal.asof_backward(weather, markets, ["ticker"], "at", "available_t", None, name="market")
+    j = temporal.asof_backward(j, books, ["ticker"], "at", "available_t", None, name="book")
     stale = F.col("at") - F.col("book.observed_t") > max_book_age
     bad = ~((F.col("book.bid") >= 0) & (F.col("book.bid") <= F.col("book.ask")) & (F.col("book.ask") <= 1))
-    j = j.withColumn("reason", F.when(F.col("market").isNull() | F.col("book").isNull(), "missing_market_or_book").when(stale, "stale_book").when(F.col("book.bid").isNull() | F.col("book.ask").isNull(), "empty_book").when(bad, "invalid_book"))
+    j = j.withColumn("reason", F.when(F.col("market").isNull() | F.col("book").isNull(), "missing_market_or_book").when(~F.coalesce(F.col("market.supported"), F.lit(False)), "unsupported_rules").when(stale, "stale_book").when(F.col("book.bid").isNull() | F.col("book.ask").isNull(), "empty_book").when(bad, "invalid_book"))
     ready = j.filter("reason IS NULL").drop("reason")
     good, rejected = temporal.label_after(ready, outcomes.select("ticker", "settled_t", "yes_payout"), ["ticker"], "at", "settled_t", "yes_payout")
+    known = F.coalesce(F.col("forecast_complete"), F.lit(False)) & F.coalesce(F.col("forecast_age_hours") <= max_forecast_hours, F.lit(False))
+    gated = good.withColumn("reason", F.when(F.col("market.close_t") <= F.col("at"), "already_closed").when(~known, "incomplete_or_stale_forecast"))
+    good, late = gated.filter("reason IS NULL").drop("reason"), gated.filter("reason IS NOT NULL")
+    rejected = rejected.select("reason").unionByName(late.select("reason"))
     counts = quality.exclusion_report(j.filter("reason IS NOT NULL").select("reason").unionByName(rejected.select("reason")).unionByName(good.select(F.lit(None).cast("string").alias("reason"))))
     return one_per_hour(good, ["ticker"], "at", HOUR, "at"), counts
 

@@ -34,7 +34,7 @@ def _levels(x: Column) -> Column:
 def parse_books(df: DataFrame, column: str) -> DataFrame:
     """Books given as {"yes": [[p, q]], "no": [[p, q]]} or in the second venue's {"bids": [{price, size}], "asks": [...]}."""
     b = F.from_json(F.col(column), T.RAW_BOOK)
-    venue = lambda x: F.transform(F.coalesce(x, F.array().cast(T.VENUE_LEVELS)), lambda l: F.struct(l["price"].cast("double").alias("price"), l["size"].cast("double").alias("qty")))
+    venue = lambda x: F.transform(F.coalesce(x, F.array().cast(T.VENUE_LEVELS)), lambda l: F.struct(l["price"].try_cast("double").alias("price"), l["size"].try_cast("double").alias("qty")))
     out = df.withColumn("_b", b)
     return out.withColumns({
         "yes": _levels(F.col("_b.yes")), "no": _levels(F.col("_b.no")), "bids": venue(F.col("_b.bids")), "asks": venue(F.col("_b.asks")),
@@ -44,7 +44,8 @@ def parse_books(df: DataFrame, column: str) -> DataFrame:
 def split_books(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """(books, rejected lines): a book with a malformed level is rejected as a whole."""
     books = parse_books(df, column)
-    bad = F.coalesce(level_violations(F.col("yes")) | level_violations(F.col("no")), F.lit(True))
+    sides = [level_violations(F.col(c)) for c in ("yes", "no", "bids", "asks")]
+    bad = F.coalesce(sides[0] | sides[1] | sides[2] | sides[3], F.lit(True))
     return books.filter(~bad), books.filter(bad).select(*df.columns)
 
 

@@ -23,6 +23,21 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return reader.parquet(folder)
 
 
+def table_of(rows: DataFrame, name: str) -> DataFrame:
+    """A stream over rows that are written first."""
+    folder = new_folder(rows.sparkSession, name)
+    rows.write.parquet(folder)
+    return rows.sparkSession.readStream.schema(rows.schema).parquet(folder)
+
+
+def with_heartbeat(stream: DataFrame, clock: DataFrame, ts: str) -> DataFrame:
+    """The stream and rows of a clock that hold only a time: they move the watermark where no events do.
+
+    A heartbeat lies in a window that is still open, so no window with it is written.
+    """
+    return stream.unionByName(clock.select(F.col(ts)), allowMissingColumns=True)
+
+
 def run_available(stream: DataFrame, name: str, mode: str = "append", rocksdb: bool = False, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Process everything available, then return the written table. Update mode keeps the batch number of each row.
 
