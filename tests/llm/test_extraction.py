@@ -46,6 +46,12 @@ def test_pages_match(spark, sf):
         (None, ""),
         ("<p>open <i>end", "open end"),
         ("<table><tr><td>a<td>b<tr><td>c</table>", "a\n\nb\n\nc"),
+        ("<main><article>story</article></main><article class='teaser'>another text that is longer</article>", "story"),
+        ("<article>the long story of the day</article><article>teaser</article>", "the long story of the day"),
+        ("<main><p>a long introduction to the list of stories</p><article>one</article><article>two</article></main>", "a long introduction to the list of stories\n\none\n\ntwo"),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>", "so x=2 holds"),
+        ("<article><p>az<span class=\"ad\">buy <span>now</span></span>z and <span hidden>no</span>b</p><p>c</p></article>", "azz and b\n\nc"),
+        ("<article><p>a <span class='ad'>open</p><p>next</p></article>", "a\n\nnext"),
     ],
 )
 def test_markup(page, text):
@@ -62,6 +68,53 @@ def test_site_templates(spark):
     assert html.extract_text(pages.limit(0)).count() == 0
 
 
+def texts_of(spark, rows):
+    return {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    """One page under several addresses, without article: it is one page, and nothing of it a template."""
+    page = "<h1>Title</h1><div><p>one long paragraph of the page</p></div><div><ul><li>a</li><li>b</li></ul></div>"
+    out = texts_of(spark, [(i, f"http://k.example.com/{i}", page) for i in range(5)])
+    assert set(out.values()) == {"Title\n\none long paragraph of the page\n\na\n\nb"}
+
+
+def test_headings_short_answers_and_shared_lists_stay(spark):
+    recipe = "<ul><li>1 pinch of salt</li><li>2 eggs</li></ul><table><tr><td>4 g<td>sugar</table>"
+    rows = [(i, f"http://l.example.com/{i}", f"<h2>Introduction</h2><p>question {i} of many here</p><p>{'Yes.' if i % 7 == 0 else f'No {i}.'}</p><h2>Results</h2><p>result {i}</p>") for i in range(40)]
+    rows += [(100 + i, f"http://m.example.com/{i}", f"<article><p>{f'dish number {i} is made as follows '*4}</p>{recipe if i < 3 else ''}</article>") for i in range(60)]
+    out = texts_of(spark, rows)
+    assert out[7] == "Introduction\n\nquestion 7 of many here\n\nYes.\n\nResults\n\nresult 7"
+    assert out[101].endswith("\n\n1 pinch of salt\n\n2 eggs\n\n4 g\n\nsugar") and out[150] == ("dish number 50 is made as follows " * 4).strip()
+
+
+def templates_by_hand(rows):
+    """host: hashes on enough pages with different main texts, by counting in plain dictionaries."""
+    seen, loose = {}, {}
+    for _, url, page in rows:
+        parts = url.split("/")
+        text, found = html.Page(page).subtrees()
+        for place in ((parts[2],), (parts[2], parts[3] if len(parts) > 4 else "")):
+            for h in [None, *found]:
+                seen.setdefault((place, h), set()).add(text)
+                loose[h] = loose.get(h, True) and found.get(h, False)
+    return {(place[0], h) for (place, h), texts in seen.items() if h is not None and len(texts) >= 3 and len(texts) * (2 if loose[h] else 10) >= len(seen[place, None])}
+
+
+def test_templates_match_a_count_by_hand(spark):
+    import random
+
+    rng = random.Random(8)
+    pool = [f"<div><p>box {k} of the site</p></div>" for k in range(12)] + [f"<p>line {k}</p>" for k in range(5)]
+    rows = []
+    for i in range(300):
+        host, section = rng.choice("pppq"), rng.randrange(6)
+        body = "".join(rng.choice(pool[section * 2 :]) for _ in range(rng.randrange(3))) + f"<p>{'own text of the page ' * 3}{i // 2}</p>"
+        rows.append((i, f"http://{host}.example.com/{section}/{i}", f"<article>{body}</article>" if i % 3 else body))
+    got = {(r.host, r.hash) for r in html.site_templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == templates_by_hand(rows) and got
+
+
 def test_templates_spare_the_article(spark):
     rows = [(i, f"http://c.example.com/{i}", "<div><p>Same</p></div><article><p>Same</p><p>Copied article</p></article>") for i in range(10)]
     out = html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

@@ -12,10 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tasks import of_batches
-
-#: A subtree is a template if it is on so many pages of its host, whatever the host's size. Inside the main text only
-#: containers count, and pages only as far as their main texts differ: copies of an article are one page.
-MIN_PAGES = 3
+from tidemark.session import written
+
+#: A subtree is a template if it is on so many pages of its host that differ in their main text (copies of a page are one),
+#: and on one in SHARE of the host's pages, or of those of one section, the first folder of the path. A large host's menus
+#: fill their sections, while a list or figure that a few articles share stays text. An element of running text outside
+#: article and main (a paragraph, never a heading) needs one page in LOOSE.
+MIN_PAGES, SHARE, LOOSE = 3, 10, 2
+#: No template is more than this part of the text it is deleted from: half inside article and main, three fifths without them.
+PART_WITHIN, PART = (1, 2), (3, 5)
 #: At most so many templates are broadcast; more are joined with the pages' subtrees by a shuffle on host and hash.
 BROADCAST_TEMPLATES = 200_000
 #: In that shuffle, templates on more rows than this are joined by broadcast: one task would get all their rows.
@@ -23,8 +28,8 @@ HOT_ROWS = 1_000_000
 
 # Element names of the HTML standard by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas video audio select".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+RAW = frozenset("script style noscript template textarea title iframe svg annotation object canvas video audio select".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mspace mpadded semantics".split())
 CONTAINERS = frozenset("div section ul ol dl table figure details address center hgroup".split())
 BOILERPLATE = frozenset("nav footer aside form button dialog menu head fieldset".split()) | RAW
 #: A start tag of a key closes an open element of the value that is nearer than the stop elements.
@@ -57,9 +62,12 @@ class Page:
         self._stack, self._inside = [0], [[]]
         self._text: list[str] = []
         self._at = 0
+        self._muted: list[str] = []
         self._read(html)
+        self._measure()
 
     def _flush(self) -> None:
+        self._muted = []
         if self._text:
             text = " ".join(unescape("".join(self._text)).split())
             self._text = []
@@ -82,9 +90,23 @@ class Page:
                     return True
         return False
 
-    def _open(self, tag: str, attributes: str) -> None:
+    @staticmethod
+    def _names(attributes: str) -> tuple[list[tuple[str, str]], set[str]]:
         names = [(kind.lower(), (a or b or c).lower()) for kind, a, b, c in _ATTRIBUTE.findall(attributes)] if "=" in attributes else []
-        named = {x for _, value in names for x in re.split(r"[\s_-]+", value)}
+        return names, {x for _, value in names for x in re.split(r"[\s_-]+", value)}
+
+    def _inline(self, tag: str, closing: str, attributes: str) -> None:
+        """An inline element that is hidden or named as boilerplate mutes its text, up to its end or the next block."""
+        if self._muted:
+            if tag == self._muted[0] and tag not in VOID:
+                self._muted.pop() if closing else self._muted.append(tag)
+        elif attributes and not closing and tag not in VOID:
+            names, words = self._names(attributes)
+            if _HIDDEN.search(attributes) or names and self._named(tag, names, words):
+                self._muted.append(tag)
+
+    def _open(self, tag: str, attributes: str) -> None:
+        names, named = self._names(attributes)
         top = self._stack[-1]
         main = self.main[top] or ("article" if tag == "article" else "main" if tag == "main" or "main" in named and "role" in attributes else "")
         bad = self.bad[top] or tag in BOILERPLATE or self._named(tag, names, named) or not self.main[top] and tag not in ("html", "body", "main", "article") and (tag == "header" or bool(named & NAMED_OUTSIDE)) or bool(attributes and _HIDDEN.search(attributes))
@@ -120,20 +142,17 @@ class Page:
             if inline:
                 if tag == "br":
                     self._text.append(" ")
-                if tag != "a":
-                    continue
-            else:
-                self._flush()
+                self._inline(tag, m[1], m[3])
+                continue
+            self._flush()
             if m[1]:
-                if inline:
-                    continue
                 for depth in range(len(self._stack) - 1, 0, -1):
                     if self.tag[self._stack[depth]] == tag:
                         while len(self._stack) > depth:
                             self._close()
                         break
                 continue
-            if inline or tag in VOID:
+            if tag in VOID:
                 continue
             if tag in RAW and not m[3].endswith("/"):
                 end = _RAW_END[tag].search(html, at)
@@ -158,73 +177,94 @@ class Page:
             self._close()
 
     def _add(self, text: str) -> None:
+        if self._muted:
+            return
         if not self._text or not "".join(self._text).strip():
             self._at = self._stack[-1]
         self._text.append(text)
 
-    def root(self) -> str:
-        """What the main text stands in: article, else main, else the whole page."""
-        clean = {m for m, bad in zip(self.main, self.bad, strict=True) if m and not bad}
-        return "article" if "article" in clean else "main" if "main" in clean else ""
+    def _measure(self) -> None:
+        """root, the node that the main text stands in (0: the whole page), and which nodes stand in it.
 
-    def _within(self, root: str) -> list[int]:
-        """Containers inside the main text; not what the main text begins with."""
-        return [n for n in range(1, len(self.tag)) if root and self.tag[n] in CONTAINERS and self.main[n] == root == self.main[self.parent[n]]]
-
-    def subtrees(self) -> set[tuple[int, int]]:
-        """(hash, text) of the elements that may be templates, at most half of the main text each.
-
-        Outside the main text, and not around it: text is 0. Inside: text is a hash of the page's whole main text, so that
-        copies of an article are known.
+        In main: its longest article, if that is half of main's text at least, else main itself. Without main: the longest
+        article. Only outermost articles count, and no boilerplate.
         """
-        root = self.root()
-        holds = set()
-        if root:
-            for node, m in enumerate(self.main):
-                if m == root:
-                    up = node
-                    while up >= 0 and up not in holds:
-                        holds.add(up)
-                        up = self.parent[up]
-        out = {(h, 0) for node, h in enumerate(self.hash) if node and node not in holds and self.tag[node] not in ("html", "body", "head")}
-        within = [n for n in self._within(root) if not self.bad[n]]
-        if within:
-            size, texts = [0] * len(self.tag), []
-            for t, node in self.blocks:
-                if self.main[node] == root and not self.bad[node]:
-                    size[node] += len(t)
-                    texts.append(t)
-            whole = sum(size)
-            for node in range(len(size) - 1, 0, -1):
-                size[self.parent[node]] += size[node]
-            text = xxhash.xxh3_64_intdigest("\x00".join(texts)) >> 1 | 1
-            out.update((self.hash[n] ^ _WITHIN, text) for n in within if 0 < size[n] * 2 <= whole)
+        n = len(self.tag)
+        self.size = [0] * n
+        for text, node in self.blocks:
+            if not self.bad[node]:
+                self.size[node] += len(text)
+        for node in range(n - 1, 0, -1):
+            self.size[self.parent[node]] += self.size[node]
+
+        def longest(nodes: list[int]) -> int:
+            return max(nodes, key=lambda x: (self.size[x], -x), default=0)
+
+        articles, mains, holder = [], [], [0] * n  # holder: the outermost main around a node
+        outer = [False] * n
+        for node in range(1, n):
+            up = self.parent[node]
+            holder[node], outer[node] = holder[up], outer[up] or self.tag[up] == "article"
+            if not self.bad[node]:
+                if self.tag[node] == "article" and not outer[node]:
+                    articles.append(node)
+                elif self.main[node] == "main" and not self.main[up] and not holder[node]:
+                    mains.append(node)
+                    holder[node] = node
+        self.root = longest([m for m in mains if self.size[m]])
+        if self.root:
+            inner = longest([a for a in articles if holder[a] == self.root])
+            if inner and self.size[inner] * 2 >= self.size[self.root]:
+                self.root = inner
+        else:
+            self.root = longest([a for a in articles if self.size[a]])
+        self.inside = [False] * n
+        for node in range(n):
+            self.inside[node] = node == self.root or node > 0 and self.inside[self.parent[node]]
+
+    def _candidates(self) -> dict[int, tuple[int, bool]]:
+        """node: (hash, whether it is running text) of the elements that may be templates of the main text they stand in."""
+        part, of = PART_WITHIN if self.root else PART
+        whole, out = self.size[self.root], {}
+        for node in range(1, len(self.tag)):
+            tag = self.tag[node]
+            if node == self.root or not self.inside[node] or self.bad[node] or not 0 < self.size[node] * of <= whole * part:
+                continue
+            if self.root:
+                if tag in CONTAINERS:
+                    out[node] = (self.hash[node] ^ _WITHIN, False)
+            elif tag not in HEADINGS and tag not in ("html", "body"):
+                out[node] = (self.hash[node], tag not in CONTAINERS and tag != "header")
         return out
 
+    def subtrees(self) -> tuple[int, dict[int, bool]]:
+        """A hash of the page's main text, by which copies of a page are known, and {hash: is running text} of what may be a template."""
+        texts = [t for t, node in self.blocks if self.inside[node] and not self.bad[node]]
+        return xxhash.xxh3_64_intdigest("\x00".join(texts)) >> 1, dict(self._candidates().values())
+
     def marks(self) -> set[int]:
         """Hashes that text() looks for among the templates."""
-        root = self.root()
-        outside = {h for n, h in enumerate(self.hash) if n and not (root and self.main[n] == root) and self.tag[n] not in ("html", "body")}
-        return outside | {self.hash[n] ^ _WITHIN for n in self._within(root)}
+        return {h for h, _ in self._candidates().values()}
 
     def text(self, templates: set[int]) -> str:
-        root, gone = self.root(), [False] * len(self.tag)
-        within = {n for n in self._within(root) if self.hash[n] ^ _WITHIN in templates} if templates else ()
+        found = {node for node, (h, _) in self._candidates().items() if h in templates} if templates else ()
+        gone = [False] * len(self.tag)
         for node in range(1, len(self.tag)):
-            outside = not (root and self.main[node] == root) and self.tag[node] not in ("html", "body")
-            gone[node] = gone[self.parent[node]] or self.bad[node] or node in within or outside and self.hash[node] in templates
-        return "\n\n".join(t for t, node in self.blocks if not gone[node] and (not root or self.main[node] == root))
+            gone[node] = gone[self.parent[node]] or self.bad[node] or node in found
+        return "\n\n".join(t for t, node in self.blocks if self.inside[node] and not gone[node])
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, section, hash, text, loose) of each page's candidates, and one row with a null hash for the page itself."""
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
-            host, found = [], []
-            for h, x in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns), strict=True):
-                mine = Page(x or "").subtrees()
-                host += [h] * len(mine)
-                found += mine
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))], ["host", "hash", "text"])
+            rows: list[tuple] = []
+            for h, s, x in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns), strict=True):
+                text, found = Page(x or "").subtrees()
+                rows.append((h, s, None, text, False))
+                rows += [(h, s, mark, text, loose) for mark, loose in found.items()]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["host", "section", "hash", "text", "loose"])
 
 
 def _page_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,13 +298,34 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^\w+://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
+def section_of(url):
+    """The first folder of a URL's path; empty where the path has none."""
+    return F.coalesce(F.regexp_extract(F.col(url), r"^\w+://[^/?#]*/([^/?#]+)/", 1), F.lit(""))
+
+
 def site_templates(pages: DataFrame) -> DataFrame:
-    """host, hash, rows: the subtrees that recur on the host's pages (see MIN_PAGES), and how many pages have them."""
-    source = pages.select(host_of("url").alias("host"), F.col("html").cast("string").alias("html"))
-    per_page = source.mapInArrow(of_batches(_subtrees), "host string, hash long, text long")
-    by_text = per_page.groupBy("host", "hash", "text").agg(F.count(F.lit(1)).alias("n"))
-    often = by_text.groupBy("host", "hash").agg(F.sum(F.when(F.col("text") == 0, F.col("n")).otherwise(1)).alias("pages"), F.sum("n").alias("rows"))
-    return often.where(F.col("pages") >= MIN_PAGES).drop("pages")
+    """host, hash, rows: the subtrees that recur on the host's pages (see MIN_PAGES), and how many pages have them.
+
+    Pages count by their different main texts, in the host and in each section. A page's own row, with a null hash, counts
+    the pages there are.
+    """
+    source = pages.select(host_of("url").alias("host"), section_of("url").alias("section"), F.col("html").cast("string").alias("html"))
+    per_page = source.mapInArrow(of_batches(_subtrees), "host string, section string, hash long, text long, loose boolean")
+    by_text = written(per_page.groupBy("host", "section", "hash", "text").agg(F.count(F.lit(1)).alias("n"), F.min("loose").alias("loose")), "subtrees")
+
+    def often(by: list[str]) -> DataFrame:
+        """host, hash of what is on enough pages that share `by`."""
+        different = by_text.groupBy(*by, "hash", "text").agg(F.min("loose").alias("loose")) if by == ["host"] else by_text
+        counts = different.groupBy(*by, "hash").agg(F.count(F.lit(1)).alias("pages"), F.min("loose").alias("loose"))
+        total = counts.where("hash IS NULL").select(*(F.col(c).alias(f"_{c}") for c in by), F.col("pages").alias("all"))
+        some = counts.where((F.col("hash").isNotNull()) & (F.col("pages") >= MIN_PAGES))
+        same = [F.col(c) == F.col(f"_{c}") for c in by]
+        need = F.when(F.col("loose"), F.col("pages") * LOOSE).otherwise(F.col("pages") * SHARE)
+        return some.join(total, same).where(need >= F.col("all")).select("host", "hash")
+
+    found = often(["host"]).unionByName(often(["host", "section"])).distinct()
+    rows = by_text.where("hash IS NOT NULL").groupBy("host", "hash").agg(F.sum("n").alias("rows"))
+    return rows.join(found, ["host", "hash"], "left_semi")
 
 
 def _templates_of_pages(source: DataFrame, found: DataFrame) -> DataFrame:
@@ -282,13 +343,12 @@ def _templates_of_pages(source: DataFrame, found: DataFrame) -> DataFrame:
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page: blocks of the main text, joined by two newlines.
 
-    Main text is what stands in article, else in main, else the page; without boilerplate elements, elements named as such
-    by class, id or role (see _named), and the host's templates: any element outside article and main, containers of blocks inside. A
-    paragraph or heading that stands in the main text itself is text, however often it recurs. Null html is empty; a null
-    url's host is empty; repeated pages count for templates each; an empty table gives no row; other columns are ignored.
+    Main text is what stands in main's longest article, else in main, else in the longest article, else the page (see
+    Page._measure); without boilerplate elements, elements named as such by class, id or role (see _named), and the host's
+    templates (see MIN_PAGES). A heading is never a template, nor a paragraph inside article and main, however often it
+    recurs. Null html is empty; a null url's host is empty; copies of a page count once for templates, whatever their
+    addresses; an empty table gives no row; other columns are ignored.
     """
-    from tidemark.session import written
-
     found = written(site_templates(pages), "templates")
     source = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of("url").alias("host"))
     if found.limit(BROADCAST_TEMPLATES + 1).count() <= BROADCAST_TEMPLATES:
