@@ -416,3 +416,33 @@ def test_remaining_max_asks_for_few_rows(spark):
     d = spark.range(100).select(F.col("id"), F.lit("S").alias("station"), (F.lit(DAY) + F.col("id") * 60_000_000).alias("at"), F.lit(DAY).alias("day_start"))
     out = windows.remaining_max(d, hours, ["station"], "at", "day_start", "initialized").collect()
     assert len(out) == 100 and all(r.remaining_forecast_max == 47 for r in out)
+
+
+@pytest.mark.parametrize("size", [300, 1_000_000])
+def test_quantiles_of_values_that_hardly_differ(spark, monkeypatch, size):
+    """All values within one part in a million, most in one group, one of them in half of the rows."""
+    import numpy as np
+
+    few_rows(monkeypatch, size)
+    rng = np.random.default_rng(3)
+    values = np.where(rng.random(4000) < 0.5, 1.0000004, 1 + rng.random(4000) * 1e-6)
+    df = spark.createDataFrame([(int(i % 20 == 0), float(v)) for i, v in enumerate(values)] + [(None, 2.0), (0, None)], "g int, v double")
+    qs = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.951, "e": 1.0}
+    got = {r.g: r[1:] for r in quantiles.exact_quantiles(df, ["g"], "v", qs).collect()}
+    for g in (0, 1):
+        mine = [v for i, v in enumerate(values) if int(i % 20 == 0) == g]
+        assert got[g] == pytest.approx(np.quantile(mine, list(qs.values())), abs=1e-12)
+    assert got[None] == (2.0,) * 5
+    every = quantiles.exact_quantiles(df, [], "v", qs).first()
+    assert tuple(every) == pytest.approx(np.quantile([*values, 2.0], list(qs.values())), abs=1e-12)
+    assert quantiles.exact_quantiles(df.limit(0), ["g"], "v", qs).count() == 0
+
+
+def test_positions_in_the_whole_order(spark, one_instant, monkeypatch):
+    from tidemark.operators import ranking
+
+    few_rows(monkeypatch, 500)
+    df = one_instant.withColumn("kind", F.element_at(F.array(*map(F.lit, ["book", "market", "prediction", "outcome", "note"])), (F.pmod("v", F.lit(5)) + 1).cast("int")))
+    got = {r.id: r.position for r in ranking.event_order(df, "t", "kind", ["id"]).collect()}
+    place = {k: i for i, k in enumerate(["note", *ranking.KIND_PRIORITY])}
+    assert got == {r.id: i + 1 for i, r in enumerate(sorted(df.collect(), key=lambda r: (r.t, place[r.kind], r.id)))}

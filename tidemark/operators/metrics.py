@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.money import side_edges, slipped, unit_cost
 from tidemark.functions.numeric import brier, clip, log_loss, normal_cdf, normal_pdf
+from tidemark.operators.ordered import same_key
 from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.slicing import evaluated_once
+from tidemark.operators.temporal import scalar_join
+from tidemark.session import written
 
 # Bucket edges.
 PRICE_BUCKETS = [(0.0, 0.1, "0-0.1"), (0.1, 0.3, "0.1-0.3"), (0.3, 0.7, "0.3-0.7"), (0.7, 0.9, "0.7-0.9"), (0.9, 1.01, "0.9-1")]
@@ -205,12 +208,28 @@ def source_audit(df: DataFrame, by: list[str]) -> DataFrame:
     return base.join(q, by)
 
 
-def residual_summary(df: DataFrame, by: list[str], residual: str, min_n: int = 80) -> DataFrame:
-    """n, mean, sample sd, rmse and quantiles; groups below ``min_n`` are kept but marked unusable."""
+def one_pair_per_event(df: DataFrame, event: list[str]) -> DataFrame:
+    """Rows of events that occur once: a repeated event would overweight its day, so none of its rows counts."""
+    rest = [c for c in df.columns if c not in event]
+    once = df.groupBy(*event).agg(n().alias("_n"), F.first(F.struct(*rest)).alias("_r")).filter("_n = 1")
+    return once.select(*event, "_r.*")
+
+
+def residual_summary(df: DataFrame, by: list[str], residual: str, min_n: int = 80, event: list[str] | None = None) -> DataFrame:
+    """n, mean, sample sd, rmse and quantiles per group, and pooled over all (null keys, ``pooled``); few rows are marked unusable.
+
+    With ``event``, only one pair per event counts (``one_pair_per_event``).
+    """
     r = F.col(residual)
-    base = df.groupBy(*by).agg(n().alias("n"), F.avg(r).alias("bias"), F.stddev_samp(r).alias("sigma"), F.sqrt(F.avg(r * r)).alias("rmse"))
-    q = exact_quantiles(df, by, residual, {"p05": 0.05, "p50": 0.5, "p95": 0.95})
-    return base.join(q, by).withColumn("usable", F.col("n") >= min_n)
+    rows = written((one_pair_per_event(df, event) if event else df).select(*by, r.alias(residual)), "residuals")
+
+    def summary(keys: list[str]) -> DataFrame:
+        base = rows.groupBy(*keys).agg(n().alias("n"), F.avg(r).alias("bias"), F.stddev_samp(r).alias("sigma"), F.sqrt(F.avg(r * r)).alias("rmse"))
+        q = exact_quantiles(rows, keys, residual, {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+        both = base.alias("b").join(q.alias("q"), same_key(keys, "b", "q")).select("b.*", "p05", "p50", "p95") if keys else scalar_join(base, q)
+        return both.withColumn("usable", F.col("n") >= min_n).withColumn("pooled", F.lit(not keys))
+
+    return summary(by).unionByName(summary([]), allowMissingColumns=True)
 
 
 def station_bias_fit(df: DataFrame, station: str, target: str, forecast: str, floor: float = 0.5, min_days: int = 90) -> DataFrame:

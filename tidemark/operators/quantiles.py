@@ -1,44 +1,45 @@
 """Exact quantiles of groups of any size.
 
-The built-in exact percentile keeps every distinct value of a group in one task. Here values are first counted by
-(group, value), then located through a coarse, order-preserving histogram; only the buckets that hold a wanted rank
-are sorted.
+The built-in exact percentile keeps every distinct value of a group in one task. Here values are counted by (group, value),
+and an ordered scan gives each value its first and last rank: a large group is cut at sampled splitters of its own values,
+whose ranks are exact because the counts below them are. No value range is fixed in advance.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import running, same_key
+from tidemark.session import written
 
-def _bucket(v: Column) -> Column:
-    """Order-preserving bucket of a double: the sign and 256 steps per power of two."""
-    size = F.floor(F.log2(F.greatest(F.abs(v), F.lit(1e-300))) * F.lit(256.0)).cast("long") + F.lit(300_000)
-    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, size).otherwise(-size)
+#: Totals of at most so many groups are broadcast.
+BROADCAST_GROUPS = 50_000
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """Linearly interpolated quantiles, one row per group and one column per name in ``qs``."""
+    """Linearly interpolated quantiles, one row per group and one column per name in ``qs``; null keys are a group."""
     v = F.col(value).cast("double")
-    counts = df.filter(v.isNotNull()).groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", _bucket(F.col("_v")))
-    hist = counts.groupBy(*by, "_b").agg(F.sum("_c").alias("_n"))
-    group = W.partitionBy(*by)
-    hist = hist.withColumn("_before", F.sum("_n").over(group.orderBy("_b")) - F.col("_n")).withColumn("_total", F.sum("_n").over(group))
-    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q")) for n, q in qs.items()]))
-    need = hist.select(*by, "_b", "_n", "_before", "_total", wanted.alias("_w"))
-    need = need.withColumn("_pos", F.col("_w.q") * (F.col("_total") - 1)).withColumn("_lo", F.floor("_pos"))
-    need = need.withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_total") - 1))
-    end = F.col("_before") + F.col("_n")
-    inside = lambda r: (F.col("_before") <= r) & (r < end)
-    need = need.filter(inside(F.col("_lo")) | inside(F.col("_hi")))
-    j = counts.join(need, [*by, "_b"])
-    start = F.col("_before") + F.sum("_c").over(W.partitionBy(*by, "_b", "_w").orderBy("_v")) - F.col("_c")
-    j = j.withColumn("_s", start)
-    holds = lambda r: (F.col("_s") <= r) & (r < F.col("_s") + F.col("_c"))
-    per = j.groupBy(*by, F.col("_w.name").alias("_name")).agg(
-        F.max(F.when(holds(F.col("_lo")), F.col("_v"))).alias("_a"), F.max(F.when(holds(F.col("_hi")), F.col("_v"))).alias("_z"),
-        F.max(F.col("_pos") - F.col("_lo")).alias("_f"),
-    )
-    at = F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")
-    return per.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == n, at)).alias(n) for n in qs])
+    counts = written(df.filter(v.isNotNull()).groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c")), "counts")
+    ranked = running(counts, by, ["_v"], {"_end": F.col("_c")})
+    totals = counts.groupBy(*by).agg(F.sum("_c").alias("_total"))
+    if by:
+        few = totals.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+        joined = ranked.alias("r").join((F.broadcast(totals) if few else totals).alias("t"), same_key(by, "r", "t"))
+        ranked = joined.select(*[F.col(f"r.{c}").alias(c) for c in by], "_v", "_c", "_end", "_total")
+    else:
+        ranked = ranked.withColumn("_total", totals.scalar())
+    start = F.col("_end") - F.col("_c")
+    holds = lambda rank: (start <= rank) & (rank < F.col("_end"))
+
+    def place(name: str, q: float):
+        at = F.lit(float(q)) * (F.col("_total") - 1)
+        low = F.floor(at)
+        high = F.least(low + 1, F.col("_total") - 1)
+        return F.struct(F.lit(name).alias("name"), (at - low).alias("f"), holds(low).alias("low"), holds(high).alias("high"))
+
+    wanted = F.filter(F.array(*[place(n, q) for n, q in qs.items()]), lambda w: w["low"] | w["high"])
+    hit = ranked.select(*by, "_v", F.explode(wanted).alias("_w"))
+    one = lambda n, side: F.max(F.when((F.col("_w.name") == n) & F.col(f"_w.{side}"), F.col("_v")))
+    part = lambda n: F.max(F.when(F.col("_w.name") == n, F.col("_w.f")))
+    return hit.groupBy(*by).agg(*[(one(n, "low") + (one(n, "high") - one(n, "low")) * part(n)).alias(n) for n in qs])

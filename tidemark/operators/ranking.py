@@ -6,14 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import running
+
 # Record kinds in replay order at equal times.
 KIND_PRIORITY = ["market", "outcome", "book", "prediction"]
 
 
-def event_order(df: DataFrame, t: str, kind: str) -> DataFrame:
-    """Total order by (time, kind priority): a range-partitioned sort."""
+def event_order(df: DataFrame, t: str, kind: str, tie: list[str], name: str = "position") -> DataFrame:
+    """Each record's place, from 1, in the whole order by (time, kind priority, tie); an unknown kind comes first.
+
+    One range of the order a task and the counts of the ranges before it, so no task sorts the whole table.
+    """
     rank = F.array_position(F.array(*[F.lit(k) for k in KIND_PRIORITY]), F.col(kind))
-    return df.orderBy(t, rank)
+    placed = running(df.withColumn("_rank", F.coalesce(rank, F.lit(0))), [], [t, "_rank", *tie], {name: F.lit(1).cast("long")})
+    return placed.drop("_rank")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -287,16 +287,11 @@ def ranked_candidates(spark, sf):
 
 
 @query("event_order", f"""
-WITH {TICKS}, k AS (SELECT event_id, t // 3600000000 AS hr, CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 WHEN 'click' THEN 3 ELSE 4 END AS pr FROM ticks WHERE event_type <> 'error')
-SELECT event_id, row_number() OVER (PARTITION BY hr ORDER BY pr, event_id) AS position FROM k""")
+WITH {TICKS} SELECT event_id, row_number() OVER (ORDER BY t // 3600000000, CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 WHEN 'click' THEN 3 WHEN 'view' THEN 4 ELSE 0 END, event_id) AS position FROM ticks""")
 def event_order(spark, sf):
-    from pyspark.sql import Window as W
-
     kind = F.create_map(*[x for p in (("signup", "market"), ("purchase", "outcome"), ("click", "book"), ("view", "prediction")) for x in (F.lit(p[0]), F.lit(p[1]))])
-    t = ticks(spark, sf).filter("event_type <> 'error'").select("event_id", F.floor(F.col("t") / H).cast("long").alias("hr"), kind[F.col("event_type")].alias("kind"))
-    ordered = D.event_order(t, "hr", "kind")
-    rank = F.array_position(F.array(*[F.lit(k) for k in D.KIND_PRIORITY]), F.col("kind"))
-    return ordered.select("event_id", F.row_number().over(W.partitionBy("hr").orderBy(rank, "event_id")).cast("long").alias("position"))
+    t = ticks(spark, sf).select("event_id", F.floor(F.col("t") / H).cast("long").alias("hr"), kind[F.col("event_type")].alias("kind"))
+    return D.event_order(t, "hr", "kind", ["event_id"]).select("event_id", "position")
 
 
 @query("last_runs", """

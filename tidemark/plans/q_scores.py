@@ -277,10 +277,12 @@ def source_audit(spark, sf):
 
 
 @query("residual_summary", f"""
-WITH {TICKS} SELECT event_type, count(*) AS n, {R('avg(value - k)')} AS bias, {R('stddev_samp(value - k)', 5)} AS sigma, {R('sqrt(avg((value - k) * (value - k)))', 5)} AS rmse, {R('quantile_cont(value - k, 0.05)')} AS p05, {R('quantile_cont(value - k, 0.5)')} AS p50, {R('quantile_cont(value - k, 0.95)')} AS p95, count(*) >= 80 AS usable FROM ticks GROUP BY 1""")
+WITH {TICKS}, one AS (SELECT any_value(event_type) AS event_type, any_value(value - k) AS r FROM ticks GROUP BY user_id, t // 3600000000 HAVING count(*) = 1)
+SELECT event_type, count(*) AS n, {R('avg(r)')} AS bias, {R('stddev_samp(r)', 5)} AS sigma, {R('sqrt(avg(r * r))', 5)} AS rmse, {R('quantile_cont(r, 0.05)')} AS p05, {R('quantile_cont(r, 0.5)')} AS p50, {R('quantile_cont(r, 0.95)')} AS p95, count(*) >= 80 AS usable, grouping(event_type) = 1 AS pooled FROM one GROUP BY GROUPING SETS ((event_type), ())""")
 def residual_summary(spark, sf):
-    out = A.residual_summary(ticks(spark, sf).withColumn("res", F.col("value") - F.col("k")), ["event_type"], "res")
-    return out.select("event_type", "n", rounded(F.col("bias")).alias("bias"), rounded(F.col("sigma"), 5).alias("sigma"), rounded(F.col("rmse"), 5).alias("rmse"), *[rounded(F.col(c)).alias(c) for c in ("p05", "p50", "p95")], "usable")
+    t = ticks(spark, sf).select("user_id", F.floor(F.col("t") / H).cast("long").alias("hr"), "event_type", (F.col("value") - F.col("k")).alias("res"))
+    out = A.residual_summary(t, ["event_type"], "res", event=["user_id", "hr"])
+    return out.select("event_type", "n", rounded(F.col("bias")).alias("bias"), rounded(F.col("sigma"), 5).alias("sigma"), rounded(F.col("rmse"), 5).alias("rmse"), *[rounded(F.col(c)).alias(c) for c in ("p05", "p50", "p95")], "usable", "pooled")
 
 
 @query("station_bias_fit", f"""
