@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import books, brackets, ordered, quality, quantiles, ranges, resample, slicing, splits, temporal, windows
+from tidemark.operators import blocks, books, brackets, ordered, quality, quantiles, ranges, resample, slicing, splits, temporal, windows
 
 H, DAY = slicing.HOUR, slicing.DAY
 
@@ -103,7 +103,7 @@ def test_overlap_join_and_union_length_brute_force(spark):
     got = rows(temporal.overlap_join(a, b, ["k"], ("a", "b"), ("c", "d"), width=16).select("i", "j", "overlap"))
     want = sorted((i, j, min(y, w) - max(x, z)) for i, k, x, y in A for j, l, z, w in B if k == l and min(y, w) > max(x, z))
     assert got == want
-    cov = {r.k: r.covered for r in windows.covered_length(a, ["k"], "a", "b", width=16).collect()}
+    cov = {r.k: r.covered for r in windows.covered_length(a, ["k"], "a", "b").collect()}
     for k in (0, 1):
         assert cov[k] == len({p for _, kk, x, y in A if kk == k for p in range(x, y)})
 
@@ -403,10 +403,10 @@ def test_interval_max_brute_force(spark, monkeypatch, size):
 def test_ranges_are_few_blocks(spark):
     levels = 11
     df = spark.createDataFrame([(a, b) for a in range(0, 60, 7) for b in (a, a + 1, a + 2, a + 31, a + 1000, a + 2047)], "a long, b long")
-    for r in df.withColumn("x", ranges.blocks_of_range(F.col("a"), F.col("b"), levels)).collect():
+    for r in df.withColumn("x", blocks.blocks_of_range(F.col("a"), F.col("b"), levels)).collect():
         covered = sorted(n for x in r.x for n in range(x.node << x.level, (x.node + 1) << x.level))
         assert covered == list(range(r.a, r.b)) and len(r.x) <= 2 * levels
-    one = spark.createDataFrame([(37,)], "n long").select(ranges.blocks_of_point(F.col("n"), 4).alias("x")).first().x
+    one = spark.createDataFrame([(37,)], "n long").select(blocks.blocks_of_point(F.col("n"), 4).alias("x")).first().x
     assert [(x.level, x.node) for x in one] == [(0, 37), (1, 18), (2, 9), (3, 4)]
 
 
@@ -446,3 +446,18 @@ def test_positions_in_the_whole_order(spark, one_instant, monkeypatch):
     got = {r.id: r.position for r in ranking.event_order(df, "t", "kind", ["id"]).collect()}
     place = {k: i for i, k in enumerate(["note", *ranking.KIND_PRIORITY])}
     assert got == {r.id: i + 1 for i, r in enumerate(sorted(df.collect(), key=lambda r: (r.t, place[r.kind], r.id)))}
+
+
+def test_a_long_interval_is_a_few_rows(spark):
+    """A year on slices of an hour: at most two blocks a level, each pair found once."""
+    year = 365 * DAY
+    i = spark.createDataFrame([(1, 90_000_000, 90_000_000 + year), (2, 5, 6)], "k long, a long, b long")
+    n = i.withColumn("x", F.explode(blocks.blocks_of_range(slicing.slice_of(F.col("a"), H), slicing.slice_of(F.col("b") - 1, H) + 1, 14))).groupBy("k").count()
+    assert {r.k: r["count"] for r in n.collect()}[1] <= 28
+    p = spark.range(0, 400).select(F.lit(1).cast("long").alias("k"), (F.col("id") * DAY).alias("t"))
+    assert temporal.points_in_interval(i, p, ["k"], ("a", "b"), "t").count() == 365
+    other = p.withColumn("u", F.col("t") + year)
+    assert temporal.overlap_join(i, other, ["k"], ("a", "b"), ("t", "u")).count() == 366
+    assert {r.k: r.covered for r in windows.covered_length(i.unionByName(i), ["k"], "a", "b").collect()} == {1: year, 2: 1}
+    none = i.limit(0)
+    assert temporal.overlap_join(none, other, ["k"], ("a", "b"), ("t", "u")).count() == 0 and windows.covered_length(none, ["k"], "a", "b").count() == 0

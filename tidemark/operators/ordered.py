@@ -118,15 +118,15 @@ def carried(parts: Parts, wanted: Column, columns: list[str], order: list[str],
 
 
 def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None, before: bool = False) -> DataFrame:
-    """df with unbounded running sums and maxima in the order of `order`; `before` leaves the row itself out of the sums.
+    """df with unbounded running sums and maxima in the order of `order`; `before` leaves the row itself out.
 
     Inside a part by a window; the parts before by their sums and maxima. The order must be total for exact results.
     """
     sums, maxes = sums or {}, maxes or {}
     parts = deal(df, by, order)
     inside = parts.window(*order)
-    upto, past = inside.rowsBetween(W.unboundedPreceding, 0), inside.rowsBetween(W.unboundedPreceding, -1 if before else 0)
-    local = {n: F.coalesce(F.sum(v).over(past), F.lit(0)) for n, v in sums.items()} | {n: F.max(v).over(upto) for n, v in maxes.items()}
+    past = inside.rowsBetween(W.unboundedPreceding, -1 if before else 0)
+    local = {n: F.coalesce(F.sum(v).over(past), F.lit(0)) for n, v in sums.items()} | {n: F.max(v).over(past) for n, v in maxes.items()}
     if not parts.cut:
         return parts.rows.withColumns(local).drop("__part", "__last")
     rows = parts.rows.withColumns(local)

@@ -7,41 +7,15 @@ of theirs. Rows into the last aggregate: at most 2 * levels for an interval, how
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.blocks import blocks_of_point, blocks_of_range
 from tidemark.operators.ordered import running, same_key
 from tidemark.operators.temporal import asof_backward
 from tidemark.session import written
 
 
-def _power(level: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), level)
-
-
-def _floored(number: Column, level: Column) -> Column:
-    return F.call_function("shiftright", number, level)
-
-
-def blocks_of_range(lo: Column, hi: Column, levels: int) -> Column:
-    """Array of (level, node): the blocks of level < levels that make up [lo, hi); hi - lo must be below 2**levels."""
-
-    def of_level(level: Column) -> Column:
-        size = _power(level)
-        first, past = _floored(lo + size - 1, level), _floored(hi, level)
-        left = F.when((first < past) & (F.pmod(first, F.lit(2)) == 1), first)
-        right = F.when((F.pmod(past, F.lit(2)) == 1) & (first + F.pmod(first, F.lit(2)) < past), past - 1)
-        block = lambda node: F.when(node.isNotNull(), F.struct(level.cast("int").alias("level"), node.alias("node")))
-        return F.array_compact(F.array(block(left), block(right)))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(max(levels - 1, 0))), of_level))
-
-
-def blocks_of_point(number: Column, levels: int) -> Column:
-    """Array of (level, node): the blocks of level < levels that hold the number."""
-    return F.transform(F.sequence(F.lit(0), F.lit(max(levels - 1, 0))), lambda level: F.struct(level.cast("int").alias("level"), _floored(number.cast("long"), level).alias("node")))
-
-
 def interval_max(intervals: DataFrame, points: DataFrame, by: list[str], span: tuple[str, str], t: str, values: dict[str, str], tie: list[str] | None = None) -> DataFrame:
     """intervals with `points`, the number of points with start <= t < end, and the maximum of each value column under its new name.
 

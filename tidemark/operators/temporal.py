@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.blocks import blocks_of_point, blocks_of_range
 from tidemark.operators.ordered import carried, deal
 from tidemark.operators.slicing import HOUR, slice_of
 
@@ -123,32 +124,40 @@ def left_with_reason(left: DataFrame, right: DataFrame, on: list[str], reason: s
     return out.withColumn(name, F.when(F.col("_hit").isNull(), F.lit(reason))).drop("_hit")
 
 
+def _levels(spans: DataFrame, first: Column, last: Column) -> int:
+    """How many levels of blocks the longest of the intervals needs."""
+    return int(spans.agg(F.max(last - first + 1)).first()[0] or 0).bit_length()
+
+
+def points_in_interval(intervals: DataFrame, points: DataFrame, by: list[str], span: tuple[str, str], t: str, width: int = HOUR) -> DataFrame:
+    """Points with start <= t < end, as an equi-join on (key, level, block) plus a residual range test.
+
+    An interval is stored at the few power-of-two blocks of slices that make it up, at most two a level; a point asks for
+    the block it lies in at each level, and finds an interval once.
+    """
+    a, b = span
+    valid = intervals.filter(F.col(b) > F.col(a))
+    first, last = slice_of(F.col(a), width), slice_of(F.col(b) - F.lit(1), width)
+    levels = _levels(valid, first, last)
+    i = valid.withColumn("_block", F.explode(blocks_of_range(first, last + 1, levels)))
+    p = points.withColumn("_block", F.explode(blocks_of_point(slice_of(F.col(t), width), levels)))
+    return i.join(p, [*by, "_block"]).filter((F.col(t) >= F.col(a)) & (F.col(t) < F.col(b))).drop("_block")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, by: list[str], left_span: tuple[str, str], right_span: tuple[str, str],
                  width: int = HOUR, name: str = "overlap") -> DataFrame:
     """Interval-overlap join: left [a, b) and right [c, d) with a < d and c < b, and the length of the overlap.
 
-    Both intervals are cut at slice edges so the join is an equi-join on (key, slice). A pair sharing several slices is
-    kept only in the slice where its overlap begins, which needs no distinct.
+    Two intervals overlap where the later start lies in the other one: starts of the right in the left, and starts of the
+    left inside the right, each a join of points and intervals. A pair is found once, however many slices it shares.
     """
     (a, b), (c, d) = left_span, right_span
-    last = lambda start, end: slice_of(F.greatest(F.col(start), F.col(end) - F.lit(1)), width)
-    l = left.filter(F.col(b) > F.col(a)).withColumn("_slice", F.explode(F.sequence(slice_of(F.col(a), width), last(a, b))))
-    r = right.filter(F.col(d) > F.col(c)).withColumn("_slice", F.explode(F.sequence(slice_of(F.col(c), width), last(c, d))))
+    l, r = left.filter(F.col(b) > F.col(a)), right.filter(F.col(d) > F.col(c))
+    columns = [*by, *[x for x in left.columns if x not in by], *[x for x in right.columns if x not in by]]
+    inner = points_in_interval(l, r, by, (a, b), c, width).select(*columns)
+    outer = points_in_interval(r, l, by, (c, d), a, width).filter(F.col(a) > F.col(c)).select(*columns)
     begin = F.greatest(F.col(a), F.col(c))
-    pair = l.join(r, [*by, "_slice"]).filter(
-        (F.col(a) < F.col(d)) & (F.col(c) < F.col(b)) & (F.col("_slice") == slice_of(begin, width))
-    )
-    return pair.withColumn(name, F.least(F.col(b), F.col(d)) - begin).drop("_slice")
-
-
-def points_in_interval(intervals: DataFrame, points: DataFrame, by: list[str], span: tuple[str, str], t: str, width: int = HOUR) -> DataFrame:
-    """Points with start <= t < end, as an equi-join on (key, slice) plus a residual range test."""
-    a, b = span
-    i = intervals.filter(F.col(b) > F.col(a)).withColumn(
-        "_slice", F.explode(F.sequence(slice_of(F.col(a), width), slice_of(F.col(b) - F.lit(1), width)))
-    )
-    p = points.withColumn("_slice", slice_of(F.col(t), width))
-    return i.join(p, [*by, "_slice"]).filter((F.col(t) >= F.col(a)) & (F.col(t) < F.col(b))).drop("_slice")
+    return inner.unionByName(outer).withColumn(name, F.least(F.col(b), F.col(d)) - begin)
 
 
 def freshest_available(df: DataFrame, keys: list[str], lead: str, available: Column) -> DataFrame:

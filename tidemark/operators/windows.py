@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import cyclic, normal_cdf, clip
 from tidemark.operators.slicing import DAY, HOUR, halo, running, slice_of
-from tidemark.operators.ranges import blocks_of_point, blocks_of_range
+from tidemark.operators.blocks import blocks_of_point, blocks_of_range
+from tidemark.operators.ordered import running as running_ordered
 from tidemark.operators.temporal import asof_backward
 
 # Bar feature definition (minutes at the default step).
@@ -281,23 +282,16 @@ def resample_path(spans: DataFrame, series: DataFrame, by: list[str], start: str
     return j.filter(v.isNotNull()).groupBy(*spans.columns).agg(path.alias("path")).filter(F.size("path") == n)
 
 
-def covered_length(intervals: DataFrame, by: list[str], a: str, b: str, width: int = DAY) -> DataFrame:
-    """Length of the union of intervals per key.
+def covered_length(intervals: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """Length of the union of intervals per key: one row an interval, however long it is.
 
-    Intervals are cut at slice edges, so the union can be measured slice by slice: a running maximum of ends inside the
-    slice, then a plain sum over slices.
+    In the order of their starts, an interval adds what lies behind the furthest end before it: an ordered scan, then a sum.
     """
-    cut = intervals.filter(F.col(b) > F.col(a)).withColumn(
-        "_slice", F.explode(F.sequence(slice_of(F.col(a), width), slice_of(F.col(b) - F.lit(1), width)))
-    )
-    edge = F.col("_slice") * F.lit(width)
-    cut = cut.withColumn("_a", F.greatest(F.col(a), edge)).withColumn("_b", F.least(F.col(b), edge + F.lit(width)))
-    # Copies of one interval add nothing: collapse to the longest piece per start before the window.
-    cut = cut.groupBy(*by, "_slice", "_a").agg(F.max("_b").alias("_b"))
-    w = W.partitionBy(*by, "_slice").orderBy("_a").rowsBetween(W.unboundedPreceding, -1)
-    prev = F.coalesce(F.max("_b").over(w), F.col("_a"))
-    piece = F.greatest(F.lit(0), F.col("_b") - F.greatest(F.col("_a"), prev))
-    return cut.withColumn("_len", piece).groupBy(*by).agg(F.sum("_len").alias("covered"))
+    # Copies of one interval add nothing: the longest of each start is enough.
+    longest = intervals.filter(F.col(b) > F.col(a)).groupBy(*by, F.col(a).alias("_a")).agg(F.max(b).alias("_b"))
+    run = running_ordered(longest, by, ["_a"], maxes={"_reached": F.col("_b")}, before=True)
+    piece = F.greatest(F.lit(0), F.col("_b") - F.greatest(F.col("_a"), F.coalesce("_reached", "_a")))
+    return run.groupBy(*by).agg(F.sum(piece).alias("covered"))
 
 
 def revision(df: DataFrame, by: list[str], t: str, value: str, tolerance: int, tie: list[str] | None = None) -> DataFrame:

@@ -189,7 +189,7 @@ m AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNB
 SELECT user_id, CAST(sum(greatest(0, b - greatest(a, coalesce(pb, a)))) AS BIGINT) AS covered FROM m GROUP BY user_id""")
 def covered_hours_union(spark, sf):
     i = ticks(spark, sf).select("user_id", F.col("t").alias("a"), (F.col("t") + (F.col("k") + 1) * 600 * S).alias("b"))
-    return X.covered_length(i, ["user_id"], "a", "b", width=DAY)
+    return X.covered_length(i, ["user_id"], "a", "b")
 
 
 @query("running_max_observed", f"""

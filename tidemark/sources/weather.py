@@ -182,7 +182,7 @@ def remaining_day(decisions: DataFrame, tall: DataFrame, by: list[str], at: str,
         F.max(pick("period_temperature")).alias("remaining_forecast_max"), F.avg(pick("humidity")).alias("mean_relative_humidity"), F.max(pick("wind")).alias("max_wind_mph"), F.avg(pick("cloud")).alias("mean_cloud_cover"),
     )
     cut = hit.filter("kind = 'period_temperature'").select(*ids, F.greatest("a", "_from").alias("_a"), F.least("b", "_to").alias("_b"))
-    covered = covered_length(cut, ids, "_a", "_b", width)
+    covered = covered_length(cut, ids, "_a", "_b")
     return agg.join(covered, ids, "left").withColumn("remaining", F.col("_to") - F.col("_from")).withColumn(
         "complete", (F.col("remaining") > 0) & (F.coalesce("covered", F.lit(0)) == F.col("remaining"))
     ).drop("_from", "_to")
