@@ -286,3 +286,32 @@ def test_many_keys_are_fitted_without_the_driver(spark, monkeypatch):
     c = models.fit_market_offset(df, ["g"], ["x"], least_rows=2)
     assert max((len(r) for r in collected), default=0) <= 10
     assert c.select("g").distinct().count() >= 9_990
+
+
+def test_settlement_verdicts_over_two_runs(spark, tmp_path):
+    src, out, checkpoint = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "check")
+    base = 1_700_000_000
+    runs = [[(1, 1, base, 1), (2, 1, base + 5, 0), (3, 2, base, 0)], [(4, 1, base - 100, 1), (5, 1, base + 1, 1), (6, 2, base - 5, 1), (7, None, base, 1)]]
+    for part in runs:
+        spark.createDataFrame(part, "id long, key long, s long, payout long").coalesce(1).write.mode("append").parquet(src)
+        t = spark.readStream.schema("id long, key long, s long, payout long").parquet(src).withColumn("ts", F.timestamp_seconds("s"))
+        table = streams.run_available(streams.settlements(t, 10_000_000), "v", rocksdb=True, out=out, checkpoint=checkpoint)
+    assert {r.id: (r.verdict, r.nth) for r in table.collect()} == {1: ("accepted", 1), 2: ("conflicting", 1), 3: ("accepted", 1), 4: ("late", 1), 5: ("repeated", 1), 6: ("conflicting", 1)}
+
+
+def test_labels_change_without_new_input(spark, tmp_path):
+    """Only the clock moves in the second run; a closed market leaves no state behind."""
+    src, clock, out, checkpoint = (str(tmp_path / x) for x in ("src", "clock", "out", "check"))
+    base = 1_700_000_000
+    shape, clock_shape = "key long, s long, id long, kind string, life long, ts timestamp, close timestamp", "ts timestamp"
+    rows = spark.createDataFrame([(1, base, 1, "book", None), (2, base, 2, "forecast", 50)], "key long, s long, id long, kind string, life long")
+    rows = rows.withColumn("ts", F.timestamp_seconds("s")).withColumn("close", F.timestamp_seconds(F.col("s") + F.col("life")))
+    rows.coalesce(1).write.parquet(src)
+    seen = []
+    for at in (base + 1, base + 5000):
+        spark.createDataFrame([(at,)], "s long").select(F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(clock)
+        t = streams.with_heartbeat(spark.readStream.schema(shape).parquet(src), spark.readStream.schema(clock_shape).parquet(clock), "ts")
+        table = streams.run_available(streams.freshness_changes(t, 100_000_000, "1 second"), "f", rocksdb=True, out=out, checkpoint=checkpoint)
+        seen.append({(r.key, r.at_us // 1_000_000 - base, r.state) for r in table.collect()})
+    assert seen[0] == {(1, 0, "watching"), (2, 0, "forecast")}
+    assert seen[1] - seen[0] == {(1, 100, "collecting"), (2, 50, "closed")}

@@ -88,6 +88,45 @@ def stream_settle(spark, sf):
     return out.select(F.col("id").alias("prediction_id"), F.col("answer_id").alias("outcome_id"))
 
 
+@query("stream_settlements", f"""
+WITH {TICKS}, a AS (SELECT *, CAST(k % 10 = 0 AS INTEGER) AS late_file FROM ticks), m AS (SELECT user_id, max(t) AS newest FROM a WHERE late_file = 0 GROUP BY 1),
+v AS (SELECT a.*, late_file = 1 AND newest IS NOT NULL AND t < newest - 86400000000 AS late FROM a LEFT JOIN m USING (user_id)),
+f AS (SELECT user_id, arg_min(k % 3, (late_file, t, event_id)) AS first_payout, arg_min(event_id, (late_file, t, event_id)) AS first_id FROM v WHERE NOT late GROUP BY 1),
+g AS (SELECT v.*, CASE WHEN late THEN 'late' WHEN event_id = first_id THEN 'accepted' WHEN k % 3 = first_payout THEN 'repeated' ELSE 'conflicting' END AS verdict FROM v LEFT JOIN f USING (user_id))
+SELECT event_id, verdict, row_number() OVER (PARTITION BY user_id, verdict ORDER BY late_file, t, event_id) AS nth FROM g""")
+def stream_settlements(spark, sf):
+    """Outcomes of which every tenth arrives in a second file, some of them a day behind their key's newest."""
+    from tidemark.session import new_folder
+
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    rows = e.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), (F.col("k") % 3).alias("payout"), "k")
+    folder = new_folder(spark, "outcomes")
+    for late in (False, True):
+        rows.where((F.col("k") % 10 == 0) == F.lit(late)).drop("k").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.drop("k").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = T.run_available(T.settlements(stream, DAY), "stream_settlements", rocksdb=True)
+    return out.select(F.col("id").alias("event_id"), "verdict", "nth")
+
+
+@query("stream_freshness", f"""
+WITH {TICKS}, x AS (SELECT user_id, t, event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'forecast' ELSE 'watching' END AS label,
+  min(t) OVER (PARTITION BY user_id) + 1296000000000 AS close FROM ticks),
+o AS (SELECT *, lag(label) OVER w AS before, lag(t) OVER w AS pt, lead(t) OVER w AS nt FROM x WHERE t < close WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+c AS (SELECT (SELECT max(t) + 172800000000 - 3600000000 FROM ticks) AS mark),
+s AS (SELECT user_id, t AS at_us, label AS state FROM o WHERE before IS NULL OR t - pt >= 21600000000 OR label <> before
+  UNION ALL SELECT user_id, t + 21600000000, 'collecting' FROM o, c WHERE coalesce(nt, mark) >= t + 21600000000 AND t + 21600000000 < close
+  UNION ALL SELECT DISTINCT user_id, close, 'closed' FROM o, c WHERE close <= mark)
+SELECT state, count(*) AS n, CAST(sum(at_us // 1000000) AS BIGINT) AS at_s FROM s GROUP BY 1""")
+def stream_freshness(spark, sf):
+    first = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg((F.min("ts") + F.expr("INTERVAL 15 DAYS")).cast("timestamp").alias("close"))
+    kind = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "forecast").otherwise("book")
+    rows = tick_stream(spark, sf).join(first, "user_id").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), kind.alias("kind"), "close")
+    now = spark.read.parquet(f"{sf}/events.parquet").agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).cast("timestamp").alias("ts"))
+    changes = T.freshness_changes(T.with_heartbeat(rows, T.table_of(now, "clock"), "ts"), 6 * H, "1 hour")
+    out = T.run_available(changes, "stream_freshness", rocksdb=True)
+    return out.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("at_us") / S).cast("long")).alias("at_s"))
+
+
 @query("stream_record_validation", f"""
 WITH {TICKS} SELECT CASE WHEN k % 10 = 0 THEN 'rejected' ELSE 'valid' END AS status, count(*) AS n FROM ticks GROUP BY 1""")
 def stream_record_validation(spark, sf):

@@ -301,6 +301,145 @@ def intents_with_cancellation(stream: DataFrame, key: str, ts: str, delay: str,
     )
 
 
+SETTLEMENT_SCHEMA = "key long, id long, ts_us long, payout long, verdict string, nth long"
+
+
+def settlement_processor(delay_us: int):
+    """Verdict on each outcome of a key: accepted (the first), repeated, conflicting (another payout), late.
+
+    Late is what lies more than ``delay_us`` behind the key's newest row of earlier micro-batches; a late row changes
+    nothing. The rows of one micro-batch are taken by (ts, id). ``nth`` counts the key's rows of that verdict.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    verdicts = ("accepted", "repeated", "conflicting", "late")
+    fields = ("payout", "newest", *verdicts)
+
+    class Settlements(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.state = handle.getValueState("settlement", StructType([StructField(n, LongType()) for n in fields]))
+
+        def handleInputRows(self, key, rows, timerValues):
+            batch = pd.concat(list(rows)).sort_values(["ts_us", "id"])
+            held = list(self.state.get()) if self.state.exists() else [None, None, 0, 0, 0, 0]
+            payout, newest, counts = held[0], held[1], dict(zip(verdicts, held[2:]))
+            edge = None if newest is None else newest - delay_us
+            out = []
+            for ident, ts, value in zip(batch["id"].tolist(), batch["ts_us"].tolist(), batch["payout"].tolist()):
+                if edge is not None and ts < edge:
+                    verdict = "late"
+                elif payout is None:
+                    payout, verdict = value, "accepted"
+                else:
+                    verdict = "repeated" if value == payout else "conflicting"
+                counts[verdict] += 1
+                out.append((key[0], ident, ts, value, verdict, counts[verdict]))
+            newest = max(batch["ts_us"].tolist() + ([] if newest is None else [newest]))
+            self.state.update((payout, newest, *counts.values()))
+            yield pd.DataFrame(out, columns=["key", "id", "ts_us", "payout", "verdict", "nth"])
+
+        def close(self) -> None:
+            pass
+
+    return Settlements()
+
+
+def settlements(stream: DataFrame, delay_us: int) -> DataFrame:
+    """Accepted, repeated, conflicting and late outcomes in one stateful pass (RocksDB): stream has key, ts, id, payout.
+
+    Rows with a null are dropped. The verdict column splits the written table into the stream's main and side outputs.
+    """
+    rows = stream.where("key IS NOT NULL AND ts IS NOT NULL AND id IS NOT NULL AND payout IS NOT NULL")
+    rows = rows.select("key", "id", F.unix_micros("ts").alias("ts_us"), F.col("payout").cast("long").alias("payout"))
+    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=settlement_processor(delay_us), outputStructType=SETTLEMENT_SCHEMA, outputMode="Append", timeMode="None")
+
+
+FRESHNESS_SCHEMA = "key long, at_us long, state string"
+
+
+def freshness_processor(stale_us: int):
+    """Changes of a market's state label, also those that no row brings: an event-time timer makes an old book stale.
+
+    Rows: key, ts_us, kind ('error', 'forecast' or anything else: a book), close_us (null: open end). Labels are error, forecast and watching
+    by the newest row, collecting ``stale_us`` after it, closed at the market's close, when its state is dropped.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    never = 2**63 - 1
+
+    class Freshness(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("label", StructType([StructField("label", StringType()), StructField("ts", LongType()), StructField("close", LongType())]))
+
+        @staticmethod
+        def _until(held, now, out):
+            """What time alone has changed before `now`: the label goes stale, then the market closes."""
+            label, ts, close = held
+            if label not in ("collecting", "closed") and ts + stale_us <= min(now, close - 1):
+                label = "collecting"
+                out.append((ts + stale_us, label))
+            if label != "closed" and close <= now:
+                label = "closed"
+                out.append((close, label))
+            return (label, ts, close)
+
+        def _keep(self, key, held, out):
+            label, ts, close = held
+            if label == "closed":
+                self.state.clear()
+            else:
+                self.state.update(held)
+                due = close if label == "collecting" else min(close, ts + stale_us)
+                if due < never:
+                    self.handle.registerTimer(due // 1000 + 1)
+            if out:
+                yield pd.DataFrame([(key[0], at, label) for at, label in out], columns=["key", "at_us", "state"])
+
+        def handleInputRows(self, key, rows, timerValues):
+            batch = pd.concat(list(rows)).sort_values(["ts_us", "id"])
+            held, out = self.state.get() if self.state.exists() else None, []
+            closes = batch["close_us"].astype("Int64").fillna(never).tolist()
+            for ts, kind, close in zip(batch["ts_us"].tolist(), batch["kind"].tolist(), closes):
+                if held is not None:
+                    held = self._until(held, ts, out)
+                    if held[0] == "closed":
+                        continue
+                    if ts < held[1]:  # an older row changes nothing
+                        continue
+                label = kind if kind in ("error", "forecast") else "watching"
+                if held is None or held[0] != label:
+                    out.append((ts, label))
+                held = (label, int(ts), int(close))
+            mark_us = timerValues.getCurrentWatermarkInMs() * 1000
+            if held is not None:
+                yield from self._keep(key, self._until(held, mark_us, out), out)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if self.state.exists():
+                out = []
+                yield from self._keep(key, self._until(self.state.get(), timerValues.getCurrentWatermarkInMs() * 1000, out), out)
+
+        def close(self) -> None:
+            pass
+
+    return Freshness()
+
+
+def freshness_changes(stream: DataFrame, stale_us: int, watermark: str) -> DataFrame:
+    """State labels of each market as they change (append, RocksDB): stream has key, ts, id, kind, close. See ``freshness_processor``.
+
+    Union a clock with ``with_heartbeat`` so that labels change where no market sends anything.
+    """
+    rows = stream.withWatermark("ts", watermark).select(F.coalesce("key", F.lit(-1).cast("long")).alias("key"), "ts", "id", "kind", F.unix_micros("ts").alias("ts_us"), F.unix_micros("close").alias("close_us"))
+    out = rows.groupBy("key").transformWithStateInPandas(statefulProcessor=freshness_processor(stale_us), outputStructType=FRESHNESS_SCHEMA, outputMode="Append", timeMode="EventTime")
+    return out.where("key >= 0")
+
+
 def freshness(latest: DataFrame, now_us: Column, observed: str, stale_us: int, has_forecast: Column, has_error: Column) -> DataFrame:
     """Age of the newest book and the state label error / collecting / watching / forecast."""
     age = now_us - F.col(observed)
