@@ -120,3 +120,18 @@ def test_long_text(spark):
     text = "ab cd " * 200_000 + "token=" + "k" * 40 + " " + "0123456789abcdef " * 2000
     r = S.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (r.n_assign, r.n_hex) == (1, 2000) and r.spans.startswith("assign:1200000:1200046,hex:1200047:1200063")
+
+
+def test_all_spans_match_sql(spark, documents):
+    """Corpus, tricky texts and random strings together: models, scores and spans are those of the SQL statement."""
+    import duckdb
+
+    rng = random.Random(6)
+    planted = [(10_000 + i, f"set {x} and key={x[:18]} there") for i, x in enumerate(secrets_held_out(rng)[::9])]
+    texts = [(20_000 + i, t) for i, t in enumerate(TRICKY) if "ſ" not in t and "😀" not in t] + [(30_000, None), (30_001, "")]
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(planted + texts, "doc_id long, text string"))
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    mine = sorted(tuple(r) for r in S.digest(docs).collect())
+    assert mine == sorted(con.execute(S.ORACLE_SQL).fetchall())
+    assert sum("random:" in r[5] for r in mine) > 20

@@ -71,5 +71,5 @@ _ALL = (op1_substring_dedup, op2_quality_rules, op3_best_fit_packing, op4_suffix
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": substring.ORACLE_SQL, "op2_quality_rules": quality.ORACLE_SQL, "op4_suffix_dedup": suffix_array.ORACLE_SQL,
-    "op7_chat_formatting": chat.ORACLE_SQL, "op9_minhash_near_dedup": near.ORACLE_SQL, "op12_spelling_variants": spelling.ORACLE_SQL,
+    "op7_chat_formatting": chat.ORACLE_SQL, "op9_minhash_near_dedup": near.ORACLE_SQL, "op12_spelling_variants": spelling.ORACLE_SQL, "op13_secret_scan": secret_spans.ORACLE_SQL,
 }

@@ -110,8 +110,9 @@ def corpus_samples(docs: DataFrame) -> DataFrame:
     label = F.when(F.rlike("token", F.lit(LONG["access"])), "upper").when(F.rlike("token", F.lit(LONG["hex"])), "hex").when(F.col("n") >= SEEN, "ordinary")
     labelled = words.withColumn("label", label).where("label is not null")
     t = F.col("token")
-    number = F.pmod(F.xxhash64(t), F.lit(10_000)).cast("string")
-    forms = [t, F.upper(t), F.concat(t, F.initcap(t)), *(F.concat(t, F.lit(sign), t) for sign in "_-/"), F.concat(F.upper(t), F.lit("_"), F.upper(t)), F.concat(t, F.lit("_"), number), F.concat(t, number), F.concat(number, F.lit("-"), number)]
+    large = F.translate(t, SYMBOLS[:26], SYMBOLS[26:52])
+    number = F.conv(F.substring(F.md5(t.cast("binary")), 1, 3), 16, 10)
+    forms = [t, large, F.concat(t, F.substring(large, 1, 1), F.substring(t, F.lit(2), F.length(t))), *(F.concat(t, F.lit(sign), t) for sign in "_-/"), F.concat(large, F.lit("_"), large), F.concat(t, F.lit("_"), number), F.concat(t, number), F.concat(number, F.lit("-"), number)]
     return labelled.select(F.explode(F.when(F.col("label") == "ordinary", F.array(*forms)).otherwise(F.array(t))).alias("token"), "label")
 
 
@@ -119,7 +120,7 @@ def drawn_samples(spark: SparkSession, count: int = DRAWN) -> DataFrame:
     """token, label: random strings of 16 digits a symbol can take, of capitals and digits, and of the 64 signs of both usual encodings."""
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")).cast("binary"), 256)
     mixed = F.base64(F.unhex(digest))
-    capitals = F.concat(*(F.lpad(F.conv(F.substring(digest, at, 12), 16, 36), 9, "0") for at in (1, 13, 25, 37)))
+    capitals = F.concat(*(F.substring(F.lpad(F.conv(F.substring(digest, at, 10), 16, 36), 8, "0"), 2, 7) for at in range(1, 61, 10)))
     drawn = F.create_map(F.lit("hex"), F.array(digest), F.lit("upper"), F.array(capitals), F.lit("mixed"), F.array(mixed, F.translate(mixed, "+/", "-_")))
     return spark.range(count).select(F.explode(drawn).alias("label", "tokens")).select(F.explode("tokens").alias("token"), "label")
 
@@ -180,3 +181,49 @@ def digest(docs: DataFrame) -> DataFrame:
     found = secret_spans(docs.select("doc_id", "text"))
     base = reduce(F.concat, [F.col(k) for k in BASE])
     return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.concat(base, F.col("random"))).alias("spans"))
+
+
+def _placed_sql(kind: str, pattern: str, group: int, least: str) -> str:
+    """CTE text: r, start, past, found of one pattern's matches; each ends where the texts between and the matches so far end."""
+    p = pattern.replace("'", "''")
+    so_far = lambda xs: f"list_sum(list_transform({xs}[1:i], lambda x: length(x)))"
+    return f"""{kind}_m AS (SELECT r, regexp_extract_all(text, '{p}') AS f, regexp_extract_all(text, '{p}', {group}) AS v, string_split_regex(text, '{p}') AS s FROM d WHERE regexp_matches(text, '{p}')),
+{kind}_i AS (SELECT r, f, v, s, unnest(range(1, len(f) + 1)) AS i FROM {kind}_m),
+{kind}_s AS (SELECT r, CAST({so_far('s')} + {so_far('f')} - length(f[i]) AS BIGINT) AS start, CAST({so_far('s')} + {so_far('f')} AS BIGINT) AS past, f[i] AS found FROM {kind}_i WHERE length({least}) >= {BASE[kind][2] if kind in BASE else SHORTEST})"""
+
+
+def _cells_sql(token: str) -> str:
+    codes = f"list_transform(range(1, length({token}) + 1), lambda j: instr('{SYMBOLS}', substr({token}, j, 1)))"
+    return f"list_transform(list_zip(list_prepend({SIZE}, {codes}), {codes})[1:length({token})], lambda z: z[1] * {SIZE} + z[2])"
+
+
+#: The same rows: the patterns' matches by Perl-like expressions, and the models' counts and scores as tables.
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+{_placed_sql('assign', BASE['assign'][0], 2, 'v[i]')},
+{_placed_sql('access', BASE['access'][0], 0, 'f[i]')},
+{_placed_sql('hex', BASE['hex'][0], 0, 'f[i]')},
+{_placed_sql('random', RUN + '+={0,2}', 0, "rtrim(f[i], '=')")},
+base AS (SELECT r, 'assign' AS kind, 0 AS no, start, past FROM assign_s UNION ALL SELECT r, 'access', 1, start, past FROM access_s UNION ALL SELECT r, 'hex', 2, start, past FROM hex_s),
+seen AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{RUN}{{3,}}={{0,2}}')) AS token FROM d) GROUP BY 1),
+labelled AS (SELECT token, CASE WHEN regexp_matches(token, 'AKIA[A-Z0-9]{{14,}}') THEN 'upper' WHEN regexp_matches(token, '[0-9a-f]{{16,}}') THEN 'hex' WHEN n >= {SEEN} THEN 'ordinary' END AS label,
+  translate(token, '{SYMBOLS[:26]}', '{SYMBOLS[26:52]}') AS large, CAST(CAST('0x' || substr(md5(token), 1, 3) AS INTEGER) AS VARCHAR) AS num FROM seen),
+drawn AS (SELECT sha256('sample ' || i) AS h FROM range({DRAWN}) t(i)),
+tokens AS (
+  SELECT label, unnest(CASE WHEN label = 'ordinary' THEN [token, large, token || substr(large, 1, 1) || substr(token, 2), token || '_' || token, token || '-' || token, token || '/' || token, large || '_' || large, token || '_' || num, token || num, num || '-' || num] ELSE [token] END) AS token FROM labelled WHERE label IS NOT NULL
+  UNION ALL SELECT 'hex', h FROM drawn
+  UNION ALL SELECT 'mixed', unnest([to_base64(unhex(h)), translate(to_base64(unhex(h)), '+/', '-_')]) FROM drawn
+  UNION ALL SELECT 'upper', array_to_string(list_transform(range(1, 61, 10), lambda a: array_to_string(list_transform(range(6, -1, -1), lambda e: substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST((CAST('0x' || substr(h, a, 10) AS BIGINT) // CAST(pow(36, e) AS BIGINT)) % 36 + 1 AS INTEGER), 1)), '')), '') FROM drawn),
+pairs AS (SELECT label, cell, count(*) AS c FROM (SELECT label, unnest({_cells_sql('token')}) AS cell FROM tokens) GROUP BY 1, 2),
+grid AS (SELECT i AS cell, g.label, coalesce(c, 0) AS c FROM (SELECT i, label FROM range({(SIZE + 1) * SIZE}) t(i), (VALUES ('ordinary'), ('hex'), ('upper'), ('mixed')) l(label)) g LEFT JOIN pairs ON pairs.cell = i AND pairs.label = g.label),
+chances AS (SELECT cell, label, (c + {PRIOR}::DOUBLE) / (sum(c) OVER (PARTITION BY label, cell // {SIZE}) + {PRIOR}::DOUBLE * {SIZE}) AS p FROM grid),
+scores AS (SELECT a.cell, a.label, CAST(round(1000 * ln(a.p / o.p)) AS BIGINT) AS score FROM chances a JOIN chances o ON o.cell = a.cell AND o.label = 'ordinary' WHERE a.label <> 'ordinary'),
+fresh AS (SELECT row_number() OVER () AS c, r, start, past, found FROM random_s WHERE NOT regexp_matches(found, 'AKIA[A-Z0-9]{{14,}}|[0-9a-f]{{16,}}')),
+ratios AS (SELECT c, label, sum(score) AS ratio FROM (SELECT c, unnest({_cells_sql('found')}) AS cell FROM fresh) JOIN scores USING (cell) GROUP BY 1, 2),
+extra AS (SELECT r, 'random' AS kind, 3 AS no, start, past FROM fresh f WHERE (SELECT max(ratio) FROM ratios q WHERE q.c = f.c) >= greatest({LIMIT}, {EACH} * length(found))
+  AND NOT EXISTS (SELECT 1 FROM assign_s a WHERE a.r = f.r AND a.start < f.past AND f.start < a.past)),
+every AS (SELECT *, kind || ':' || start || ':' || past AS w FROM (SELECT * FROM base UNION ALL SELECT * FROM extra)),
+lists AS (SELECT r, count(*) FILTER (WHERE no = 0) AS n_assign, count(*) FILTER (WHERE no = 1) AS n_access, count(*) FILTER (WHERE no = 2) AS n_hex,
+  string_agg(w, ',' ORDER BY start, no) FILTER (WHERE no < 3) AS base, string_agg(w, ',' ORDER BY start, no) AS spans FROM every GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN lists USING (r)
+"""
