@@ -461,3 +461,39 @@ def test_a_long_interval_is_a_few_rows(spark):
     assert {r.k: r.covered for r in windows.covered_length(i.unionByName(i), ["k"], "a", "b").collect()} == {1: year, 2: 1}
     none = i.limit(0)
     assert temporal.overlap_join(none, other, ["k"], ("a", "b"), ("t", "u")).count() == 0 and windows.covered_length(none, ["k"], "a", "b").count() == 0
+
+
+@pytest.mark.parametrize("size", [25, 1_000_000])
+def test_observed_maxima_of_many_delays_brute_force(spark, monkeypatch, size):
+    few_rows(monkeypatch, size)
+    rnd = random.Random(12)
+    minute = 60_000_000
+    obs = [(rnd.choice("AAB"), t * minute, float(rnd.randrange(60)), rnd.choice([None, float(rnd.randrange(90))])) for t in rnd.sample(range(2 * 1440), 260)]
+    asked = [(i, rnd.choice("AABC"), rnd.randrange(2 * 1440) * minute) for i in range(60)]
+    o = spark.createDataFrame(obs, "station string, t long, temperature double, max_6h double")
+    d = spark.createDataFrame(asked, "i int, station string, at long").withColumn("day_start", (F.floor(F.col("at") / DAY) * DAY).cast("long"))
+    out = windows.running_max_obs(d, o, ["station"], "at", "day_start", "t", [30 * minute, 90 * minute])
+    got = {(r.i, r.delay // minute): (r.observed_max, r.observed_temperature, r.observation_count, r.observed_trend, r.reason) for r in out.collect()}
+    want = {}
+    for i, k, at in asked:
+        for delay in (30, 90):
+            start = at // DAY * DAY
+            ok = sorted((t, v, m) for kk, t, v, m in obs if kk == k and start <= t < start + DAY and t + delay * minute <= at)
+            if not ok:
+                want[i, delay] = (None, None, None, None, "no_observation")
+                continue
+            t, v, _ = ok[-1]
+            old = [x for x in ok if x[0] <= t - 2 * H]
+            top = max(max(y, m if m is not None and x - 6 * H >= start else y) for x, y, m in ok)
+            want[i, delay] = (top, v, len(ok), v - old[-1][1] if old else 0.0, "stale_observation" if at - t > 3 * H else None)
+    assert got == want
+
+
+def test_station_join_is_one_scan(spark, capsys):
+    from tidemark.plans import studies
+
+    o = spark.createDataFrame([("A", 0, 1.0, None)], "station string, t long, temperature double, max_6h double")
+    d = spark.createDataFrame([("A", H, 0)], "station string, at long, day_start long")
+    studies.station_join(d, o, [30, 60, 90]).explain()
+    plan = capsys.readouterr().out
+    assert sum("Exchange" in x for x in plan.splitlines()) <= 3 and plan.count("Scan") == 2

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import cyclic, normal_cdf, clip
 from tidemark.operators.slicing import DAY, HOUR, halo, running, slice_of
 from tidemark.operators.blocks import blocks_of_point, blocks_of_range
+from tidemark.operators.ordered import deal
 from tidemark.operators.ordered import running as running_ordered
 from tidemark.operators.temporal import asof_backward
 
@@ -166,34 +167,55 @@ def execution_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def running_max_obs(decisions: DataFrame, obs: DataFrame, by: list[str], at: str, day_start: str, t: str, delay: int,
-                    stale: int = 3 * HOUR, width: int = HOUR, offset: Column | None = None) -> DataFrame:
+def running_max_obs(decisions: DataFrame, obs: DataFrame, by: list[str], at: str, day_start: str, t: str, delay: int | list[int],
+                    stale: int = 3 * HOUR, offset: Column | None = None) -> DataFrame:
     """Observed extremes of the station day at the decision.
 
     Point-in-time rule: an observation counts from ``t + delay`` on, only inside its own day; a six-hour maximum only
-    if its whole window lies in the day; the newest usable observation must not be older than ``stale``.
+    if its whole window lies in the day; the newest usable observation must not be older than ``stale``. Several delays
+    give a row each, told apart by a column ``delay``.
 
-    Running maximum and count are attached to the observations once per (station, day); a decision then needs only the
-    newest usable observation. The cost is linear in both sides: no decision is paired with every earlier reading.
-    ``offset`` is the station's day start within the UTC day (default 0), an expression over ``obs``.
+    Observations and the probes of all delays are read in one order per (station, day): running maximum, count and newest
+    observation in one scan, linear in both. ``offset`` is the station's day start within the UTC day (default 0), an
+    expression over ``obs``.
     """
     shift = offset if offset is not None else F.lit(0)
     start = (F.floor((F.col(t) - shift) / F.lit(DAY)) * F.lit(DAY) + shift).cast("long")
-    o = obs.select(*by, F.col(t).alias("_t"), "temperature", "max_6h", start.alias("_day"))
-    inside = F.when(F.col("_t") - F.lit(6 * HOUR) >= F.col("_day"), F.col("max_6h"))
-    keys = [*by, "_day"]
-    o = running(o, keys, "_t", [], width, sums={"_count": F.lit(1)}, maxes={"_max": F.greatest("temperature", inside)})
-    old = o.select(*keys, F.col("_t").alias("_ot"), F.col("temperature").alias("_otemp"))
-    o = asof_backward(o.withColumn("_before", F.col("_t") - F.lit(2 * HOUR)), old, keys, "_before", "_ot", DAY, name="_older")
-    o = o.withColumn("_trend", F.coalesce(F.col("temperature") - F.col("_older._otemp"), F.lit(0.0))).drop("_older", "_before")
-    d = decisions.withColumn("_day", F.col(day_start)).withColumn("_cut", F.least(F.col(at) - F.lit(delay), F.col(day_start) + F.lit(DAY - 1)))
-    out = asof_backward(d, o, keys, "_cut", "_t", DAY, name="_o")
-    age = F.col(at) - F.col("_o._t")
-    return out.withColumns({
-        "observed_max": F.col("_o._max"), "observed_temperature": F.col("_o.temperature"), "observation_at": F.col("_o._t"), "observation_count": F.col("_o._count"),
-        "observed_trend": F.col("_o._trend"), "observation_age": age,
+    keys, delays = [*by, "_day"], delay if isinstance(delay, list) else [delay]
+    inside = F.when(F.col(t) - F.lit(6 * HOUR) >= start, F.col("max_6h"))
+    readings = obs.select(*by, start.alias("_day"), F.col(t).alias("_t"), F.lit(0).alias("_side"), F.col("temperature").alias("_temp"), F.greatest("temperature", inside).alias("_high"))
+    probe = F.explode(F.array(*[F.lit(d).cast("long") for d in delays])).alias("delay")
+    probes = decisions.select(*by, F.col(day_start).alias("_day"), F.struct(*decisions.columns).alias("_d"), F.col(at).alias("_at"), probe)
+    probes = probes.select(*keys, F.least(F.col("_at") - F.col("delay"), F.col("_day") + F.lit(DAY - 1)).alias("_t"), F.lit(1).alias("_side"), "_d", "delay")
+    parts = deal(readings.unionByName(probes, allowMissingColumns=True), keys, ["_t", "_side"])
+    if parts.cut:
+        found = _observed_in_parts(readings, probes, keys)
+    else:
+        upto = parts.window("_t", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+        hours_before = parts.window("_t").rangeBetween(W.unboundedPreceding, -2 * HOUR)
+        rows = parts.rows.withColumn("_older", F.last("_temp", ignorenulls=True).over(hours_before))
+        reading = F.when(F.col("_side") == 0, F.struct("_t", "_temp", "_older"))
+        rows = rows.withColumns({"_max": F.max("_high").over(upto), "_count": F.sum(1 - F.col("_side")).over(upto), "_o": F.last(reading, ignorenulls=True).over(upto)})
+        found = rows.filter("_side = 1").select("_d", "delay", "_max", "_count", "_o")
+    age = F.col(f"_d.{at}") - F.col("_o._t")
+    out = found.withColumns({
+        "observed_max": F.when(F.col("_o").isNotNull(), F.col("_max")), "observed_temperature": F.col("_o._temp"), "observation_at": F.col("_o._t"),
+        "observation_count": F.when(F.col("_o").isNotNull(), F.col("_count").cast("long")),
+        "observed_trend": F.when(F.col("_o").isNotNull(), F.coalesce(F.col("_o._temp") - F.col("_o._older"), F.lit(0.0))), "observation_age": age,
         "reason": F.when(F.col("_o").isNull(), "no_observation").when(age > F.lit(stale), "stale_observation"),
-    }).drop("_o", "_day", "_cut")
+    })
+    names = ["observed_max", "observed_temperature", "observation_at", "observation_count", "observed_trend", "observation_age", "reason"]
+    return out.select("_d.*", *(["delay"] if isinstance(delay, list) else []), *names)
+
+
+def _observed_in_parts(readings: DataFrame, probes: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for a station day that is cut: running maximum and count by parts, then the newest reading of each probe."""
+    run = running_ordered(readings, keys, ["_t", "_temp"], {"_count": F.lit(1)}, {"_max": F.col("_high")})
+    older = readings.select(*keys, F.col("_t").alias("_ot"), F.col("_temp").alias("_otemp"))
+    run = asof_backward(run.withColumn("_before", F.col("_t") - F.lit(2 * HOUR)), older, keys, "_before", "_ot", None, tie=["_otemp"], name="_old")
+    right = run.select(*keys, F.col("_t").alias("_rt"), "_count", "_max", F.struct("_t", "_temp", F.col("_old._otemp").alias("_older")).alias("_o"))
+    q = asof_backward(probes, right, keys, "_t", "_rt", None, tie=["_count"], name="_q")
+    return q.select("_d", "delay", F.col("_q._max").alias("_max"), F.col("_q._count").alias("_count"), F.col("_q._o").alias("_o"))
 
 
 #: A day and what an hour that began before it adds are at most 25 hours: blocks of up to 16.

@@ -117,14 +117,11 @@ def weather_samples(samples: DataFrame, bounds: DataFrame, lead_hours: DataFrame
 
 
 def station_join(rows: DataFrame, obs: DataFrame, delays_minutes: list[int] = (30, 90), offset: Column | None = None) -> DataFrame:
-    """Weather rows with the station's observed features under each publication delay (tall by ``delay``).
+    """Weather rows with the station's observed features under each publication delay (tall by ``delay_minutes``), in one scan.
 
     ``offset`` is the station's fixed day start inside the UTC day, an expression over ``obs`` (default 0)."""
-    out = None
-    for d in delays_minutes:
-        x = windows.running_max_obs(rows, obs, ["station"], "at", "day_start", "t", d * 60 * MICRO, offset=offset).withColumn("delay_minutes", F.lit(d))
-        out = x if out is None else out.unionByName(x)
-    return out
+    found = windows.running_max_obs(rows, obs, ["station"], "at", "day_start", "t", [d * 60 * MICRO for d in delays_minutes], offset=offset)
+    return found.withColumn("delay_minutes", (F.col("delay") / (60 * MICRO)).cast("int")).drop("delay")
 
 
 def archive_join(rows: DataFrame, hours: DataFrame, obs: DataFrame, embargo: int = 48 * HOUR, offset: Column | None = None) -> tuple[DataFrame, DataFrame]:
