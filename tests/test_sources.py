@@ -247,3 +247,30 @@ def test_prices_and_rates_out_of_range_have_no_cost(spark):
     df = spark.createDataFrame([(12.0, 3.0, 0.07), (0.5, 3.0, 12.0), (0.5, 1e20, 0.07), (0.123456, 2.5, 0.07)], "p double, q double, r double")
     got = [r.c for r in df.select(money.fee_and_cost(F.col("p"), F.col("q"), F.col("r"))["cost"].alias("c")).collect()]
     assert got[:3] == [None] * 3 and float(got[3]) == 0.33
+
+
+def test_rejects_carry_file_and_line(spark, tmp_path):
+    """Files that are read in many splits, with blank lines and lines of very different lengths."""
+    import random
+
+    from tidemark.sources import market
+
+    rng = random.Random(2)
+    want = set()
+    for name in ("a", "b"):
+        lines = []
+        for i in range(1, 400):
+            kind = rng.choice(["bad", "blank", "long", "good"])
+            if kind in ("bad", "long"):
+                want.add((name, i))
+            lines.append({"bad": "{no json", "blank": "  ", "long": "x" * rng.randrange(3000), "good": '{"type": "outcome", "ticker": "T", "available_at": "2024-01-01T00:00:00Z", "settled_at": "2024-01-01T00:00:00Z", "yes_payout": "1"}'}[kind] or "y")
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        _, bad = market.read_records(spark, str(tmp_path))
+        got = [(r.file.split("/")[-1][0], r.line) for r in bad.collect()]
+        assert market.placed_lines(spark, str(tmp_path)).select("file", "_block").distinct().count() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == len(set(got)) and set(got) == want

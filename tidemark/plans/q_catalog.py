@@ -359,3 +359,22 @@ SELECT role, count(*) AS samples, count(DISTINCT day) AS days, {R('avg(y)')} AS
 def data_audit(spark, sf):
     s = samples(spark, sf).withColumn("ticker", F.col("event_id")).withColumn("feature_time", F.col("at"))
     return ST.data_audit(s, None, None, 24 * H)["parts"].select("role", "samples", "days", rounded(F.col("yes_rate")).alias("yes_rate"))
+
+
+@query("rejected_lines", f"""
+WITH {TICKS}, l AS (SELECT user_id % 16 AS shard, k, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS line FROM ticks)
+SELECT CAST(shard AS BIGINT) AS shard, line FROM l WHERE k % 10 = 0""")
+def rejected_lines(spark, sf):
+    """The ticks as record files of 16 shards; every tenth record has a probability above one."""
+    from tidemark.session import new_folder
+    from tidemark.sources.market import read_records
+
+    t = ticks(spark, sf).withColumn("iso", F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    later = F.date_format(F.timestamp_micros(F.col("t") + 3600 * S), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    lines = t.select((F.col("user_id") % 16).alias("shard"), "event_id", F.to_json(F.struct(
+        F.lit("prediction").alias("type"), F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("ticker"), F.col("iso").alias("available_at"), F.col("iso").alias("made_at"),
+        F.col("iso").alias("features_available_at"), later.alias("expires_at"), F.when(F.col("k") % 10 == 0, "1.5").otherwise("0.5").alias("probability"), F.lit("m1").alias("model_id"))).alias("value"))
+    folder = new_folder(spark, "records")
+    lines.repartition("shard").sortWithinPartitions("shard", "event_id").select("shard", "value").write.partitionBy("shard").text(folder)
+    _, bad = read_records(spark, folder)
+    return bad.select(F.regexp_extract("file", r"shard=(\d+)/", 1).cast("long").alias("shard"), "line")

@@ -7,6 +7,7 @@ the same code serves batch files, streams and columns of other tables. Nothing i
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark import schemas as T
@@ -81,12 +82,32 @@ def parse_records(df: DataFrame, column: str = "value") -> tuple[DataFrame, Data
     return good, rows.filter(F.size("violations") > 0).select(*keep, column, "violations")
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """All text lines with where they were read: file, _block (offset of the split in its file) and _id, which grows along a split."""
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
+    return spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("_id"))
+
+
+def with_line_numbers(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """rows (of ``placed_lines``) with ``line``, from 1: the lines of the file's splits before, and the place in its own.
+
+    Splits count their lines and add up the counts before them, one row a split; no text is shuffled but that of ``rows``.
+    """
+    splits = lines.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    earlier = W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.select(F.col("file").alias("_file"), F.col("_block").alias("_at"), "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    found = rows.join(splits, (F.col("file") == F.col("_file")) & (F.col("_block") == F.col("_at")))
+    return found.withColumn("line", F.col("_before") + F.col("_id") - F.col("_first") + 1).drop("_file", "_at", "_first", "_before", "_block", "_id")
+
+
 def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Mixed-type JSON lines; a rejected line is identified by its file and text. An empty dataset is an error."""
-    lines = read_lines(spark, path)
-    if lines.isEmpty():
+    """Mixed-type JSON lines; a rejected line is identified by its file and line number. An empty dataset is an error."""
+    lines = placed_lines(spark, path)
+    filled = lines.filter(F.trim("value") != "")
+    if filled.isEmpty():
         raise ValueError("dataset has no records")
-    return parse_records(lines)
+    good, bad = parse_records(filled)
+    return good.drop("_block", "_id"), with_line_numbers(bad, lines)
 
 
 # Fixed value: a decimal-dollar string in the older field; numbers and whole cents do not match.
