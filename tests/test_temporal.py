@@ -497,3 +497,20 @@ def test_station_join_is_one_scan(spark, capsys):
     studies.station_join(d, o, [30, 60, 90]).explain()
     plan = capsys.readouterr().out
     assert sum("Exchange" in x for x in plan.splitlines()) <= 3 and plan.count("Scan") == 2
+
+
+def test_splits_with_too_few_days_are_errors(spark):
+    day = spark.range(60).select(F.col("id").alias("day"), (F.col("id") * DAY).alias("at"), (F.col("id") * DAY + H).alias("settled_t"))
+    roles = splits.split_fraction_days(splits.day_table(day), 48 * H)
+    assert splits.require_split(roles) is roles
+    with pytest.raises(ValueError, match="at least 45"):
+        splits.require_split(splits.split_fraction_days(splits.day_table(day.where("day < 44")), 48 * H))
+    with pytest.raises(ValueError, match="Too few days"):
+        splits.require_split(splits.split_fraction_days(splits.day_table(day), 48 * H, train=0.1))
+    folds = splits.expanding_folds(day)
+    assert splits.require_folds(folds) is folds
+    assert folds.where("role = 'train'").groupBy("fold").count().agg(F.min("count")).first()[0] >= 10
+    few = splits.expanding_folds(day.where("day < 45"), min_first=5)
+    assert few.select("fold").distinct().count() == 2
+    with pytest.raises(ValueError, match="Not enough"):
+        splits.require_folds(few)

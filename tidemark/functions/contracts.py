@@ -229,9 +229,14 @@ def recommendation(edge_yes: Column, edge_no: Column, passed: Column, quote_age:
     )
 
 
-def supported_contract(df, settled: bool = True) -> Column:
+# Fixed value: how the rules of a supported average contract begin, in lower case.
+OPENING_RULE = "if the simple average of the sixty seconds of cf benchmarks' brti before "
+
+
+def supported_contract(df, series: str | None = None) -> Column:
     """Reason a raw 15-minute average contract is unsupported, NULL when it is usable.
 
+    The ticker must belong to ``series`` (if given) and the rules begin with OPENING_RULE.
     The literal target in the rules must equal the strike, life is exactly 900 s, and result, settlement value and
     (if published) the final index value must agree.
     """
@@ -248,6 +253,8 @@ def supported_contract(df, settled: bool = True) -> Column:
     return (
         F.when(published & ~plain, "unreadable_index")
         .when(published & ((index >= strike) != yes), "index_disagrees")
+        .when(F.lit(False) if series is None else ~F.coalesce(F.col("ticker").startswith(f"{series}-"), F.lit(False)), "series")
+        .when(~rules.startswith(OPENING_RULE), "opening_rule")
         .when(~(named | F.coalesce(literal.try_cast("decimal(20,8)") == strike, F.lit(False))), "rule_target")
         .when(F.coalesce((F.col("strike_type") != "greater_or_equal") | ~(strike > 0), F.lit(True)), "strike")
         .when(~F.col("result").isin("yes", "no") | ~F.col("status").isin("finalized", "settled"), "not_settled")

@@ -50,16 +50,37 @@ def split_fraction_days(days: DataFrame, embargo: int, train: float = 0.6, valid
     ).drop("_test_cut", "_val", "_val_cut")
 
 
+# The least days of a usable split and of its parts, and of the folds.
+LEAST_DAYS, LEAST_TRAIN, LEAST_VALIDATION, LEAST_FOLDS = 45, 10, 5, 3
+
+
+def require_split(roles: DataFrame, least_days: int = LEAST_DAYS, least_train: int = LEAST_TRAIN, least_validation: int = LEAST_VALIDATION) -> DataFrame:
+    """The day roles themselves, or an error if there are too few days in all, in training or in validation."""
+    have = roles.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("role") == "train").alias("train"), F.count_if(F.col("role") == "validation").alias("validation")).first()
+    if have["all"] < least_days:
+        raise ValueError(f"Training needs at least {least_days} days, there are {have['all']}")
+    if have["train"] < least_train or have["validation"] < least_validation:
+        raise ValueError(f"Too few days after the embargo: {have['train']} to train, {have['validation']} to validate")
+    return roles
+
+
+def require_folds(rows: DataFrame, least: int = LEAST_FOLDS) -> DataFrame:
+    """The fold rows themselves, or an error if fewer than ``least`` folds are left."""
+    if rows.select("fold").distinct().count() < least:
+        raise ValueError(f"Not enough data for {least} purged chronological folds")
+    return rows
+
+
 def apply_day_roles(df: DataFrame, roles: DataFrame, day: str = "day") -> DataFrame:
     """Row-level roles from the small day table (an equi-join that AQE turns into a broadcast by measured size)."""
     return df.join(roles.select(day, "role"), day)
 
 
 def expanding_folds(df: DataFrame, k: int = 3, embargo: int = 48 * HOUR, holdout: float = 0.2, min_holdout: int = 14,
-                    first_share: float = 0.4, min_first: int = 15, day: str = "day", at: str = "at", settled: str = "settled_t") -> DataFrame:
+                    first_share: float = 0.4, min_first: int = 15, min_train_days: int = LEAST_TRAIN, day: str = "day", at: str = "at", settled: str = "settled_t") -> DataFrame:
     """(fold, role) rows: the last days are held out, then k expanding folds purged by the embargo.
 
-    A row appears once per fold it serves. Every threshold lives in day-sized frames; rows are read twice and never
+    A row appears once per fold it serves; a fold with fewer than ``min_train_days`` training days is left out. Every threshold lives in day-sized frames; rows are read twice and never
     sorted globally.
     """
     one = W.partitionBy(F.lit(0))
@@ -79,7 +100,9 @@ def expanding_folds(df: DataFrame, k: int = 3, embargo: int = 48 * HOUR, holdout
     plan = plan.withColumn("cut", cut).filter(F.col("i") < F.col("b")).withColumn("_v", F.col("i") >= F.col("a"))
     rows = dev.join(plan.select(day, "fold", "_v", "cut"), day)
     role = F.when(F.col("_v"), "validation").when(F.col(settled) < F.col("cut"), "train").otherwise("purged")
-    return rows.withColumn("role", role).drop("_v", "cut")
+    rows = rows.withColumn("role", role).drop("_v", "cut")
+    enough = rows.filter("role = 'train'").groupBy("fold").agg(F.count_distinct(day).alias("_days")).filter(F.col("_days") >= min_train_days)
+    return rows.join(enough.select("fold"), "fold", "left_semi")
 
 
 def rolling_folds(df: DataFrame, folds: list[tuple[int, int]], embargo: int, at: str = "at", settled: str = "settled_t") -> DataFrame:

@@ -130,22 +130,23 @@ def brackets(spark, sf):
 
 
 @query("supported_contracts", """
-WITH r AS (SELECT o_orderkey, o_orderkey % 11 AS m FROM orders)
-SELECT coalesce(CASE m WHEN 8 THEN 'rule_target' WHEN 9 THEN 'notional' WHEN 10 THEN 'payout_disagrees' WHEN 1 THEN 'unreadable_index' WHEN 2 THEN 'index_disagrees' WHEN 3 THEN 'rule_target' WHEN 4 THEN 'life' WHEN 5 THEN 'payout_disagrees' WHEN 6 THEN 'notional' END, 'kept') AS reason, count(*) AS n FROM r GROUP BY 1""")
+WITH r AS (SELECT o_orderkey, o_orderkey % 13 AS m FROM orders)
+SELECT coalesce(CASE m WHEN 11 THEN 'series' WHEN 12 THEN 'opening_rule' WHEN 8 THEN 'rule_target' WHEN 9 THEN 'notional' WHEN 10 THEN 'payout_disagrees' WHEN 1 THEN 'unreadable_index' WHEN 2 THEN 'index_disagrees' WHEN 3 THEN 'rule_target' WHEN 4 THEN 'life' WHEN 5 THEN 'payout_disagrees' WHEN 6 THEN 'notional' END, 'kept') AS reason, count(*) AS n FROM r GROUP BY 1""")
 def supported_contracts(spark, sf):
-    from tidemark.functions.contracts import supported_contract
+    from tidemark.functions.contracts import OPENING_RULE, supported_contract
 
-    m = F.col("o_orderkey") % 11
+    m = F.col("o_orderkey") % 13
     strike = F.when(m == 8, "abc").otherwise("64000.5")
     ts = F.col("o_orderdate").cast("timestamp")
     raw = table(spark, sf, "orders").select(
-        F.concat(F.lit("If the simple average is at least "), F.when(m == 3, F.lit("1")).otherwise(strike), F.lit(", then the market resolves to Yes.")).alias("rules_primary"),
+        F.concat(F.when(m == 11, "OTHER-").otherwise("AVG15-"), F.col("o_orderkey").cast("string")).alias("ticker"),
+        F.concat(F.when(m == 12, "If the average ").otherwise(OPENING_RULE), F.lit("close is at least "), F.when(m == 3, F.lit("1")).otherwise(strike), F.lit(", then the market resolves to Yes.")).alias("rules_primary"),
         strike.alias("floor_strike"), F.lit("greater_or_equal").alias("strike_type"), F.lit("yes").alias("result"), F.lit("settled").alias("status"),
         F.when(m == 8, None).when(m == 1, "n/a").when(m == 2, "63,999.99").when(m == 7, "").otherwise("64,000.50").alias("expiration_value"),
         F.when(m == 6, "100").when(m == 9, "one").otherwise("1").alias("notional_value_dollars"), ts.alias("open_time"),
         F.timestamp_micros(F.unix_micros(ts) + F.when(m == 4, 901 * S).otherwise(900 * S)).alias("close_time"),
         F.timestamp_micros(F.unix_micros(ts) + 1000 * S).alias("settlement_ts"), F.when(m == 5, "0").when(m == 10, "paid").otherwise("1.0").alias("settlement_value_dollars"))
-    return Q.exclusion_report(raw.withColumn("reason", supported_contract(raw)))
+    return Q.exclusion_report(raw.withColumn("reason", supported_contract(raw, "AVG15")))
 
 
 @query("settled_filter", """
@@ -235,7 +236,7 @@ f AS (SELECT u.*, fold, greatest(5, floor(n * 0.4)) AS fs FROM u, range(3) r(fol
 e AS (SELECT *, floor(fs + (n - fs) * fold / 3.0::DOUBLE + 1e-9) AS a, floor(fs + (n - fs) * (fold + 1) / 3.0::DOUBLE + 1e-9) AS b FROM f),
 c AS (SELECT fold, min(fa) FILTER (WHERE i >= a AND i < b) - {24 * H} AS cut FROM e GROUP BY fold),
 r AS (SELECT e.fold, CASE WHEN e.i >= e.a THEN 'validation' WHEN dev.settled_t < c.cut THEN 'train' ELSE 'purged' END AS role, dev.* FROM dev JOIN e ON e.day = dev.day AND e.i < e.b JOIN c ON c.fold = e.fold)
-SELECT CAST(fold AS INTEGER) AS fold, role, count(*) AS n, count(DISTINCT day) AS days, {R('avg(y)')} AS yes_rate FROM r GROUP BY 1, 2""")
+SELECT CAST(fold AS INTEGER) AS fold, role, count(*) AS n, count(DISTINCT day) AS days, {R('avg(y)')} AS yes_rate FROM r WHERE fold IN (SELECT fold FROM r WHERE role = 'train' GROUP BY fold HAVING count(DISTINCT day) >= 10) GROUP BY 1, 2""")
 def expanding_folds(spark, sf):
     f = C.expanding_folds(samples(spark, sf), embargo=24 * H, min_holdout=5, min_first=5)
     return f.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("day").alias("days"), rounded(F.avg("y")).alias("yes_rate"))

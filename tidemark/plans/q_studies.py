@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.contracts import OPENING_RULE
 from tidemark.functions.numeric import rounded
 from tidemark.operators import windows as X
 from tidemark.plans import studies as ST
@@ -33,7 +34,7 @@ def contract_rows(spark, sf):
     candles = q.select(F.col("event_type").alias("ticker"), "end_ts", (F.greatest(F.col("k") - 1, F.lit(0)) / 100.0).alias("bid"), (F.least(F.col("k") + 1, F.lit(100)) / 100.0).alias("ask"))
     close = F.timestamp_seconds("close_s")
     contracts = candles.filter("end_ts % 21600 = 0").select("ticker", F.col("end_ts").alias("close_s")).select(
-        "*", (F.col("close_s") - 86400).alias("open_s"), F.lit("If it is at least 5, then the market resolves to Yes.").alias("rules_primary"), F.lit("5").alias("floor_strike"), F.lit("greater_or_equal").alias("strike_type"),
+        "*", (F.col("close_s") - 86400).alias("open_s"), F.lit(f"{OPENING_RULE}close is at least 5, then the market resolves to Yes.").alias("rules_primary"), F.lit("5").alias("floor_strike"), F.lit("greater_or_equal").alias("strike_type"),
         F.lit("yes").alias("result"), F.lit("settled").alias("status"), F.lit("").alias("expiration_value"), F.lit("1").alias("notional_value_dollars"), F.timestamp_seconds(F.col("close_s") - 900).alias("open_time"), close.alias("close_time"), close.alias("settlement_ts"), F.lit("1").alias("settlement_value_dollars"))
     spot = X.ohlcv(t, [], "t", "value", F.lit(1.0), H, tie="event_id").select((F.col("bar") / S).cast("long").alias("bar"), F.col("close").alias("price"))
     return ST.bar_contract_rows(contracts, candles, spot, before_close=18000, step=3600, allowance=5, max_age=7200)
