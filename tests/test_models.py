@@ -315,3 +315,22 @@ def test_labels_change_without_new_input(spark, tmp_path):
         seen.append({(r.key, r.at_us // 1_000_000 - base, r.state) for r in table.collect()})
     assert seen[0] == {(1, 0, "watching"), (2, 0, "forecast")}
     assert seen[1] - seen[0] == {(1, 100, "collecting"), (2, 50, "closed")}
+
+
+def test_closed_markets_leave_no_state(spark, tmp_path):
+    src, out, checkpoint = str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "check")
+    base = 1_700_000_000
+    runs = [[(1, base, 1, 100), (1, base + 5, 2, 95), (2, base, 3, None)], [(2, base + 9, 4, None), (1, base + 7, 6, 93), (3, base + 5000, 5, None)], [(3, base + 9000, 7, None)]]
+    for part in runs:
+        spark.createDataFrame(part, "key long, s long, id long, life long").coalesce(1).write.mode("append").parquet(src)
+        t = spark.readStream.schema("key long, s long, id long, life long").parquet(src)
+        t = t.withColumn("ts", F.timestamp_seconds("s")).withColumn("close", F.timestamp_seconds(F.col("s") + F.col("life")))
+        table = streams.run_available(streams.kept_until_close(t, True, "60 seconds"), "k", "update", rocksdb=True, out=out, checkpoint=checkpoint)
+    assert {r.key: r.id for r in streams.latest_version(table, ["key"]).collect()} == {1: 6, 2: 4, 3: 7}
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    try:
+        state = spark.read.format("statestore").option("stateVarName", "kept").load(checkpoint).select("key.key").collect()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    assert sorted(r.key for r in state) == [2, 3]

@@ -67,6 +67,27 @@ def stream_first_prediction(spark, sf):
     return out.select("user_id", F.col("prediction.event_id").alias("event_id"))
 
 
+def _until_close(spark, sf, newest, name):
+    first = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg((F.min("ts") + F.expr("INTERVAL 15 DAYS")).cast("timestamp").alias("close"))
+    rows = tick_stream(spark, sf).filter("event_type <> 'error'").join(first, "user_id").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), "close")
+    out = T.latest_version(T.run_available(T.kept_until_close(rows, newest, "1 hour"), name, "update", rocksdb=True), ["key"])
+    return out.select(F.col("key").alias("user_id"), F.col("id").alias("event_id"))
+
+
+_OPEN_SQL = f"""WITH {TICKS}, c AS (SELECT user_id, min(t) + 1296000000000 AS close FROM ticks GROUP BY 1)
+SELECT user_id, PICK(event_id, (t, event_id)) AS event_id FROM ticks JOIN c USING (user_id) WHERE event_type <> 'error' AND t < close GROUP BY 1"""
+
+
+@query("stream_open_latest", _OPEN_SQL.replace("PICK", "arg_max"))
+def stream_open_latest(spark, sf):
+    return _until_close(spark, sf, True, "stream_open_latest")
+
+
+@query("stream_open_first", _OPEN_SQL.replace("PICK", "arg_min"))
+def stream_open_first(spark, sf):
+    return _until_close(spark, sf, False, "stream_open_first")
+
+
 @query("stream_match_intents", f"""
 WITH {TICKS}, m AS (SELECT s.event_id, arg_min(b.event_id, (b.t, b.event_id)) AS book_id FROM ticks s JOIN ticks b ON b.user_id = s.user_id AND b.event_type = 'purchase' AND b.t >= s.t + 5000000 AND b.t <= s.t + 86400000000 AND b.t < s.t + 43200000000 WHERE s.event_type = 'view' GROUP BY 1)
 SELECT event_id, book_id FROM m""")

@@ -78,15 +78,16 @@ def latest_version(table: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def split_records(lines: DataFrame, good_path: str, bad_path: str, checkpoint: str):
-    """Validated record stream and rejected stream from text lines, in one pass per micro-batch."""
-    from tidemark.sources.market import parse_records
+    """Validated record stream and rejected stream from text lines: a micro-batch is parsed and tagged once."""
+    from tidemark.sources.market import tag_records
+
+    keep = [c for c in lines.columns if c != "value"]
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        good, bad = parse_records(batch)
-        good.write.mode("overwrite").parquet(f"{good_path}/batch={number}")
-        bad.write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
-        batch.unpersist()
+        tagged = tag_records(batch).persist()
+        tagged.filter(F.size("violations") == 0).drop("violations", "value").write.mode("overwrite").parquet(f"{good_path}/batch={number}")
+        tagged.filter(F.size("violations") > 0).select(*keep, "value", "violations").write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
+        tagged.unpersist()
 
     return lines.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -106,6 +107,64 @@ def first_prediction(stream: DataFrame, key: list[str], order: list[str], value:
     return stream.groupBy(*key).agg(F.min_by(F.struct(*value), F.struct(*order)).alias("prediction"))
 
 
+KEPT_SCHEMA = "key long, id long, ts_us long"
+
+
+def kept_processor(newest: bool):
+    """The newest (or first) row of each open market: rows key, ts_us, id, close_us (null: open end); rows from the close on do not count.
+
+    State is one row a key, dropped by an event-time timer at the close. A better row is sent as it comes (update mode).
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    never = 2**63 - 1
+
+    class Kept(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.kept = handle.getValueState("kept", StructType([StructField(n, LongType()) for n in ("ts", "id", "close")]))
+
+        def handleInputRows(self, key, rows, timerValues):
+            batch = pd.concat(list(rows))
+            closes = batch["close_us"].astype("Int64").fillna(never).tolist()
+            found = [(int(t), int(i), int(c)) for t, i, c in zip(batch["ts_us"].tolist(), batch["id"].tolist(), closes) if t < c]
+            held = tuple(self.kept.get()) if self.kept.exists() else None
+            best = (max if newest else min)(found + ([held] if held else []), default=None)
+            if best is None:
+                return
+            if best[:2] != (held or (None, None))[:2]:
+                yield pd.DataFrame([(key[0], best[1], best[0])], columns=["key", "id", "ts_us"])
+            if best[2] <= timerValues.getCurrentWatermarkInMs() * 1000:
+                self.kept.clear()
+            elif best != held:
+                self.kept.update(best)
+                if best[2] < never:
+                    self.handle.registerTimer(best[2] // 1000 + 1)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if self.kept.exists() and self.kept.get()[2] <= timerValues.getCurrentWatermarkInMs() * 1000:
+                self.kept.clear()
+            yield from ()
+
+        def close(self) -> None:
+            pass
+
+    return Kept()
+
+
+def kept_until_close(stream: DataFrame, newest: bool, watermark: str) -> DataFrame:
+    """Newest book (or first prediction) of each market until its close (update mode, RocksDB): stream has key, ts, id, close.
+
+    The bounded form of ``latest_book`` and ``first_prediction``: a closed market leaves no state. Rows with a null key, ts
+    or id are dropped; rows older than the watermark too.
+    """
+    rows = stream.where("key IS NOT NULL AND id IS NOT NULL").withWatermark("ts", watermark)
+    rows = rows.select("key", "ts", "id", F.unix_micros("ts").alias("ts_us"), F.unix_micros("close").alias("close_us"))
+    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=kept_processor(newest), outputStructType=KEPT_SCHEMA, outputMode="Update", timeMode="EventTime")
+
+
 def first_answer_processor(gap_us: int):
     """Stateful search for the earliest answer of each waiting row, per key.
 
