@@ -11,6 +11,9 @@ from tidemark.functions.numeric import clip, logit
 KNOTS = [-4, -2, 0, 2, 4]
 BOUND = 5.0
 WHAT_IF = {"odds_step": 0.05, "spread": 0.01, "hours": 12.0, "low": 0.001, "high": 0.999}
+# Fixed values of the weather designs: what an unobserved row takes, units of the columns, bound of bracket distances.
+UNOBSERVED_F, UNOBSERVED_AGE = 65.0, 3.0
+TEN_F, FIVE_F, THREE_HOURS, DAY_HOURS, FAR = 10.0, 5.0, 3.0, 24.0, 3.0
 
 
 def market_design(df: DataFrame, series: list[str], kind: str = "context", p: str = "p", spread: str = "spread", hours: str = "hours_left") -> DataFrame:
@@ -42,52 +45,58 @@ def station_design(df: DataFrame) -> DataFrame:
     """Station features around an observed peak: bounded bracket distances, open-end flags, ages and model gaps.
 
     Needs observed, observed_max, observed_temperature, observed_trend, observation_age_hours, local_day_hour, lower,
-    upper, gfs, ecmwf; unobserved rows take the neutral value stated per column.
+    upper, gfs, ecmwf; unobserved rows take UNOBSERVED_F, no trend and UNOBSERVED_AGE.
     """
     c = F.col
-    ten, none = F.lit(10.0), F.lit(65.0)
-    peak, temp = F.coalesce(c("observed_max"), none), F.coalesce(c("observed_temperature"), none)
+    ten = F.lit(TEN_F)
+    peak, temp = F.coalesce(c("observed_max"), F.lit(UNOBSERVED_F)), F.coalesce(c("observed_temperature"), F.lit(UNOBSERVED_F))
     mean = (c("gfs") + c("ecmwf")) / F.lit(2.0)
-    # An open end is a bound at infinity: its clipped distance is the clip value.
-    below = lambda x: F.coalesce(clip((c("lower") - x) / ten, -3, 3), F.lit(-3.0))
-    above = lambda x: F.coalesce(clip((c("upper") - x) / ten, -3, 3), F.lit(3.0))
+    # An open end is a bound at infinity: its distance is the bound itself.
+    distance = lambda end, x, open_: F.when(end.isNull(), F.lit(open_)).otherwise(clip((end - x) / ten, -FAR, FAR))
+    flag = lambda x: x.cast("int").cast("double")
     return df.withColumns({
-        "s_observed": F.coalesce(c("observed"), F.lit(False)).cast("int").cast("double"), "s_lower": below(peak), "s_upper": above(peak),
-        "s_open_low": c("lower").isNull().cast("int").cast("double"), "s_open_high": c("upper").isNull().cast("int").cast("double"),
+        "s_observed": flag(F.coalesce(c("observed"), F.lit(False))), "s_lower": distance(c("lower"), peak, -FAR), "s_upper": distance(c("upper"), peak, FAR),
+        "s_open_low": flag(c("lower").isNull()), "s_open_high": flag(c("upper").isNull()),
         "s_drop": (peak - temp) / ten, "s_trend": F.coalesce(c("observed_trend"), F.lit(0.0)) / ten,
-        "s_age": F.coalesce(c("observation_age_hours"), F.lit(3.0)) / F.lit(3.0), "s_hour": F.coalesce(c("local_day_hour"), F.lit(0.0)) / F.lit(24.0),
+        "s_age": F.coalesce(c("observation_age_hours"), F.lit(UNOBSERVED_AGE)) / F.lit(THREE_HOURS), "s_hour": F.coalesce(c("local_day_hour"), F.lit(0.0)) / F.lit(DAY_HOURS),
         "s_gfs": (c("gfs") - peak) / ten, "s_ecmwf": (c("ecmwf") - peak) / ten, "s_gap": F.abs(c("gfs") - c("ecmwf")) / ten,
-        "s_lower_mean": below(mean), "s_upper_mean": above(mean),
+        "s_lower_mean": distance(c("lower"), mean, -FAR), "s_upper_mean": distance(c("upper"), mean, FAR),
     })
 
 
+# The scale of each remaining-day column.
+REMAINING_SCALES = {
+    "forecast_revision_f": 5.0, "mean_relative_humidity": 100.0, "max_wind_mph": 30.0, "mean_cloud_cover": 100.0, "model_disagreement_f": 5.0, "gfs_dev": 5.0, "ecmwf_dev": 5.0,
+}
+
+
 def remaining_design(df: DataFrame) -> DataFrame:
     """Remaining-day features with missing indicators and model deviations from the blended maximum."""
     base = F.col("remaining_forecast_max")
     d = df.withColumns({
-        "gfs_dev": F.col("gfs_remaining_max") - base, "ecmwf_dev": F.col("ecmwf_remaining_max") - base, "h_remaining": F.col("remaining_hours") / F.lit(24.0),
-    })
-    return with_missing(d, {
-        "forecast_revision_f": 5.0, "mean_relative_humidity": 100.0, "max_wind_mph": 30.0, "mean_cloud_cover": 100.0, "model_disagreement_f": 5.0, "gfs_dev": 5.0, "ecmwf_dev": 5.0,
+        "gfs_dev": F.col("gfs_remaining_max") - base, "ecmwf_dev": F.col("ecmwf_remaining_max") - base, "h_remaining": F.col("remaining_hours") / F.lit(DAY_HOURS),
     })
+    return with_missing(d, REMAINING_SCALES)
 
 
 def path_design(df: DataFrame) -> DataFrame:
-    """Innovation, trend and gap features for rows that have an observation and both models."""
+    """Innovation, trend and gap features; rows without an observation, its innovation or either model are left out."""
     c, base = F.col, F.col("remaining_forecast_max")
-    return df.withColumns({
-        "j_innovation": c("observation_innovation_f") / 5, "j_trend": c("observed_trend") / 5, "j_now": (c("observed_temperature") - base) / 10,
-        "j_peak": (c("observed_max") - base) / 10, "j_hours": c("remaining_hours") / 24, "j_models": (c("gfs_remaining_max") - c("ecmwf_remaining_max")) / 5,
-        "j_gap": c("model_disagreement_f") / 5, "j_age": c("observation_age_hours") / 3,
+    needed = ["observation_innovation_f", "observed_trend", "observed_temperature", "observed_max", "gfs_remaining_max", "ecmwf_remaining_max", "remaining_forecast_max"]
+    return df.dropna(subset=needed).withColumns({
+        "j_innovation": c("observation_innovation_f") / F.lit(FIVE_F), "j_trend": c("observed_trend") / F.lit(FIVE_F), "j_now": (c("observed_temperature") - base) / F.lit(TEN_F),
+        "j_peak": (c("observed_max") - base) / F.lit(TEN_F), "j_hours": c("remaining_hours") / F.lit(DAY_HOURS), "j_models": (c("gfs_remaining_max") - c("ecmwf_remaining_max")) / F.lit(FIVE_F),
+        "j_gap": c("model_disagreement_f") / F.lit(FIVE_F), "j_age": c("observation_age_hours") / F.lit(THREE_HOURS),
     })
 
 
 def regional_design(df: DataFrame) -> DataFrame:
     """Second-venue distribution features; rows without a finite median are not eligible."""
     a, b, lo, hi = (F.col(n) for n in ("median_low", "median_high", "q25_low", "q75_high"))
+    flag = lambda x: x.cast("int").cast("double")
     return df.filter(a.isNotNull() & b.isNotNull()).withColumns({
-        "r_center": ((a + b) / 2 - F.col("remaining_forecast_max")) / 5, "r_width": (b - a) / 10, "r_spread": F.coalesce("mean_spread", F.lit(0.0)),
-        "r_spread_missing": F.col("mean_spread").isNull().cast("int"), "r_iqr": F.coalesce((hi - lo) / 10, F.lit(0.0)), "r_iqr_missing": (lo.isNull() | hi.isNull()).cast("int"),
+        "r_center": ((a + b) / F.lit(2.0) - F.col("remaining_forecast_max")) / F.lit(FIVE_F), "r_width": (b - a) / F.lit(TEN_F), "r_spread": F.coalesce("mean_spread", F.lit(0.0)),
+        "r_spread_missing": flag(F.col("mean_spread").isNull()), "r_iqr": F.coalesce((hi - lo) / F.lit(TEN_F), F.lit(0.0)), "r_iqr_missing": flag(lo.isNull() | hi.isNull()),
     })
 
 

@@ -30,13 +30,15 @@ def available_under(curve: DataFrame, keys: list[str], price: str, quantity: str
 
 
 def liquidation_value(positions: DataFrame, bids: DataFrame, on: list[str], ids: list[str], rank: str, price: str, size: str,
-                      usable: float = 0.10, width: int = 25, tie: list[str] | None = None) -> DataFrame:
+                      usable: float = 0.10, width: int = 25, tie: list[str] | None = None, fresh: Column | None = None) -> DataFrame:
     """Value of open positions sold into the latest fresh bids, best price first.
 
     Only ``usable`` of each level counts, in whole contracts; each sale is worth its gross less the fee, never below
     zero. What finds no depth is worth zero and reported as unpriced. Positions carry (ids..., quantity, fee_rate).
+    ``fresh`` is a condition over ``bids`` (age of the book, future books); levels without it, or unknown, price nothing.
     """
-    levels = bids.withColumn("_usable", F.floor(F.col(size) * F.lit(usable)).cast("long")).filter("_usable > 0")
+    levels = bids if fresh is None else bids.filter(F.coalesce(fresh, F.lit(False)))
+    levels = levels.withColumn("_usable", F.floor(F.col(size) * F.lit(usable)).cast("long")).filter("_usable > 0")
     cum = running_sums(levels, on, rank, [F.col(c) for c in (tie or [])], width, {"_before": F.col("_usable")}, before=True)
     j = positions.join(cum, on, "left")
     take = F.least(F.col("_usable"), F.greatest(F.lit(0), F.col("quantity") - F.col("_before")))

@@ -158,13 +158,19 @@ def delayed_features(rows: DataFrame, features: DataFrame, by: list[str], at: st
     return d.join(features, [*by, t], "left")
 
 
-def execution_rows(df: DataFrame) -> DataFrame:
-    """Re-point each row at its execution quote; rows without a two-sided execution quote are dropped."""
+def execution_rows(df: DataFrame, refreshed: str | None = None) -> DataFrame:
+    """Re-point each row at its execution quote; rows without a two-sided execution quote are dropped.
+
+    ``refreshed`` names a struct of the features completed by the execution time: its fields take the place of the
+    columns of those names, so that a forecast made from the row never mixes old inputs with a later quote.
+    """
     bid, ask = F.col("execution_bid"), F.col("execution_ask")
     mid = (bid + ask) / F.lit(2.0)
-    return df.filter(F.col("execution_at").isNotNull() & (bid > 0) & (bid <= ask) & (ask < 1)).withColumns(
-        {"prior_move": mid - F.col("p"), "at": F.col("execution_at"), "bid": bid, "ask": ask, "p": mid, "spread": ask - bid}
+    fields = df.schema[refreshed].dataType.names if refreshed else []
+    out = df.filter(F.col("execution_at").isNotNull() & (bid > 0) & (bid <= ask) & (ask < 1)).withColumns(
+        {"prior_move": mid - F.col("p"), "at": F.col("execution_at"), "bid": bid, "ask": ask, "p": mid, "spread": ask - bid, **{f: F.col(refreshed)[f] for f in fields}}
     )
+    return out.drop(refreshed) if refreshed else out
 
 
 def running_max_obs(decisions: DataFrame, obs: DataFrame, by: list[str], at: str, day_start: str, t: str, delay: int | list[int],
