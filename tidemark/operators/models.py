@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.numeric import clip, expit, logit
+from tidemark.functions.numeric import clip, expit, finite, logit
 from tidemark.operators.ordered import same_key
 from tidemark.session import written
 
@@ -232,14 +232,60 @@ def gate_rows(df: DataFrame, p: str, distance: str, vol_ratio: str) -> DataFrame
     return sides.withColumn("_f", f).select("*", "_f.win", "_f.edge", F.col("_f.distance").alias("gate_distance"), F.col("_f.vol_ratio").alias("gate_vol"), (won - F.col("_f.cost")).alias("net")).drop("_f")
 
 
-def fit_gate(rows: DataFrame, features: list[str], target: str = "net", alpha: float = 100.0):
-    """Ridge on per-side realised net return, standardised, penalty on the summed squares, free intercept."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.regression import LinearRegression
+def fit_ridge(rows: DataFrame, by: list[str], features: list[str], target: str, alpha: float) -> DataFrame:
+    """Ridge regressions, all keys of ``by`` in the same passes. Returns (by..., feature, coef) on the raw features.
+
+    Features are standardised by their population mean and sd, ``alpha`` is on the summed squares, the intercept is free.
+    Two aggregates, the second of k(k+1)/2 + k + 2 sums a model; the k x k systems are solved in tasks. Rows with a null or
+    non-finite value in a feature or the target take no part; a key without rows has no model.
+    """
+    k = len(features)
+    keys = list(by) or ["_model"]
+    usable = F.lit(True)
+    for c in [*features, target]:
+        usable = usable & finite(F.col(c).cast("double"))
+    d = rows.filter(usable).select(*(by or [F.lit(0).alias("_model")]), *[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y"))
+    stats = moments(d, keys, features)
+    z = standardize(d, stats, keys, features, bound=float("inf"), prefix="_z_")
+    zs = [F.col(f"_z_{f}") for f in features]
+    pairs = [(a, b) for a in range(k) for b in range(a, k)]
+    sums = z.groupBy(*keys).agg(F.avg("_y").alias("_mean"), F.array(*[F.sum(x * F.col("_y")) for x in zs]).alias("_g"), F.array(*[F.sum(zs[a] * zs[b]) for a, b in pairs]).alias("_h"))
+    names = ["intercept", *features]
+    schema = T.StructType([*[sums.schema[c] for c in keys], T.StructField("feature", T.StringType()), T.StructField("coef", T.DoubleType())])
+
+    def solve(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                h = np.zeros((k, k))
+                for (a, b), value in zip(pairs, row["_h"], strict=True):
+                    h[a, b] = h[b, a] = value
+                w = np.linalg.solve(h + alpha * np.eye(k), np.array(row["_g"])) if k else np.zeros(0)
+                w = w / np.array([row[f"_s_{f}"] for f in features])
+                first = row["_mean"] - float(w @ np.array([row[f"_m_{f}"] for f in features]))
+                out += [(*[row[c] for c in keys], n, float(c)) for n, c in zip(names, [first, *w], strict=True)]
+            yield pd.DataFrame(out, columns=[*keys, "feature", "coef"])
+
+    j = sums.alias("d").join(stats.alias("m"), same_key(keys, "d", "m")).select(*[F.col(f"d.{c}") for c in keys], "_mean", "_g", "_h", *[f"_{x}_{f}" for x in "ms" for f in features])
+    return j.mapInPandas(solve, schema).select(*by, "feature", "coef")
+
+
+def score_linear(rows: DataFrame, coef: DataFrame, by: list[str], features: list[str], name: str = "prediction") -> DataFrame:
+    """Predictions of ``fit_ridge``: one row per model is joined to the rows; null where a feature is null."""
+    from tidemark.operators.temporal import scalar_join
+
+    pick = lambda f: F.max(F.when(F.col("feature") == f, F.col("coef")))
+    wide = coef.groupBy(*by).agg(pick("intercept").alias("_b"), *[pick(f).alias(f"_c_{f}") for f in features])
+    j = rows.join(wide, by) if by else scalar_join(rows, wide)
+    value = F.col("_b")
+    for f in features:
+        value = value + F.col(f) * F.col(f"_c_{f}")
+    return j.withColumn(name, value).drop("_b", *[f"_c_{f}" for f in features])
+
 
-    n = rows.count()
-    model = LinearRegression(featuresCol="features", labelCol=target, regParam=alpha / n, elasticNetParam=0.0, standardization=False, solver="normal")
-    return Pipeline(stages=[*_vector(rows, features), model]).fit(rows)
+def fit_gate(rows: DataFrame, features: list[str], target: str = "net", alpha: float = 100.0) -> DataFrame:
+    """Ridge on per-side realised net return: (feature, coef), to be scored by ``score_linear``."""
+    return fit_ridge(rows, [], features, target, alpha)
 
 
 def select_weight(df: DataFrame, by: list[str], model: str, market: str, y: str, day: str, weights: list[float], brier_guard: bool = True) -> DataFrame:
@@ -279,6 +325,49 @@ def ensemble(df: DataFrame, keys: list[str], p: str, market: str) -> DataFrame:
     return g.withColumn("guarded", guarded_probability(F.col("mean"), F.col("low"), F.col("high"), F.col("market")))
 
 
+def parent_blend(rows: DataFrame, members: DataFrame, keys: list[str], weights: dict[str, float], count: int = 3, event: list[str] | None = None,
+                 ticker: str = "ticker", lower: str = "lower", upper: str = "upper") -> DataFrame:
+    """Fixed-weight blend of parent models, each the plain mean of its ``count`` members. Adds ``blend`` and ``reason``.
+
+    ``members`` is long: (keys..., parent, member, p). A row whose parents do not all have exactly ``count`` different
+    members with probabilities in [0, 1] gets ``missing_member`` or ``invalid_probability`` and no blend. With ``event``
+    the rows are brackets of one event: each parent is divided by its own mass over the event, then blended, then divided
+    again, so the weights stay what they are; an event that is no complete partition, has a bad row or no mass gets no
+    blend on any of its rows (``incomplete_event``, ``bad_member_in_event``, ``no_mass``).
+    """
+    from tidemark.operators.brackets import partition_check
+
+    if any(not np.isfinite(w) or w < 0 for w in weights.values()) or abs(sum(weights.values()) - 1.0) > 1e-9:
+        raise ValueError("Weights must be shares that add up to one")
+    valid = F.coalesce((F.col("p") >= 0) & (F.col("p") <= 1) & ~F.isnan("p"), F.lit(False))
+    aggs = []
+    for i, parent in enumerate(weights):
+        own = lambda x, parent=parent: F.when(F.col("parent") == parent, x)
+        aggs += [F.avg(own(F.col("p"))).alias(f"_p{i}"), F.count(own(F.lit(1))).alias(f"_n{i}"), F.count_distinct(own(F.col("member"))).alias(f"_d{i}")]
+    known = members.filter(F.col("parent").isin(*weights))
+    per = known.groupBy(*keys).agg(*aggs, F.count_if(~valid).alias("_bad"))
+    n = range(len(weights))
+    complete = F.lit(True)
+    for i in n:
+        complete = complete & (F.coalesce(F.col(f"_n{i}"), F.lit(0)) == count) & (F.col(f"_d{i}") == count)
+    j = rows.join(per, keys, "left").withColumn("reason", F.when(~complete | F.col("_bad").isNull(), "missing_member").when(F.col("_bad") > 0, "invalid_probability"))
+    mix = lambda names: sum((F.lit(float(w)) * F.col(c) for w, c in zip(weights.values(), names)), F.lit(0.0))
+    drop = ["_bad", *[f"_{x}{i}" for i in n for x in "pnd"]]
+    if event is None:
+        return j.withColumn("blend", F.when(F.col("reason").isNull(), mix([f"_p{i}" for i in n]))).drop(*drop)
+    whole = partition_check(rows, event, lower, upper, ticker).select(*event, F.col("reason").isNotNull().alias("_open"))
+    mass = j.groupBy(*event).agg(*[F.sum(f"_p{i}").alias(f"_m{i}") for i in n], F.count("reason").alias("_reasons"))
+    k = j.join(mass.join(whole, event), event)
+    weightless = F.lit(False)
+    for i, w in enumerate(weights.values()):
+        weightless = weightless | ((F.lit(float(w)) > 0) & ~F.coalesce(F.col(f"_m{i}") > 0, F.lit(False)))
+    k = k.withColumn("reason", F.coalesce("reason", F.when(F.col("_open"), "incomplete_event").when(F.col("_reasons") > 0, "bad_member_in_event").when(weightless, "no_mass")))
+    # Every parent has mass 1 after its own division and the weights add up to 1, so the second division is by 1.
+    share = [F.when(F.col(f"_m{i}") > 0, F.col(f"_p{i}") / F.col(f"_m{i}")).otherwise(F.lit(0.0)) for i in n]
+    k = k.withColumns({f"_p{i}": x for i, x in enumerate(share)})
+    return k.withColumn("blend", F.when(F.col("reason").isNull(), mix([f"_p{i}" for i in n]))).drop(*drop, "_open", "_reasons", *[f"_m{i}" for i in n])
+
+
 def user_model(df: DataFrame, predict, columns: list[str], name: str = "predicted") -> DataFrame:
     """Score with a caller's vectorised function (pandas Series in, Series out) in Arrow batches."""
     @F.pandas_udf("double")

@@ -96,11 +96,14 @@ def fee_precision(trades: DataFrame, price: Column, quantity: Column) -> DataFra
     return kinds.agg(F.sum("_n").alias("entries"), *sums).withColumn("saving", F.col("fees_cent") - F.col("fees_fine"))
 
 
-def opportunity_pnl(df: DataFrame, by: list[str], p="q", bid="bid", ask="ask", y="y", slippage=0.0, later: tuple[str, str] | None = None) -> DataFrame:
-    """One contract of every qualifying row, no bankroll: pnl at the decision quote and, if given, at the later quote."""
+def opportunity_pnl(df: DataFrame, by: list[str], p="q", bid="bid", ask="ask", y="y", slippage=0.0, later: tuple[str, str] | None = None, day: str | None = None) -> DataFrame:
+    """One contract of every qualifying row, no bankroll: pnl at the decision quote and, if given, at the later quote;
+    with ``day`` also the number of days that have one."""
     rows = evaluated_once(df, _s=qualify_signal(F.col(p), F.col(bid), F.col(ask))).filter("_s IS NOT NULL")
     rows = rows.withColumn("_now", one_contract_pnl(F.col("_s.side"), F.col(y), F.col(bid), F.col(ask), slippage))
     aggs = [n().alias("opportunities"), F.avg("_s.edge").alias("claimed"), F.sum("_now").alias("pnl"), F.avg("_now").alias("pnl_per_contract")]
+    if day:
+        aggs.append(F.count_distinct(day).alias("days_traded"))
     if later:
         b, a = later
         rows = rows.withColumn("_later", F.when(F.col(a).isNotNull(), one_contract_pnl(F.col("_s.side"), F.col(y), F.col(b), F.col(a), slippage)))

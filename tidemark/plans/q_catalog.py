@@ -315,41 +315,6 @@ def market_board(spark, sf):
         F.count(F.lit(1)).alias("cards"), F.max("fee_rate").cast("double").alias("fee_rate"), rounded(F.max("estimated_edge")).alias("best_edge"))
 
 
-@query("station_pilot", f"""
-WITH {TICKS}, h AS (SELECT event_type AS st, t // 10800000000 AS sl, max(value) AS v FROM ticks GROUP BY 1, 2), d AS (SELECT st, sl // 8 AS day, max(v) AS f, count(*) AS c FROM h GROUP BY 1, 2),
-l AS (SELECT event_type AS st, t // 86400000000 AS day, avg(value) * 3 AS y FROM ticks GROUP BY 1, 2), r AS (SELECT * FROM d JOIN l USING (st, day) WHERE c = 8),
-m AS (SELECT st, avg(y - f) AS b, greatest(0.5, sqrt(avg(pow(y - f, 2)))) AS sr, greatest(0.5, stddev_pop(y - f)) AS sc FROM r WHERE day < 19738 GROUP BY 1 HAVING count(*) >= 5),
-z AS (SELECT r.*, b, sr, sc, (y - f) / sr AS zr, (y - f - b) / sc AS zc FROM r JOIN m USING (st) WHERE day >= 19738)
-SELECT st AS station, count(*) AS n, {R('avg(sr * (zr * (2 * ' + PHI('zr') + ' - 1) + 2 * exp(-zr * zr / 2) / sqrt(2 * pi()) - 1 / sqrt(pi())))', 4)} AS raw_crps, {R('avg(sc * (zc * (2 * ' + PHI('zc') + ' - 1) + 2 * exp(-zc * zc / 2) / sqrt(2 * pi()) - 1 / sqrt(pi())))', 4)} AS corrected_crps FROM z GROUP BY 1""")
-def station_pilot(spark, sf):
-    from tidemark.operators import metrics as A_
-
-    t = ticks(spark, sf)
-    h = t.groupBy(F.col("event_type").alias("station"), F.floor(F.col("t") / (3 * H)).cast("long").alias("slot")).agg(F.max("value").alias("v"))
-    labels = t.groupBy(F.col("event_type").alias("station"), F.floor(F.col("t") / DAY).cast("long").alias("day")).agg((F.avg("value") * 3).alias("target"))
-    days = labels.select("station", "day").withColumn("start", F.col("day") * 8)
-    rows = J.complete_days(days, h, ["station"], "start", "slot", "v", 1, count=8).filter("hours = 8").join(labels, ["station", "day"])
-    fit = A_.station_bias_fit(rows.filter("day < 19738"), "station", "target", "day_max", min_days=5)
-    val = rows.filter("day >= 19738").join(fit.drop("n"), "station").filter("bias IS NOT NULL")
-    raw = A_.gaussian_rows(val, "target", F.col("day_max"), F.col("sigma_raw")).groupBy("station").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("crps"), 4).alias("raw_crps"))
-    cor = A_.gaussian_rows(val, "target", F.col("day_max") + F.col("bias"), F.col("sigma_corrected")).groupBy("station").agg(rounded(F.avg("crps"), 4).alias("corrected_crps"))
-    return raw.join(cor, "station")
-
-
-@query("rolling_study")
-def rolling_study(spark, sf):
-    out = ST.rolling_study(samples(spark, sf), [(A, A + 4 * DAY), (A + 4 * DAY, A + 8 * DAY), (A + 8 * DAY, A + 12 * DAY)], ["value", "spread", "hours_left"],
-                           {"full": ["value", "spread", "hours_left"], "value_only": ["value"]}, 2 * H)
-    return out["pooled"].join(out["paired"], "model", "left").select("model", "events", "days", "log_loss", "brier", "mean", "mean_low", "mean_high")
-
-
-@query("paired_arms")
-def paired_arms(spark, sf):
-    s = samples(spark, sf).withColumn("extra", F.when(F.col("k") % 9 != 0, F.col("k") * 1.0))
-    out = ST.paired_arms(s, {"base": ["value", "spread"], "extended": ["value", "spread", "extra"]}, [0, 0.25, 0.5, 1], 24 * H)
-    return out["weights"].join(out["scores"].withColumnRenamed("log_loss", "weighted_log_loss").drop("brier"), "arm").join(out["interval"], "arm").select("arm", "weight", "log_loss", "ece", "weighted_log_loss", "mean", "mean_low", "mean_high")
-
-
 @query("data_audit", f"""
 WITH {SAMPLES}, d AS (SELECT day, min("at") AS fa, max(settled_t) AS ls, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM samples GROUP BY day),
 p AS (SELECT *, CASE WHEN i >= floor(n * 0.8) THEN 'test' WHEN i >= floor(n * 0.6) THEN 'validation' ELSE 'train' END AS part FROM d),

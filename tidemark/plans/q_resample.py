@@ -227,22 +227,6 @@ def ablation_variants(spark, sf):
     return out.select("variant", rounded(F.col("log_loss"), 5).alias("log_loss"), rounded(F.col("brier"), 5).alias("brier"), "events")
 
 
-@query("ridge_gate")
-def ridge_gate(spark, sf):
-    s = samples(spark, sf).withColumn("distance", F.col("k") - F.lit(50.0)).withColumn("vol", F.col("value") / 50.0)
-    rows = M.gate_rows(s, "q", "distance", "vol")
-    fit = M.fit_gate(rows, ["win", "edge", "spread", "gate_distance", "gate_vol"])
-    out = fit.transform(rows).withColumn("accepted", (F.col("prediction") > 0) & (F.col("edge") >= 0.04))
-    return out.groupBy("side").agg(F.count(F.lit(1)).alias("rows"), F.count_if("accepted").alias("accepted"), F.avg(F.when(F.col("accepted"), F.col("net"))).alias("accepted_net"))
-
-
-@query("logistic_score")
-def logistic_score(spark, sf):
-    s = samples(spark, sf)
-    features = ["p", "spread", "value", "hours_left"]
-    return A.binary_metrics(M.score_logistic(s, M.fit_logistic(s, features), features), ["series"], "predicted", "y", "day")
-
-
 @query("tree_score")
 def tree_score(spark, sf):
     s = samples(spark, sf)

@@ -190,39 +190,75 @@ def market_board(series: DataFrame, events: DataFrame, markets: DataFrame, now:
     })
 
 
-def ablation(rows: DataFrame, features: list[str], variants: dict[str, list[str]], by: list[str] | None = None, **fit) -> DataFrame:
-    """Feature subsets fitted side by side as one many-model fit; excluded features are zero in their variant."""
-    by = by or []
-    arr = F.array(*[F.struct(F.lit(v).alias("variant"), *[F.lit(float(f in keep)).alias(f"_k_{f}") for f in features]) for v, keep in variants.items()])
-    tall = rows.withColumn("_v", F.explode(arr)).withColumn("variant", F.col("_v.variant"))
-    tall = tall.withColumns({f: F.col(f) * F.col(f"_v._k_{f}") for f in features}).drop("_v")
-    coef = models.fit_market_offset(tall, [*by, "variant"], features, **fit)
-    scored = models.score_offset(tall, coef, [*by, "variant"], features)
-    return metrics.binary_metrics(scored, [*by, "variant"], "predicted", "y", "day")
+def _variants(df: DataFrame, features: list[str], variants: dict[str, list[str]], name: str = "variant") -> DataFrame:
+    """Every row once per variant; features that the variant leaves out are zero."""
+    arr = F.array(*[F.struct(F.lit(v).alias(name), *[F.lit(float(f in keep)).alias(f"_k_{f}") for f in features]) for v, keep in variants.items()])
+    tall = df.withColumn("_v", F.explode(arr))
+    return tall.withColumns({name: F.col(f"_v.{name}"), **{f: F.col(f) * F.col(f"_v._k_{f}") for f in features}}).drop("_v")
+
+
+def _squared_difference(p: str, base: str) -> Column:
+    q, m = clip(F.col(p), 1e-6, 1 - 1e-6), clip(F.col(base), 1e-6, 1 - 1e-6)
+    return brier(q, F.col("y")) - brier(m, F.col("y"))
 
 
-def rolling_study(rows: DataFrame, folds: list[tuple[int, int]], features: list[str], variants: dict[str, list[str]], embargo: int, reps: int = 3000) -> dict[str, DataFrame]:
-    """Folds x variants: train-only scaling, one many-model fit, validation scores, paired day intervals and the gate.
+def ablation(rows: DataFrame, features: list[str], variants: dict[str, list[str]], by: list[str] | None = None, control: str | None = None, reps: int = 3000, **fit) -> DataFrame:
+    """Feature subsets fitted side by side as one many-model fit; excluded features are zero in their variant.
 
-    Everything is keyed by (fold, variant), so the number of Spark jobs does not depend on how many folds there are.
+    With ``control`` (a variant; rows then need a unique ``id``) also the mean squared-error difference of each other
+    variant from it on the same rows, with its day-cluster interval.
+    """
+    by = by or []
+    tall = _variants(rows, features, variants)
+    coef = models.fit_market_offset(tall, [*by, "variant"], features, **fit)
+    scored = models.score_offset(tall, coef, [*by, "variant"], features)
+    out = metrics.binary_metrics(scored, [*by, "variant"], "predicted", "y", "day")
+    if control is None:
+        return out
+    # The control of a row stands beside its variants by one aggregate over the row's few predictions.
+    one = F.struct("variant", "predicted")
+    pairs = scored.groupBy(*by, "id", "day", "y").agg(F.collect_list(one).alias("_all"), F.max(F.when(F.col("variant") == control, F.col("predicted"))).alias("_control"))
+    pairs = pairs.select(*by, "day", "y", "_control", F.inline("_all")).filter(F.col("variant") != control)
+    paired = resample.cluster_bootstrap(pairs, [*by, "variant"], "day", _squared_difference("predicted", "_control"), reps=reps)
+    return out.join(paired.drop("clusters"), [*by, "variant"], "left")
+
+
+def rolling_study(rows: DataFrame, folds: list[tuple[int, int]], features: list[str], variants: dict[str, list[str]], embargo: int, reps: int = 3000,
+                  delays: dict[str, dict[str, str]] | None = None, candidate: str | None = None, controls: list[str] | None = None) -> dict[str, DataFrame]:
+    """Folds x variants x delays: train-only scaling, one many-model fit, validation scores, paired day intervals, gate.
+
+    ``delays`` names scenarios and the columns that stand for a feature in them (its value when the input arrives late);
+    models are fitted on current features only and scored in every scenario, ``current`` among them. With ``candidate``
+    the promotion gate judges it against ``controls`` (default: the market) on the current scenario. Everything is keyed
+    by (fold, scenario, variant), so the number of Spark jobs does not depend on how many there are.
     """
     f = splits.rolling_folds(rows, folds, embargo)
     train, val = f.filter("role = 'train'"), f.filter("role = 'validation'")
     stats = models.moments(train, ["fold"], features)
     z = [f"z_{c}" for c in features]
-    ztrain, zval = models.standardize(train, stats, ["fold"], features), models.standardize(val, stats, ["fold"], features)
-    arr = lambda: F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), *[F.lit(float(c in keep)).alias(f"_k_z_{c}") for c in features]) for v, keep in variants.items()]))
-    tall = lambda d: (lambda x: x.withColumns({c: F.col(c) * F.col(f"_v._k_{c}") for c in z}).withColumn("variant", F.col("_v.variant")).drop("_v"))(d.withColumn("_v", arr()))
-    coef = models.fit_market_offset(tall(ztrain), ["fold", "variant"], z)
-    scored = models.score_offset(tall(zval), coef, ["fold", "variant"], z).select("fold", "variant", "day", "p", "y", "predicted", "bid", "ask")
-    market = val.select("fold", F.lit("market").alias("variant"), "day", "p", "y", F.col("p").alias("predicted"), "bid", "ask")
-    both = scored.unionByName(market).withColumnRenamed("variant", "model")
-    per_fold = metrics.binary_metrics(both, ["fold", "model"], "predicted", "y", "day")
-    pooled = metrics.binary_metrics(both, ["model"], "predicted", "y", "day")
-    q, m = clip(F.col("predicted"), 1e-6, 1 - 1e-6), clip(F.col("p"), 1e-6, 1 - 1e-6)
-    paired = resample.cluster_bootstrap(both.filter("model <> 'market'"), ["model"], "day", brier(q, F.col("y")) - brier(m, F.col("y")), reps=reps)
-    trades = pnl.opportunity_pnl(both.filter("model <> 'market'"), ["model"], p="predicted")
-    return {"coefficients": coef, "scored": both, "per_fold": per_fold, "pooled": pooled, "paired": paired, "opportunities": trades}
+    zvariants = {v: [f"z_{c}" for c in keep] for v, keep in variants.items()}
+    coef = models.fit_market_offset(_variants(models.standardize(train, stats, ["fold"], features), z, zvariants), ["fold", "variant"], z)
+    scenarios = {"current": {}, **(delays or {})}
+    seen = F.array(*[F.struct(F.lit(s).alias("scenario"), *[F.col(late.get(c, c)).cast("double").alias(f"_s_{c}") for c in features]) for s, late in scenarios.items()])
+    val = val.withColumn("_s", F.explode(seen)).withColumns({"scenario": F.col("_s.scenario"), **{c: F.col(f"_s._s_{c}") for c in features}}).drop("_s")
+    scored = models.score_offset(_variants(models.standardize(val, stats, ["fold"], features), z, zvariants), coef, ["fold", "variant"], z)
+    columns = ["fold", "scenario", "variant", "day", "p", "y", "predicted", "bid", "ask"]
+    market = val.withColumns({"variant": F.lit("market"), "predicted": F.col("p")}).select(*columns)
+    both = scored.select(*columns).unionByName(market).withColumnRenamed("variant", "model")
+    fitted = both.filter("model <> 'market'")
+    per_fold = metrics.binary_metrics(both, ["fold", "scenario", "model"], "predicted", "y", "day")
+    pooled = metrics.binary_metrics(both, ["scenario", "model"], "predicted", "y", "day")
+    paired = resample.cluster_bootstrap(fitted, ["scenario", "model"], "day", _squared_difference("predicted", "p"), reps=reps)
+    trades = pnl.opportunity_pnl(fitted, ["scenario", "model"], p="predicted", day="day")
+    out = {"coefficients": coef, "scored": both, "per_fold": per_fold, "pooled": pooled, "paired": paired, "opportunities": trades}
+    if candidate:
+        now = lambda d: d.filter("scenario = 'current'").drop("scenario")
+        # An aggregate, so that a candidate without any trade is one row of zeros.
+        traded = now(trades).filter(F.col("model") == candidate).agg(
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("opportunities", "entries"), ("days_traded", "days_traded"), ("pnl", "pnl"))]
+        )
+        out["gate"] = pnl.promotion_gate(now(per_fold), now(pooled), traded, candidate, controls or ["market"])
+    return out
 
 
 def paired_arms(rows: DataFrame, arms: dict[str, list[str]], weights: list[float], embargo: int) -> dict[str, DataFrame]:
@@ -233,10 +269,8 @@ def paired_arms(rows: DataFrame, arms: dict[str, list[str]], weights: list[float
     train = usable.filter("role = 'train'")
     stats = models.moments(train, [], every)
     z = models.standardize(usable, stats, [], every)
-    arr = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), *[F.lit(float(f in fs)).alias(f"_k_z_{f}") for f in every]) for a, fs in arms.items()]))
     names = [f"z_{f}" for f in every]
-    tall = z.withColumn("_v", arr)
-    tall = tall.withColumns({n: F.col(n) * F.col(f"_v._k_{n}") for n in names}).withColumn("arm", F.col("_v.arm")).drop("_v")
+    tall = _variants(z, names, {a: [f"z_{f}" for f in fs] for a, fs in arms.items()}, name="arm")
     coef = models.fit_market_offset(tall.filter("role = 'train'"), ["arm"], names)
     scored = models.score_offset(tall.filter("role = 'validation'"), coef, ["arm"], names)
     chosen = models.select_weight(scored, ["arm"], "predicted", "p", "y", "day", weights)
@@ -245,18 +279,19 @@ def paired_arms(rows: DataFrame, arms: dict[str, list[str]], weights: list[float
     return {"weights": chosen, "scores": weighted, "reliability": bins, "interval": interval}
 
 
-def station_pilot(days: DataFrame, hours: DataFrame, labels: DataFrame, train_before: int) -> dict[str, DataFrame]:
+def station_pilot(days: DataFrame, hours: DataFrame, labels: DataFrame, train_before: int, step: int = HOUR, count: int = 24, min_days: int = 90) -> dict[str, DataFrame]:
     """Label join, bias fit, distribution scores with and without the bias, block interval of the CRPS difference.
 
-    days(station, day, start), hours(station, valid_at, value), labels(station, day, target, issued_t). A label issued
-    before the station day ended is rejected; training uses days before ``train_before`` whose label precedes it too.
+    days(station, day, start), hours(station, valid_at, value), labels(station, day, target, issued_t); a day has
+    ``count`` values ``step`` apart. A label issued before the station day ended is rejected; training uses days before
+    ``train_before`` whose label precedes it too, and a station needs ``min_days`` of them.
     """
-    full = temporal.complete_days(days, hours, ["station"], "start", "valid_at", "value", HOUR).filter("hours = 24")
+    full = temporal.complete_days(days, hours, ["station"], "start", "valid_at", "value", step, count=count).filter(F.col("hours") == count)
     rows = full.join(labels, ["station", "day"]).filter(F.col("issued_t") >= F.col("start") + F.lit(DAY))
     cut = F.lit(train_before)
     train = rows.filter((F.col("day") < cut) & (F.col("issued_t") < cut * F.lit(DAY)))
-    model = metrics.station_bias_fit(train, "station", "target", "day_max")
-    val = rows.filter(F.col("day") >= cut).join(model, "station").filter("bias IS NOT NULL")
+    model = metrics.station_bias_fit(train, "station", "target", "day_max", min_days=min_days)
+    val = rows.filter(F.col("day") >= cut).join(model.drop("n"), "station").filter("bias IS NOT NULL")
     raw = metrics.gaussian_rows(val, "target", F.col("day_max"), F.col("sigma_raw")).withColumn("model", F.lit("raw"))
     cor = metrics.gaussian_rows(val, "target", F.col("day_max") + F.col("bias"), F.col("sigma_corrected")).withColumn("model", F.lit("corrected"))
     both = raw.unionByName(cor)
