@@ -68,8 +68,9 @@ def validate_records(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tagged.filter(F.size("violations") == 0).drop("violations"), tagged.filter(F.size("violations") > 0)
 
 
-def sample_rules(columns: list[str], at="at", feature="feature_time", close="close_t", settled="settled_t", execution="execution_at") -> dict[str, Column]:
-    """Row rules of a feature row: leakage order, finite values, quote identities."""
+def sample_rules(columns: list[str], at="at", feature="feature_time", close="close_t", settled="settled_t", execution="execution_at", origin: str | None = None) -> dict[str, Column]:
+    """Row rules of a feature row: leakage order, finite values, quote identities; with ``origin`` also that ``source`` is
+    that one and ``synthetic`` is known to be false."""
     c = F.col
     rules = {
         "leakage": (c(feature) <= c(at)) & (c(at) < c(close)) & (c(at) < c(settled)),
@@ -80,6 +81,8 @@ def sample_rules(columns: list[str], at="at", feature="feature_time", close="clo
         "spread": F.abs(c("spread") - (c("ask") - c("bid"))) <= 1e-8,
         "horizon": c("hours_left") > 0,
     }
+    if origin is not None:
+        rules["source"] = F.coalesce((c("source") == origin) & ~c("synthetic"), F.lit(False))
     if execution in columns:
         rules["execution"] = c(execution).isNull() | (c(execution) > c(at))
     return rules

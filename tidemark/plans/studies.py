@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import contracts as T
-from tidemark.functions.numeric import brier, clip, log_loss
+from tidemark.functions.numeric import brier, clip, log_loss, rounded
 from tidemark.operators import brackets, metrics, models, pnl, quality, resample, splits, temporal, windows
 from tidemark.operators.slicing import DAY, HOUR
 
@@ -300,8 +300,12 @@ def station_pilot(days: DataFrame, hours: DataFrame, labels: DataFrame, train_be
     return {"model": model, "scores": metrics.gaussian_summary(seg, ["model", "kind", "segment"]), "interval": resample.day_mean_block_bootstrap(diff, [], "day", F.col("_c") - F.col("_r"), reps=3000)}
 
 
-def loss_diagnosis(rows: DataFrame, trades: DataFrame, features: list[str], is_train: Column) -> dict[str, DataFrame]:
-    """Attribution, edge buckets, fixed-cohort repricing, slippage tolerance, timing and feature shift of one policy."""
+def loss_diagnosis(rows: DataFrame, trades: DataFrame, features: list[str], is_train: Column, proxy: DataFrame | None = None, proxy_by: str = "series") -> dict[str, DataFrame]:
+    """Attribution, edge buckets, fixed-cohort repricing, slippage tolerance, scores, timing and feature shift of one policy.
+
+    ``proxy`` (y, strike, final and opening bars, ``proxy_by``) adds how far the price source disagrees with the official
+    labels (see ``metrics.source_audit``).
+    """
     from tidemark.functions.money import max_slippage
 
     best = metrics.with_best_side(rows, p="q")
@@ -309,15 +313,22 @@ def loss_diagnosis(rows: DataFrame, trades: DataFrame, features: list[str], is_t
     win = F.when(F.col("side") == "yes", F.col("q")).otherwise(F.lit(1.0) - F.col("q"))
     price = F.when(F.col("side") == "yes", F.col("ask")).otherwise(F.lit(1.0) - F.col("bid"))
     signals = best.filter("edge >= 0.04").withColumn("tolerance", max_slippage(win, price))
-    return {
-        "attribution": pnl.attribution_summary(pnl.trade_attribution(trades), []),
+    forecasts = rows.select("day", "y", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).alias("predicted")) for m, c in (("market", "p"), ("model", "q"))])))
+    # Prices are rebuilt from 1 - bid; rounding to the tick keeps them on their side of a bucket's edge.
+    attributed = pnl.trade_attribution(trades).withColumn("price", rounded(F.col("price"), 4))
+    out = {
+        "attribution": pnl.attribution_summary(attributed, []),
         "edges": metrics.edge_buckets(best, "edge", "realized", "event"),
         "repriced": pnl.fixed_cohort_reprice(trades, ["0", "0.005", "0.01", "0.02", "0.05"]),
         "signals": signals,
         "tolerance": signals.agg(F.count(F.lit(1)).alias("signals"), F.max("tolerance").alias("largest"), F.avg("tolerance").alias("mean")),
         "timing": metrics.timing_audit(rows, {"to_close": F.col("close_t") - F.col("at")}),
         "drift": metrics.drift(rows, features, is_train),
+        "scores": metrics.binary_metrics(forecasts, ["model"], "predicted", "y", "day"),
     }
+    if proxy is not None:
+        out["source"] = metrics.source_audit(proxy, [proxy_by])
+    return out
 
 
 def data_audit(rows: DataFrame, manifest: DataFrame | None, expected: DataFrame | None, embargo: int) -> dict[str, DataFrame]:

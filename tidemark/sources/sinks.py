@@ -73,10 +73,11 @@ def dataset_catalog(df: DataFrame, dataset: str = "dataset", at: str = "availabl
     return df.groupBy(dataset).agg(F.count(F.lit(1)).alias("records"), F.min(at).alias("first"), F.max(at).alias("last"))
 
 
-def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """sha256 and size of each file below a folder."""
+def file_manifest(spark: SparkSession, path: str, pattern: str = "*", name: Column | None = None) -> DataFrame:
+    """sha256 and size of each file below a folder. ``name`` is an expression over ``path`` (default: the file's own name);
+    a task reads one whole file, so files should stay below some hundred megabytes."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return f.select((F.element_at(F.split("path", "/"), -1) if name is None else name).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify_manifest(found: DataFrame, expected: DataFrame) -> DataFrame:
