@@ -36,6 +36,12 @@ def test_constant_feature_gets_no_weight(spark):
     assert got["u"] == 0.0 and set(got) == {"intercept", "u", "v"}
 
 
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_no_usable_row_makes_no_model(spark, by):
+    df = spark.createDataFrame([("a", None, 1.0)], "g string, u double, y double")
+    assert models.fit_ridge(df, by, ["u"], "y", 1.0).collect() == []
+
+
 LADDER = [("E", "low", None, 50.0), ("E", "mid", 50.0, 60.0), ("E", "high", 60.0, None)]
 
 

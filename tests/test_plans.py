@@ -4,11 +4,11 @@ import pytest
 
 from tidemark.plans import QUERIES
 
-WITH_ONE_ROW = ["standardize_features", "freshness_states", "observation_scope", "block_resample_members", "bootstrap_circular_block", "promotion_gate", "select_weight_grid"]
+WITH_ONE_ROW = ["ridge_gate", "rolling_gate", "loss_diagnosis_report", "event_blend", "freshness_states", "observation_scope", "block_resample_members", "bootstrap_circular_block", "promotion_gate", "select_weight_grid"]
 
 
 @pytest.mark.parametrize("threshold", ["10485760", "-1"])
-@pytest.mark.parametrize("name", [n for n in WITH_ONE_ROW if n in QUERIES])
+@pytest.mark.parametrize("name", WITH_ONE_ROW)
 def test_no_product_of_rows(spark, sf, name, threshold):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

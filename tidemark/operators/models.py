@@ -239,19 +239,20 @@ def fit_ridge(rows: DataFrame, by: list[str], features: list[str], target: str,
     Two aggregates, the second of k(k+1)/2 + k + 2 sums a model; the k x k systems are solved in tasks. Rows with a null or
     non-finite value in a feature or the target take no part; a key without rows has no model.
     """
+    from tidemark.operators.temporal import scalar_join
+
     k = len(features)
-    keys = list(by) or ["_model"]
     usable = F.lit(True)
     for c in [*features, target]:
         usable = usable & finite(F.col(c).cast("double"))
-    d = rows.filter(usable).select(*(by or [F.lit(0).alias("_model")]), *[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y"))
-    stats = moments(d, keys, features)
-    z = standardize(d, stats, keys, features, bound=float("inf"), prefix="_z_")
+    d = rows.filter(usable).select(*by, *[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y"))
+    stats = moments(d, by, features)
+    z = standardize(d, stats, by, features, bound=float("inf"), prefix="_z_")
     zs = [F.col(f"_z_{f}") for f in features]
     pairs = [(a, b) for a in range(k) for b in range(a, k)]
-    sums = z.groupBy(*keys).agg(F.avg("_y").alias("_mean"), F.array(*[F.sum(x * F.col("_y")) for x in zs]).alias("_g"), F.array(*[F.sum(zs[a] * zs[b]) for a, b in pairs]).alias("_h"))
+    sums = z.groupBy(*by).agg(F.avg("_y").alias("_mean"), F.array(*[F.sum(x * F.col("_y")) for x in zs]).alias("_g"), F.array(*[F.sum(zs[a] * zs[b]) for a, b in pairs]).alias("_h"))
     names = ["intercept", *features]
-    schema = T.StructType([*[sums.schema[c] for c in keys], T.StructField("feature", T.StringType()), T.StructField("coef", T.DoubleType())])
+    schema = T.StructType([*[sums.schema[c] for c in by], T.StructField("feature", T.StringType()), T.StructField("coef", T.DoubleType())])
 
     def solve(batches):
         for batch in batches:
@@ -260,14 +261,18 @@ def fit_ridge(rows: DataFrame, by: list[str], features: list[str], target: str,
                 h = np.zeros((k, k))
                 for (a, b), value in zip(pairs, row["_h"], strict=True):
                     h[a, b] = h[b, a] = value
-                w = np.linalg.solve(h + alpha * np.eye(k), np.array(row["_g"])) if k else np.zeros(0)
+                w = np.linalg.solve(h + alpha * np.eye(k), np.array(row["_g"]))
                 w = w / np.array([row[f"_s_{f}"] for f in features])
                 first = row["_mean"] - float(w @ np.array([row[f"_m_{f}"] for f in features]))
-                out += [(*[row[c] for c in keys], n, float(c)) for n, c in zip(names, [first, *w], strict=True)]
-            yield pd.DataFrame(out, columns=[*keys, "feature", "coef"])
+                out += [(*[row[c] for c in by], n, float(c)) for n, c in zip(names, [first, *w], strict=True)]
+            yield pd.DataFrame(out, columns=[*by, "feature", "coef"])
 
-    j = sums.alias("d").join(stats.alias("m"), same_key(keys, "d", "m")).select(*[F.col(f"d.{c}") for c in keys], "_mean", "_g", "_h", *[f"_{x}_{f}" for x in "ms" for f in features])
-    return j.mapInPandas(solve, schema).select(*by, "feature", "coef")
+    columns = ["_mean", "_g", "_h", *[f"_{x}_{f}" for x in "ms" for f in features]]
+    if by:
+        j = sums.alias("d").join(stats.alias("m"), same_key(by, "d", "m")).select(*[F.col(f"d.{c}") for c in by], *columns)
+    else:
+        j = scalar_join(sums, stats).select(*columns)
+    return j.filter("_mean IS NOT NULL").mapInPandas(solve, schema)
 
 
 def score_linear(rows: DataFrame, coef: DataFrame, by: list[str], features: list[str], name: str = "prediction") -> DataFrame:
