@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import features
-from tidemark.operators import books, windows
+from tidemark.operators import books, quality, windows
 
 STATION = "observed boolean, observed_max double, observed_temperature double, observed_trend double, observation_age_hours double, local_day_hour double, lower double, upper double, gfs double, ecmwf double"
 
@@ -56,3 +56,24 @@ def test_only_fresh_books_price_a_position(spark, age, unpriced):
     pos = spark.createDataFrame([("A", 10, 0.07)], "ticker string, quantity long, fee_rate double")
     r = books.liquidation_value(pos, bids, ["ticker"], ["ticker"], "rank", "price", "size", fresh=F.col("age").between(0, 180)).first()
     assert r.unpriced == unpriced and (r.value > 0) == (unpriced == 0)
+
+
+@pytest.mark.parametrize("index, row, reason", [
+    (None, None, None), (0, ("e1", 1.0, "a" * 64, 5), "repeated_event"), (0, ("e0", 0.0, "a" * 64, 5), None),
+    (0, ("e0", 0.0, "A" * 64, 5), "missing_source_hash"), (0, ("e0", 0.0, None, 5), "missing_source_hash"), (0, ("e0", 0.0, "a" * 64, None), "missing_settlement"), (0, ("e0", float("nan"), "a" * 64, 5), "invalid_scale"),
+])
+def test_calibration_names_its_fault(spark, index, row, reason):
+    rows = [(f"e{i}", float(i % 7), "a" * 64, i) for i in range(80)]
+    if index is not None:
+        rows[index] = row
+    df = spark.createDataFrame(rows, "event string, r double, hash string, settled long").withColumn("g", F.lit(1))
+    out = quality.validate_calibration(df, ["g"], F.col("r"), source_hash="hash", settled="settled").first()
+    assert out.reason == reason and out.latest_settled == 79
+
+
+def test_only_the_named_source_is_accepted(spark):
+    rows = [("hourly", False), ("hourly", True), ("hourly", None), ("other", False), (None, False)]
+    d = spark.createDataFrame(rows, "source string, synthetic boolean").select("*", *[F.lit(0.5).alias(c) for c in ("p", "bid", "ask", "spread", "hours_left")], F.lit(1).alias("y"), *[F.lit(1).alias(c) for c in ("at", "feature_time", "close_t", "settled_t")])
+    rules = quality.sample_rules(d.columns, origin="hourly")
+    assert [r.ok for r in d.select(rules["source"].alias("ok")).collect()] == [True, False, False, False, False]
+    assert "source" not in quality.sample_rules(d.columns)

@@ -233,17 +233,24 @@ def observation_scope(calibration: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def validate_calibration(pairs: DataFrame, by: list[str], residual: Column, min_events: int = 80) -> DataFrame:
-    """Location and scale per group with the reasons a calibration may not be used."""
-    g = pairs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("event").alias("events"), F.avg(residual).alias("bias"), F.stddev_samp(residual).alias("sigma")
-    )
-    return g.withColumn(
-        "reason",
-        F.when(F.col("events") != F.col("n"), "repeated_event")
-        .when(F.col("n") < min_events, "too_few_events")
-        .when(~finite(F.col("bias")) | ~finite(F.col("sigma")) | (F.col("sigma") <= 0), "invalid_scale"),
-    )
+def validate_calibration(pairs: DataFrame, by: list[str], residual: Column, min_events: int = 80, source_hash: str | None = None, settled: str | None = None) -> DataFrame:
+    """Location and scale per group with the reasons a calibration may not be used.
+
+    With ``source_hash`` every pair must name the SHA-256 of its source (64 lowercase hex digits), with ``settled`` its
+    settlement time; the latest of them is the calibration's cutoff, ``latest_settled``.
+    """
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_distinct("event").alias("events"), F.avg(residual).alias("bias"), F.stddev_samp(residual).alias("sigma")]
+    if source_hash:
+        aggs.append(F.count_if(~F.coalesce(F.col(source_hash).rlike("^[0-9a-f]{64}$"), F.lit(False))).alias("_unsourced"))
+    if settled:
+        aggs += [F.count_if(F.col(settled).isNull()).alias("_unsettled"), F.max(settled).alias("latest_settled")]
+    reason = F.when(F.col("events") != F.col("n"), "repeated_event").when(F.col("n") < min_events, "too_few_events").when(
+        ~finite(F.col("bias")) | ~finite(F.col("sigma")) | (F.col("sigma") <= 0), "invalid_scale")
+    if source_hash:
+        reason = reason.when(F.col("_unsourced") > 0, "missing_source_hash")
+    if settled:
+        reason = reason.when(F.col("_unsettled") > 0, "missing_settlement")
+    return pairs.groupBy(*by).agg(*aggs).withColumn("reason", reason).drop("_unsourced", "_unsettled")
 
 
 def verify_payload_hash(df: DataFrame, body: str, digest: str) -> DataFrame:

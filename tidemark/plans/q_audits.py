@@ -152,3 +152,17 @@ def bootstrap_synchronized_month(spark, sf):
         F.col("o_orderpriority").alias("st"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("mth"), (F.col("o_totalprice") / F.lit(1000.0)).alias("v"))
     out = B.stratified_bootstrap(o, "st", "mth", F.col("v"), synchronized=True)
     return out.select(*[rounded(F.col(c), 5).alias(c) for c in ("mean_low", "mean_high", "sd_low", "sd_high", "sd_se")])
+
+
+@query("calibration_provenance", f"""
+WITH {SAMPLES}, c AS (SELECT k, CASE WHEN k % 10 = 3 THEN user_id ELSE event_id END AS event, CASE WHEN k % 10 = 2 THEN 1.0::DOUBLE ELSE value END AS r, CASE WHEN k % 10 = 4 AND event_id % 5 = 0 THEN 'none' WHEN k % 10 <> 5 THEN sha256(CAST(event_id AS VARCHAR)) END AS h, CASE WHEN k % 10 <> 6 OR event_id % 7 <> 0 THEN settled_t END AS st FROM samples)
+SELECT k, count(*) AS n, {R('avg(r)')} AS bias, max(st) AS latest_settled, CASE WHEN count(DISTINCT event) <> count(*) THEN 'repeated_event' WHEN count(*) < 80 THEN 'too_few_events' WHEN stddev_samp(r) <= 0 THEN 'invalid_scale'
+ WHEN count(*) FILTER (WHERE h IS NULL OR h = 'none') > 0 THEN 'missing_source_hash' WHEN count(*) FILTER (WHERE st IS NULL) > 0 THEN 'missing_settlement' END AS reason FROM c GROUP BY 1""")
+def calibration_provenance(spark, sf):
+    """Calibrations of one group per price level, with each kind of fault in some of them."""
+    m, e = F.col("k") % 10, F.col("event_id")
+    pairs = samples(spark, sf).select(
+        "k", F.when(m == 3, F.col("user_id")).otherwise(e).alias("event"), F.when(m == 2, 1.0).otherwise(F.col("value")).alias("r"),
+        F.when((m == 4) & (e % 5 == 0), "none").when(m != 5, F.sha2(e.cast("string"), 256)).alias("hash"), F.when((m != 6) | (e % 7 != 0), F.col("settled_t")).alias("settled_t"))
+    out = Q.validate_calibration(pairs, ["k"], F.col("r"), source_hash="hash", settled="settled_t")
+    return out.select("k", "n", rounded(F.col("bias")).alias("bias"), "latest_settled", "reason")
