@@ -15,6 +15,7 @@ from tidemark.plans.q_resample import ZS, _boot_sql, _standardized
 from tidemark.plans.q_scores import LADDER, full_ladders
 from tidemark.plans.registry import query
 from tidemark.plans.standins import DAY, R, S, SAMPLES, TICKS, debit_sql, samples, ticks
+from tidemark.session import written
 
 H = 3600 * S
 
@@ -71,8 +72,8 @@ ac AS (SELECT *, f > 0 AND edge >= 0.04 AS accepted FROM pr)
 SELECT side, count(*) AS rows, count(*) FILTER (WHERE accepted) AS accepted, {R('avg(net) FILTER (WHERE accepted)')} AS accepted_net, {R('avg(f)', 7)} AS mean_prediction, {R('stddev_pop(f)', 7)} AS prediction_sd FROM ac GROUP BY 1""")
 def ridge_gate(spark, sf):
     s = samples(spark, sf).withColumn("distance", F.col("k") - F.lit(50.0)).withColumn("vol", F.col("value") / 50.0)
-    rows = M.gate_rows(s, "q", "distance", "vol")
     features = ["win", "edge", "spread", "gate_distance", "gate_vol"]
+    rows = written(M.gate_rows(s, "q", "distance", "vol").select("side", "net", *features), "gate")  # read three times
     out = M.score_linear(rows, M.fit_gate(rows, features), [], features).withColumn("accepted", (F.col("prediction") > 0) & (F.col("edge") >= 0.04))
     return out.groupBy("side").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("accepted").alias("accepted"), rounded(F.avg(F.when(F.col("accepted"), F.col("net")))).alias("accepted_net"),
